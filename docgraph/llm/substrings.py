@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -188,19 +189,38 @@ def _previous(rows: np.ndarray, doc: np.ndarray, group: np.ndarray, width: int)
     return bits
 
 
+def _dealt(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash's bucket and 32 bits more of it: what blocks exchange to choose what to look at."""
+    x = h >> np.uint64(8)
+    return (x % np.uint64(buckets)).astype(np.int64), ((x // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def _known(h: np.ndarray, table: pa.Table, column: str, buckets: int) -> np.ndarray:
+    """Which hashes are in the table's answers of kind 1."""
+    bucket, rest = _dealt(h, buckets)
+    order = np.argsort(bucket, kind="stable")
+    edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    out = np.zeros(len(h), bool)
+    for kind, b, x in zip(table.column("kind").to_pylist(), table.column("bucket").to_pylist(), table.column(column).to_pylist()):
+        if kind == 1 and x:
+            i = order[edge[b] : edge[b + 1]]
+            out[i] = np.isin(rest[i], np.frombuffer(x, np.uint32))
+    return out
+
+
 def _hash_step(width: int, buckets: int):
     def run(key, table):
         block = Block(table, width)
-        h = np.unique(block.h >> np.uint64(16))  # 48 bits choose what to look at
-        bucket = (h % np.uint64(buckets)).astype(np.int64)
-        return _side([(key[0].as_py(), 0, b, h[i].tobytes(), None) for b, i in _split(bucket, np.argsort(bucket, kind="stable"))])
+        h = np.unique(block.h)
+        bucket, rest = _dealt(h, buckets)
+        return _side([(key[0].as_py(), 0, b, np.unique(rest[i]).tobytes(), None) for b, i in _split(bucket, np.argsort(bucket, kind="stable"))])
 
     return run
 
 
 def _meet_step(hot: int):
     def run(key, table):
-        blocks, parts = table.column("block").to_pylist(), [np.frombuffer(x, np.uint64) for x in table.column("a").to_pylist()]
+        blocks, parts = table.column("block").to_pylist(), [np.frombuffer(x, np.uint32) for x in table.column("a").to_pylist()]
         h, n = np.unique(np.concatenate(parts), return_counts=True)
         out = []
         for block, part in zip(blocks, parts):
@@ -217,17 +237,15 @@ def _context_step(width: int, buckets: int):
         if not left.num_rows:
             return _side([])
         block = Block(left, width)
-        known = lambda c: np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in right.column(c).to_pylist() if x)])
-        short = block.h >> np.uint64(16)
-        pick = np.flatnonzero(np.isin(short, known("a")) | _several(block.h, block.ids[block.text]))
-        hot = np.isin(short[pick], known("b"))
+        pick = np.flatnonzero(_known(block.h, right, "a", buckets) | _several(block.h, block.ids[block.text]))
+        hot = _known(block.h[pick], right, "b", buckets)
         out = []
         rows, ckey = block.contexts(pick)
         _, first = np.unique(ckey, return_index=True)
         first.sort()
         cold = first[~hot[first]]
         bucket = ((block.h[pick[cold]] >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
-        row = lambda i, b, g, d, rows: (key[0].as_py(), 2, b, np.concatenate([i.astype("<i8"), g.view("<i8"), d.astype("<i8")]).tobytes(), rows.tobytes())
+        row = lambda i, b, g, d, rows: (key[0].as_py(), 2, b, np.concatenate([i.astype("<i8"), g.view("<i8"), d.astype("<i8")]).tobytes(), zstandard.compress(rows.tobytes(), 1))
         for b, i in _split(bucket, np.argsort(bucket, kind="stable")):
             x = cold[i]
             out.append(row(x, b, block.h[pick[x]], block.ids[block.text[pick[x]]], rows[x]))
@@ -263,7 +281,7 @@ def _suffix_step(width: int):
         for b, a, r in zip(table.column("block").to_pylist(), table.column("a").to_pylist(), table.column("b").to_pylist()):
             i, g, d = np.frombuffer(a, "<i8").reshape(3, -1)
             block.append(np.full(len(i), b))
-            index.append(i), group.append(g.view(np.uint64)), doc.append(d), rows.append(np.frombuffer(r, np.uint8).reshape(-1, span))
+            index.append(i), group.append(g.view(np.uint64)), doc.append(d), rows.append(np.frombuffer(zstandard.decompress(r), np.uint8).reshape(-1, span))
         block, index, group, doc, rows = map(np.concatenate, (block, index, group, doc, rows))
         order = np.lexsort((doc, group))
         edge = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1], True])
@@ -284,7 +302,7 @@ def _suffix_step(width: int):
     return run
 
 
-def _apply_step(width: int):
+def _apply_step(width: int, buckets: int):
     def run(key, left, right):
         names = ["doc_id", "part", "n_bytes", "n_removed", "spans", "kept"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
@@ -292,9 +310,7 @@ def _apply_step(width: int):
             return pa.Table.from_arrays([pa.array([], t) for t in types], names)
         block = Block(left, width)
         got = right.filter(pa.compute.equal(right.column("kind"), 3))
-        known = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x, k in zip(right.column("a").to_pylist(), right.column("kind").to_pylist()) if k == 1)])
-        short = block.h >> np.uint64(16)
-        pick = np.flatnonzero(np.isin(short, known) | _several(block.h, block.ids[block.text]))
+        pick = np.flatnonzero(_known(block.h, right, "a", buckets) | _several(block.h, block.ids[block.text]))
         bits = np.zeros(len(pick), np.uint64)
         for a, b in zip(got.column("a").to_pylist(), got.column("b").to_pylist()):
             np.bitwise_or.at(bits, np.frombuffer(a, "<i8"), np.frombuffer(b, np.uint64))
@@ -316,8 +332,7 @@ def _apply_step(width: int):
                 x = same[(mine[same] >> np.uint64(o)) & np.uint64(1) == 1]
                 np.add.at(starts, at[x] - mid + o, 1)
                 np.add.at(starts, at[x] - mid + o + 1, -1)
-            hot = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x, k in zip(right.column("b").to_pylist(), right.column("kind").to_pylist()) if k == 1 and x)])
-            warm = np.flatnonzero(np.isin(short[pick], hot))
+            warm = np.flatnonzero(_known(block.h[pick], right, "b", buckets))
             for o in range(mid + 1) if len(warm) else ():
                 l, r = rows[warm, span].astype(np.int64), rows[warm, span + 1].astype(np.int64)
                 x = warm[(o >= mid - l) & (o + width <= mid + r)]
@@ -375,11 +390,8 @@ def dedup_substrings(docs: DataFrame, width: int = 50, block_bytes: int | None =
     base = base.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "part", "text")
     hashes = base.groupBy("block").applyInArrow(_hash_step(width, buckets), _SIDE)
     shared = hashes.groupBy("bucket").applyInArrow(_meet_step(hot), _SIDE)
-    from docgraph.llm.common import cut
-
-    shared = cut(shared)
     sent = base.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_context_step(width, buckets), _SIDE)
     answers = sent.groupBy("bucket").applyInArrow(_suffix_step(width), _SIDE)
     out = "doc_id long, part long, n_bytes long, n_removed long, spans array<long>, kept binary"
-    done = base.groupBy("block").cogroup(shared.unionByName(answers).groupBy("block")).applyInArrow(_apply_step(width), out)
+    done = base.groupBy("block").cogroup(shared.unionByName(answers).groupBy("block")).applyInArrow(_apply_step(width, buckets), out)
     return done.select(F.nullif("doc_id", last).alias("doc_id"), "n_bytes", "n_removed", "spans", "kept")
