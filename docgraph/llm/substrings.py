@@ -384,7 +384,7 @@ def dedup_substrings(docs: DataFrame, width: int = 50, block_bytes: int | None =
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).cast("long")).first()[0]
     block_bytes = block_bytes or min(256 << 20, max(4 << 20, int(25 * total**0.5)))
     blocks = max(1, -(-total // block_bytes))
-    buckets = max(8, -(-total // (16 * 4 << 20)))
+    buckets = max(8, -(-total // (4 * block_bytes)))
     last = F.lit((1 << 63) - 1)
     base = docs.select(F.coalesce(docs["doc_id"].cast("long"), last).alias("doc_id"), F.xxhash64(text).alias("part"), text.alias("text"))
     base = base.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "part", "text")
