@@ -11,22 +11,20 @@ from docgraph.llm.common import SPACE
 TERMINAL = r"""[.!?:;)"'\x{2019}\x{201D}\x{2026}\x{3002}\x{FF01}\x{FF1F}][\x20\x09-\x0D]*$"""
 BOILERPLATE = r"(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie policy|use of cookies|enable javascript|lorem ipsum|powered by|sign up for|subscribe to our|click here|read more|share this|copyright \(c\))"
 NAVIGATION = r"(?i)^[\x20\x09-\x0D]*(home|menu|log ?in|sign ?in|register|search|next|previous|back to top|skip to content|contact us|about us|sitemap)[\x20\x09-\x0D.!>|]*$"
-SYMBOLS = "#*$%&|<>"
+SYMBOL = r"[#*$%&|<>]"
+# One word five times in a row.
+REPEATED = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)(?:[\x20\x09-\x0D]+\1){4}(?![^\x20\x09-\x0D])"
 
 
 def _line_fails(line) -> F.Column:
     """Whether a line is not prose: short without a closing mark, a menu, page furniture, symbols, shouting or one word again and again."""
-    words = F.filter(F.split(line, SPACE), lambda w: w != "")
-    n = F.size(words)
-    symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
-    unlike = F.lower(line) != F.upper(line)
+    n = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
+    short = F.length(line) < 200
     return (
-        (~line.rlike(TERMINAL) & (n < 10))
-        | line.rlike(NAVIGATION)
-        | line.rlike(BOILERPLATE)
-        | (symbols * 10 >= n)
-        | ((n >= 4) & (F.upper(line) == line) & unlike)
-        | ((n >= 8) & (F.size(F.array_distinct(words)) * 3 <= n))
+        (short & ((~line.rlike(TERMINAL) & (n < 10)) | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE)))
+        | (line.rlike(SYMBOL) & (F.regexp_count(line, F.lit(SYMBOL)) * 10 >= n))
+        | (~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}") & (n >= 4))
+        | line.rlike(REPEATED)
     )
 
 
@@ -42,14 +40,16 @@ def assess(docs: DataFrame, loses_at_most: float = 0.3) -> DataFrame:
     """
     t = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     t = t.withColumn("w", F.filter(F.split("text", SPACE), lambda w: w != "")).withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    t = t.withColumn("s", F.expr("array_sort(if(size(w) >= 3, transform(sequence(0, size(w) - 3), i -> named_struct('h', xxhash64(w[i], w[i + 1], w[i + 2]), 'p', i)), array()))"))
+    # most texts repeat no window at all; only the others are sorted, with places, to find which words do
+    t = t.withColumn("h", F.expr("if(size(w) >= 3, transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])), array())"))
+    t = t.withColumn("s", F.expr("if(size(array_distinct(h)) < size(h), array_sort(transform(h, (x, i) -> named_struct('h', x, 'p', i))), array())"))
     t = t.withColumn("p", F.expr("filter(transform(s, (x, i) -> if(i > 0 and s[i - 1].h = x.h or i + 1 < size(s) and s[i + 1].h = x.h, x.p, -1)), p -> p >= 0)"))
     t = t.withColumn("bad", F.filter("lines", _line_fails)).withColumn("size", F.expr("aggregate(lines, 0L, (a, x) -> a + length(x))"))
     t = t.select(
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
-        F.expr("aggregate(w, 0L, (a, x) -> a + length(x))").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.array_distinct(F.flatten(F.transform("p", lambda p: F.array(p, p + 1, p + 2))))).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
