@@ -85,7 +85,8 @@ def links(fps: DataFrame, pairs_up_to: int = 48) -> DataFrame:
     Of two segments one differs by at most one bit. Keys of up to `pairs_up_to` members give verified pairs; larger keys go
     to `_cliques`, which is exact too, so no bucket is capped.
     """
-    v = variants(fps)
+    # each fingerprint becomes 66 rows, so a task takes some thousands of them, whatever the reader's partitions hold
+    v = variants(fps.repartition(max(1, -(-fps.count() // 15_000)), "fp"))
     sizes = v.groupBy("key").agg(F.count("*").alias("n"), F.min("side").alias("lo"), F.max("side").alias("hi")).where("n > 1 and (lo < hi or lo = 2)").select("key", "n")
     live = cut(v.join(sizes, "key"))
     few, hot = live.where(F.col("n") <= pairs_up_to), live.where(F.col("n") > pairs_up_to)
