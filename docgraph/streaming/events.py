@@ -19,7 +19,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
 
 def trailing_rate(events: DataFrame, seconds: int = 60) -> DataFrame:
     """Per event, how many of its user's events lie in the trailing window, itself included."""
-    w = Window.partitionBy("user_id").orderBy(F.col("ts").cast("double")).rangeBetween(-seconds, 0)
+    w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
     return events.withColumn("in_window", F.count("*").over(w))
 
 
