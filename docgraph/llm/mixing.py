@@ -107,9 +107,9 @@ def copies(docs: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFrame:
 def mix(docs: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFrame:
     """docs, all columns, each row as often as the mix takes it. The texts are not shuffled: sources' plans are joined to them."""
     p = plan(measured(docs), weights, most)
-    p = small(p.select(F.col("source").alias("__source"), F.struct("whole", "last", "extra").alias("__plan")))
+    p = small(p.select(F.col("source").alias("__mix_source"), F.struct("whole", "last", "extra").alias("__mix_plan")))
     rank = _rank(_uniform(docs["doc_id"]), docs["doc_id"], F.size(words_of(docs["text"])))
-    out = docs.join(p, docs["source"].eqNullSafe(F.col("__source"))).withColumn("__rank", rank)
-    again = F.expr("cast(__rank <= __plan.last or array_contains(__plan.extra, __rank) as int)")
-    out = out.withColumn("__n", F.col("__plan.whole") + again).where("__n > 0")
-    return out.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = docs.join(p, docs["source"].eqNullSafe(F.col("__mix_source"))).withColumn("__mix_rank", rank)
+    again = F.expr("cast(__mix_rank <= __mix_plan.last or array_contains(__mix_plan.extra, __mix_rank) as int)")
+    out = out.withColumn("__mix_n", F.col("__mix_plan.whole") + again).where("__mix_n > 0")
+    return out.withColumn("__mix_n", F.explode(F.sequence(F.lit(1), F.col("__mix_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -129,7 +129,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, least: int, shingle: int) -> DataF
                             sets.append(np.unique(flat[start[k] : start[k + 1]]).view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["key", "s"])
 
-    found = docs.join(small(where, 200_000), docs["doc_id"].cast("long") == F.col("__id")).select(F.coalesce(docs["text"], F.lit("")).alias("text"), "pars")
+    texts = docs.select(docs["doc_id"].cast("long").alias("id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    found = texts.join(small(where, 100_000), F.col("id").eqNullSafe(F.col("__id"))).select("text", "pars")
     return found.mapInArrow(run, "key binary, s array<long>").groupBy("key").agg(F.first("s").alias("s"))
 
 
@@ -179,5 +180,5 @@ def dedup_paragraphs(docs: DataFrame, **settings) -> DataFrame:
 def remove_repeats(docs: DataFrame, **settings) -> DataFrame:
     """(doc_id, text) without the removed paragraphs; needs unique doc_ids."""
     gone = dedup_paragraphs(docs, **settings).select(F.col("doc_id").alias("__id"), F.transform(F.filter(F.split("removed", ","), lambda x: x != ""), lambda x: x.cast("int")).alias("gone"))
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")))
-    return joined.select(docs["doc_id"], F.array_join(F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n").alias("text"))
+    joined = docs.select("doc_id", "text").join(gone, F.col("doc_id").eqNullSafe(F.col("__id")))
+    return joined.select("doc_id", F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n").alias("text"))

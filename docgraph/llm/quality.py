@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, epochs: int = 120)
             bounds = np.searchsorted(text, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([x[a:b].astype("<f4").tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], ["id", "y", "x"])
 
-    rows = docs.join(picked, docs["doc_id"] == F.col("__id")).select(F.coalesce(docs["text"], F.lit("")).alias("text"), F.col("__id").cast("long").alias("id"), "y").mapInArrow(run, "id long, y int, x binary").collect()
+    rows = docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("__id")).select(F.coalesce("text", F.lit("")).alias("text"), F.col("__id").cast("long").alias("id"), "y").mapInArrow(run, "id long, y int, x binary").collect()
     rows.sort(key=lambda r: (r.id, r.x))
     bags = [np.frombuffer(r.x, "<f4").reshape(-1, FEATURES).astype(np.float64) for r in rows]
     x = np.concatenate(bags) if bags else np.zeros((0, FEATURES))

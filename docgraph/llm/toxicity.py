@@ -22,7 +22,7 @@ _INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 _WIDE = {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
 _FOLD = {**{ord(k): v for k, v in _HOMOGLYPHS.items()}, **_INVISIBLE, **_WIDE}
 _MIXED = re.compile(r"(?=[^\W\d_]*\d)(?=\d*[^\W\d_])[^\W_]+")
-_SIGNS = re.compile(r"(?<=\w)[@$](?=\w)")
+_SIGNS = re.compile(r"(?<=\w)[@$]+(?=\w)")
 _OTHER = re.compile(r"[\W_]+")
 _DIGIT_TABLE = str.maketrans(_DIGITS)
 
@@ -31,7 +31,7 @@ def fold(text: str) -> str:
     """Lower case, look-alikes and full-width forms to plain letters, digits within words to letters; words between single spaces."""
     t = text.translate(_FOLD).lower()
     if "@" in t or "$" in t:
-        t = _SIGNS.sub(lambda m: "a" if m[0] == "@" else "s", t)
+        t = _SIGNS.sub(lambda m: m[0].replace("@", "a").replace("$", "s"), t)
     if any(d in t for d in "01345789"):
         t = _MIXED.sub(lambda m: m[0].translate(_DIGIT_TABLE), t)
     return f" {_OTHER.sub(' ', t).strip()} "
@@ -82,7 +82,7 @@ class Lexicon:
 def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """(text, y) of at most `most` labelled documents, chosen by a hash of doc_id."""
     ids = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("y")).orderBy(F.xxhash64("__id"), "y").limit(most)
-    return docs.join(F.broadcast(ids), docs["doc_id"] == ids["__id"]).select(F.coalesce(docs["text"], F.lit("")).alias("text"), "y").dropDuplicates()
+    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select(F.coalesce("text", F.lit("")).alias("text"), "y").dropDuplicates()
 
 
 def _count_terms(sample: DataFrame) -> DataFrame:
