@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgraph.llm import chat, decontaminate, mixing, paragraphs, quality, rules, sharding, simhash, substrings, toxicity
+from docgraph.llm import chat, decontaminate, mixing, oracles, paragraphs, quality, rules, sharding, simhash, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,4 +113,4 @@ from s group by conv_id""",
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | {"op7_mix": oracles.mix(), "op10_rules": oracles.line_rules()}
