@@ -52,7 +52,7 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
-def row_slices(off: np.ndarray, most: int = 2 << 20):
+def row_slices(off: np.ndarray, most: int = 1 << 20):
     """Ranges of rows of at most so many bytes, or of one row where that is longer: bounds a task's scratch memory."""
     i, n = 0, len(off) - 1
     while i < n:
