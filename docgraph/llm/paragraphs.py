@@ -94,20 +94,23 @@ def _keyed(docs: DataFrame, least: int, shingle: int, number: int, rows: int) ->
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text")).mapInArrow(run, kind)
 
 
-def _candidates(docs: DataFrame, least: int, shingle: int, number: int, rows: int, pairs_up_to: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of keys that collide in a band, and where each of those keys' texts stands."""
+def _candidates(docs: DataFrame, least: int, shingle: int, number: int, rows: int, pairs_up_to: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (a, b) of keys that collide in a band, the members (band, key) of larger buckets, and where each key's text stands.
+
+    Members of larger buckets are paired with hubs alone; `_across` finds the links that this leaves out.
+    """
     texts = _keyed(docs, least, shingle, number, rows).groupBy("key").agg(F.min(F.struct("doc_id", "par")).alias("at"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     spread = texts.select("key", "at", "copies", F.explode("bands").alias("band"))
     sizes = spread.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     live = cut(spread.join(sizes, "band"))
     few = live.where(F.col("n") <= pairs_up_to).select("band", "key")
     pairs = few.withColumnRenamed("key", "a").join(few.withColumnRenamed("key", "b"), "band").where("a < b").select("a", "b")
-    # larger buckets: every member against hubs, the text with most copies and those of least hash, others in each band
+    # hubs: the text with most copies and those of least hash, others in each band
     many = live.where(F.col("n") > pairs_up_to)
     hubs = many.groupBy("band").agg(F.max_by("key", F.struct("copies", "key")).alias("top"), *[F.min_by("key", F.xxhash64("band", "key", F.lit(i))).alias(f"h{i}") for i in range(6)])
     hubs = hubs.select("band", F.explode(F.array_distinct(F.array("top", *[f"h{i}" for i in range(6)]))).alias("hub"))
     stars = many.join(hubs, "band").where("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
-    return pairs.unionByName(stars).distinct(), live.select("key", "at").distinct()
+    return pairs.unionByName(stars).distinct(), many.select("band", "key"), live.select("key", "at").distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, least: int, shingle: int) -> DataFrame:
@@ -134,6 +137,35 @@ def _sets(docs: DataFrame, wanted: DataFrame, least: int, shingle: int) -> DataF
     return found.mapInArrow(run, "key binary, s array<long>").groupBy("key").agg(F.first("s").alias("s"))
 
 
+def _linked(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
+    """The pairs whose sets have the similarity."""
+    x = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
+    x = x.where(F.least(F.size("sa"), F.size("sb")) >= jaccard * F.greatest(F.size("sa"), F.size("sb")))
+    both = F.size(F.array_intersect("sa", "sb"))
+    return x.where(both >= F.lit(jaccard) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+
+def _across(many: DataFrame, roots: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
+    """Pairs (a, b) of larger buckets' members in different components that can have the similarity: none that has is left out.
+
+    Rarest shingle first, two sets at `jaccard` share one among their first size - ceil(jaccard * size) + 1; from the first
+    they share on, enough must remain in both. Members of buckets that are one component already are not looked at.
+    """
+    rows = many.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    parted = rows.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+    rest = rows.join(parted, "band", "left_semi").select("key", "root").distinct()
+    held = cut(rest.join(sets, "key").select("key", "root", F.explode("s").alias("t")))
+    ordered = held.join(held.groupBy("t").agg(F.count("*").alias("n")), "t").groupBy("key", "root").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("s"))
+    size = F.size("s")
+    prefix = F.slice("s", F.lit(1), (size - F.ceil(jaccard * size - F.lit(1e-9)) + 1).cast("int"))
+    heads = ordered.select("key", "root", size.alias("size"), F.posexplode(prefix).alias("at", "x")).select("key", "root", "size", (F.col("size") - F.col("at")).alias("left"), F.col("x.t").alias("t"))
+    heads = cut(heads)
+    a, b = (heads.select("t", F.col("key").alias(x), *[F.col(y).alias(y + x) for y in ("root", "size", "left")]) for x in "ab")
+    enough = F.least("lefta", "leftb") >= F.lit(jaccard / (1 + jaccard)) * (F.col("sizea") + F.col("sizeb")) - F.lit(1e-9)
+    alike = F.least("sizea", "sizeb") >= F.lit(jaccard) * F.greatest("sizea", "sizeb") - F.lit(1e-9)
+    return a.join(b, "t").where("a < b and roota <> rootb").where(alike & enough).select("a", "b").distinct()
+
+
 def repeated(docs: DataFrame, least: int = 20, shingle: int = 5, jaccard: float = 0.8, number: int = 10, rows: int = 3, pairs_up_to: int = 64) -> DataFrame:
     """(doc_id, par, key, n, keep_doc, keep_par, total): every paragraph of `least` words or more and what its class keeps.
 
@@ -141,18 +173,18 @@ def repeated(docs: DataFrame, least: int = 20, shingle: int = 5, jaccard: float
     `number` bands of `rows` MinHashes of their `shingle`-word shingles are compared by exact Jaccard similarity; those at
     `jaccard` or more are linked, links make classes by connected components, and a class keeps its first paragraph by
     (doc_id, place). Two texts at 0.8 collide with probability 1 - (1 - 0.8**3)**10 = 0.9992. In buckets of over
-    `pairs_up_to` texts every text is compared with seven hubs, others in every band, instead of with every other.
+    `pairs_up_to` texts every text is compared with seven hubs, others in every band, and then, by a prefix filter that loses
+    none, with those that the hubs did not bring into its component: no link within a bucket is lost.
     total: paragraphs in the class. Rows with par -1 (one per input row, key null) count lines in n. Rows of equal doc_id
     are one document. Null texts have no paragraphs; a null doc_id comes first.
     """
     if least < shingle:
         raise ValueError("least must be at least shingle")
-    pairs, at = _candidates(docs, least, shingle, number, rows, pairs_up_to)
+    pairs, many, at = _candidates(docs, least, shingle, number, rows, pairs_up_to)
     sets = cut(_sets(docs, at, least, shingle))
-    x = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
-    x = x.where(F.least(F.size("sa"), F.size("sb")) >= jaccard * F.greatest(F.size("sa"), F.size("sb")))
-    both = F.size(F.array_intersect("sa", "sb"))
-    roots = components(x.where(both >= F.lit(jaccard) * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
+    roots = cut(components(_linked(pairs, sets, jaccard)))
+    more = _linked(_across(many, roots, sets, jaccard), sets, jaccard)
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     all_rows = _keyed(docs, least, shingle, 0, 0)
     texts = all_rows.where("par >= 0").groupBy("key").agg(F.min(F.struct("doc_id", "par")).alias("at"), F.count("*").alias("total"))
     texts = texts.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))

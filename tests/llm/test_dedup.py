@@ -165,6 +165,30 @@ def test_paragraphs_equal_brute_force(make):
         assert got == {i: ",".join(map(str, want.get(i, []))) for i, _ in rows}
 
 
+def test_paragraphs_in_crowded_buckets_lose_no_link(make):
+    """Hundreds of texts that share a passage, so that they meet in a few large buckets, while true links are pairs and chains."""
+    r = random.Random(4)
+    shared = [f"s{i}" for i in range(30)]
+    rows = []
+    for i in range(150):
+        own = [f"o{i}x{j}" for j in range(25)]
+        for k in range(r.choice([1, 1, 2, 3])):
+            rows.append((len(rows), " ".join(shared + own)))
+            own = own[:-2] + [f"e{i}y{k}y{j}" for j in range(2)]
+    sets = []
+    for _, t in rows:
+        w = t.split()
+        sets.append({tuple(w[j : j + 5]) for j in range(len(w) - 4)})
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                label[a] = min(label[a], label[b])
+    want = sum(x != i for i, x in enumerate(label))
+    got = paragraphs.dedup_paragraphs(make(rows), pairs_up_to=3)
+    assert 20 < want == got.agg({"n_removed": "sum"}).first()[0]
+
+
 def test_paragraphs_odd(odd, empty, make):
     got = {r.doc_id: r for r in paragraphs.dedup_paragraphs(odd).collect()}
     assert set(got) == {r.doc_id for r in odd.collect()}
