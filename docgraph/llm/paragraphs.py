@@ -66,40 +66,35 @@ def bands(shingles: np.ndarray, start: np.ndarray, number: int, rows: int, seed:
 
 def _slices(batch, text: int, least: int):
     buf, off = utf8(batch.column(text))
-    for i, j in row_slices(off):
+    for i, j in row_slices(off, 1 << 18):
         yield i, Paragraphs(buf[off[i] : off[j]], off[i : j + 1] - off[i], least)
 
 
 def _keyed(docs: DataFrame, least: int, shingle: int, number: int, rows: int) -> DataFrame:
-    """(doc_id, par, key) of every paragraph with enough words, with its band keys where number > 0, and a row with par -1 per input row."""
+    """(doc_id, par, key, n, bands) of every paragraph with enough words, and per input row one with par -1 and its lines in n."""
+    names = ["doc_id", "par", "key", "n", "bands"]
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
             for i, p in _slices(batch, 1, least):
-                doc = ids.take(pa.array(p.text[p.pick] + i))
-                key = pa.array(p.keys(), pa.binary())
-                if number:
-                    x = bands(*p.shingles(shingle), number, rows)
-                    more = pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * number).astype(np.int32)), pa.array(x.ravel().view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([doc, pa.array(p.nth[p.pick]), key, more], ["doc_id", "par", "key", "bands"])
-                else:
-                    yield pa.RecordBatch.from_arrays([doc, pa.array(p.nth[p.pick]), key, pa.array([1] * len(p.pick), pa.int64())], ["doc_id", "par", "key", "n"])
-            if not number:
-                buf, off = utf8(batch.column(1))
-                lines = np.add.reduceat(np.r_[buf == 10, False].astype(np.int64), off[:-1]) * (np.diff(off) > 0) + (np.diff(off) > 0) if batch.num_rows else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(batch.num_rows, -1, np.int64)), pa.nulls(batch.num_rows, pa.binary()), pa.array(lines)], ["doc_id", "par", "key", "n"])
-
-    kind = "doc_id long, par long, key binary, " + ("bands array<long>" if number else "n long")
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text")).mapInArrow(run, kind)
-
-
-def _candidates(docs: DataFrame, least: int, shingle: int, number: int, rows: int, pairs_up_to: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+                x, m = bands(*p.shingles(shingle), number, rows), len(p.pick)
+                keys = pa.ListArray.from_arrays(pa.array((np.arange(m + 1) * number).astype(np.int32)), pa.array(x.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(p.text[p.pick] + i)), pa.array(p.nth[p.pick]), pa.array(p.keys(), pa.binary()), pa.array(np.ones(m, np.int64)), keys], names)
+            buf, off = utf8(batch.column(1))
+            full = np.diff(off) > 0
+            lines = np.add.reduceat(np.r_[buf == 10, False].astype(np.int64), off[:-1]) * full + full if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(batch.num_rows, -1, np.int64)), pa.nulls(batch.num_rows, pa.binary()), pa.array(lines), pa.nulls(batch.num_rows, pa.list_(pa.int64()))], names)
+
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text")).mapInArrow(run, "doc_id long, par long, key binary, n long, bands array<long>")
+
+
+def _candidates(paragraphs: DataFrame, pairs_up_to: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs (a, b) of keys that collide in a band, the members (band, key) of larger buckets, and where each key's text stands.
 
     Members of larger buckets are paired with hubs alone; `_across` finds the links that this leaves out.
     """
-    texts = _keyed(docs, least, shingle, number, rows).groupBy("key").agg(F.min(F.struct("doc_id", "par")).alias("at"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    texts = paragraphs.groupBy("key").agg(F.min(F.struct("doc_id", "par")).alias("at"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     spread = texts.select("key", "at", "copies", F.explode("bands").alias("band"))
     sizes = spread.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     live = cut(spread.join(sizes, "band"))
@@ -180,17 +175,19 @@ def repeated(docs: DataFrame, least: int = 20, shingle: int = 5, jaccard: float
     """
     if least < shingle:
         raise ValueError("least must be at least shingle")
-    pairs, many, at = _candidates(docs, least, shingle, number, rows, pairs_up_to)
+    all_rows = cut(_keyed(docs, least, shingle, number, rows))
+    pairs, many, at = _candidates(all_rows.where("par >= 0"), pairs_up_to)
     sets = cut(_sets(docs, at, least, shingle))
     roots = cut(components(_linked(pairs, sets, jaccard)))
     more = _linked(_across(many, roots, sets, jaccard), sets, jaccard)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    all_rows = _keyed(docs, least, shingle, 0, 0)
     texts = all_rows.where("par >= 0").groupBy("key").agg(F.min(F.struct("doc_id", "par")).alias("at"), F.count("*").alias("total"))
     texts = texts.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     classes = texts.groupBy("root").agg(F.min("at").alias("keep"), F.sum("total").alias("total")).where("total > 1")
     of = texts.select("key", "root").join(classes, "root").select("key", "keep", "total")
-    return all_rows.join(of, "key", "left").select("doc_id", "par", "key", "n", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.par").alias("keep_par"), "total")
+    of = of.select("key", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.par").alias("keep_par"), "total")
+    judged = all_rows.where("par >= 0").join(of, "key", "left").select("doc_id", "par", "key", "n", "keep_doc", "keep_par", "total")
+    return judged.unionByName(all_rows.where("par < 0").select("doc_id", "par", "key", "n"), allowMissingColumns=True)
 
 
 def dedup_paragraphs(docs: DataFrame, **settings) -> DataFrame:
