@@ -140,21 +140,41 @@ def _linked(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
     return x.where(both >= F.lit(jaccard) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def _heads(sets: DataFrame, jaccard: float, slots: int = 1 << 18) -> DataFrame:
+    """(key, root, size, left, t) of each set's prefix, its first size - ceil(jaccard * size) + 1 shingles in an order common to
+    all sets: two sets at `jaccard` share one there. left counts those from t on. Rare shingles come first; how rare is
+    read from counts by the low bits of the hash, which take `slots` numbers whatever the input.
+    """
+    slot = F.col("t").bitwiseAND(F.lit(slots - 1)).alias("slot")
+    counts = np.ones(slots, np.int64)
+    for x in sets.select(F.explode("s").alias("t")).groupBy(slot).agg(F.count("*").alias("n")).where("n > 1").collect():
+        counts[x["slot"]] = x["n"]
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches):
+        for batch in batches:
+            size = batch.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            of = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((flat, shared.value[flat & (slots - 1)], of))
+            at = np.arange(len(flat)) - (np.cumsum(size) - size)[of]
+            head = np.flatnonzero(at < (size - np.ceil(jaccard * size - 1e-9) + 1)[of])
+            row = pa.array(of[head])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(size[of[head]]), pa.array((size[of] - at)[head]), pa.array(flat[order][head])], ["key", "root", "size", "left", "t"])
+
+    return sets.mapInArrow(run, "key binary, root binary, size long, left long, t long")
+
+
 def _across(many: DataFrame, roots: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
     """Pairs (a, b) of larger buckets' members in different components that can have the similarity: none that has is left out.
 
-    Rarest shingle first, two sets at `jaccard` share one among their first size - ceil(jaccard * size) + 1; from the first
-    they share on, enough must remain in both. Members of buckets that are one component already are not looked at.
+    From the first shingle that two sets share on, enough must remain in both. Members of buckets that are one component
+    already are not looked at.
     """
     rows = many.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     parted = rows.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
     rest = rows.join(parted, "band", "left_semi").select("key", "root").distinct()
-    held = cut(rest.join(sets, "key").select("key", "root", F.explode("s").alias("t")))
-    ordered = held.join(held.groupBy("t").agg(F.count("*").alias("n")), "t").groupBy("key", "root").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("s"))
-    size = F.size("s")
-    prefix = F.slice("s", F.lit(1), (size - F.ceil(jaccard * size - F.lit(1e-9)) + 1).cast("int"))
-    heads = ordered.select("key", "root", size.alias("size"), F.posexplode(prefix).alias("at", "x")).select("key", "root", "size", (F.col("size") - F.col("at")).alias("left"), F.col("x.t").alias("t"))
-    heads = cut(heads)
+    heads = cut(_heads(cut(rest.join(sets, "key").select("key", "root", "s")), jaccard))
     a, b = (heads.select("t", F.col("key").alias(x), *[F.col(y).alias(y + x) for y in ("root", "size", "left")]) for x in "ab")
     enough = F.least("lefta", "leftb") >= F.lit(jaccard / (1 + jaccard)) * (F.col("sizea") + F.col("sizeb")) - F.lit(1e-9)
     alike = F.least("sizea", "sizeb") >= F.lit(jaccard) * F.greatest("sizea", "sizeb") - F.lit(1e-9)
