@@ -13,19 +13,18 @@ from docgraph.functions.vectors import cosine, index_score
 def with_scores(items: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """items x queries (qid, q), cosine of every pair. Queries are a stated set, small beside the items; their number is checked before they are broadcast."""
     few = F.broadcast(queries) if queries.limit(10_001).count() <= 10_000 else queries
-    return items.join(few, F.lit(True)).withColumn("cos", F.round(cosine(F.col(vector), F.col("q")), 6)).withColumn("score_index", F.round(index_score(F.col("cos")), 6)).drop("q")
+    return items.join(few, F.lit(True)).withColumn("cos", F.round(cosine(F.col(vector), F.col("q")), 6)).withColumn("score_index", F.round(index_score(F.col("cos")), 7)).drop("q")
 
 
 def top_k(scored: DataFrame, k: int, id_col: str = "vec_id", where: Column | None = None, mode: str = "pre", fetch: int | None = None) -> DataFrame:
-    """The k best by cosine, ties by id. `where` filters before the ranking (pre) or after the best `fetch` (post)."""
-    if where is not None and mode == "pre":
-        scored = scored.where(where)
-    if where is not None and mode == "post":
-        scored = scored.orderBy(F.desc("cos"), id_col).limit(fetch or 3 * k).where(where)
-    return scored.orderBy(F.desc("cos"), id_col).limit(k)
+    """Each query's k best by cosine, ties by id. `where` filters before the ranking (pre) or after the best `fetch` (post)."""
+    if where is not None:
+        scored = scored.where(where) if mode == "pre" else top_k_per_query(scored, fetch or 3 * k, id_col).where(where)
+    return top_k_per_query(scored, k, id_col)
 
 
 def top_k_per_query(scored: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
+    """Each query's k best with their rank. Spark limits each task's rows per query to k before they are shuffled."""
     w = Window.partitionBy("qid").orderBy(F.desc("cos"), id_col)
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
@@ -41,12 +40,12 @@ def best_per_key(rows: DataFrame, key: str, score: str, seq: str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def reserved_quota(rows: DataFrame, reserved: Column, least: int, k: int, score: str, seq: str) -> DataFrame:
-    """Up to `least` of the reserved rows first, then the best of the others, k in all; rank says the order."""
-    top = rows.where(reserved).orderBy(F.desc(score), seq).limit(least).withColumn("part", F.lit(0))
-    rest = rows.join(top.select(seq), seq, "left_anti").orderBy(F.desc(score), seq).limit(k).withColumn("part", F.lit(1))
-    both = top.unionByName(rest).orderBy("part", F.desc(score), seq).limit(k)
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("part", F.desc(score), seq)).cast("long"))
+def reserved_quota(scored: DataFrame, reserved: Column, least: int, k: int, id_col: str = "vec_id") -> DataFrame:
+    """Per query up to `least` of the reserved rows first, then the best of the others, k in all; rank says the order."""
+    first = top_k_per_query(scored.where(reserved), least, id_col).withColumn("part", F.lit(0))
+    rest = top_k_per_query(scored, k + least, id_col).join(first.select("qid", id_col), ["qid", id_col], "left_anti").withColumn("part", F.lit(1))
+    w = Window.partitionBy("qid").orderBy("part", F.desc("cos"), id_col)
+    return first.unionByName(rest).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).drop("part")
 
 
 def mmr(candidates: DataFrame, keep: int = 12, balance: float = 0.7) -> DataFrame:

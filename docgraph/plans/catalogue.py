@@ -36,72 +36,73 @@ def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 # ---- vector search -----------------------------------------------------------------------------------------------
 
 COS = "round(coalesce(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 0), 6)"
-SCORED = f"scored as (select q.vec_id as qid, e.vec_id, e.label, {COS} as cos from embeddings e join embeddings q on q.vec_id in (0, 1, 2))"
+SCORED = f"scored as (select q.vec_id as qid, e.vec_id, e.label, {COS} as cos from embeddings e join embeddings q on q.vec_id % 50 = 0)"
 
 
-def _scored(spark, sf, ids=(0,)):
+RANKED = f"{SCORED}, ranked as (select *, row_number() over (partition by qid order by cos desc, vec_id) as rank from scored)"
+
+
+def _scored(spark, sf):
+    """Every vector whose id is divisible by 50 as a query, against all vectors."""
     e = t(spark, sf, "embeddings")
-    q = e.where(F.col("vec_id").isin(list(ids)) if isinstance(ids, tuple) else ids).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    return retrieval.with_scores(e, q).drop("embedding")
+    return retrieval.with_scores(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))).drop("embedding")
 
 
-@query(f"with {SCORED} select qid, vec_id, label, cos, round((1 + cos) / 2, 6) as score_index from scored where qid = 0 order by cos desc, vec_id limit 15")
+@query(f"with {RANKED} select qid, vec_id, label, cos, round((1 + cos) / 2, 7) as score_index from ranked where rank <= 15")
 def knn_topk(spark, sf):
     return retrieval.top_k(_scored(spark, sf), 15).select("qid", "vec_id", "label", "cos", "score_index")
 
 
-@query(f"""with scored as (select q.vec_id as qid, e.vec_id, {COS} as cos from embeddings e join embeddings q on q.vec_id % 50 = 0)
-select qid, vec_id, cos, rank from (select *, row_number() over (partition by qid order by cos desc, vec_id) as rank from scored) where rank <= 20""")
+@query(f"with {RANKED} select qid, vec_id, cos, rank from ranked where rank <= 20")
 def knn_topk_per_query(spark, sf):
-    return retrieval.top_k_per_query(_scored(spark, sf, F.col("vec_id") % 50 == 0), 20).select("qid", "vec_id", "cos", "rank")
+    return retrieval.top_k_per_query(_scored(spark, sf), 20).select("qid", "vec_id", "cos", "rank")
 
 
-@query(f"with {SCORED} select vec_id, label, cos from scored where qid = 0 and label in (1, 3) order by cos desc, vec_id limit 12")
+@query(f"with {SCORED} select qid, vec_id, label, cos from scored where label in (1, 3) qualify row_number() over (partition by qid order by cos desc, vec_id) <= 12")
 def knn_prefilter(spark, sf):
-    return retrieval.top_k(_scored(spark, sf), 12, where=F.col("label").isin(1, 3)).select("vec_id", "label", "cos")
+    return retrieval.top_k(_scored(spark, sf), 12, where=F.col("label").isin(1, 3)).select("qid", "vec_id", "label", "cos")
 
 
-@query(f"with {SCORED}, best as (select * from scored where qid = 0 order by cos desc, vec_id limit 36) select vec_id, label, cos from best where label in (1, 3) order by cos desc, vec_id limit 12")
+@query(f"with {RANKED} select qid, vec_id, label, cos from ranked where rank <= 36 and label in (1, 3) qualify row_number() over (partition by qid order by rank) <= 12")
 def knn_postfilter(spark, sf):
-    return retrieval.top_k(_scored(spark, sf), 12, where=F.col("label").isin(1, 3), mode="post").select("vec_id", "label", "cos")
+    return retrieval.top_k(_scored(spark, sf), 12, where=F.col("label").isin(1, 3), mode="post").select("qid", "vec_id", "label", "cos")
 
 
-@query(f"""with {SCORED}, ranked as (select *, row_number() over (partition by qid order by cos desc, vec_id) as rank from scored)
+@query(f"""with {RANKED}
 select vec_id, round(sum(1.0::double / (60 + rank)), 9) as fused, max(cos) as best from ranked where rank <= 20 group by vec_id order by fused desc, best desc, vec_id limit 12""")
 def rrf_fusion(spark, sf):
-    return retrieval.fuse(retrieval.top_k_per_query(_scored(spark, sf, (0, 1, 2)), 20), "vec_id").orderBy(F.desc("fused"), F.desc("best"), "vec_id").limit(12)
+    return retrieval.fuse(retrieval.top_k_per_query(_scored(spark, sf), 20), "vec_id").orderBy(F.desc("fused"), F.desc("best"), "vec_id").limit(12)
 
 
-@query(f"with {SCORED} select vec_id, round(avg(cos), 6) as mean_cos from scored group by vec_id order by mean_cos desc, vec_id limit 30")
+@query(f"with {SCORED} select vec_id, round(avg(cos), 9) as mean_cos from scored group by vec_id order by mean_cos desc, vec_id limit 30")
 def rerank_mean_similarity(spark, sf):
-    m = _scored(spark, sf, (0, 1, 2)).groupBy("vec_id").agg(F.round(F.avg("cos"), 6).alias("mean_cos"))
+    m = _scored(spark, sf).groupBy("vec_id").agg(F.round(F.avg("cos"), 9).alias("mean_cos"))
     return m.orderBy(F.desc("mean_cos"), "vec_id").limit(30)
 
 
-@query(f"with {SCORED} select label, vec_id, cos from (select *, row_number() over (partition by label order by cos desc, vec_id) as n from scored where qid = 0) where n = 1")
+@query(f"with {SCORED} select label, vec_id, cos from scored qualify row_number() over (partition by label order by cos desc, vec_id) = 1")
 def best_per_key_merge(spark, sf):
     return retrieval.best_per_key(_scored(spark, sf), "label", "cos", "vec_id").select("label", "vec_id", "cos")
 
 
-@query(f"""with {SCORED}, a as (select * from scored where qid = 0 and label = 2 order by cos desc, vec_id limit 6),
-b as (select * from scored where qid = 0 and vec_id not in (select vec_id from a) order by cos desc, vec_id limit 40)
-select vec_id, label, cos, row_number() over (order by part, cos desc, vec_id) as rank from (select *, 0 as part from a union all select *, 1 from b) order by rank limit 40""")
+@query(f"""with {SCORED}, a as (select * from scored where label = 2 qualify row_number() over (partition by qid order by cos desc, vec_id) <= 6),
+b as (select *, 0 as part from a union all select s.*, 1 from scored s anti join a using (qid, vec_id))
+select qid, vec_id, label, cos, row_number() over (partition by qid order by part, cos desc, vec_id) as rank from b qualify rank <= 40""")
 def reserved_quota_topk(spark, sf):
-    return retrieval.reserved_quota(_scored(spark, sf), F.col("label") == 2, 6, 40, "cos", "vec_id").select("vec_id", "label", "cos", "rank")
+    return retrieval.reserved_quota(_scored(spark, sf), F.col("label") == 2, 6, 40).select("qid", "vec_id", "label", "cos", "rank")
 
 
 @query()
 def mmr_select(spark, sf):
     e = t(spark, sf, "embeddings")
-    best = retrieval.top_k_per_query(_scored(spark, sf, (0, 1, 2)), 60).select("qid", F.col("vec_id").alias("id"), F.col("cos").alias("score"))
+    best = retrieval.top_k_per_query(_scored(spark, sf), 60).select("qid", F.col("vec_id").alias("id"), F.col("cos").alias("score"))
     return retrieval.mmr(best.join(e.select(F.col("vec_id").alias("id"), "embedding"), "id"))
 
 
-@query(f"""with {SCORED}, near as (select qid, vec_id, label, cos from (select *, row_number() over (partition by qid order by cos desc, vec_id) as n from scored) where n <= 200),
-cut as (select *, row_number() over (partition by qid order by vec_id) as seq from near)
-select qid, vec_id, cos from (select *, row_number() over (partition by qid order by cos desc, seq) as n from cut where seq <= 100) where n <= 40""")
+@query(f"""with {RANKED}, cut as (select *, row_number() over (partition by qid order by vec_id) as seq from ranked where rank <= 200)
+select qid, vec_id, cos from cut where seq <= 100 qualify row_number() over (partition by qid order by cos desc, seq) <= 40""")
 def candidate_cap_rerank(spark, sf):
-    near = retrieval.top_k_per_query(_scored(spark, sf, (0, 1, 2)), 200)
+    near = retrieval.top_k_per_query(_scored(spark, sf), 200)
     seq = F.row_number().over(Window.partitionBy("qid").orderBy("vec_id"))
     n = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cos"), "seq"))
     return near.withColumn("seq", seq).where("seq <= 100").withColumn("n", n).where("n <= 40").select("qid", "vec_id", "cos")
@@ -186,11 +187,11 @@ def upsert_last_wins(spark, sf):
 AMENDMENTS = """amendments as (
   select o_orderkey as seq, (o_custkey % 40)::varchar || '_20' || (10 + o_custkey % 7) as source,
     case o_orderkey % 4 when 0 then 'mengubah' when 1 then 'diubah_dengan' when 2 then 'mencabut' else 'dicabut_dengan' end as relationship,
-    (o_orderkey % 40)::varchar || '_20' || (10 + o_orderkey % 7) as target from orders where o_orderkey % 3 = 0)"""
+    (o_orderkey % 40)::varchar || '_20' || (10 + o_orderkey % 7) as target from orders)"""
 
 
 def _amendments(spark, sf):
-    return t(spark, sf, "orders").where("o_orderkey % 3 = 0").selectExpr(
+    return t(spark, sf, "orders").selectExpr(
         "o_orderkey as seq", "concat(o_custkey % 40, '_20', 10 + o_custkey % 7) as source",
         "case o_orderkey % 4 when 0 then 'mengubah' when 1 then 'diubah_dengan' when 2 then 'mencabut' else 'dicabut_dengan' end as relationship",
         "concat(o_orderkey % 40, '_20', 10 + o_orderkey % 7) as target",
@@ -214,11 +215,11 @@ def amendment_pair_match(spark, sf):
 
 @query()
 def bfs_reset(spark, sf):
-    e = t(spark, sf, "orders").where("o_orderkey % 31 = 0").selectExpr("concat(o_custkey % 60, '_2000') as source", "if(o_orderkey % 5 = 0, 'dicabut_dengan', 'diubah_dengan') as relationship", "concat((o_custkey % 60) + 1 + o_orderkey % 9, '_2000') as target").distinct()
+    e = t(spark, sf, "orders").selectExpr("concat(o_custkey % 60, '_2000') as source", "if(o_orderkey % 5 = 0, 'dicabut_dengan', 'diubah_dengan') as relationship", "concat((o_custkey % 60) + 1 + o_orderkey % 9, '_2000') as target").distinct()
     return graph.chain_with_reset(e, e.select(F.col("source").alias("node")).distinct())
 
 
-@query("""with c as (select doc_id, 'd' || (doc_id % 7) as document_id, 'k' || doc_id as chunk_id, substr(text, 1, 20) as content from documents),
+@query("""with c as (select doc_id, 'd' || (doc_id % 7) as document_id, 'k' || doc_id as chunk_id, text as content from documents),
 tr as (select doc_id as seq, 'u' || doc_id as uid, 'd' || case when doc_id % 4 = 3 then 9 else doc_id % 7 end as document_id,
   'k' || case when doc_id % 11 = 0 then -doc_id - 1 else doc_id // 2 * 2 end || case when doc_id % 4 = 1 then '::part1' else '' end as chunk_id, 'q' || doc_id as quote from documents),
 j as (select tr.*, (select content from c where c.document_id = tr.document_id and c.chunk_id = tr.chunk_id) as t1,
@@ -229,7 +230,7 @@ l as (select *, case how when 'quote' then uid || '|quote' else document_id || '
 select seq, uid, place, how, text from (select *, row_number() over (partition by place order by seq) as n from l) where n = 1""")
 def triple_chunk_fallback(spark, sf):
     d = t(spark, sf, "documents")
-    c = d.selectExpr("concat('d', doc_id % 7) as document_id", "concat('k', doc_id) as chunk_id", "substring(text, 1, 20) as content")
+    c = d.selectExpr("concat('d', doc_id % 7) as document_id", "concat('k', doc_id) as chunk_id", "text as content")
     tr = d.selectExpr("doc_id as seq", "concat('u', doc_id) as uid", "concat('d', if(doc_id % 4 = 3, 9, doc_id % 7)) as document_id", "concat('k', if(doc_id % 11 = 0, -doc_id - 1, doc_id div 2 * 2), if(doc_id % 4 = 1, '::part1', '')) as chunk_id", "concat('q', doc_id) as quote")
     return graph.chunk_of_triple(tr, c)
 
@@ -238,14 +239,14 @@ def triple_chunk_fallback(spark, sf):
 
 CHANGES = """changes as (
   select o_orderkey as n, 'u' || o_orderkey as uid, (o_custkey % 50) || '/2010' as law, case when o_orderkey % 9 = 0 then 'repealed' else 'amended' end as kind,
-    (o_orderkey % 80) || '/2015' as by_law, case when o_orderkey % 13 > 0 then o_orderdate::date end as day from orders where o_orderkey % 17 = 0)
+    (o_orderkey % 80) || '/2015' as by_law, case when o_orderkey % 13 > 0 then o_orderdate::date end as day from orders)
 , known as (select *, coalesce(day, date '0001-01-01') as since from changes where day is null or day <= date '1996-06-30')
 , state as (select law, count(*) filter (kind = 'repealed') > 0 as is_repealed, arg_min(by_law, (since, uid)) filter (kind = 'repealed') as repealed_by,
     min((since, uid, day)) filter (kind = 'repealed') as r, arg_max(by_law, (since, uid)) filter (kind = 'amended') as a_by, max((since, uid)) filter (kind = 'amended') as a from known group by law)"""
 
 
 def _changes(spark, sf):
-    return t(spark, sf, "orders").where("o_orderkey % 17 = 0").selectExpr(
+    return t(spark, sf, "orders").selectExpr(
         "concat('u', o_orderkey) as uid", "concat(o_custkey % 50, '/2010') as law", "if(o_orderkey % 9 = 0, 'repealed', 'amended') as kind",
         "concat(o_orderkey % 80, '/2015') as by_law", "case when o_orderkey % 13 > 0 then to_date(o_orderdate) end as day",
     )
@@ -259,11 +260,11 @@ def asof_status(spark, sf):
     return temporal.status(_changes(spark, sf), F.lit(AS_OF).cast("date")).select("law", "is_repealed", "repealed_by", "amended_by")
 
 
-@query(f"""with {CHANGES}, c as (select l_orderkey * 10 + l_linenumber as id, (l_partkey % 60) || '/2010' as law, l_linenumber % 4 = 0 as tells, round(l_discount, 2) as score from lineitem where l_orderkey % 20 = 0)
+@query(f"""with {CHANGES}, c as (select l_orderkey * 10 + l_linenumber as id, (l_partkey % 60) || '/2010' as law, l_linenumber % 4 = 0 as tells, round(l_discount, 2) as score from lineitem)
 select id, c.law, not coalesce(is_repealed, false) or tells as kept, round(score + case when is_repealed then -0.1 when a_by is not null then 0.1 else 0 end, 6) as weighted from c left join state using (law)""")
 def temporal_filter_weight(spark, sf):
     state = temporal.status(_changes(spark, sf), F.lit(AS_OF).cast("date"))
-    c = t(spark, sf, "lineitem").where("l_orderkey % 20 = 0").selectExpr("l_orderkey * 10 + l_linenumber as id", "concat(l_partkey % 60, '/2010') as law", "if(l_linenumber % 4 = 0, 'Mengubah', 'states') as predicate", "'Act' as subject_type", "cast(null as string) as object_type", "round(l_discount, 2) as score")
+    c = t(spark, sf, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber as id", "concat(l_partkey % 60, '/2010') as law", "if(l_linenumber % 4 = 0, 'Mengubah', 'states') as predicate", "'Act' as subject_type", "cast(null as string) as object_type", "round(l_discount, 2) as score")
     return temporal.weigh(c, state).select("id", "law", "kept", "weighted")
 
 
@@ -398,11 +399,11 @@ def kappa(spark, sf):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query("""with d as (select l_quantity - 2 * l_linenumber as d from lineitem where l_orderkey % 10 = 0), z as (select d, avg(rk) over (partition by abs(d)) as r from (select d, row_number() over (order by abs(d)) as rk from d where d <> 0)),
+@query("""with d as (select l_quantity - 2 * l_linenumber as d from lineitem), z as (select d, avg(rk) over (partition by abs(d)) as r from (select d, row_number() over (order by abs(d)) as rk from d where d <> 0)),
 s as (select sum(r) filter (d > 0) as v, count(*) as n from z), ties as (select sum(c * c * c - c) as t from (select count(*)::double as c from d where d <> 0 group by abs(d)))
 select round(v, 6) as v, n, round((v - n * (n + 1) / 4.0::double) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::double - t / 48.0::double), 6) as z from s, ties""")
 def wilcoxon_v(spark, sf):
-    return evaluation.wilcoxon(t(spark, sf, "lineitem").where("l_orderkey % 10 = 0").withColumn("twice", F.col("l_linenumber") * 2), "l_quantity", "twice")
+    return evaluation.wilcoxon(t(spark, sf, "lineitem").withColumn("twice", F.col("l_linenumber") * 2), "l_quantity", "twice")
 
 
 @query("select doc_id, 'quality' as label, quality as score from labels union all select doc_id, 'toxic', toxic from labels")
@@ -562,9 +563,9 @@ def qa_join_left(spark, sf):
     return q.join(c.where("role = 'assistant'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("answer")), "conv_id", "left")
 
 
-@query("select o_orderkey, o_custkey, c_mktsegment as segment from orders left join (select * from customer where c_custkey % 2 = 0) on o_custkey = c_custkey")
+@query("select o_orderkey, o_custkey, c_mktsegment as segment from orders left join (select * from customer where c_acctbal > 0) on o_custkey = c_custkey")
 def lookup_join(spark, sf):
-    c = t(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment")).dropDuplicates(["o_custkey"])
+    c = t(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment")).dropDuplicates(["o_custkey"])
     return t(spark, sf, "orders").select("o_orderkey", "o_custkey").join(c, "o_custkey", "left")
 
 
@@ -610,19 +611,19 @@ def largest_n(spark, sf):
     return t(spark, sf, "documents").withColumn("k", k).where("k <= 5").select("source", "n_chars", "doc_id")
 
 
-@query("select text_key, doc_id from (select lower(trim(regexp_replace(substr(text, 1, 40), '\\s+', ' ', 'g'))) as text_key, doc_id, row_number() over (partition by text_key order by doc_id) as n from documents) where n = 1".replace("\\\\", "\\"))
+@query("select text_key, doc_id from (select lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as text_key, doc_id, row_number() over (partition by text_key order by doc_id) as n from documents) where n = 1".replace("\\\\", "\\"))
 def dedupe_keep_first(spark, sf):
-    d = t(spark, sf, "documents").select(text.slug(F.substring("text", 1, 40)).alias("text_key"), "doc_id")
+    d = t(spark, sf, "documents").select(text.slug(F.col("text")).alias("text_key"), "doc_id")
     return d.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"))
 
 
 # ---- logs and events ---------------------------------------------------------------------------------------------
 
-LOGS = """logs as (select user_id, string_agg('[' || event_type || '] value=' || event_id || case when event_id % 9 = 0 then chr(10) || '[Iter ' || (event_id % 4 + 1) || '/4]' else '' end, chr(10) order by event_id) as value from events where user_id % 5 = 0 group by user_id)"""
+LOGS = """logs as (select user_id, string_agg('[' || event_type || '] value=' || event_id || case when event_id % 9 = 0 then chr(10) || '[Iter ' || (event_id % 4 + 1) || '/4]' else '' end, chr(10) order by event_id) as value from events group by user_id)"""
 
 
 def _logs(spark, sf):
-    e = t(spark, sf, "events").where("user_id % 5 = 0")
+    e = t(spark, sf, "events")
     line = F.expr("concat('[', event_type, '] value=', event_id, if(event_id % 9 = 0, concat('\\n[Iter ', event_id % 4 + 1, '/4]'), ''))")
     return e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("x")))), lambda s: s["x"]), "\n").alias("value"))
 
