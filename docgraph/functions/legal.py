@@ -39,6 +39,17 @@ def entity_key(text, kind, law) -> Column:
     return F.concat_ws("::", kind, rest)
 
 
+def node_text(name, kind) -> Column:
+    """What is embedded for a node."""
+    return F.concat(stripped(F.coalesce(name, F.lit(""))), F.lit(" | "), kind)
+
+
+def triple_text(subject, pred, obj, law, article) -> Column:
+    """What is embedded for a triple; a missing law or article is empty."""
+    none = F.lit("")
+    return F.concat(subject, F.lit(" ["), pred, F.lit("] "), obj, F.lit(" | "), F.coalesce(law, none), F.lit(" | "), F.coalesce(article, none))
+
+
 def triple_uid(subject, pred, obj, document=None, start=None, end=None) -> Column:
     none = F.lit("")
     parts = [subject, F.translate(F.lower(stripped(F.coalesce(pred, none))), " ", "_"), obj, *(F.coalesce(x.cast("string"), none) if x is not None else none for x in (document, start, end))]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ WORDS_ID = ["yang", "dan", "atau", "tidak", "adalah", "berdasarkan", "sebagaiman
 WORDS_EN = ["the", "and", "or", "not", "is", "based", "as", "provided", "pursuant", "in", "may", "must", "shall", "article", "act", "law", "regulation", "minister", "section", "paragraph", "chapter", "whereas"]
 # What makes an answer look specific, and the router's cues.
 CITATION_CUES = [r"\bpasal\b", r"\buu\b", r"\barticle\b", r"\bsection\b", r"\bperaturan\b", r"\b\d{4}\b"]
+REFERENCE_CUES = [r"\b(pasal|ayat|uu|undang[- ]?undang|peraturan|bab|bagian)\b", r"\b(article|section|chapter|act|law|regulation)\b", r"\bpasal\s+\d+", r"\barticle\s+\d+", r"\[\d+\]"]
+NUMBER_CUE = r"\b\d{1,3}(?:\.\d+)?\b"
 ROUTER_CITATION = r"\b(uu|undang[- ]?undang|pasal|ayat|article|section|pp|perda|permen|no\.)\b"
 ROUTER_DEFINE = r"\b(bunyi|kutip|definisi|ringkas|quote|define|apa itu)\b"
 ROUTER_MULTI_HOP = r"\b(hubungan|perbedaan|pengecualian|mendelegasikan|mengubah|mencabut|berlaku|berlaku untuk|dibandingkan|apakah .* mengatur)\b"
@@ -43,6 +47,14 @@ def file_name_part(s) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(x, r"-{2,}", "-"), F.lit("")), F.lit("unknown"))
 
 
+def error_file_name(kind: str, law: str, page: str, chunk: str) -> Column:
+    """An aggregate: the name under which a failed batch of chunks of one law is kept, without the time of writing."""
+    pages = F.concat(F.min(page).cast("string"), F.when(F.min(page) < F.max(page), F.concat(F.lit("-"), F.max(page).cast("string"))).otherwise(""))
+    short = F.substring(F.sha1(F.array_join(F.array_sort(F.collect_list(chunk)), "|")), 1, 8)
+    parts = [F.concat(F.lit("uu-"), file_name_part(F.min(law))), F.concat(F.lit("p-"), pages), F.lit("batch"), F.count("*").cast("string"), short]
+    return F.concat(F.lit(f"[ERROR {re.sub('[^a-z0-9]+', '_', kind.lower())}] "), F.concat_ws("__", *parts), F.lit(".json"))
+
+
 def tokens_at_index(s) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(s) / 3.5)).cast("long")
 
@@ -68,12 +80,24 @@ def first_words(s, n: int) -> Column:
     return F.array_join(F.slice(F.filter(F.split(s, r"\s+"), lambda w: w != ""), 1, n), " ")
 
 
+def _known_words(t) -> tuple[Column, Column]:
+    words = F.regexp_extract_all(t, F.lit("[a-z]+"), F.lit(0))
+    count = lambda known: F.size(F.filter(words, lambda w: w.isin(known)))
+    return count(WORDS_ID), count(WORDS_EN)
+
+
 def language(s) -> Column:
     """'id' or 'en': strong hints first, then which list has more of the words; a tie is 'en'."""
     t = F.lower(F.coalesce(s, F.lit("")))
-    words = F.regexp_extract_all(t, F.lit("[a-z]+"), F.lit(0))
-    count = lambda known: F.size(F.filter(words, lambda w: w.isin(known)))
-    return F.when(t.rlike(HINT_ID), "id").when(t.rlike(HINT_EN), "en").when(count(WORDS_ID) > count(WORDS_EN), "id").otherwise("en")
+    local, english = _known_words(t)
+    return F.when(t.rlike(HINT_ID), "id").when(t.rlike(HINT_EN), "en").when(local > english, "id").otherwise("en")
+
+
+def language_confidence(s) -> Column:
+    """How sure `language` is: 0.9 by a hint, 0.6 by more words, 0.5 for a tie."""
+    t = F.lower(F.coalesce(s, F.lit("")))
+    local, english = _known_words(t)
+    return F.when(t.rlike(HINT_ID) | t.rlike(HINT_EN), 0.9).when(local != english, 0.6).otherwise(0.5)
 
 
 def looks_corrupted(s) -> Column:
@@ -98,6 +122,32 @@ def route(s) -> Column:
     return F.when(cites & defines & ~hops, "naiverag").when(hops | (names >= 3), "graphrag").when(cites, "naiverag").otherwise("graphrag")
 
 
+def reference_score(s) -> Column:
+    """Mentions of provisions and numbered sources, and a quarter of the short numbers."""
+    t = F.lower(F.coalesce(s, F.lit("")))
+    cues = sum((F.regexp_count(t, F.lit(p)) for p in REFERENCE_CUES[1:]), F.regexp_count(t, F.lit(REFERENCE_CUES[0])))
+    return (cues + F.floor(F.regexp_count(t, F.lit(NUMBER_CUE)) / 4)).cast("long")
+
+
+def decision(s) -> Column:
+    """A router's decision under its full name."""
+    return F.regexp_replace(F.lower(stripped(s)), "^(naive|graph)(rag)?(_fallback)?$", "$1rag$3")
+
+
+def base_decision(d) -> Column:
+    """A decision with its fallback counted in."""
+    return F.when(d.contains("graph"), "graphrag").when(d.contains("naive"), "naiverag").otherwise(d)
+
+
+def human_size(n) -> Column:
+    """Bytes as B, or with two decimals as KB to PB."""
+    out, units = None, ["KB", "MB", "GB", "TB", "PB"]
+    for k, unit in reversed(list(enumerate(units, 1))):
+        here = F.format_string(f"%.2f {unit}", F.bround(n / F.lit(float(1024**k)), 2))
+        out = here if out is None else F.when(n < 1024 ** (k + 1), here).otherwise(out)
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(out)
+
+
 def choice_letter(s) -> Column:
     """The first letter A to D that stands alone, else the first at all; upper-cased; null if none."""
     u = F.upper(F.coalesce(s, F.lit("")))

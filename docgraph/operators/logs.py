@@ -31,3 +31,18 @@ def with_iteration(rows: DataFrame, key: str, header: str = r"\[Iter (\d+)/\d+\]
     """rows of lines with iteration: that of the latest header line, 1 before any."""
     at = F.regexp_extract("content", header, 1).try_cast("long")
     return rows.withColumn("iteration", F.coalesce(F.last(at, ignorenulls=True).over(Window.partitionBy(key).orderBy("line")), F.lit(1)).cast("long"))
+
+
+def sections(logs: DataFrame, key: str, header: str, text: str = "value") -> DataFrame:
+    """The parts of each text between headers, the one before the first header included."""
+    return logs.select(key, F.posexplode(F.split(text, header)).alias("section", "content"))
+
+
+def between(text, start: str, end: str) -> Column:
+    """What follows the first `start` up to the next `end` or the end of the text; null where there is no start."""
+    return F.when(text.rlike(start), F.regexp_extract(text, f"(?s){start}(.*?)(?:{end}|\\z)", 1))
+
+
+def tagged(rows: DataFrame, tag: str) -> DataFrame:
+    """The lines that carry a tag."""
+    return rows.where(F.col("content").contains(tag))

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgraph.functions.legal import AMENDS, CHANGE_PREDICATES, REPEALS, law_number, parse_date
 from docgraph.functions.text import predicate
 
 
+def effective_date(columns: list[str], law) -> Column:
+    """The first readable date of some columns, else the first of January of the law's year."""
+    return F.coalesce(*[parse_date(F.col(c)) for c in columns], F.try_to_date(F.concat(F.regexp_extract(law, r"^(\d{1,4})/(\d{4})", 2), F.lit("-01-01")), "yyyy-MM-dd"))
+
+
 def version_index(triples: DataFrame) -> DataFrame:
     """(law, kind, by_law, day, uid) of each triple (uid, subject, predicate, object, law, quote, article) that amends or repeals a law."""
     p = predicate(F.col("predicate"), "")
-    day = F.coalesce(*[parse_date(F.col(c)) for c in ("quote", "article", "object", "subject")], F.try_to_date(F.concat(F.regexp_extract("law", r"^(\d{1,4})/(\d{4})", 2), F.lit("-01-01")), "yyyy-MM-dd"))
+    day = effective_date(["quote", "article", "object", "subject"], F.col("law"))
     kind = F.when(p.isin(AMENDS), "amended").when(p.isin(REPEALS), "repealed")
     by_law = F.coalesce(law_number(F.col("subject")), F.nullif(F.trim("law"), F.lit("")))
     out = triples.select(law_number(F.col("object")).alias("law"), kind.alias("kind"), F.replace(by_law, F.lit(" ")).alias("by_law"), day.alias("day"), "uid")
@@ -52,3 +57,23 @@ def lineage(state: DataFrame) -> DataFrame:
         .otherwise(F.concat(head, F.lit(" (tidak terdeteksi perubahan atau pencabutan hingga tanggal acuan).")))
     )
     return state.select("law", line.alias("line"))
+
+
+def operative(chunks: DataFrame, state: DataFrame, k: int = 3) -> DataFrame:
+    """(law, chunk_id, kind): of an unchanged law its first k chunks (law, chunk_id, seq, score), of an amended one the k best
+    of the amending law. A repealed law has none."""
+    plain = chunks.join(state.where("is_repealed or amended_by is not null").select("law"), "law", "left_anti")
+    first = plain.withColumn("n", F.row_number().over(Window.partitionBy("law").orderBy("seq", "chunk_id"))).withColumn("kind", F.lit("operative"))
+    by = state.where("amended_by is not null").select(F.col("law").alias("amended"), F.col("amended_by").alias("law"))
+    best = chunks.join(by, "law").drop("law").withColumnRenamed("amended", "law").withColumn("n", F.row_number().over(Window.partitionBy("law").orderBy(F.desc("score"), "chunk_id"))).withColumn("kind", F.lit("amending"))
+    return first.unionByName(best).where(F.col("n") <= k).select("law", "chunk_id", "kind")
+
+
+def change_notes(edges: DataFrame) -> DataFrame:
+    """(source, note): per law its changes (seq, source, relationship, target), kinds and targets in the order first seen."""
+    seen = edges.groupBy("source", "relationship", "target").agg(F.min("seq").alias("seq"))
+    name = lambda c: F.concat(F.lit("UU No. "), F.replace(c, F.lit("_"), F.lit(" Tahun ")))
+    listed = lambda c, mark: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", c.alias("x")))), lambda s: s["x"]), mark)
+    kinds = seen.groupBy("source", "relationship").agg(F.min("seq").alias("at"), listed(name(F.col("target")), ", ").alias("targets")).withColumnRenamed("at", "seq")
+    line = F.concat(F.replace("relationship", F.lit("_"), F.lit(" ")), F.lit(" "), F.col("targets"))
+    return kinds.groupBy("source").agg(listed(line, "; ").alias("notes")).select("source", F.concat(name(F.col("source")), F.lit(" telah "), "notes").alias("note"))

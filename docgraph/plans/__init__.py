@@ -1,6 +1,6 @@
 """Named queries over the corpus tables and the SQL that says the same."""
 
-from docgraph.plans import catalogue, catalogue_more
+from docgraph.plans import catalogue, catalogue_more, catalogue_rest
 
 QUERIES, ORACLES = catalogue.QUERIES, catalogue.ORACLES
-__all__ = ["ORACLES", "QUERIES", "catalogue", "catalogue_more"]
+__all__ = ["ORACLES", "QUERIES", "catalogue", "catalogue_more", "catalogue_rest"]
