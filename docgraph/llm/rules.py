@@ -17,15 +17,23 @@ REPEATED = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)(?:[\x20\x09-\x0D]+\1){4}(?
 
 
 def _line_fails(line) -> F.Column:
-    """Whether a line is not prose: short without a closing mark, a menu, page furniture, symbols, shouting or one word again and again."""
-    n = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
-    short = F.length(line) < 200
-    return (
-        (short & ((~line.rlike(TERMINAL) & (n < 10)) | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE)))
-        | (line.rlike(SYMBOL) & (F.regexp_count(line, F.lit(SYMBOL)) * 10 >= n))
-        | (~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}") & (n >= 4))
-        | line.rlike(REPEATED)
-    )
+    """Whether a line of any length is not prose: few words without a closing mark, a menu, page furniture, symbols, shouting,
+    8 words or more of which at most a third are distinct, or one word five times in a row."""
+
+    def fails(words) -> F.Column:
+        n = F.size(words)
+        return (
+            ((n < 10) & ~line.rlike(TERMINAL))
+            | line.rlike(NAVIGATION)
+            | line.rlike(BOILERPLATE)
+            | (line.rlike(SYMBOL) & (F.regexp_count(line, F.lit(SYMBOL)) * 10 >= n))
+            | ((n >= 4) & ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}"))
+            | ((n >= 8) & (F.size(F.array_distinct(words)) * 3 <= n))
+            | ((n >= 5) & line.rlike(REPEATED))
+        )
+
+    # the array of one array names the words, so that a line is split once
+    return F.exists(F.array(F.array_remove(F.split(line, SPACE), "")), fails)
 
 
 def assess(docs: DataFrame, loses_at_most: float = 0.3) -> DataFrame:

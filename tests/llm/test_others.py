@@ -169,6 +169,33 @@ def test_rules(make, odd, empty):
     assert not kept[3].kept
 
 
+def line_fails(line):
+    w = re.findall("[^\x20\x09-\x0d]+", line)
+    distinct, symbols = len(set(w)), sum(line.count(c) for c in "#*$%&|<>")
+    return bool(
+        (len(w) < 10 and not re.search(r"[.!?:;)\"'][ ]*$", line))
+        or re.search("(?i)^ *(home|menu|next) *$", line)
+        or re.search("(?i)(all rights reserved|privacy policy|click here)", line)
+        or symbols * 10 >= len(w)
+        or (len(w) >= 4 and line.upper() == line != line.lower())
+        or (len(w) >= 8 and distinct * 3 <= len(w))
+        or any(len(set(w[i : i + 5])) == 1 for i in range(len(w) - 4))
+    )
+
+
+def test_line_rules_hold_for_every_length(make):
+    r = random.Random(12)
+    prose = " ".join(f"word{i}" for i in range(60)) + "."
+    lines = [prose, prose[:-1] + " all rights reserved, privacy policy.", "x" * 250, "y" * 250 + ".", "buy now " * 8 + "again.", "buy now now buy " * 30 + "end.", "a a a a a end of the line is here now."]
+    vocabulary = [["red", "blue"], ["red", "blue", "HOME", "green"], [f"v{i}" for i in range(40)], ["z" * 40, "Click", "here", "#", "UP"]]
+    for _ in range(150):
+        v = r.choice(vocabulary)
+        lines.append(" ".join(r.choice(v) for _ in range(r.randint(1, 60))) + r.choice(["", "."]))
+    got = {x.doc_id: x.n_bad_lines for x in rules.assess(make(list(enumerate(lines)))).collect()}
+    assert [got[i] for i in range(7)] == [0, 1, 1, 0, 1, 1, 1]
+    assert got == {i: int(line_fails(line)) for i, line in enumerate(lines)}
+
+
 def test_folding():
     assert toxicity.fold("Ｉd1оt") == " idiot " and toxicity.fold("m0r0n! 2024, a$$h") == " moron 2024 assh "
     assert toxicity.fold("") == "  " and toxicity.fold("7 9") == " 7 9 "
