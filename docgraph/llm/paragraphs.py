@@ -17,20 +17,34 @@ _WORD[[9, 10, 11, 12, 13, 32]] = False
 
 
 class Paragraphs:
-    """The paragraphs (lines) of some texts, with their words; of those with enough words, a 128-bit key of what they say."""
+    """The paragraphs of some texts with enough words, and a 128-bit key of what each says.
 
-    def __init__(self, buf: np.ndarray, off: np.ndarray, least: int):
+    A paragraph is a line; if `wrapped`, also the lines between two blank ones, where they are several, as one.
+    """
+
+    def __init__(self, buf: np.ndarray, off: np.ndarray, least: int, wrapped: bool = False):
         new = np.flatnonzero(buf == 10) + 1
         self.off = np.unique(np.r_[off, new]) if len(buf) else off
         self.words = Words(buf, self.off, _WORD)
-        self.count = np.diff(self.words.first)
-        self.text = np.searchsorted(off, self.off[:-1], side="right") - 1
-        self.nth = np.arange(len(self.text)) - np.searchsorted(self.text, self.text)
-        self.pick = np.flatnonzero(self.count >= least)
+        first = self.words.first
+        text = np.searchsorted(off, self.off[:-1], side="right") - 1
+        nth = np.arange(len(text)) - np.searchsorted(text, text)
+        a = b = np.arange(len(text))
+        if wrapped and len(text):
+            full = np.diff(first) > 0
+            same = np.r_[False, full[:-1] & (text[1:] == text[:-1])]
+            begin, end = np.flatnonzero(full & ~same), np.flatnonzero(full & ~np.r_[same[1:] & full[1:], False])
+            several = end > begin
+            a, b = np.r_[a, begin[several]], np.r_[b, end[several]]
+        enough = first[b + 1] - first[a] >= least
+        a, b = a[enough], b[enough]
+        self.begin, self.count = first[a], first[b + 1] - first[a]
+        #: Each paragraph's text, first and last line.
+        self.text, self.par, self.upto = text[a], nth[a], nth[b]
 
     def keys(self) -> list[bytes]:
         h, n = self.words.hash, len(self.words.hash)
-        a, b = self.words.first[self.pick], self.words.first[self.pick + 1]
+        a, b = self.begin, self.begin + self.count
         parts = []
         for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
             up = np.cumprod(np.r_[np.uint64(1), np.full(n, base, np.uint64)], dtype=np.uint64)
@@ -40,10 +54,16 @@ class Paragraphs:
         return [x.tobytes() for x in np.stack(parts, 1)]
 
     def shingles(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Every picked paragraph's shingle hashes in a row, and where each begins."""
-        many = self.count[self.pick] - n + 1
-        at = np.repeat(self.words.first[self.pick] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-        return self.words.shingles(n)[at], np.r_[0, np.cumsum(many)]
+        """Every paragraph's shingle hashes in a row, and where each begins. Under n words the whole paragraph is one shingle."""
+        many = np.maximum(self.count - n + 1, 1)
+        start = np.r_[0, np.cumsum(many)]
+        at = np.repeat(self.begin - start[:-1], many) + np.arange(many.sum())
+        flat = np.r_[self.words.shingles(n), np.zeros(n, np.uint64)][at]
+        for k in range(1, n):
+            few = np.flatnonzero(self.count == k)
+            if len(few):
+                flat[start[few]] = self.words.shingles(k)[self.begin[few]] * np.uint64(2 * k + 1)
+        return flat, start
 
 
 def bands(shingles: np.ndarray, start: np.ndarray, number: int, rows: int, seed: int = 11) -> np.ndarray:
@@ -64,29 +84,29 @@ def bands(shingles: np.ndarray, start: np.ndarray, number: int, rows: int, seed:
     return out
 
 
-def _slices(batch, text: int, least: int):
+def _slices(batch, text: int, least: int, wrapped: bool):
     buf, off = utf8(batch.column(text))
     for i, j in row_slices(off, 1 << 18):
-        yield i, Paragraphs(buf[off[i] : off[j]], off[i : j + 1] - off[i], least)
+        yield i, Paragraphs(buf[off[i] : off[j]], off[i : j + 1] - off[i], least, wrapped)
 
 
-def _keyed(docs: DataFrame, least: int, shingle: int, number: int, rows: int) -> DataFrame:
-    """(doc_id, par, key, n, bands) of every paragraph with enough words, and per input row one with par -1 and its lines in n."""
-    names = ["doc_id", "par", "key", "n", "bands"]
+def _keyed(docs: DataFrame, least: int, shingle: int, number: int, rows: int, wrapped: bool) -> DataFrame:
+    """(doc_id, par, upto, key, n, bands) of every paragraph with enough words, and per input row one with par -1 and its lines in n."""
+    names = ["doc_id", "par", "upto", "key", "n", "bands"]
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
-            for i, p in _slices(batch, 1, least):
-                x, m = bands(*p.shingles(shingle), number, rows), len(p.pick)
+            for i, p in _slices(batch, 1, least, wrapped):
+                x, m = bands(*p.shingles(shingle), number, rows), len(p.text)
                 keys = pa.ListArray.from_arrays(pa.array((np.arange(m + 1) * number).astype(np.int32)), pa.array(x.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(p.text[p.pick] + i)), pa.array(p.nth[p.pick]), pa.array(p.keys(), pa.binary()), pa.array(np.ones(m, np.int64)), keys], names)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(p.text + i)), pa.array(p.par), pa.array(p.upto), pa.array(p.keys(), pa.binary()), pa.array(np.ones(m, np.int64)), keys], names)
             buf, off = utf8(batch.column(1))
             full = np.diff(off) > 0
             lines = np.add.reduceat(np.r_[buf == 10, False].astype(np.int64), off[:-1]) * full + full if batch.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(batch.num_rows, -1, np.int64)), pa.nulls(batch.num_rows, pa.binary()), pa.array(lines), pa.nulls(batch.num_rows, pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(batch.num_rows, -1, np.int64)), pa.nulls(batch.num_rows, pa.int64()), pa.nulls(batch.num_rows, pa.binary()), pa.array(lines), pa.nulls(batch.num_rows, pa.list_(pa.int64()))], names)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text")).mapInArrow(run, "doc_id long, par long, key binary, n long, bands array<long>")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text")).mapInArrow(run, "doc_id long, par long, upto long, key binary, n long, bands array<long>")
 
 
 def _candidates(paragraphs: DataFrame, pairs_up_to: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -94,7 +114,7 @@ def _candidates(paragraphs: DataFrame, pairs_up_to: int) -> tuple[DataFrame, Dat
 
     Members of larger buckets are paired with hubs alone; `_across` finds the links that this leaves out.
     """
-    texts = paragraphs.groupBy("key").agg(F.min(F.struct("doc_id", "par")).alias("at"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    texts = paragraphs.groupBy("key").agg(F.min(F.struct("doc_id", "par", "upto")).alias("at"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     spread = texts.select("key", "at", "copies", F.explode("bands").alias("band"))
     sizes = spread.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     live = cut(spread.join(sizes, "band"))
@@ -108,20 +128,20 @@ def _candidates(paragraphs: DataFrame, pairs_up_to: int) -> tuple[DataFrame, Dat
     return pairs.unionByName(stars).distinct(), many.select("band", "key"), live.select("key", "at").distinct()
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, least: int, shingle: int) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, least: int, shingle: int, wrapped: bool) -> DataFrame:
     """(key, s): the distinct shingle hashes of the wanted paragraphs. Documents are shuffled only where wanted is too large to broadcast."""
-    where = wanted.groupBy(F.col("at.doc_id").alias("__id")).agg(F.collect_list(F.struct("at.par", "key")).alias("pars"))
+    where = wanted.groupBy(F.col("at.doc_id").alias("__id")).agg(F.collect_list(F.struct("at.par", "at.upto", "key")).alias("pars"))
 
     def run(batches):
         for batch in batches:
             pars = batch.column(1).to_pylist()
-            for i, p in _slices(batch, 0, least):
+            for i, p in _slices(batch, 0, least, wrapped):
                 flat, start = p.shingles(shingle)
-                mine = {(int(p.text[x]), int(p.nth[x])): k for k, x in enumerate(p.pick)}
+                mine = {x: k for k, x in enumerate(zip(p.text.tolist(), p.par.tolist(), p.upto.tolist()))}
                 keys, sets, known = [], [], p.keys()
-                for t in range(i, i + int(p.text[-1]) + 1 if len(p.text) else i):
+                for t in range(i, i + int(p.text.max()) + 1 if len(p.text) else i):
                     for x in pars[t]:
-                        k = mine.get((t - i, x["par"]))
+                        k = mine.get((t - i, x["par"], x["upto"]))
                         if k is not None and known[k] == x["key"]:
                             keys.append(x["key"])
                             sets.append(np.unique(flat[start[k] : start[k + 1]]).view(np.int64))
@@ -181,10 +201,11 @@ def _across(many: DataFrame, roots: DataFrame, sets: DataFrame, jaccard: float)
     return a.join(b, "t").where("a < b and roota <> rootb").where(alike & enough).select("a", "b").distinct()
 
 
-def repeated(docs: DataFrame, least: int = 20, shingle: int = 5, jaccard: float = 0.8, number: int = 10, rows: int = 3, pairs_up_to: int = 64) -> DataFrame:
-    """(doc_id, par, key, n, keep_doc, keep_par, total): every paragraph of `least` words or more and what its class keeps.
+def repeated(docs: DataFrame, least: int = 20, shingle: int = 5, jaccard: float = 0.8, number: int = 10, rows: int = 3, pairs_up_to: int = 64, wrapped: bool = False) -> DataFrame:
+    """(doc_id, par, upto, key, n, keep_doc, keep_par, keep_upto, total): every paragraph of `least` words or more and what its class keeps.
 
-    A paragraph is a line. Equal ones (white space and the case of A-Z apart) are one text. Texts that collide in one of
+    A paragraph is a line, from place par to upto; if `wrapped`, also several lines between two blank ones, as one. With
+    `least` 1 every paragraph with a word is judged: under `shingle` words, as one shingle. Equal ones (white space and the case of A-Z apart) are one text. Texts that collide in one of
     `number` bands of `rows` MinHashes of their `shingle`-word shingles are compared by exact Jaccard similarity; those at
     `jaccard` or more are linked, links make classes by connected components, and a class keeps its first paragraph by
     (doc_id, place). Two texts at 0.8 collide with probability 1 - (1 - 0.8**3)**10 = 0.9992. In buckets of over
@@ -193,37 +214,43 @@ def repeated(docs: DataFrame, least: int = 20, shingle: int = 5, jaccard: float
     total: paragraphs in the class. Rows with par -1 (one per input row, key null) count lines in n. Rows of equal doc_id
     are one document. Null texts have no paragraphs; a null doc_id comes first.
     """
-    if least < shingle:
-        raise ValueError("least must be at least shingle")
-    all_rows = cut(_keyed(docs, least, shingle, number, rows))
+    if least < shingle and least != 1:
+        raise ValueError("least must be at least shingle, or 1 for every paragraph")
+    all_rows = cut(_keyed(docs, least, shingle, number, rows, wrapped))
     pairs, many, at = _candidates(all_rows.where("par >= 0"), pairs_up_to)
-    sets = cut(_sets(docs, at, least, shingle))
+    sets = cut(_sets(docs, at, least, shingle, wrapped))
     roots = cut(components(_linked(pairs, sets, jaccard)))
     more = _linked(_across(many, roots, sets, jaccard), sets, jaccard)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    texts = all_rows.where("par >= 0").groupBy("key").agg(F.min(F.struct("doc_id", "par")).alias("at"), F.count("*").alias("total"))
+    texts = all_rows.where("par >= 0").groupBy("key").agg(F.min(F.struct("doc_id", "par", "upto")).alias("at"), F.count("*").alias("total"))
     texts = texts.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     classes = texts.groupBy("root").agg(F.min("at").alias("keep"), F.sum("total").alias("total")).where("total > 1")
     of = texts.select("key", "root").join(classes, "root").select("key", "keep", "total")
-    of = of.select("key", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.par").alias("keep_par"), "total")
-    judged = all_rows.where("par >= 0").join(of, "key", "left").select("doc_id", "par", "key", "n", "keep_doc", "keep_par", "total")
-    return judged.unionByName(all_rows.where("par < 0").select("doc_id", "par", "key", "n"), allowMissingColumns=True)
+    of = of.select("key", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.par").alias("keep_par"), F.col("keep.upto").alias("keep_upto"), "total")
+    judged = all_rows.where("par >= 0").join(of, "key", "left").select("doc_id", "par", "upto", "key", "n", "keep_doc", "keep_par", "keep_upto", "total")
+    return judged.unionByName(all_rows.where("par < 0").select("doc_id", "par", "upto", "key", "n"), allowMissingColumns=True)
 
 
 def dedup_paragraphs(docs: DataFrame, **settings) -> DataFrame:
     """One row per document: doc_id, n_lines, n_paragraphs (long enough to judge), n_repeated (in a class of several),
-    n_removed (of those, not the class's first), removed (their places, as text), class_id (least doc_id that keeps one of its
-    classes' paragraphs, or its own). See `repeated` for the rules and their edge cases."""
-    gone = F.expr("total is not null and not (doc_id <=> keep_doc and par = keep_par)")
-    r = repeated(docs, **settings).withColumn("gone", gone)
-    return r.groupBy("doc_id").agg(
+    n_removed (lines of those that are not the class's first), removed (their places, as text), class_id (least doc_id that
+    keeps one of its classes' paragraphs, or its own). Of paragraphs of several lines, a line that its own class keeps stays,
+    and so does one that overlaps what its class keeps. See `repeated` for the rules and their edge cases."""
+    gone = F.expr("total is not null and not (doc_id <=> keep_doc and par <= keep_upto and keep_par <= upto)")
+    kept = F.expr("total is not null and par = upto and doc_id <=> keep_doc and par = keep_par and upto = keep_upto")
+    r = repeated(docs, **settings).withColumn("gone", gone).withColumn("kept", kept)
+    r = r.groupBy("doc_id").agg(
         F.sum(F.when(F.col("par") < 0, F.col("n")).otherwise(0)).alias("n_lines"),
         F.count_if(F.col("par") >= 0).alias("n_paragraphs"),
         F.count("total").alias("n_repeated"),
-        F.count_if("gone").alias("n_removed"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("par")))), ",").alias("removed"),
+        F.collect_list(F.expr("if(gone and par = upto, par, null)")).alias("alone"),
+        F.flatten(F.collect_list(F.expr("if(gone and par < upto, sequence(par, upto), null)"))).alias("together"),
+        F.collect_list(F.expr("if(kept, par, null)")).alias("kept"),
         F.coalesce(F.min("keep_doc"), F.first("doc_id")).alias("class_id"),
     )
+    places = F.array_sort(F.concat("alone", F.array_except(F.array_except("together", "kept"), "alone")))
+    r = r.withColumn("places", places)
+    return r.select("doc_id", "n_lines", "n_paragraphs", "n_repeated", F.size("places").cast("long").alias("n_removed"), F.array_join("places", ",").alias("removed"), "class_id")
 
 
 def remove_repeats(docs: DataFrame, **settings) -> DataFrame:

@@ -28,7 +28,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.dedup_paragraphs(_table(spark, sf_dir, "documents"))
+    return paragraphs.dedup_paragraphs(_table(spark, sf_dir, "documents"), least=1, wrapped=True)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

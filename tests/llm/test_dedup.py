@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from docgraph.llm import graph, paragraphs, simhash, substrings
+from docgraph.llm import graph, paragraphs, queries, simhash, substrings
 
 
 def removed_by_brute_force(rows, width):
@@ -201,4 +201,14 @@ def test_paragraphs_odd(odd, empty, make):
         paragraphs.repeated(empty, least=3)
 
 
+def test_short_and_wrapped_paragraphs(spark, make, tmp_path):
+    passage = [f"p{i}" for i in range(60)]
+    wrap = lambda n: "\n".join(" ".join(passage[i : i + n]) for i in range(0, 60, n))
+    texts = ["Read this line again.\nfirst own", wrap(12), "second own line\n\n" + wrap(13) + "\n\nRead this line again.", " ".join(passage), "one\n\none\n" + " ".join(f"o{i}" for i in range(30))]
+    make([(i, t) for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in queries.op3_paragraph_dedup(spark, str(tmp_path)).collect()}
+    assert {i: x.removed for i, x in got.items()} == {0: "", 1: "", 2: "2,3,4,5,6,8", 3: "0", 4: "2"}
+    assert got[2].class_id == 0 and got[3].class_id == 1
+
+
 PARA = " ".join(f"token{i}" for i in range(40))
