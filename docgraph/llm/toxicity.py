@@ -20,7 +20,9 @@ _HOMOGLYPHS = {
 _DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
 _INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 _WIDE = {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
-_FOLD = {**{ord(k): v for k, v in _HOMOGLYPHS.items()}, **_INVISIBLE, **_WIDE}
+# Capitals look like the letter that their small form does, but for these.
+_CAPITALS = {**{k.upper(): v for k, v in _HOMOGLYPHS.items() if ord(k) > 0x2FF and len(k.upper()) == 1}, "Β": "b", "Ζ": "z", "Η": "h", "Μ": "m", "Ν": "n", "Υ": "y"}
+_FOLD = {**{ord(k): v for k, v in (_HOMOGLYPHS | _CAPITALS).items()}, **_INVISIBLE, **_WIDE}
 _MIXED = re.compile(r"(?=[^\W\d_]*\d)(?=\d*[^\W\d_])[^\W_]+")
 _SIGNS = re.compile(r"(?<=\w)[@$]+(?=\w)")
 _OTHER = re.compile(r"[\W_]+")
@@ -28,7 +30,7 @@ _DIGIT_TABLE = str.maketrans(_DIGITS)
 
 
 def fold(text: str) -> str:
-    """Lower case, look-alikes and full-width forms to plain letters, digits within words to letters; words between single spaces."""
+    """Lower case, look-alikes of either case and full-width forms to plain letters, digits within words to letters; words between single spaces."""
     t = text.translate(_FOLD).lower()
     if "@" in t or "$" in t:
         t = _SIGNS.sub(lambda m: m[0].replace("@", "a").replace("$", "s"), t)

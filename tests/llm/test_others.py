@@ -201,6 +201,14 @@ def test_folding():
     assert toxicity.fold("") == "  " and toxicity.fold("7 9") == " 7 9 "
 
 
+def test_folding_of_capitals():
+    capitals, small = "АВЕКМНОРСТУХІЈЅԀѴΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "abekmhopctyxijsdvabezhikmnoptyx"
+    for a, b in zip(capitals, small, strict=True):
+        assert toxicity.fold(a) == f" {b} "
+    assert toxicity.fold("МОRОN Мoron ΜΟRΟΝ ＭＯＲＯＮ") == " moron moron moron moron "
+    assert toxicity.Lexicon({"moron": 3.0}).matcher()("You МОRОΝ") == (3.0, 2)
+
+
 def test_lexicon():
     hits = toxicity.Lexicon({"moron": 3.0, "lowe*": 2.0}, ("no moron",)).matcher()
     assert hits("You M0R0N, moron moronic") == (6.0, 4)
