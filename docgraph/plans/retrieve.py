@@ -8,21 +8,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgraph.functions.session import cut
-from docgraph.operators import graph, retrieval
+from docgraph.operators import retrieval
 
 
-def graph_context(entities: DataFrame, triples: DataFrame, questions: DataFrame, k_entities: int = 15, hops: int = 2, k_triples: int = 60) -> DataFrame:
+def graph_context(entities: DataFrame, triples: DataFrame, questions: DataFrame, k_entities: int = 15, hops: int = 2, k_triples: int = 60, k_near: int = 20) -> DataFrame:
     """(qid, uid, score, rank): the triples to answer each question from.
 
-    entities (vec_id, key, embedding), triples (uid, s, p, o, embedding), questions (qid, q). Triples near the question and
-    those within `hops` of its nearest entities are merged, the better score of each kept, and ranked.
+    entities (vec_id, key, embedding), triples (uid, s, p, o, embedding), questions (qid, q). A question's candidates are the
+    triples within `hops` of its own `k_entities` nearest entities and its `k_near` nearest triples, each once; these are
+    ranked by cosine and the best `k_triples` kept. A triple near in the graph competes with `k_near` others from outside only.
     """
+    triples = triples.dropDuplicates(["uid"])
     near = retrieval.top_k_per_query(retrieval.with_scores(entities, questions).drop("embedding"), k_entities)
-    starts = near.select(F.col("key").alias("node"))
-    reached = graph.expand(triples.select("uid", "s", "p", "o"), starts, hops).select("uid").join(triples, "uid")
-    scored = retrieval.with_scores(reached.unionByName(triples.select(reached.columns)).dropDuplicates(["uid"]), questions, id_col="uid").select("qid", "uid", F.col("cos").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "uid")).cast("long")
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k_triples)
+    scored = cut(retrieval.with_scores(triples, questions, id_col="uid").select("qid", "uid", "cos"))
+    found = retrieval.top_k_per_query(scored, k_near, "uid").select("qid", "uid")
+    edges = triples.select(F.col("s").alias("node"), "uid", "o")
+    seen = frontier = cut(near.select("qid", F.col("key").alias("node")).distinct())
+    for _ in range(hops):
+        got = cut(frontier.join(edges, "node").select("qid", "uid", "o"))
+        found = found.unionByName(got.select("qid", "uid"))
+        frontier = cut(got.select("qid", F.col("o").alias("node")).distinct().join(seen, ["qid", "node"], "left_anti"))
+        seen = seen.unionByName(frontier)
+    ranked = retrieval.top_k_per_query(scored.join(found.distinct(), ["qid", "uid"]), k_triples, "uid")
+    return ranked.select("qid", "uid", F.col("cos").alias("score"), "rank")
 
 
 def judge_loop(questions: DataFrame, answer: Callable[[DataFrame], DataFrame], accept: Callable[[DataFrame], DataFrame], rewrite: Callable[[DataFrame], DataFrame], rounds: int = 3) -> DataFrame:

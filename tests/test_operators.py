@@ -220,3 +220,17 @@ def test_stream(spark, tmp_path):
     for _ in range(2):  # a second run finds nothing new
         events.append_new(spark, str(tmp_path / "in"), rows.schema, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_graph_context_follows_each_questions_own_graph(spark):
+    far = [0.0, 0.0, 1.0]
+    entities = spark.createDataFrame([(1, "A", [1.0, 0.0, 0.0]), (2, "B", [0.0, 1.0, 0.0])], "vec_id long, key string, embedding array<double>")
+    edges = [("a1", "A", "x", far), ("a2", "x", "y", far), ("a3", "y", "z", far), ("b1", "B", "v", far)]
+    others = [(f"n{i}", f"m{i}", "w", [1.0, 0.9, 0.01 * i]) for i in range(5)]
+    triples = spark.createDataFrame([(u, s, "p", o, e) for u, s, o, e in edges + others], "uid string, s string, p string, o string, embedding array<double>")
+    questions = spark.createDataFrame([(1, [1.0, 0.1, 0.1]), (2, [0.1, 1.0, 0.1])], "qid long, q array<double>")
+    for hops, mine in ((1, {"a1"}), (2, {"a1", "a2"})):
+        got = retrieve.graph_context(entities, triples, questions, k_entities=1, hops=hops, k_triples=4, k_near=2).collect()
+        by = {q: {r.uid for r in got if r.qid == q} for q in (1, 2)}
+        assert by[1] == mine | {"n3", "n4"} and by[2] & {"a1", "a2", "a3", "b1"} == {"b1"} and len(by[2]) == 3
+        assert sorted(r["rank"] for r in got if r.qid == 1) == list(range(1, len(mine) + 3))
