@@ -234,3 +234,10 @@ def test_graph_context_follows_each_questions_own_graph(spark):
         by = {q: {r.uid for r in got if r.qid == q} for q in (1, 2)}
         assert by[1] == mine | {"n3", "n4"} and by[2] & {"a1", "a2", "a3", "b1"} == {"b1"} and len(by[2]) == 3
         assert sorted(r["rank"] for r in got if r.qid == 1) == list(range(1, len(mine) + 3))
+
+
+def test_chain_is_followed_to_its_end(spark):
+    deep = [(f"L{i:02}", "dicabut_dengan" if i == 13 else "diubah_dengan", f"L{i + 1:02}") for i in range(16)]
+    e = spark.createDataFrame(deep, "source string, relationship string, target string")
+    got = graph.chain_with_reset(e, spark.createDataFrame([("L00",)], "node string")).collect()
+    assert [(r.relevant, r.n_edges) for r in got] == [("L14,L15,L16", 16)]
