@@ -173,7 +173,7 @@ def repeated_query_guard(spark, sf):
 @query(r"select 'q_id' || event_id || '_.txt' as path, event_id as qid, lpad(event_id::varchar, 3, '0') as name from events")
 def question_ids(spark, sf):
     p = F.concat(F.lit("q_id"), F.col("event_id").cast("string"), F.lit("_.txt"))
-    return t(spark, sf, "events").select(p.alias("path"), logs.question_id(p).alias("qid"), F.expr("lpad(event_id, greatest(3, length(event_id)), '0')").alias("name")).withColumn("name", F.expr("substring(name, 1, 3)"))
+    return t(spark, sf, "events").select(p.alias("path"), logs.question_id(p).alias("qid"), F.expr("lpad(event_id, greatest(3, length(event_id)), '0')").alias("name"))
 
 
 @query("select count(*) as edges from (select distinct o_custkey, l_partkey from orders join lineitem on o_orderkey = l_orderkey)")

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from docgraph import providers
+from docgraph import plans, providers
 from docgraph.functions import legal, text, vectors
 from docgraph.operators import chunking, evaluation, extraction, graph, logs, retrieval, temporal
 from docgraph.plans import retrieve
@@ -241,3 +241,9 @@ def test_chain_is_followed_to_its_end(spark):
     e = spark.createDataFrame(deep, "source string, relationship string, target string")
     got = graph.chain_with_reset(e, spark.createDataFrame([("L00",)], "node string")).collect()
     assert [(r.relevant, r.n_edges) for r in got] == [("L14,L15,L16", 16)]
+
+
+def test_question_names_keep_every_digit(spark, tmp_path):
+    spark.createDataFrame([(7,), (123,), (1234,), (12345,)], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.qid: r.name for r in plans.QUERIES["question_ids"](spark, str(tmp_path)).collect()}
+    assert list(map(str, got)) != [] and set(got.values()) == {"007", "123", "1234", "12345"}
