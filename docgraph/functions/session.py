@@ -1,15 +1,28 @@
-"""Cutting lineage in iterative jobs."""
+"""The session's shared folder, and cutting lineage in iterative jobs."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names in spark.checkpoint.dir.
+
+    Where none is set, a session in one local process (as in tests) gets a temporary one; any other raises, since a folder
+    of one machine would be lost with it.
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        there = spark.conf.get("spark.checkpoint.dir", None)
+        if there is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(there or tempfile.mkdtemp(prefix="docgraph-checkpoint-"))
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the checkpoint folder the cluster names in spark.checkpoint.dir (a temporary one where none is set) and cuts its lineage."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docgraph-checkpoint-"))
+    """Writes df to the shared checkpoint folder and cuts its lineage."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
