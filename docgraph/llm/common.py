@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -10,24 +11,59 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docgraph.functions.session import ensure_checkpoint_dir
+
 #: ASCII white space as the operators' word rules name it: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
-    sc = spark.sparkContext
-    there = sc.getCheckpointDir()
-    if there is None:
-        there = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docgraph-checkpoint-")
-        sc.setCheckpointDir(there)
-    return there
+@contextmanager
+def _shuffles_freed(spark: SparkSession):
+    """What is materialised inside leaves no shuffle files behind once it is written."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialises df in the checkpoint folder and cuts its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _shuffles_freed(df.sparkSession):
+        return df.checkpoint(eager=True)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark can write."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+class Tables:
+    """The intermediate tables of one job, as Parquet in the shared checkpoint folder: a lost executor costs none of them.
+
+    A table that no later step reads is dropped. Those behind the job's result stay, since Spark reads them when it asks for
+    the result.
+    """
+
+    def __init__(self, spark: SparkSession, job: str):
+        self.spark, self.base, self.n = spark, f"{ensure_checkpoint_dir(spark)}/{job}-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.base}/{self.n}"
+        with _shuffles_freed(self.spark):
+            df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out.kept_at = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            remove_folder(self.spark, t.kept_at)
 
 
 def words_of(text) -> F.Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import cut
+from docgraph.llm.common import Tables
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -18,15 +18,18 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root) for every node of the undirected edge table (a, b): root is the least node that can be reached.
 
     Self-loops, repeats and both directions are allowed; nodes without an edge do not appear; an empty table gives none.
-    Every round's edges go to the shared checkpoint folder. Raises if `rounds` rounds do not suffice.
+    Every round's edges are written to the shared checkpoint folder and the round's before are dropped. Raises if `rounds`
+    rounds do not suffice.
     """
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    tables = Tables(edges.sparkSession, "components")
+    e = tables.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _least(large)
-        e = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        old, e = e, tables.keep(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        tables.drop(old)
         now = tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -7,17 +7,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import cut, row_slices, utf8
+from docgraph.llm import passages
+from docgraph.llm.common import Tables, row_slices, utf8
 from docgraph.llm.decontaminate import Words
 from docgraph.llm.graph import components
-from docgraph.llm.mixing import small
 
-_WORD = np.ones(256, bool)
-_WORD[[9, 10, 11, 12, 13, 32]] = False
+#: Stands for a null doc_id, which comes first.
+_NO_ID = -(1 << 63)
 
 
 class Paragraphs:
-    """The paragraphs of some texts with enough words, and a 128-bit key of what each says.
+    """The paragraphs of some texts with enough words, and a 64-bit key of what each says.
 
     A paragraph is a line; if `wrapped`, also the lines between two blank ones, where they are several, as one.
     """
@@ -25,7 +25,7 @@ class Paragraphs:
     def __init__(self, buf: np.ndarray, off: np.ndarray, least: int, wrapped: bool = False):
         new = np.flatnonzero(buf == 10) + 1
         self.off = np.unique(np.r_[off, new]) if len(buf) else off
-        self.words = Words(buf, self.off, _WORD)
+        self.words = Words(buf, self.off, passages.KIND)
         first = self.words.first
         text = np.searchsorted(off, self.off[:-1], side="right") - 1
         nth = np.arange(len(text)) - np.searchsorted(text, text)
@@ -42,16 +42,8 @@ class Paragraphs:
         #: Each paragraph's text, first and last line.
         self.text, self.par, self.upto = text[a], nth[a], nth[b]
 
-    def keys(self) -> list[bytes]:
-        h, n = self.words.hash, len(self.words.hash)
-        a, b = self.begin, self.begin + self.count
-        parts = []
-        for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-            up = np.cumprod(np.r_[np.uint64(1), np.full(n, base, np.uint64)], dtype=np.uint64)
-            down = np.cumprod(np.r_[np.uint64(1), np.full(n, pow(base, -1, 1 << 64), np.uint64)], dtype=np.uint64)
-            sums = np.r_[np.zeros(1, np.uint64), np.cumsum((h ^ (h >> np.uint64(30))) * up[:-1], dtype=np.uint64)]
-            parts.append((sums[b] - sums[a]) * down[a])
-        return [x.tobytes() for x in np.stack(parts, 1)]
+    def keys(self) -> np.ndarray:
+        return passages.span_keys(self.words, self.begin, self.begin + self.count)
 
     def shingles(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Every paragraph's shingle hashes in a row, and where each begins. Under n words the whole paragraph is one shingle."""
@@ -91,65 +83,53 @@ def _slices(batch, text: int, least: int, wrapped: bool):
 
 
 def _keyed(docs: DataFrame, least: int, shingle: int, number: int, rows: int, wrapped: bool) -> DataFrame:
-    """(doc_id, par, upto, key, n, bands) of every paragraph with enough words, and per input row one with par -1 and its lines in n."""
-    names = ["doc_id", "par", "upto", "key", "n", "bands"]
+    """(doc_id, par, upto, size, key, bands) of every paragraph with enough words, and per input row one with par -1 and its lines in size."""
+    names = ["doc_id", "par", "upto", "size", "key", "bands"]
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
             for i, p in _slices(batch, 1, least, wrapped):
                 x, m = bands(*p.shingles(shingle), number, rows), len(p.text)
-                keys = pa.ListArray.from_arrays(pa.array((np.arange(m + 1) * number).astype(np.int32)), pa.array(x.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(p.text + i)), pa.array(p.par), pa.array(p.upto), pa.array(p.keys(), pa.binary()), pa.array(np.ones(m, np.int64)), keys], names)
+                lists = pa.ListArray.from_arrays(pa.array((np.arange(m + 1) * number).astype(np.int32)), pa.array(x.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(p.text + i)), pa.array(p.par), pa.array(p.upto), pa.array(p.count), pa.array(p.keys().view(np.int64)), lists], names)
             buf, off = utf8(batch.column(1))
             full = np.diff(off) > 0
             lines = np.add.reduceat(np.r_[buf == 10, False].astype(np.int64), off[:-1]) * full + full if batch.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(batch.num_rows, -1, np.int64)), pa.nulls(batch.num_rows, pa.int64()), pa.nulls(batch.num_rows, pa.binary()), pa.array(lines), pa.nulls(batch.num_rows, pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(batch.num_rows, -1, np.int64)), pa.nulls(batch.num_rows, pa.int64()), pa.array(lines), pa.nulls(batch.num_rows, pa.int64()), pa.nulls(batch.num_rows, pa.list_(pa.int64()))], names)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text")).mapInArrow(run, "doc_id long, par long, upto long, key binary, n long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, par long, upto long, size long, key long, bands array<long>")
 
 
-def _candidates(paragraphs: DataFrame, pairs_up_to: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs (a, b) of keys that collide in a band, the members (band, key) of larger buckets, and where each key's text stands.
-
-    Members of larger buckets are paired with hubs alone; `_across` finds the links that this leaves out.
-    """
-    texts = paragraphs.groupBy("key").agg(F.min(F.struct("doc_id", "par", "upto")).alias("at"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    spread = texts.select("key", "at", "copies", F.explode("bands").alias("band"))
-    sizes = spread.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    live = cut(spread.join(sizes, "band"))
-    few = live.where(F.col("n") <= pairs_up_to).select("band", "key")
-    pairs = few.withColumnRenamed("key", "a").join(few.withColumnRenamed("key", "b"), "band").where("a < b").select("a", "b")
-    # hubs: the text with most copies and those of least hash, others in each band
-    many = live.where(F.col("n") > pairs_up_to)
-    hubs = many.groupBy("band").agg(F.max_by("key", F.struct("copies", "key")).alias("top"), *[F.min_by("key", F.xxhash64("band", "key", F.lit(i))).alias(f"h{i}") for i in range(6)])
-    hubs = hubs.select("band", F.explode(F.array_distinct(F.array("top", *[f"h{i}" for i in range(6)]))).alias("hub"))
-    stars = many.join(hubs, "band").where("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
-    return pairs.unionByName(stars).distinct(), many.select("band", "key"), live.select("key", "at").distinct()
+def _stars(texts: DataFrame) -> DataFrame:
+    """(band, n, hub, key) of every text in a bucket of several: the bucket's texts and its least key, the hub."""
+    spread = texts.select("key", F.explode("bands").alias("band"))
+    buckets = spread.groupBy("band").agg(F.min("key").alias("hub"), F.max("key").alias("most"), F.count("*").alias("n")).where("hub < most").drop("most")
+    return spread.join(buckets, "band")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, least: int, shingle: int, wrapped: bool) -> DataFrame:
-    """(key, s): the distinct shingle hashes of the wanted paragraphs. Documents are shuffled only where wanted is too large to broadcast."""
+    """(key, s): the distinct shingle hashes of the wanted (key, at) paragraphs, one place of each being read."""
     where = wanted.groupBy(F.col("at.doc_id").alias("__id")).agg(F.collect_list(F.struct("at.par", "at.upto", "key")).alias("pars"))
 
     def run(batches):
         for batch in batches:
-            pars = batch.column(1).to_pylist()
-            for i, p in _slices(batch, 0, least, wrapped):
+            pars = batch.column(0)
+            for i, p in _slices(batch, 1, least, wrapped):
                 flat, start = p.shingles(shingle)
-                mine = {x: k for k, x in enumerate(zip(p.text.tolist(), p.par.tolist(), p.upto.tolist()))}
-                keys, sets, known = [], [], p.keys()
+                known = p.keys().view(np.int64)
+                mine = {x: k for k, x in enumerate(zip(p.text.tolist(), p.par.tolist(), p.upto.tolist(), known.tolist()))}
+                keys, sets = [], []
                 for t in range(i, i + int(p.text.max()) + 1 if len(p.text) else i):
-                    for x in pars[t]:
-                        k = mine.get((t - i, x["par"], x["upto"]))
-                        if k is not None and known[k] == x["key"]:
+                    for x in pars[t].as_py():
+                        k = mine.get((t - i, x["par"], x["upto"], x["key"]))
+                        if k is not None:
                             keys.append(x["key"])
                             sets.append(np.unique(flat[start[k] : start[k + 1]]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["key", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["key", "s"])
 
-    texts = docs.select(docs["doc_id"].cast("long").alias("id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    found = texts.join(small(where, 100_000), F.col("id").eqNullSafe(F.col("__id"))).select("text", "pars")
-    return found.mapInArrow(run, "key binary, s array<long>").groupBy("key").agg(F.first("s").alias("s"))
+    found = docs.join(where, F.col("doc_id") == F.col("__id")).select("pars", "text")
+    return found.mapInArrow(run, "key long, s array<long>").dropDuplicates(["key"])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
@@ -182,79 +162,140 @@ def _heads(sets: DataFrame, jaccard: float, slots: int = 1 << 18) -> DataFrame:
             row = pa.array(of[head])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(size[of[head]]), pa.array((size[of] - at)[head]), pa.array(flat[order][head])], ["key", "root", "size", "left", "t"])
 
-    return sets.mapInArrow(run, "key binary, root binary, size long, left long, t long")
+    return sets.mapInArrow(run, "key long, root long, size long, left long, t long")
 
 
-def _across(many: DataFrame, roots: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
-    """Pairs (a, b) of larger buckets' members in different components that can have the similarity: none that has is left out.
+def _across(live: DataFrame, roots: DataFrame, sets: DataFrame, jaccard: float, tables: Tables) -> DataFrame:
+    """Pairs (a, b) of buckets' members that the hubs left in different components and that can have the similarity.
 
-    From the first shingle that two sets share on, enough must remain in both. Members of buckets that are one component
-    already are not looked at.
+    None that has it is left out: from the first shingle that two sets share on, enough must remain in both. Buckets of two
+    were compared whole; members of buckets that are one component already, and shingles that one component has alone, are
+    not looked at.
     """
-    rows = many.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rows = live.where("n > 2").select("band", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     parted = rows.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    rest = rows.join(parted, "band", "left_semi").select("key", "root").distinct()
-    heads = cut(_heads(cut(rest.join(sets, "key").select("key", "root", "s")), jaccard))
+    rest = tables.keep(rows.join(parted, "band", "left_semi").select("key", "root").distinct().join(sets, "key").select("key", "root", "s"))
+    heads = tables.keep(_heads(rest, jaccard))
+    met = heads.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t")
     a, b = (heads.select("t", F.col("key").alias(x), *[F.col(y).alias(y + x) for y in ("root", "size", "left")]) for x in "ab")
     enough = F.least("lefta", "leftb") >= F.lit(jaccard / (1 + jaccard)) * (F.col("sizea") + F.col("sizeb")) - F.lit(1e-9)
     alike = F.least("sizea", "sizeb") >= F.lit(jaccard) * F.greatest("sizea", "sizeb") - F.lit(1e-9)
-    return a.join(b, "t").where("a < b and roota <> rootb").where(alike & enough).select("a", "b").distinct()
+    pairs = tables.keep(a.join(met, "t", "left_semi").join(b, "t").where("a < b and roota <> rootb").where(alike & enough).select("a", "b").distinct())
+    tables.drop(rest, heads)
+    return pairs
 
 
-def repeated(docs: DataFrame, least: int = 20, shingle: int = 5, jaccard: float = 0.8, number: int = 10, rows: int = 3, pairs_up_to: int = 64, wrapped: bool = False) -> DataFrame:
-    """(doc_id, par, upto, key, n, keep_doc, keep_par, keep_upto, total): every paragraph of `least` words or more and what its class keeps.
+def repeated(docs: DataFrame, least: int = 20, shingle: int = 5, jaccard: float = 0.8, number: int = 6, rows: int = 2, wrapped: bool = False) -> DataFrame:
+    """(doc_id, par, upto, size, keep_doc, keep_par, keep_upto, total): every paragraph of `least` words or more and what its class keeps.
 
     A paragraph is a line, from place par to upto; if `wrapped`, also several lines between two blank ones, as one. With
-    `least` 1 every paragraph with a word is judged: under `shingle` words, as one shingle. Equal ones (white space and the case of A-Z apart) are one text. Texts that collide in one of
-    `number` bands of `rows` MinHashes of their `shingle`-word shingles are compared by exact Jaccard similarity; those at
-    `jaccard` or more are linked, links make classes by connected components, and a class keeps its first paragraph by
-    (doc_id, place). Two texts at 0.8 collide with probability 1 - (1 - 0.8**3)**10 = 0.9992. In buckets of over
-    `pairs_up_to` texts every text is compared with seven hubs, others in every band, and then, by a prefix filter that loses
-    none, with those that the hubs did not bring into its component: no link within a bucket is lost.
-    total: paragraphs in the class. Rows with par -1 (one per input row, key null) count lines in n. Rows of equal doc_id
-    are one document. Null texts have no paragraphs; a null doc_id comes first.
+    `least` 1 every paragraph with a word is judged: under `shingle` words, as one shingle. size: its words. Equal ones (white
+    space and the case of A-Z apart) are one text; texts and shingles are told apart by 64-bit hashes. Texts that collide in
+    one of `number` bands of `rows` MinHashes of their `shingle`-word shingles are candidates; those at a Jaccard similarity
+    of `jaccard` or more, by their whole sets, are linked, links make classes by connected components, and a class keeps its
+    first paragraph by (doc_id, place). Two texts at 0.8 collide with probability 1 - (1 - 0.8**2)**6 = 0.998. Every text of
+    a bucket is compared with the bucket's hub, and then, by a prefix filter that loses none, with those that the hubs did
+    not bring into its component: no link within a bucket is lost.
+    total: paragraphs in the class, null where it is alone. Rows with par -1 (one per input row, key null) count lines in
+    size. Rows of equal doc_id are one document. Null texts have no paragraphs; a null doc_id comes first (and is the least
+    long in the result); repeated rows repeat their paragraphs; an empty table gives no rows.
     """
     if least < shingle and least != 1:
         raise ValueError("least must be at least shingle, or 1 for every paragraph")
-    all_rows = cut(_keyed(docs, least, shingle, number, rows, wrapped))
-    pairs, many, at = _candidates(all_rows.where("par >= 0"), pairs_up_to)
-    sets = cut(_sets(docs, at, least, shingle, wrapped))
-    roots = cut(components(_linked(pairs, sets, jaccard)))
-    more = _linked(_across(many, roots, sets, jaccard), sets, jaccard)
+    tables = Tables(docs.sparkSession, "paragraphs")
+    docs = _plain(docs)
+    all_rows = tables.keep(_keyed(docs, least, shingle, number, rows, wrapped))
+    units = all_rows.where("par >= 0")
+    at = F.struct("doc_id", "par", "upto")
+    texts = tables.keep(units.groupBy("key").agg(F.min(at).alias("at"), F.count("*").alias("total"), F.first("bands").alias("bands")))
+    live = tables.keep(_stars(texts))
+    sets = tables.keep(_sets(docs, live.select("key").distinct().join(texts.select("key", "at"), "key"), least, shingle, wrapped))
+    pairs = tables.keep(live.where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct())
+    links = tables.keep(_linked(pairs, sets, jaccard))
+    tables.drop(pairs)
+    roots = tables.keep(components(links))
+    more = tables.keep(_linked(_across(live, roots, sets, jaccard, tables), sets, jaccard))
+    tables.drop(live, sets, links)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    texts = all_rows.where("par >= 0").groupBy("key").agg(F.min(F.struct("doc_id", "par", "upto")).alias("at"), F.count("*").alias("total"))
-    texts = texts.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    classes = texts.groupBy("root").agg(F.min("at").alias("keep"), F.sum("total").alias("total")).where("total > 1")
-    of = texts.select("key", "root").join(classes, "root").select("key", "keep", "total")
-    of = of.select("key", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.par").alias("keep_par"), F.col("keep.upto").alias("keep_upto"), "total")
-    judged = all_rows.where("par >= 0").join(of, "key", "left").select("doc_id", "par", "upto", "key", "n", "keep_doc", "keep_par", "keep_upto", "total")
-    return judged.unionByName(all_rows.where("par < 0").select("doc_id", "par", "upto", "key", "n"), allowMissingColumns=True)
+    named = texts.select("key", "at", "total").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    classes = named.groupBy("root").agg(F.min("at").alias("keep"), F.sum("total").alias("total")).where("total > 1")
+    of = tables.keep(named.join(classes.withColumnRenamed("total", "of_class"), "root").select("key", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.par").alias("keep_par"), F.col("keep.upto").alias("keep_upto"), F.col("of_class").alias("total")))
+    tables.drop(texts)
+    judged = units.select("doc_id", "par", "upto", "size", "key").join(of, "key", "left").drop("key")
+    return judged.unionByName(all_rows.where("par < 0").select("doc_id", "par", "upto", "size"), allowMissingColumns=True)
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
 
 
-def dedup_paragraphs(docs: DataFrame, **settings) -> DataFrame:
+def dedup_paragraphs(docs: DataFrame, reach: int = 16, passage: int = 20, **settings) -> DataFrame:
     """One row per document: doc_id, n_lines, n_paragraphs (long enough to judge), n_repeated (in a class of several),
-    n_removed (lines of those that are not the class's first), removed (their places, as text), class_id (least doc_id that
-    keeps one of its classes' paragraphs, or its own). Of paragraphs of several lines, a line that its own class keeps stays,
-    and so does one that overlaps what its class keeps. See `repeated` for the rules and their edge cases."""
-    gone = F.expr("total is not null and not (doc_id <=> keep_doc and par <= keep_upto and keep_par <= upto)")
-    kept = F.expr("total is not null and par = upto and doc_id <=> keep_doc and par = keep_par and upto = keep_upto")
-    r = repeated(docs, **settings).withColumn("gone", gone).withColumn("kept", kept)
+    n_removed (lines of those that are not the class's first), removed (their places, as text), n_passages and passages (word
+    ranges, `begin-end` as text, of the stretches that an earlier document has, see `passages`), class_id.
+
+    Of paragraphs of several lines, a line that its own class keeps stays, and so does one that overlaps what its class
+    keeps. class_id is the least doc_id that can be reached from the document by shared passages, or its own: documents are
+    linked to those that keep one of its stretches or one of its paragraphs of `passage` words or more. Short lines that many
+    documents have are removed too, but make no document another's copy. With a `passage` of 20 and a `reach` of 16, every
+    passage of over 50 words that two documents share links them, wherever it stands in its lines. See `repeated` for the
+    rules and their edge cases."""
+    tables = Tables(docs.sparkSession, "paragraph-classes")
+    r = tables.keep(repeated(docs, **settings))
+    plain = _plain(docs)
+    shared = tables.keep(passages.shared_runs(plain, reach))
+    found = tables.keep(passages.repeated_passages(plain, shared, reach, passage))
+    tables.drop(shared)
+    edges = r.where("keep_doc <> doc_id").where(F.col("size") >= passage).select(F.col("doc_id").alias("a"), F.col("keep_doc").alias("b"))
+    roots = components(edges.unionByName(found.select(F.col("doc_id").alias("a"), F.explode("keeps").alias("b"))))
+    gone = F.expr("total is not null and not (doc_id = keep_doc and par <= keep_upto and keep_par <= upto)")
+    kept = F.expr("total is not null and par = upto and doc_id = keep_doc and par = keep_par and upto = keep_upto")
+    stretches = found.select("doc_id", F.lit(-2).cast("long").alias("par"), F.struct("begin", "end").alias("stretch"))
+    r = r.withColumn("gone", gone).withColumn("kept", kept).unionByName(stretches, allowMissingColumns=True)
     r = r.groupBy("doc_id").agg(
-        F.sum(F.when(F.col("par") < 0, F.col("n")).otherwise(0)).alias("n_lines"),
+        F.sum(F.when(F.col("par") == -1, F.col("size")).otherwise(0)).alias("n_lines"),
         F.count_if(F.col("par") >= 0).alias("n_paragraphs"),
         F.count("total").alias("n_repeated"),
         F.collect_list(F.expr("if(gone and par = upto, par, null)")).alias("alone"),
         F.flatten(F.collect_list(F.expr("if(gone and par < upto, sequence(par, upto), null)"))).alias("together"),
         F.collect_list(F.expr("if(kept, par, null)")).alias("kept"),
-        F.coalesce(F.min("keep_doc"), F.first("doc_id")).alias("class_id"),
+        F.array_sort(F.collect_list("stretch")).alias("stretches"),
     )
     places = F.array_sort(F.concat("alone", F.array_except(F.array_except("together", "kept"), "alone")))
-    r = r.withColumn("places", places)
-    return r.select("doc_id", "n_lines", "n_paragraphs", "n_repeated", F.size("places").cast("long").alias("n_removed"), F.array_join("places", ",").alias("removed"), "class_id")
+    r = r.withColumn("places", places).join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return r.select(
+        F.nullif("doc_id", F.lit(_NO_ID)).alias("doc_id"), "n_lines", "n_paragraphs", "n_repeated", F.size("places").cast("long").alias("n_removed"), F.array_join("places", ",").alias("removed"),
+        F.size("stretches").cast("long").alias("n_passages"), F.array_join(F.transform("stretches", lambda x: F.concat_ws("-", x["begin"], x["end"])), ",").alias("passages"),
+        F.nullif(F.coalesce("root", "doc_id"), F.lit(_NO_ID)).alias("class_id"),
+    )
 
 
 def remove_repeats(docs: DataFrame, **settings) -> DataFrame:
-    """(doc_id, text) without the removed paragraphs; needs unique doc_ids."""
-    gone = dedup_paragraphs(docs, **settings).select(F.col("doc_id").alias("__id"), F.transform(F.filter(F.split("removed", ","), lambda x: x != ""), lambda x: x.cast("int")).alias("gone"))
-    joined = docs.select("doc_id", "text").join(gone, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return joined.select("doc_id", F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n").alias("text"))
+    """(doc_id, text) without the removed lines and passages. Rows of equal doc_id lose the same places; null texts stay null."""
+    gone = dedup_paragraphs(docs, **settings).select(F.col("doc_id").alias("__id"), "removed", "passages")
+
+    def run(batches):
+        for batch in batches:
+            buf, off = utf8(batch.column(1))
+            out = []
+            for k, (text, lines, stretches) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                out.append(text if text is None else without(buf[off[k] : off[k + 1]], lines, stretches))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
+
+    joined = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("__id")))
+    return joined.select("doc_id", "text", "removed", "passages").mapInArrow(run, "doc_id long, text string")
+
+
+def without(text: np.ndarray, lines: str, stretches: str) -> str:
+    """A text's UTF-8 bytes without some of its lines (places) and stretches of words (`begin-end`), as a string."""
+    keep = np.ones(len(text), bool)
+    if stretches:
+        words = Words(text, np.array([0, len(text)]), passages.KIND)
+        starts = np.r_[words.start, len(text)]
+        for x in stretches.split(","):
+            a, b = map(int, x.split("-"))
+            keep[starts[a] : starts[b] if b < len(words.start) else words.end[-1]] = False
+    bounds = np.r_[0, np.flatnonzero(text == 10) + 1, len(text)]
+    gone = set(map(int, lines.split(","))) if lines else set()
+    parts = [text[a:b][keep[a:b] & (text[a:b] != 10)].tobytes() for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())) if k not in gone]
+    return b"\n".join(parts).decode("utf-8", "replace")

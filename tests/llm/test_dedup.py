@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from docgraph.llm import graph, paragraphs, queries, simhash, substrings
+from docgraph.llm import decontaminate, graph, paragraphs, passages, queries, simhash, substrings
 
 
 def removed_by_brute_force(rows, width):
@@ -160,7 +160,7 @@ def test_paragraphs_equal_brute_force(make):
     for a, (i, k, _) in enumerate(items):
         if label[a] != a:
             want[i].append(k)
-    for settings in ({}, {"pairs_up_to": 3}):
+    for settings in ({}, {"number": 10, "rows": 3}):
         got = {x.doc_id: x.removed for x in paragraphs.dedup_paragraphs(make(rows), **settings).collect()}
         assert got == {i: ",".join(map(str, want.get(i, []))) for i, _ in rows}
 
@@ -185,7 +185,7 @@ def test_paragraphs_in_crowded_buckets_lose_no_link(make):
             if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 label[a] = min(label[a], label[b])
     want = sum(x != i for i, x in enumerate(label))
-    got = paragraphs.dedup_paragraphs(make(rows), pairs_up_to=3)
+    got = paragraphs.dedup_paragraphs(make(rows))
     assert 20 < want == got.agg({"n_removed": "sum"}).first()[0]
 
 
@@ -208,7 +208,59 @@ def test_short_and_wrapped_paragraphs(spark, make, tmp_path):
     make([(i, t) for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
     got = {x.doc_id: x for x in queries.op3_paragraph_dedup(spark, str(tmp_path)).collect()}
     assert {i: x.removed for i, x in got.items()} == {0: "", 1: "", 2: "2,3,4,5,6,8", 3: "0", 4: "2"}
-    assert got[2].class_id == 0 and got[3].class_id == 1
+    assert [got[i].class_id for i in range(5)] == [0, 1, 1, 1, 4]  # by the passage; a short line makes no copy
+
+
+def test_runs_bring_their_cuts_along():
+    """A passage of over 50 words, wherever it stands, shares a stretch of runs of 20 words or more; one word repeated is one run."""
+    r = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(200):
+        passage = [r.choice(vocabulary) for _ in range(r.randint(51, 70))]
+        for _ in range(2):
+            texts.append(" ".join([r.choice(vocabulary) for _ in range(r.randint(0, 40))] + passage + [r.choice(vocabulary) for _ in range(r.randint(0, 40))]).encode())
+    texts += [b"", b"one", b"de " * 500, b" ".join(b"a%d" % i for i in range(15))]
+    w = decontaminate.Words(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), passages.KIND)
+    begin, end = passages.runs(w, 16)
+    assert (w.text[begin] == w.text[end - 1]).all() and (end - begin).sum() == len(w.hash)
+    keys, text = passages.span_keys(w, begin, end), w.text[begin]
+    size = dict(zip(keys.tolist(), (end - begin).tolist()))
+    for a in range(0, 400, 2):
+        both = set(keys[text == a].tolist()) & set(keys[text == a + 1].tolist())
+        assert sum(size[k] for k in both) >= 20
+    assert (text == 402).sum() <= 3 and (text == 401).sum() == 1 and (text == 400).sum() == 0
+    assert len(passages.runs(decontaminate.Words(np.zeros(0, np.uint8), np.zeros(2, np.int64), passages.KIND), 16)[0]) == 0
+
+
+def test_passages_link_documents_and_short_lines_do_not(make):
+    r = random.Random(2)
+    word = lambda: f"w{r.randrange(5000)}"
+    some = lambda n: [word() for _ in range(n)]
+    planted = [some(r.randint(51, 90)) for _ in range(15)]
+    common = " ".join(some(14))
+    rows, has = [], {}
+    for i in range(120):
+        lines = [" ".join(some(r.randint(5, 60))) for _ in range(r.randint(1, 4))] + [common]
+        if i % 2:
+            k = r.randrange(15)
+            has.setdefault(k, []).append(i)
+            cut = r.choice([0, 17, 40])  # whole in a line of other words, or broken over several
+            before, after = " ".join(some(9)), " ".join(some(11))
+            lines.insert(r.randrange(len(lines)), before + " " + " ".join(planted[k][:cut]) + ("\n" if cut else "") + " ".join(planted[k][cut:]) + " " + after)
+        rows.append((i, "\n".join(lines)))
+    got = {x.doc_id: x for x in paragraphs.dedup_paragraphs(make(rows), least=1, wrapped=True).collect()}
+    for docs in has.values():
+        assert {got[i].class_id for i in docs} == {min(docs)}
+        assert got[min(docs)].n_passages == 0 and all(got[i].n_passages == 1 for i in docs if i != min(docs))
+    for i in range(0, 120, 2):
+        assert got[i].class_id == i and got[i].n_passages == 0 and got[i].n_removed == (i > 0)
+    texts = {x.doc_id: x.text for x in paragraphs.remove_repeats(make(rows), least=1, wrapped=True).collect()}
+    for docs in has.values():
+        for i in docs[1:]:
+            words = dict(rows)[i].split()
+            gone = {j for x in got[i].passages.split(",") for j in range(*map(int, x.split("-")))}
+            assert texts[i].split() == [x for j, x in enumerate(words) if j not in gone and not (i > 0 and x in common.split())]
 
 
 PARA = " ".join(f"token{i}" for i in range(40))
