@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import cut, words_of
+from docgraph.llm.common import Tables, words_of
 
 #: Stands for a null doc_id in comparisons of ranks.
 _NO_ID = -(1 << 62)
-
-
-def _rank(u, doc_id, size) -> F.Column:
-    return F.struct(u.alias("u"), F.coalesce(doc_id.cast("long"), F.lit(_NO_ID)).alias("id"), size.cast("long").alias("size"))
+#: How fine ranks are binned by their logarithm, and the range of it that bins tell apart.
+_BIN_ROWS, _LOG = 5000, 24.0
 
 
 def _uniform(doc_id) -> F.Column:
@@ -20,9 +18,22 @@ def _uniform(doc_id) -> F.Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+def _favour(size) -> F.Column:
+    """What a document's expected copies are in proportion to: one over the root of its size, in millionths."""
+    return F.floor(F.lit(1e6) / F.sqrt(size.cast("double"))).cast("long")
+
+
+def _drawn(rows: DataFrame, most: int) -> DataFrame:
+    """rows (size, u, id, level, ...) with `whole`, the copies that are certain, and `rank`, by which the last copy is drawn."""
+    expected = F.when(F.col("size") > 0, F.least(F.lit(float(most)), F.col("level") * _favour(F.col("size")))).otherwise(F.lit(0.0))
+    rows = rows.withColumn("whole", F.floor(expected).cast("int")).withColumn("p", expected - F.floor(expected))
+    odds = (F.col("u") / (1 - F.col("u"))) / F.nullif(F.col("p") / (1 - F.col("p")), F.lit(0.0))
+    return rows.withColumn("rank", F.when(odds.isNotNull(), F.struct(odds.alias("odds"), F.col("id"), F.col("size")))).drop("p")
+
+
 def measured(docs: DataFrame) -> DataFrame:
-    """(source, id, size, u) per row; written to the checkpoint folder, since every later step needs these and no text."""
-    return cut(docs.select(docs["source"].alias("source"), docs["doc_id"].cast("long").alias("id"), F.size(words_of(docs["text"])).cast("long").alias("size"), _uniform(docs["doc_id"]).alias("u")))
+    """(source, id, size, u) per row: what every later step needs of it."""
+    return docs.select(docs["source"].alias("source"), F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)).alias("id"), F.size(words_of(docs["text"])).cast("long").alias("size"), _uniform(docs["doc_id"]).alias("u"))
 
 
 def targets(sizes: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFrame:
@@ -44,72 +55,103 @@ def targets(sizes: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFrame:
     return w.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("settled") * F.col("w")).alias("target"))
 
 
-def plan(rows: DataFrame, weights=(1, 2, 3), most: int = 3, closing: int = 3) -> DataFrame:
-    """One row per source of measured(): source_size, target, whole (copies every document gets), last and extra.
+def levels(by_size: DataFrame, goal: DataFrame, most: int) -> DataFrame:
+    """goal (source, source_size, target) with `level`: expected copies are the lesser of `most` and level times _favour.
 
-    The rest of a target after whole copies is drawn by Pareto order sampling: rank by (u/(1-u)) / (p/(1-p)) with p the rest's
-    share of the source, and take ranks while their words fit. p is one number within a source, so the order there is u's.
-    `last` is the last rank taken. Running sums go over bins of u first and over one bin's rows per source second, so a
-    source with a third of all rows is never ordered in one task. Then up to `closing` documents, each the one whose size
-    comes nearest to what is still missing, close the gap: `extra`.
+    by_size (source, size, n): sizes above 0 and how many rows have them. In order of size those that reach `most` come
+    first, so running sums find the level at which expected words equal the target. Null where all reach it.
+    """
+    x = by_size.alias("b").join(small(goal).alias("g"), F.expr("b.source <=> g.source")).select("b.source", "size", "n", "target").withColumn("x", _favour(F.col("size")))
+    up = Window.partitionBy("source").orderBy("size")
+    before = F.coalesce(F.sum(F.col("n") * F.col("size")).over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = F.sum((F.col("n") * F.col("size")).cast("decimal(20,0)") * F.col("x")).over(up.rowsBetween(0, Window.unboundedFollowing))
+    x = x.withColumn("level", (F.col("target") - (before * most).cast("double")) / ahead.cast("double"))
+    found = x.where(F.col("level") * F.col("x") <= most).groupBy("source").agg(F.min_by("level", "size").alias("level"))
+    return goal.alias("g").join(found.alias("f"), F.expr("g.source <=> f.source"), "left").select("g.*", "f.level")
+
+
+def _fill(rows: DataFrame, p: DataFrame, tables: Tables) -> DataFrame:
+    """(source, last, used): how far by rank each source's open rows fit its gap, and their words.
+
+    Running sums go over bins of the rank's logarithm first and over one bin's rows second, so no task orders a source.
+    """
+    state = small(p.select(F.col("source").alias("s"), "gap", "last"))
+    left = rows.join(state, F.expr("source <=> s")).where("size between 1 and gap and rank > last").drop("s")
+    by_bin = left.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.max("rank").alias("top"), F.first("gap").alias("gap"))
+    upto = F.sum("words").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    by_bin = tables.keep(by_bin.withColumn("upto", upto))
+    full = by_bin.where("upto <= gap").groupBy("source").agg(F.max("top").alias("last"), F.max("upto").alias("used"))
+    edge = by_bin.where("upto > gap").groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))).alias("e"))
+    inside = left.alias("x").join(small(edge).alias("e"), F.expr("x.source <=> e.source and x.bin = e.e.bin")).select("x.source", "x.rank", "x.size", "x.gap", "e.e.before")
+    inside = inside.withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("rank"))).where("upto <= gap")
+    both = full.unionByName(inside.groupBy("source").agg(F.max("rank").alias("last"), F.max("upto").alias("used")))
+    return both.groupBy("source").agg(F.max("last").alias("last"), F.max("used").alias("used"))
+
+
+def plan(docs: DataFrame, weights=(1, 2, 3), most: int = 3, passes: int = 4) -> tuple[DataFrame, DataFrame, Tables]:
+    """What each source takes, the rows that were measured for it, and where both are kept.
+
+    A document's expected copies are in proportion to one over the root of its size, `most` at most, and such that a
+    source's expected words are its target: a long document's share grows with the root of its length, and none decides
+    alone whether the target is met. The whole part of them is certain. The fractions p are drawn by Pareto order sampling:
+    with u uniform in [0, 1) from doc_id, rank by (u / (1 - u)) / (p / (1 - p)) and take the ranks whose words fit what the
+    certain copies leave. The next rank is too long for what is left then; later passes go on by rank among those that fit.
+
+    Per source: source_size, target, level, and steps (after, last, gap): a row takes one copy more if for a step its rank
+    is above `after`, `last` at most, and its size is `gap` at most.
     """
-    bins = max(64, rows.count() // 20_000)
-    rows = rows.withColumn("bin", F.floor(F.col("u") * bins).cast("int")).withColumn("rank", _rank(F.col("u"), F.col("id"), F.col("size")))
-    by_bin = cut(rows.groupBy("source", "bin").agg(F.sum("size").alias("size")))
-    goal = targets(by_bin.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int"))
-    goal = cut(goal.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    run = by_bin.withColumn("before", before)
-    # of each source, the first bin that does not fit whole
-    edge = run.alias("r").join(goal.alias("g"), F.expr("r.source <=> g.source")).where("before + size > rest").groupBy(F.col("g.source").alias("source")).agg(F.min(F.struct("bin", "before", "rest")).alias("e")).select("source", "e.*")
-    inside = rows.alias("x").join(small(edge).alias("e"), F.expr("x.source <=> e.source and x.bin = e.bin")).select("x.source", "x.rank", "x.size", "before", "rest")
-    ranked = inside.withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("rank"))).where("upto <= rest")
-    fits = ranked.groupBy("source").agg(F.max("rank").alias("last"), F.max("upto").alias("upto"))
-    below = _rank(F.coalesce(F.col("e.bin") / F.lit(float(bins)), F.lit(2.0)), F.lit(_NO_ID), F.lit(-1))
-    p = goal.alias("g").join(edge.alias("e"), F.expr("g.source <=> e.source"), "left").join(fits.alias("c"), F.expr("g.source <=> c.source"), "left")
-    p = p.select(
-        "g.source", "g.source_size", "g.target", "g.whole",
-        F.when(F.col("g.whole") >= most, _rank(F.lit(-1.0), F.lit(0), F.lit(0))).otherwise(F.coalesce("c.last", below)).alias("last"),
-        (F.col("g.rest") - F.coalesce("c.upto", "e.before", F.lit(0))).alias("gap"),
-        F.array().cast("array<struct<u:double,id:bigint,size:bigint>>").alias("extra"),
-    )
-    p = cut(p)
-    for _ in range(closing):
-        left = rows.join(small(p).withColumnRenamed("source", "s"), F.expr("source <=> s")).where(F.expr(f"whole < {most} and gap > 0 and size > 0 and not {_AGAIN}"))
-        near = left.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "rank")).alias("c"))
-        p = p.alias("p").join(near.alias("n"), F.expr("p.source <=> n.source and n.c.off < p.gap"), "left")
-        p = cut(p.select("p.source", "source_size", "target", "whole", "last", F.expr("gap - coalesce(n.c.rank.size, 0)").alias("gap"), F.expr("if(n.c is null, extra, array_append(extra, n.c.rank))").alias("extra")))
-    return p
-
-
-#: Whether a row is taken once more than its source's whole copies.
-_AGAIN = "(rank <= last or array_contains(extra, rank))"
-
-
-def small(table: DataFrame, most: int = 100_000) -> DataFrame:
-    """A per-source table, broadcast only once it is counted to be of at most `most` rows (a few MB)."""
-    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+    tables = Tables(docs.sparkSession, "mix")
+    rows = tables.keep(measured(docs))
+    by_size = tables.keep(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
+    goal = tables.keep(targets(by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most))
+    goal = tables.keep(levels(by_size.where("size > 0"), goal, most))
+    ranked = _drawn(rows.join(small(goal.select(F.col("source").alias("s"), "level")), F.expr("source <=> s")).drop("s"), most)
+    bins = max(64, rows.count() // _BIN_ROWS)
+    spread = F.coalesce(F.log("rank.odds") / (2 * _LOG) + 0.5, F.lit(0.0))
+    ranked = tables.keep(ranked.withColumn("bin", F.floor(F.least(F.greatest(spread, F.lit(0.0)), F.lit(1.0)) * bins).cast("int")).select("source", "rank", "size", "whole", "bin"))
+    certain = ranked.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("words"))
+    first = F.struct(F.lit(-1.0).alias("odds"), F.lit(_NO_ID).alias("id"), F.lit(-1).cast("long").alias("size"))
+    p = goal.alias("g").join(certain.alias("c"), F.expr("g.source <=> c.source"), "left").select("g.*", (F.col("target") - F.coalesce("words", F.lit(0))).alias("gap"), first.alias("last"))
+    p = tables.keep(p.withColumn("steps", F.array().cast("array<struct<after:struct<odds:double,id:bigint,size:bigint>,last:struct<odds:double,id:bigint,size:bigint>,gap:double>>")))
+    for _ in range(passes):
+        found = _fill(ranked, p, tables)
+        step = F.struct(F.col("p.last").alias("after"), F.col("f.last").alias("last"), F.col("gap"))
+        p = p.alias("p").join(found.alias("f"), F.expr("p.source <=> f.source"), "left").select(
+            "p.source", "source_size", "target", "level", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"), F.coalesce("f.last", "p.last").alias("last"),
+            F.when(F.col("f.last").isNull(), F.col("steps")).otherwise(F.array_append("steps", step)).alias("steps"),
+        )
+        p = tables.keep(p)
+    tables.drop(by_size, ranked)
+    return p, rows, tables
+
+
+#: Whether a row takes one copy more than its certain ones.
+_AGAIN = "coalesce(exists(steps, s -> rank > s.after and rank <= s.last and size <= s.gap), false)"
+
+
+def small(table: DataFrame, rows: int = 100_000, bytes_: int = 16 << 20) -> DataFrame:
+    """A per-source table, broadcast only once it is counted to have at most so many rows and bytes in its sources' names."""
+    name = table.columns[0]
+    n, size = table.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(name))), F.lit(0))).first()
+    return F.broadcast(table) if n <= rows and size <= bytes_ else table
 
 
 def copies(docs: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFrame:
     """(source, id, size, source_size, target, copies) per row: how often the mix takes each whole document, 0 to `most`.
 
-    Size is words; null texts have none. Ranks come from doc_id alone, so reruns agree. Rows with equal doc_id and size
-    stand or fall together. A source of no words takes none; null is a source like any other; an empty table gives no rows.
+    Size is words; null texts have none, and rows without words are not taken. Ranks come from doc_id alone, so reruns
+    agree. Rows with equal doc_id and size stand or fall together. A source of no words takes none; null is a source like
+    any other, a null doc_id an id like any other; an empty table gives no rows.
     """
-    rows = measured(docs)
-    p = small(plan(rows, weights, most)).withColumnRenamed("source", "s")
-    out = rows.withColumn("rank", _rank(F.col("u"), F.col("id"), F.col("size"))).join(p, F.expr("source <=> s"))
-    return out.select("source", "id", "size", "source_size", "target", F.expr(f"whole + cast({_AGAIN} as int)").alias("copies"))
+    p, rows, _ = plan(docs, weights, most)
+    out = _drawn(rows.join(small(p).withColumnRenamed("source", "s").drop("last", "gap"), F.expr("source <=> s")), most)
+    return out.select("source", F.nullif("id", F.lit(_NO_ID)).alias("id"), "size", "source_size", "target", F.expr(f"whole + cast({_AGAIN} as int)").alias("copies"))
 
 
 def mix(docs: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFrame:
     """docs, all columns, each row as often as the mix takes it. The texts are not shuffled: sources' plans are joined to them."""
-    p = plan(measured(docs), weights, most)
-    p = small(p.select(F.col("source").alias("__mix_source"), F.struct("whole", "last", "extra").alias("__mix_plan")))
-    rank = _rank(_uniform(docs["doc_id"]), docs["doc_id"], F.size(words_of(docs["text"])))
-    out = docs.join(p, docs["source"].eqNullSafe(F.col("__mix_source"))).withColumn("__mix_rank", rank)
-    again = F.expr("cast(__mix_rank <= __mix_plan.last or array_contains(__mix_plan.extra, __mix_rank) as int)")
-    out = out.withColumn("__mix_n", F.col("__mix_plan.whole") + again).where("__mix_n > 0")
-    return out.withColumn("__mix_n", F.explode(F.sequence(F.lit(1), F.col("__mix_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    p, _, _ = plan(docs, weights, most)
+    p = small(p.select(F.col("source").alias("__mix_source"), "level", "steps"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__mix_row"), *[c.alias(n) for n, c in (("__mix_from", docs["source"]), ("id", F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID))), ("size", F.size(words_of(docs["text"])).cast("long")), ("u", _uniform(docs["doc_id"])))])
+    out = _drawn(rows.join(p, F.expr("__mix_from <=> __mix_source")), most).withColumn("n", F.expr(f"whole + cast({_AGAIN} as int)")).where("n > 0")
+    return out.select("__mix_row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("__mix_row.*")

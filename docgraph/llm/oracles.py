@@ -7,8 +7,9 @@ from docgraph.llm import rules
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
-def mix(closing: int = 3) -> str:
-    """Targets by running sums in order of cap over weight; ranks by md5; then the closing documents, one step each."""
+def mix(passes: int = 4) -> str:
+    """Targets by running sums in order of cap over weight; each source's level by running sums in order of size; expected
+    copies, their whole part and Pareto ranks by their formulas; then the ranks that fit, one pass each."""
     sql = rf"""
 with base as (select source, doc_id, coalesce(doc_id, -(1::bigint << 62)) as id, len({_WORDS})::bigint as size,
     ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 13))::bigint / 4503599627370496::double as u from documents),
@@ -20,17 +21,22 @@ l as (select *, (sum(source_size) over ())::double as total, coalesce(sum(cap) o
 c as (select *, (total - before) / ahead as level from l),
 f as (select *, min((level * w > cap)::int) over (order by cap / w, k rows between unbounded preceding and current row) = 1 as capped from c),
 g as (select source, source_size, case when capped then cap else (select level from f where not capped order by cap / w, k limit 1) * w end as target from f),
-p as (select *, case when source_size > 0 then floor(target / source_size) else 0 end as whole from g),
-r0 as (select b.*, source_size, target, whole, target - whole * source_size as rest, sum(size) over (partition by b.source order by u, id, size) as upto
-    from base b join p on b.source is not distinct from p.source),
-t0 as (select *, whole < 3 and upto <= rest as again from r0),
-x0 as (select *, rest - coalesce(max(upto) filter (again) over (partition by source), 0) as gap from t0)"""
-    for i in range(closing):
+z as (select b.source, size, any_value(target) as target, count(*) as n, floor(1e6::double / sqrt(size::double))::bigint as x
+    from base b join g on b.source is not distinct from g.source where size > 0 group by b.source, size),
+y as (select *, (target - (3 * coalesce(sum(n * size) over (partition by source order by size rows between unbounded preceding and 1 preceding), 0))::double)
+    / (sum(n * size * x) over (partition by source order by size rows between current row and unbounded following))::double as level from z),
+v as (select source, arg_min(level, size) as level from y where level * x <= 3 group by source),
+e as (select b.*, source_size, target, case when size > 0 then least(3::double, level * floor(1e6::double / sqrt(size::double))::bigint) else 0 end as expected
+    from base b join g on b.source is not distinct from g.source left join v on b.source is not distinct from v.source),
+r as (select *, floor(expected) as whole, expected - floor(expected) as p from e),
+x0 as (select *, (u / (1 - u)) / nullif(p / (1 - p), 0) as odds, false as again, -1::double as last, target - sum(whole * size) over (partition by source) as gap from r)"""
+    for i in range(passes):
         sql += f""",
-n{i} as (select *, row_number() over (partition by source, (not again and whole < 3 and gap > 0 and size > 0) order by abs(size - gap), u, id, size) as n from x{i}),
-a{i} as (select *, not again and whole < 3 and gap > 0 and size > 0 and n = 1 and abs(size - gap) < gap as added from n{i}),
-x{i + 1} as (select * exclude (n, added) replace (again or added as again, gap - coalesce(max(size) filter (added) over (partition by source), 0) as gap) from a{i})"""
-    return sql + f"\nselect doc_id, size, source_size, target, (size * (whole + again::int))::bigint as taken from x{closing}"
+n{i} as (select *, odds is not null and size between 1 and gap and not again and odds > last as free from x{i}),
+a{i} as (select *, free and sum(size) over (partition by source, free order by odds, id, size) <= gap as added from n{i}),
+x{i + 1} as (select * exclude (free, added) replace (again or added as again, greatest(last, max(odds) filter (added) over (partition by source)) as last,
+    gap - coalesce(sum(size) filter (added) over (partition by source), 0) as gap) from a{i})"""
+    return sql + f"\nselect doc_id, size, source_size, target, (size * (whole + again::int))::bigint as taken from x{passes}"
 
 
 def line_rules(loses_at_most: float = 0.3) -> str:
