@@ -82,23 +82,36 @@ def _slices(batch, text: int, least: int, wrapped: bool):
         yield i, Paragraphs(buf[off[i] : off[j]], off[i : j + 1] - off[i], least, wrapped)
 
 
-def _keyed(docs: DataFrame, least: int, shingle: int, number: int, rows: int, wrapped: bool) -> DataFrame:
-    """(doc_id, par, upto, size, key, bands) of every paragraph with enough words, and per input row one with par -1 and its lines in size."""
-    names = ["doc_id", "par", "upto", "size", "key", "bands"]
+def _units(docs: DataFrame, least: int, wrapped: bool) -> DataFrame:
+    """(doc_id, par, upto, size, key) of every paragraph with enough words, and per input row one with par -1 and its lines in size."""
+    names = ["doc_id", "par", "upto", "size", "key"]
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
             for i, p in _slices(batch, 1, least, wrapped):
-                x, m = bands(*p.shingles(shingle), number, rows), len(p.text)
-                lists = pa.ListArray.from_arrays(pa.array((np.arange(m + 1) * number).astype(np.int32)), pa.array(x.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(p.text + i)), pa.array(p.par), pa.array(p.upto), pa.array(p.count), pa.array(p.keys().view(np.int64)), lists], names)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(p.text + i)), pa.array(p.par), pa.array(p.upto), pa.array(p.count), pa.array(p.keys().view(np.int64))], names)
             buf, off = utf8(batch.column(1))
             full = np.diff(off) > 0
             lines = np.add.reduceat(np.r_[buf == 10, False].astype(np.int64), off[:-1]) * full + full if batch.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(batch.num_rows, -1, np.int64)), pa.nulls(batch.num_rows, pa.int64()), pa.array(lines), pa.nulls(batch.num_rows, pa.int64()), pa.nulls(batch.num_rows, pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(batch.num_rows, -1, np.int64)), pa.nulls(batch.num_rows, pa.int64()), pa.array(lines), pa.nulls(batch.num_rows, pa.int64())], names)
+
+    return docs.mapInArrow(run, "doc_id long, par long, upto long, size long, key long")
+
+
+def _texts(docs: DataFrame, least: int, shingle: int, number: int, rows: int, wrapped: bool) -> DataFrame:
+    """(key, at, total, bands) of every distinct paragraph: its first place, its copies and its band keys."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0)
+            for i, p in _slices(batch, 1, least, wrapped):
+                x, m = bands(*p.shingles(shingle), number, rows), len(p.text)
+                lists = pa.ListArray.from_arrays(pa.array((np.arange(m + 1) * number).astype(np.int32)), pa.array(x.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(p.keys().view(np.int64)), ids.take(pa.array(p.text + i)), pa.array(p.par), pa.array(p.upto), lists], ["key", "doc_id", "par", "upto", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, par long, upto long, size long, key long, bands array<long>")
+    found = docs.mapInArrow(run, "key long, doc_id long, par long, upto long, bands array<long>")
+    return found.groupBy("key").agg(F.min(F.struct("doc_id", "par", "upto")).alias("at"), F.count("*").alias("total"), F.first("bands").alias("bands"))
 
 
 def _stars(texts: DataFrame) -> DataFrame:
@@ -109,8 +122,11 @@ def _stars(texts: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, least: int, shingle: int, wrapped: bool) -> DataFrame:
-    """(key, s): the distinct shingle hashes of the wanted (key, at) paragraphs, one place of each being read."""
-    where = wanted.groupBy(F.col("at.doc_id").alias("__id")).agg(F.collect_list(F.struct("at.par", "at.upto", "key")).alias("pars"))
+    """(key, hub, lead, s): the distinct shingle hashes of the wanted (key, hub, lead, at) paragraphs, one place of each being read.
+
+    Where several rows have the place's doc_id, a paragraph may come several times.
+    """
+    where = wanted.groupBy(F.col("at.doc_id").alias("__id")).agg(F.collect_list(F.struct("at.par", "at.upto", "key", "hub", F.coalesce("lead", F.lit(False)).alias("lead"))).alias("pars"))
 
     def run(batches):
         for batch in batches:
@@ -119,25 +135,31 @@ def _sets(docs: DataFrame, wanted: DataFrame, least: int, shingle: int, wrapped:
                 flat, start = p.shingles(shingle)
                 known = p.keys().view(np.int64)
                 mine = {x: k for k, x in enumerate(zip(p.text.tolist(), p.par.tolist(), p.upto.tolist(), known.tolist()))}
-                keys, sets = [], []
+                rows, sets = [], []
                 for t in range(i, i + int(p.text.max()) + 1 if len(p.text) else i):
                     for x in pars[t].as_py():
                         k = mine.get((t - i, x["par"], x["upto"], x["key"]))
                         if k is not None:
-                            keys.append(x["key"])
+                            rows.append(x)
                             sets.append(np.unique(flat[start[k] : start[k + 1]]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["key", "s"])
+                columns = [pa.array([x[c] for x in rows], t) for c, t in (("key", pa.int64()), ("hub", pa.int64()), ("lead", pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.list_(pa.int64()))], ["key", "hub", "lead", "s"])
 
     found = docs.join(where, F.col("doc_id") == F.col("__id")).select("pars", "text")
-    return found.mapInArrow(run, "key long, s array<long>").dropDuplicates(["key"])
+    return found.mapInArrow(run, "key long, hub long, lead boolean, s array<long>")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
-    """The pairs whose sets have the similarity."""
-    x = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
-    x = x.where(F.least(F.size("sa"), F.size("sb")) >= jaccard * F.greatest(F.size("sa"), F.size("sb")))
+def _alike(pairs: DataFrame, jaccard: float) -> DataFrame:
+    """The distinct pairs (a, b) of (a, b, sa, sb) whose sets have the similarity."""
+    x = pairs.where(F.least(F.size("sa"), F.size("sb")) >= jaccard * F.greatest(F.size("sa"), F.size("sb")))
     both = F.size(F.array_intersect("sa", "sb"))
-    return x.where(both >= F.lit(jaccard) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    return x.where(both >= F.lit(jaccard) * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
+    """The pairs whose texts have the similarity."""
+    a, b = (sets.select(F.col("key").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+    return _alike(pairs.join(a, "a").join(b, "b"), jaccard)
 
 
 def _heads(sets: DataFrame, jaccard: float, slots: int = 1 << 18) -> DataFrame:
@@ -168,13 +190,13 @@ def _heads(sets: DataFrame, jaccard: float, slots: int = 1 << 18) -> DataFrame:
 def _across(live: DataFrame, roots: DataFrame, sets: DataFrame, jaccard: float, tables: Tables) -> DataFrame:
     """Pairs (a, b) of buckets' members that the hubs left in different components and that can have the similarity.
 
-    None that has it is left out: from the first shingle that two sets share on, enough must remain in both. Buckets of two
-    were compared whole; members of buckets that are one component already, and shingles that one component has alone, are
-    not looked at.
+    None that has it is left out: from the first shingle that two sets share on, enough must remain in both. Members of
+    buckets that were compared whole or are one component already, and shingles that one component has alone, are not
+    looked at. live: (band, key, open), open saying that the bucket may hold a pair that was not compared.
     """
-    rows = live.where("n > 2").select("band", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    parted = rows.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    rest = tables.keep(rows.join(parted, "band", "left_semi").select("key", "root").distinct().join(sets, "key").select("key", "root", "s"))
+    rows = live.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    parted = rows.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_or("open").alias("open")).where("lo < hi and open").select("band")
+    rest = tables.keep(rows.join(parted, "band", "left_semi").select("key", "root").distinct().join(sets.select("key", "s"), "key"))
     heads = tables.keep(_heads(rest, jaccard))
     met = heads.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t")
     a, b = (heads.select("t", F.col("key").alias(x), *[F.col(y).alias(y + x) for y in ("root", "size", "left")]) for x in "ab")
@@ -193,9 +215,9 @@ def repeated(docs: DataFrame, least: int = 20, shingle: int = 5, jaccard: float
     space and the case of A-Z apart) are one text; texts and shingles are told apart by 64-bit hashes. Texts that collide in
     one of `number` bands of `rows` MinHashes of their `shingle`-word shingles are candidates; those at a Jaccard similarity
     of `jaccard` or more, by their whole sets, are linked, links make classes by connected components, and a class keeps its
-    first paragraph by (doc_id, place). Two texts at 0.8 collide with probability 1 - (1 - 0.8**2)**6 = 0.998. Every text of
-    a bucket is compared with the bucket's hub, and then, by a prefix filter that loses none, with those that the hubs did
-    not bring into its component: no link within a bucket is lost.
+    first paragraph by (doc_id, place). Two texts at 0.8 collide with probability 1 - (1 - 0.8**2)**6 = 0.998. Every text is
+    compared with one hub of its buckets, and then, by a prefix filter that loses none, with those of its buckets that this
+    did not bring into its component: no link within a bucket is lost.
     total: paragraphs in the class, null where it is alone. Rows with par -1 (one per input row, key null) count lines in
     size. Rows of equal doc_id are one document. Null texts have no paragraphs; a null doc_id comes first (and is the least
     long in the result); repeated rows repeat their paragraphs; an empty table gives no rows.
@@ -204,25 +226,29 @@ def repeated(docs: DataFrame, least: int = 20, shingle: int = 5, jaccard: float
         raise ValueError("least must be at least shingle, or 1 for every paragraph")
     tables = Tables(docs.sparkSession, "paragraphs")
     docs = _plain(docs)
-    all_rows = tables.keep(_keyed(docs, least, shingle, number, rows, wrapped))
-    units = all_rows.where("par >= 0")
-    at = F.struct("doc_id", "par", "upto")
-    texts = tables.keep(units.groupBy("key").agg(F.min(at).alias("at"), F.count("*").alias("total"), F.first("bands").alias("bands")))
-    live = tables.keep(_stars(texts))
-    sets = tables.keep(_sets(docs, live.select("key").distinct().join(texts.select("key", "at"), "key"), least, shingle, wrapped))
-    pairs = tables.keep(live.where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct())
-    links = tables.keep(_linked(pairs, sets, jaccard))
-    tables.drop(pairs)
+    banded = tables.keep(_texts(docs, least, shingle, number, rows, wrapped))
+    stars = tables.keep(_stars(banded))
+    texts = tables.keep(banded.drop("bands"))
+    tables.drop(banded)
+    # each text is compared with one hub, the least of its buckets'; what that leaves open goes to _across
+    hubs = tables.keep(stars.groupBy("key").agg(F.min("hub").alias("first")))
+    live = tables.keep(stars.join(hubs, "key").select("band", "key", F.expr("n > 2 or key <> hub and first <> hub").alias("open")))
+    lead = hubs.select(F.col("first").alias("key"), F.lit(True).alias("lead")).distinct()
+    wanted = hubs.withColumnRenamed("first", "hub").join(lead, "key", "left").join(texts.select("key", "at"), "key")
+    sets = tables.keep(_sets(docs, wanted, least, shingle, wrapped))
+    tables.drop(stars)
+    a = sets.where("lead").select(F.col("key").alias("a"), F.col("s").alias("sa"))
+    b = sets.select(F.col("hub").alias("a"), F.col("key").alias("b"), F.col("s").alias("sb")).where("a <> b")
+    links = tables.keep(_alike(b.join(a, "a"), jaccard))
     roots = tables.keep(components(links))
     more = tables.keep(_linked(_across(live, roots, sets, jaccard, tables), sets, jaccard))
-    tables.drop(live, sets, links)
+    tables.drop(live, sets, links, hubs)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    named = texts.select("key", "at", "total").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    classes = named.groupBy("root").agg(F.min("at").alias("keep"), F.sum("total").alias("total")).where("total > 1")
-    of = tables.keep(named.join(classes.withColumnRenamed("total", "of_class"), "root").select("key", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.par").alias("keep_par"), F.col("keep.upto").alias("keep_upto"), F.col("of_class").alias("total")))
+    named = texts.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    classes = named.groupBy("root").agg(F.min("at").alias("keep"), F.sum("total").alias("of_class")).where("of_class > 1")
+    of = tables.keep(named.join(classes, "root").select("key", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.par").alias("keep_par"), F.col("keep.upto").alias("keep_upto"), F.col("of_class").alias("total")))
     tables.drop(texts)
-    judged = units.select("doc_id", "par", "upto", "size", "key").join(of, "key", "left").drop("key")
-    return judged.unionByName(all_rows.where("par < 0").select("doc_id", "par", "upto", "size"), allowMissingColumns=True)
+    return _units(docs, least, wrapped).join(of, "key", "left").drop("key")
 
 
 def _plain(docs: DataFrame) -> DataFrame:

@@ -238,7 +238,7 @@ def test_passages_link_documents_and_short_lines_do_not(make):
     word = lambda: f"w{r.randrange(5000)}"
     some = lambda n: [word() for _ in range(n)]
     planted = [some(r.randint(51, 90)) for _ in range(15)]
-    common = " ".join(some(14))
+    common = " ".join(f"common{i}" for i in range(14))
     rows, has = [], {}
     for i in range(120):
         lines = [" ".join(some(r.randint(5, 60))) for _ in range(r.randint(1, 4))] + [common]
