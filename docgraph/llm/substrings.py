@@ -1,4 +1,4 @@
-"""Substring dedup by longest-previous-factor tests in suffix order.
+"""Substring dedup by longest-previous-factor arrays.
 
 A byte goes if a string of `width` bytes around it also starts in a document with a smaller doc_id. Two facts make that a
 job of bounded tasks:
@@ -9,9 +9,10 @@ job of bounded tasks:
   entry before blocks meet, so a string that a third of all documents share costs one entry a block.
 
 Four steps: blocks exchange anchor hashes to find those that several documents have; of these, blocks send the bytes around
-(the union of the windows an anchor owns); per hash bucket the windows are put in suffix order, where equal ones are
-neighbours, and each is tested for a previous or next one from a smaller document; blocks apply the answers to their texts.
-Hashes only choose what to compare; windows are compared by their bytes.
+(the union of the windows an anchor owns); per hash bucket the suffixes that begin a window are put in order, with the common
+prefixes of neighbours, and each one's longest previous factor is read off the previous and the next suffix of a smaller
+document in that order; blocks apply the answers to their texts. Hashes only choose what to compare: contexts and windows
+that pass as equal, within a block and between blocks, have been compared by their bytes.
 """
 
 from __future__ import annotations
@@ -126,17 +127,43 @@ class Block:
     def contexts(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The owned bytes of the picked anchors in rows of equal width, placed by anchor and zero outside; a hash of each."""
         span = 2 * self.width - K
-        where = self.at[pick][:, None] + np.arange(-(self.width - K), self.width)[None, :]
-        inside = (where >= self.lo[pick][:, None]) & (where < self.hi[pick][:, None])
-        rows = np.where(inside, self.buf[np.clip(where, 0, len(self.buf) - 1)], 0).astype(np.uint8)
-        extent = np.stack([self.at[pick] - self.lo[pick], self.hi[pick] - self.at[pick]], 1).astype(np.uint8)
-        with np.errstate(over="ignore"):
-            weights = np.cumprod(np.full(span + 2, _B, np.uint64), dtype=np.uint64)
-            key = np.zeros(len(pick), np.uint64)
-            for i in range(0, len(pick), 1 << 14):
-                both = np.concatenate([rows[i : i + (1 << 14)], extent[i : i + (1 << 14)]], 1).astype(np.uint64)
-                key[i : i + (1 << 14)] = ((both + np.uint64(1)) * weights).sum(1, dtype=np.uint64)
-        return np.concatenate([rows, extent], 1), key ^ (key >> np.uint64(32)) ^ self.h[pick]
+        rows, key = np.zeros((len(pick), span + 2), np.uint8), np.zeros(len(pick), np.uint64)
+        weights = np.cumprod(np.full(span + 2, _B, np.uint64), dtype=np.uint64)
+        reach = np.arange(-(self.width - K), self.width)[None, :]
+        for i in range(0, len(pick), 1 << 14):
+            x = pick[i : i + (1 << 14)]
+            where = self.at[x][:, None] + reach
+            inside = (where >= self.lo[x][:, None]) & (where < self.hi[x][:, None])
+            part = rows[i : i + (1 << 14)]
+            part[:, :span] = np.where(inside, self.buf[np.clip(where, 0, len(self.buf) - 1)], 0)
+            part[:, span], part[:, span + 1] = self.at[x] - self.lo[x], self.hi[x] - self.at[x]
+            with np.errstate(over="ignore"):
+                key[i : i + (1 << 14)] = ((part.astype(np.uint64) + np.uint64(1)) * weights).sum(1, dtype=np.uint64)
+        return rows, key ^ (key >> np.uint64(32)) ^ self.h[pick]
+
+
+def _alike(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First member and number of each member's class of equal rows: `key` sorts them, their bytes decide."""
+    key = key.copy()
+    while True:
+        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        odd = np.zeros(len(key), bool)
+        for i in range(0, len(key), 1 << 16):
+            odd[i : i + (1 << 16)] = (rows[i : i + (1 << 16)] != rows[first[inverse[i : i + (1 << 16)]]]).any(1)
+        if not odd.any():
+            return first, inverse
+        key[odd] += np.uint64(1)  # equal hashes of different bytes: these go on under another
+
+
+def _windows(rows: np.ndarray, x: np.ndarray, o: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The window at place o of each context x, and a hash of its bytes."""
+    window = rows[x, o : o + width]
+    g = np.zeros(len(x), np.uint64)
+    weights = np.cumprod(np.full(width, _A, np.uint64), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(0, len(x), 1 << 14):
+            g[i : i + (1 << 14)] = ((window[i : i + (1 << 14)].astype(np.uint64) + np.uint64(1)) * weights).sum(1, dtype=np.uint64)
+    return window, g ^ (g >> np.uint64(31))
 
 
 def _side(rows: list) -> pa.Table:
@@ -163,13 +190,43 @@ def _several(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return (owner[first] != owner[last])[inverse]
 
 
-def _previous(rows: np.ndarray, doc: np.ndarray, group: np.ndarray, width: int) -> np.ndarray:
-    """Per context, a bit for each window that also begins in a context of the same group from a smaller document.
+def _smaller_before(doc: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each place of an order, its common prefix with the nearest place before it of a smaller document; 0 if there is none.
 
-    The windows are suffixes cut to `width` bytes and put in order by group and bytes. Two positions have a common prefix of
-    `width` bytes just if all between them are equal too, so a window's longest previous factor reaches `width` just if a
-    smaller document is before or after it within its run of equals.
+    lcp: common prefix of each place and the one before. Places skip along what those that they pass have skipped already.
     """
+    at, common = np.arange(len(doc)) - 1, lcp.copy()
+    live = np.flatnonzero(common > 0)
+    live = live[doc[at[live]] >= doc[live]]
+    while len(live):
+        over = at[live]
+        common[live], at[live] = np.minimum(common[live], common[over]), at[over]
+        live = live[common[live] > 0]
+        live = live[doc[at[live]] >= doc[live]]
+    return common
+
+
+def longest_previous(suffix: np.ndarray, doc: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix order and, in that order, each suffix's longest previous factor: the most bytes it has in common with a
+    suffix of a smaller document of its group.
+
+    suffix: rows of equal width, each a suffix cut to it. They are put in order by group and bytes; lcp are the common
+    prefixes of neighbours. Of all suffixes of smaller documents the nearest before and the nearest after have the longest.
+    """
+    width = suffix.shape[1]
+    order = np.argsort(np.ascontiguousarray(suffix).view(f"S{width}").ravel(), kind="stable")
+    order = order[np.argsort(group[order], kind="stable")]
+    s, g, d = suffix[order], group[order], doc[order]
+    differs = s[1:] != s[:-1]
+    lcp = np.where(g[1:] != g[:-1], 0, np.where(differs.any(1), differs.argmax(1), width))
+    before = _smaller_before(d, np.r_[0, lcp])
+    after = _smaller_before(d[::-1], np.r_[0, lcp[::-1]])[::-1]
+    return order, np.maximum(before, after)
+
+
+def _previous(rows: np.ndarray, doc: np.ndarray, group: np.ndarray, width: int) -> np.ndarray:
+    """Per context, a bit for each window that also begins in a context of the same group from a smaller document: where the
+    longest previous factor of the window's suffix is `width`."""
     span = rows.shape[1] - 2
     mid = width - K
     left, right = rows[:, span].astype(np.int64), rows[:, span + 1].astype(np.int64)
@@ -177,13 +234,8 @@ def _previous(rows: np.ndarray, doc: np.ndarray, group: np.ndarray, width: int)
     owner = np.repeat(np.arange(len(rows)), count)
     begin = mid - left[owner] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     suffix = np.lib.stride_tricks.sliding_window_view(rows[:, :span], width, axis=1)[owner, begin]
-    order = np.argsort(np.ascontiguousarray(suffix).view(f"S{width}").ravel(), kind="stable")
-    order = order[np.argsort(group[owner[order]], kind="stable")]
-    s, g, d = suffix[order], group[owner[order]], doc[owner[order]]
-    fresh = np.r_[True, (s[1:] != s[:-1]).any(1) | (g[1:] != g[:-1])]
-    run = np.cumsum(fresh) - 1
-    least = np.minimum.reduceat(d, np.flatnonzero(fresh))
-    again = order[d > least[run]]
+    order, factor = longest_previous(suffix, doc[owner], group[owner])
+    again = order[factor == width]
     bits = np.zeros(len(rows), np.uint64)
     np.bitwise_or.at(bits, owner[again], np.uint64(1) << begin[again].astype(np.uint64))
     return bits
@@ -241,7 +293,7 @@ def _context_step(width: int, buckets: int):
         hot = _known(block.h[pick], right, "b", buckets)
         out = []
         rows, ckey = block.contexts(pick)
-        _, first = np.unique(ckey, return_index=True)
+        first, _ = _alike(ckey, rows)
         first.sort()
         cold = first[~hot[first]]
         bucket = ((block.h[pick[cold]] >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
@@ -258,11 +310,8 @@ def _context_step(width: int, buckets: int):
                 x = warm[(o >= mid - l) & (o + width <= mid + r)]
                 if not len(x):
                     continue
-                window = rows[x, o : o + width]
-                with np.errstate(over="ignore"):
-                    g = ((window.astype(np.uint64) + np.uint64(1)) * np.cumprod(np.full(width, _A, np.uint64), dtype=np.uint64)).sum(1, dtype=np.uint64)
-                    g ^= g >> np.uint64(31)
-                _, one = np.unique(g, return_index=True)  # of equal windows of a block, the smallest document's
+                window, g = _windows(rows, x, o, width)
+                one, _ = _alike(g, window)  # of equal windows of a block, the smallest document's
                 lone = np.zeros((len(one), rows.shape[1]), np.uint8)
                 lone[:, o : o + width] = window[one]
                 lone[:, span], lone[:, span + 1] = mid - o, width - (mid - o)
@@ -318,7 +367,7 @@ def _apply_step(width: int, buckets: int):
         starts = np.zeros(len(block.buf) + 1, np.int32)
         if len(pick):
             rows, ckey = block.contexts(pick)
-            _, first, inverse = np.unique(ckey, return_index=True, return_inverse=True)
+            first, inverse = _alike(ckey, rows)
             ids = block.ids[block.text[pick]]
             lo, hi, at = block.lo[pick], block.hi[pick], block.at[pick]
             later = ids > ids[first][inverse]
@@ -338,10 +387,8 @@ def _apply_step(width: int, buckets: int):
                 x = warm[(o >= mid - l) & (o + width <= mid + r)]
                 if not len(x):
                     continue
-                with np.errstate(over="ignore"):
-                    g = ((rows[x, o : o + width].astype(np.uint64) + np.uint64(1)) * np.cumprod(np.full(width, _A, np.uint64), dtype=np.uint64)).sum(1, dtype=np.uint64)
-                    g ^= g >> np.uint64(31)
-                _, one, back = np.unique(g, return_index=True, return_inverse=True)
+                window, g = _windows(rows, x, o, width)
+                one, back = _alike(g, window)
                 sent = (bits[x] >> np.uint64(o)) & np.uint64(1) == 1
                 answered = np.zeros(len(one), bool)
                 np.logical_or.at(answered, back, sent)
@@ -375,14 +422,14 @@ def dedup_substrings(docs: DataFrame, width: int = 50, block_bytes: int | None =
     character). Null texts are empty; texts under `width` bytes keep all; rows with equal doc_ids do not count as earlier
     than each other; a null doc_id counts as the largest one. Repeated rows keep a row each. An empty table gives no rows.
 
-    Blocks grow with the root of the input, 4 to 256 MB, so tasks stay bounded and blocks' exchanges do not outgrow it.
+    Blocks have 4 MB of text, up to 32 MB where the input has over a terabyte: a task's memory does not grow beyond that.
     An anchor in more than `hot` blocks is compared by its windows' own hashes (same result, no task gets it whole).
     """
     if not K < width <= 80:
         raise ValueError(f"width must be {K + 1} to 80")
     text = F.coalesce(docs["text"], F.lit(""))
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).cast("long")).first()[0]
-    block_bytes = block_bytes or min(256 << 20, max(4 << 20, int(25 * total**0.5)))
+    block_bytes = block_bytes or min(32 << 20, max(4 << 20, int(25 * total**0.5)))
     blocks = max(1, -(-total // block_bytes))
     buckets = max(8, -(-total // (4 * block_bytes)))
     last = F.lit((1 << 63) - 1)

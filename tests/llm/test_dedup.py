@@ -42,6 +42,21 @@ def test_substrings_equal_brute_force(make, settings):
     assert got == removed_by_brute_force([(i, t.encode()) for i, t in rows], settings.get("width", 50))
 
 
+def test_longest_previous_factors():
+    r = np.random.default_rng(3)
+    for trial in range(30):
+        n, width = int(r.integers(1, 60)), 6
+        rows = r.integers(1, 3, (n, width)).astype(np.uint8)
+        doc, group = r.integers(0, 9, n), r.integers(0, 3, n).astype(np.uint64)
+        order, factor = substrings.longest_previous(rows, doc, group)
+        common = lambda a, b: next((k for k in range(width) if rows[a][k] != rows[b][k]), width)
+        want = [max((common(i, j) for j in range(n) if group[i] == group[j] and doc[j] < doc[i]), default=0) for i in order]
+        assert factor.tolist() == want
+    keys, rows = np.array([5, 5, 6, 5, 6], np.uint64), np.array([[1], [2], [3], [1], [2]], np.uint8)
+    first, number = substrings._alike(keys, rows)
+    assert [rows[first[i]][0] for i in number] == [1, 2, 3, 1, 2]  # equal hashes do not make equal bytes
+
+
 def test_substrings_odd(odd, empty):
     got = substrings.dedup_substrings(odd).collect()
     assert len(got) == odd.count()
