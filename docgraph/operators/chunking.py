@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docgraph.functions.session import cut
+
 
 def token_windows(n, most: int = 1024, least: int = 512, overlap: int = 256) -> Column:
     """Windows (start, end) over n tokens: up to `most` each, `most - overlap` apart, the last one moved back to hold `least`."""
@@ -22,10 +24,39 @@ def token_windows(n, most: int = 1024, least: int = 512, overlap: int = 256) ->
     return F.when(n > 0, windows).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
-def pages_of_window(pages, start, end) -> Column:
-    """The pages (page, start, end) that a window touches; [1] if none."""
-    hit = F.transform(F.filter(pages, lambda p: ~((end <= p["start"]) | (start >= p["end"]))), lambda p: p["page"])
-    return F.when(F.size(hit) > 0, hit).otherwise(F.array(F.lit(1)))
+def pages_of_windows(docs: DataFrame, pages: DataFrame, size: int) -> DataFrame:
+    """(doc_id, chunk_index, pages): of each window of `size` characters the pages it touches, comma-joined; '1' if none.
+
+    docs (doc_id, n_chars), pages (doc_id, page, start, n). A page goes to the windows that its own characters reach, so
+    the interval join is an equality join by window.
+    """
+    i = F.col("chunk_index")
+    windows = docs.select("doc_id", "n_chars", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n_chars") / size))).alias("chunk_index"))
+    touched = F.sequence(F.floor(F.col("start") / size), F.floor(F.greatest(F.col("start") + F.col("n") - 1, F.col("start")) / size))
+    hit = pages.select("doc_id", "page", "start", "n", F.explode(touched).alias("chunk_index")).where(i * size < F.col("start") + F.col("n"))
+    hit = windows.join(hit, ["doc_id", "chunk_index"], "left").withColumn("page", F.when(F.least((i + 1) * size, F.col("n_chars")) > F.col("start"), F.col("page")))
+    hit = hit.groupBy("doc_id", "chunk_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list("page")), lambda x: x.cast("string")), ",").alias("pages"))
+    return hit.withColumn("pages", F.when(F.col("pages") == "", "1").otherwise(F.col("pages")))
+
+
+def running(df: DataFrame, order: list[Column], value: Column, out: str, slices: int | None = None) -> DataFrame:
+    """df with `out`: the running sum of value, itself included, in order over the whole table.
+
+    Rows are dealt into ranges of the order and summed within each; ranges' totals, a row each, are summed before them. So
+    no task sees the whole table. Rows that tie in every key are put in no stated order.
+    """
+    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = cut(df.withColumn("__value", value).repartitionByRange(slices, *order).withColumn("__slice", F.spark_partition_id()))
+    total = parts.groupBy("__slice").agg(F.sum("__value").alias("__total"))
+    ahead = Window.partitionBy(F.lit(0)).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    total = total.select("__slice", F.coalesce(F.sum("__total").over(ahead), F.lit(0)).alias("__before"))
+    within = Window.partitionBy("__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return parts.withColumn(out, F.sum("__value").over(within)).join(F.broadcast(total), "__slice").withColumn(out, F.col(out) + F.col("__before")).drop("__slice", "__value", "__before")
+
+
+def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """df with `out`: each row's place from 1 in the order."""
+    return running(df, order, F.lit(1).cast("long"), out)
 
 
 def groups_of(rows: DataFrame, by: str, order: str, size: int = 10) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docgraph.operators.chunking import running
+
 
 def distribution(scores: DataFrame, by: str, score: str = "score") -> DataFrame:
     """(by, score, n, pct): counts of scores of 0 or more within each `by`, and their share in percent."""
@@ -44,8 +46,7 @@ def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """The signed-rank statistic V of a over b: mean ranks of |a - b| over the pairs that differ, summed where a is more, with its normal z."""
     d = pairs.select((F.col(a) - F.col(b)).alias("d")).where("d <> 0").withColumn("m", F.abs("d"))
     sizes = d.groupBy("m").agg(F.count("*").alias("t"), F.sum((F.col("d") > 0).cast("long")).alias("up"))
-    # distinct differences are few (scores are small whole numbers), so their running count is one small window
-    run = sizes.withColumn("rank", F.sum("t").over(Window.partitionBy(F.lit(0)).orderBy("m")) - (F.col("t") - 1) / 2)
+    run = running(sizes, [F.col("m")], F.col("t"), "upto").withColumn("rank", F.col("upto") - (F.col("t") - 1) / 2)
     s = run.agg(F.sum(F.col("rank") * F.col("up")).alias("v"), F.sum("t").alias("n"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     mean, var = F.col("n") * (F.col("n") + 1) / 4, F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("ties") / 48
     return s.select(F.round("v", 6).alias("v"), "n", F.round((F.col("v") - mean) / F.sqrt(var), 6).alias("z"))

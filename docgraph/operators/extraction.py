@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
-from docgraph.functions.text import looks_corrupted, text_and_ocr
+from docgraph.functions.session import cut
+from docgraph.functions.text import looks_corrupted
 
 
 def normalised(s) -> Column:
@@ -57,10 +58,6 @@ def length_report(pages: DataFrame) -> DataFrame:
     return pages.groupBy(F.col("final_text_source").alias("source")).agg(F.count("*").alias("pages"), F.count_if(bad).alias("mismatches"))
 
 
-def page_text(text, ocr) -> Column:
-    return text_and_ocr(text, ocr)
-
-
 def missing_numbers(ids: DataFrame, column: str) -> DataFrame:
     """(n, state): whole numbers from 1 to the largest id that are missing, and ids under 1."""
     top = ids.agg(F.coalesce(F.max(column), F.lit(0)).alias("m"))
@@ -120,11 +117,12 @@ def halves(s: pd.Series) -> pd.Series:
 def split_and_retry(items: DataFrame, work, depth: int = 3) -> tuple[DataFrame, DataFrame]:
     """Runs `work` (a DataFrame function that adds `error`) on items (id, text); what fails is halved and tried again.
 
-    Parts are named id::part1 and id::part2. Returns the rows that worked and those that failed to the end.
+    Parts are named id::part1 and id::part2. Returns the rows that worked and those that failed to the end. Each level is
+    kept, so work is done once for each part.
     """
     done, left = None, items
     for level in range(depth + 1):
-        out = work(left)
+        out = cut(work(left))
         good, bad = out.where("error is null"), out.where("error is not null")
         done = good if done is None else done.unionByName(good)
         if level < depth:

@@ -4,23 +4,120 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructType
 
-from docgraph.functions.vectors import cosine, index_score
+from docgraph.functions.vectors import index_score
 
 
-def with_scores(items: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """items x queries (qid, q), cosine of every pair. Queries are a stated set, small beside the items; their number is checked before they are broadcast."""
-    few = F.broadcast(queries) if queries.limit(10_001).count() <= 10_000 else queries
-    return items.join(few, F.lit(True)).withColumn("cos", F.round(cosine(F.col(vector), F.col("q")), 6)).withColumn("score_index", F.round(index_score(F.col("cos")), 7)).drop("q")
+def _units(vectors) -> np.ndarray:
+    """Rows of unit length from a column of lists; missing and zero vectors are rows of zeros, short ones are filled up with zeros."""
+    lists = [v if v is not None else () for v in vectors]
+    out = np.zeros((len(lists), max(map(len, lists), default=0)))
+    for i, v in enumerate(lists):
+        out[i, : len(v)] = v
+    n = np.sqrt((out * out).sum(1))
+    return out / np.where(n > 0, n, 1)[:, None]
 
 
-def top_k(scored: DataFrame, k: int, id_col: str = "vec_id", where: Column | None = None, mode: str = "pre", fetch: int | None = None) -> DataFrame:
-    """Each query's k best by cosine, ties by id. `where` filters before the ranking (pre) or after the best `fetch` (post)."""
-    if where is not None:
-        scored = scored.where(where) if mode == "pre" else top_k_per_query(scored, fetch or 3 * k, id_col).where(where)
-    return top_k_per_query(scored, k, id_col)
+def _blocks(queries: DataFrame, most: int):
+    """The queries (qid, q) in blocks of ids and unit vectors of about `most` bytes, for one pass over the items each.
+
+    Their values are counted before any of them is gathered, and one block at a time is.
+    """
+    size = queries.agg(F.coalesce(F.sum(F.size("q")), F.lit(0))).first()[0]
+    blocks = max(1, -(-8 * size // most))
+    for k in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k).select("qid", "q").collect()
+        yield [r.qid for r in rows], _units([r.q for r in rows])
+
+
+def _cosines(items: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Every item's cosine with every query, to six places."""
+    n = min(items.shape[1], queries.shape[1])
+    return np.round(items[:, :n] @ queries[:, :n].T, 6) + 0.0
+
+
+def _product(items: DataFrame, queries: DataFrame, vector: str, schema: StructType, make, block_bytes: int) -> DataFrame:
+    """The union over blocks of queries of make(batches of (items, cosines), ids) per task. A block is broadcast, items stay where they are."""
+    at, out = items.columns.index(vector), None
+    for ids, units in _blocks(queries, block_bytes):
+        shared = items.sparkSession.sparkContext.broadcast((ids, units))
+
+        def run(batches, shared=shared):
+            ids, units = shared.value
+            parts = (batch.slice(i, 4096) for batch in batches for i in range(0, batch.num_rows, 4096))
+            yield from make(((p, _cosines(_units(p.column(at).to_numpy(zero_copy_only=False)), units)) for p in parts), ids)
+
+        got = items.mapInArrow(run, schema)
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def _scored_schema(items: DataFrame, queries: DataFrame, vector: str) -> StructType:
+    return StructType([f for f in items.schema if f.name != vector]).add("qid", queries.schema["qid"].dataType).add("cos", DoubleType())
+
+
+def _rows(batch: pa.RecordBatch, vector: int, row: np.ndarray, ids: list, query: np.ndarray, cos: np.ndarray) -> pa.RecordBatch:
+    kept = batch.select([i for i in range(batch.num_columns) if i != vector]).take(pa.array(row))
+    return pa.RecordBatch.from_arrays([*kept.columns, pa.array(ids).take(pa.array(query)), pa.array(cos)], [*kept.schema.names, "qid", "cos"])
+
+
+def with_scores(items: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: str = "embedding", block_bytes: int = 32 << 20) -> DataFrame:
+    """items (without the vector) for each of the queries (qid, q), with the cosine of the pair and its index score.
+
+    Vectors are brought to unit length once and multiplied in blocks; missing and zero vectors have cosine 0.
+    """
+    at = items.columns.index(vector)
+
+    def make(parts, ids):
+        for batch, cos in parts:
+            if len(ids):
+                row, query = np.divmod(np.arange(cos.size), len(ids))
+                yield _rows(batch, at, row, ids, query, cos.ravel())
+
+    got = _product(items, queries, vector, _scored_schema(items, queries, vector), make, block_bytes)
+    return got.withColumn("score_index", F.round(index_score(F.col("cos")), 7))
+
+
+def search(items: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", block_bytes: int = 32 << 20) -> DataFrame:
+    """Each query's k nearest items by cosine, ties by id, with their rank and index score, and without the vector.
+
+    A task keeps k items a query while it multiplies block after block, so only tasks' bests are shuffled, never all pairs.
+    """
+    at = items.columns.index(vector)
+
+    def make(parts, ids):
+        best = None
+        for batch, cos in parts:
+            if not len(ids) or not batch.num_rows:
+                continue
+            least = np.partition(cos, -k, axis=0)[-k] if k < len(cos) else -2.0
+            row, query = np.nonzero(cos >= least)
+            got = _rows(batch, at, row, ids, query, cos[row, query]).append_column("__q", pa.array(query))
+            best = pa.Table.from_batches([got]) if best is None else pa.concat_tables([best, pa.Table.from_batches([got])])
+            best = best.sort_by([("__q", "ascending"), ("cos", "descending"), (id_col, "ascending")])
+            q = best.column("__q").to_numpy()
+            best = best.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < k)).combine_chunks()
+        if best is not None:
+            yield from best.drop_columns(["__q"]).to_batches()
+
+    got = _product(items, queries, vector, _scored_schema(items, queries, vector), make, block_bytes)
+    return top_k_per_query(got, k, id_col).withColumn("score_index", F.round(index_score(F.col("cos")), 7))
+
+
+def mean_similarity(items: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: str = "embedding", block_bytes: int = 32 << 20) -> DataFrame:
+    """(id, mean_cos): each item's mean cosine, to six places each, over all queries. A row per item and block, no pairs."""
+
+    def make(parts, ids):
+        for batch, cos in parts:
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(id_col)), pa.array(cos.sum(1)), pa.array(np.full(batch.num_rows, len(ids)))], [id_col, "total", "n"])
+
+    schema = StructType([items.schema[id_col]]).add("total", DoubleType()).add("n", LongType())
+    got = _product(items.select(id_col, vector), queries, vector, schema, make, block_bytes)
+    return got.groupBy(id_col).agg((F.sum("total") / F.sum("n")).alias("mean_cos"))
 
 
 def top_k_per_query(scored: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
@@ -36,14 +133,14 @@ def fuse(ranked: DataFrame, key: str, k: int = 60) -> DataFrame:
 
 def best_per_key(rows: DataFrame, key: str, score: str, seq: str) -> DataFrame:
     """Of each key the row with the highest score; missing scores are 0 and the first in `seq` wins ties."""
-    w = Window.partitionBy(key).orderBy(F.coalesce(F.col(score), F.lit(0.0)).desc(), seq)
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    best = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.struct(-F.coalesce(F.col(score), F.lit(0.0)), seq))
+    return rows.groupBy(F.col(key).alias("__key")).agg(best.alias("__row")).select("__row.*")
 
 
-def reserved_quota(scored: DataFrame, reserved: Column, least: int, k: int, id_col: str = "vec_id") -> DataFrame:
-    """Per query up to `least` of the reserved rows first, then the best of the others, k in all; rank says the order."""
-    first = top_k_per_query(scored.where(reserved), least, id_col).withColumn("part", F.lit(0))
-    rest = top_k_per_query(scored, k + least, id_col).join(first.select("qid", id_col), ["qid", id_col], "left_anti").withColumn("part", F.lit(1))
+def reserved_quota(items: DataFrame, queries: DataFrame, reserved: Column, least: int, k: int, id_col: str = "vec_id") -> DataFrame:
+    """Per query up to `least` of the reserved items first, then the best of the others, k in all; rank says the order."""
+    first = search(items.where(reserved), queries, least, id_col).withColumn("part", F.lit(0))
+    rest = search(items, queries, k + least, id_col).join(first.select("qid", id_col), ["qid", id_col], "left_anti").withColumn("part", F.lit(1))
     w = Window.partitionBy("qid").orderBy("part", F.desc("cos"), id_col)
     return first.unionByName(rest).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).drop("part")
 
@@ -68,3 +165,33 @@ def mmr(candidates: DataFrame, keep: int = 12, balance: float = 0.7) -> DataFram
         return pd.DataFrame({"qid": group.qid.iloc[out].to_numpy(), "id": group.id.iloc[out].to_numpy(), "rank": np.arange(1, len(out) + 1)})
 
     return candidates.select("qid", "id", "score", "embedding").groupBy("qid").applyInPandas(run, "qid long, id long, rank long")
+
+
+def containing(texts: DataFrame, text_id: str, items: DataFrame, item_id: str, words: int = 5, most_bytes: int = 32 << 20) -> DataFrame:
+    """(text_id, item_id) of every text that contains an item's text, character by character.
+
+    An item's inner words stand whole in any text that contains it, so pairs come from an equality join on the hash of some
+    of them: its first `words` inner ones, or as many as it has. What meets is then compared exactly. Items of two words or
+    fewer have no inner one and are looked for in every text; only these are, and their bytes are counted first.
+    """
+    split = lambda c: F.array_remove(F.split(c, r"\s+"), "")
+    i = items.select(F.col(item_id), F.col("text").alias("item"), split(F.col("text")).alias("w")).where("item is not null")
+    i = i.withColumn("n", F.least(F.lit(words), F.size("w") - 2))
+    key = lambda w, at, n: F.xxhash64(n, F.array_join(F.slice(w, at, n), " "))
+    long = i.where("n > 0").select(item_id, "item", key(F.col("w"), F.lit(2), F.col("n")).alias("key"))
+    gram = lambda n: lambda at: key(F.col("w"), at, F.lit(n))
+    lengths = [r.n for r in i.where("n > 0").select("n").distinct().collect()]  # `words` different ones at most
+    t = texts.select(F.col(text_id), "text", split(F.col("text")).alias("w"))
+    found = texts.select(text_id).join(items.select(item_id), F.lit(False)) if not lengths else None
+    for n in lengths:
+        grams = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), gram(n))
+        met = t.where(F.size("w") >= n).select(text_id, F.explode(F.array_distinct(grams)).alias("key")).join(long, "key").select(text_id, item_id).distinct()
+        found = met if found is None else found.unionByName(met)
+    found = found.distinct().join(texts.select(text_id, "text"), text_id).join(long.select(item_id, "item"), item_id).where(F.col("text").contains(F.col("item"))).select(text_id, item_id)
+    short = i.where("n <= 0").select(item_id, "item")
+    size = short.agg(F.coalesce(F.sum(F.octet_length("item") + 64), F.lit(0))).first()[0]
+    if not size:
+        return found
+    if size > most_bytes:
+        raise ValueError("too many items of one or two words to look for in every text")
+    return found.unionByName(texts.join(F.broadcast(short), F.col("text").contains(F.col("item"))).select(text_id, item_id))

@@ -42,41 +42,46 @@ SCORED = f"scored as (select q.vec_id as qid, e.vec_id, e.label, {COS} as cos fr
 RANKED = f"{SCORED}, ranked as (select *, row_number() over (partition by qid order by cos desc, vec_id) as rank from scored)"
 
 
+def _vectors(spark, sf):
+    """All vectors, and as queries every one whose id is divisible by 50."""
+    e = t(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    return e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+
+
 def _scored(spark, sf):
-    """Every vector whose id is divisible by 50 as a query, against all vectors."""
-    e = t(spark, sf, "embeddings")
-    return retrieval.with_scores(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))).drop("embedding")
+    return retrieval.with_scores(*_vectors(spark, sf))
 
 
 @query(f"with {RANKED} select qid, vec_id, label, cos, round((1 + cos) / 2, 7) as score_index from ranked where rank <= 15")
 def knn_topk(spark, sf):
-    return retrieval.top_k(_scored(spark, sf), 15).select("qid", "vec_id", "label", "cos", "score_index")
+    return retrieval.search(*_vectors(spark, sf), 15).select("qid", "vec_id", "label", "cos", "score_index")
 
 
 @query(f"with {RANKED} select qid, vec_id, cos, rank from ranked where rank <= 20")
 def knn_topk_per_query(spark, sf):
-    return retrieval.top_k_per_query(_scored(spark, sf), 20).select("qid", "vec_id", "cos", "rank")
+    return retrieval.search(*_vectors(spark, sf), 20).select("qid", "vec_id", "cos", "rank")
 
 
 @query(f"with {SCORED} select qid, vec_id, label, cos from scored where label in (1, 3) qualify row_number() over (partition by qid order by cos desc, vec_id) <= 12")
 def knn_prefilter(spark, sf):
-    return retrieval.top_k(_scored(spark, sf), 12, where=F.col("label").isin(1, 3)).select("qid", "vec_id", "label", "cos")
+    items, queries = _vectors(spark, sf)
+    return retrieval.search(items.where(F.col("label").isin(1, 3)), queries, 12).select("qid", "vec_id", "label", "cos")
 
 
 @query(f"with {RANKED} select qid, vec_id, label, cos from ranked where rank <= 36 and label in (1, 3) qualify row_number() over (partition by qid order by rank) <= 12")
 def knn_postfilter(spark, sf):
-    return retrieval.top_k(_scored(spark, sf), 12, where=F.col("label").isin(1, 3), mode="post").select("qid", "vec_id", "label", "cos")
+    return retrieval.top_k_per_query(retrieval.search(*_vectors(spark, sf), 36).where(F.col("label").isin(1, 3)), 12).select("qid", "vec_id", "label", "cos")
 
 
 @query(f"""with {RANKED}
 select vec_id, round(sum(1.0::double / (60 + rank)), 9) as fused, max(cos) as best from ranked where rank <= 20 group by vec_id order by fused desc, best desc, vec_id limit 12""")
 def rrf_fusion(spark, sf):
-    return retrieval.fuse(retrieval.top_k_per_query(_scored(spark, sf), 20), "vec_id").orderBy(F.desc("fused"), F.desc("best"), "vec_id").limit(12)
+    return retrieval.fuse(retrieval.search(*_vectors(spark, sf), 20), "vec_id").orderBy(F.desc("fused"), F.desc("best"), "vec_id").limit(12)
 
 
 @query(f"with {SCORED} select vec_id, round(avg(cos), 9) as mean_cos from scored group by vec_id order by mean_cos desc, vec_id limit 30")
 def rerank_mean_similarity(spark, sf):
-    m = _scored(spark, sf).groupBy("vec_id").agg(F.round(F.avg("cos"), 9).alias("mean_cos"))
+    m = retrieval.mean_similarity(*_vectors(spark, sf)).withColumn("mean_cos", F.round("mean_cos", 9))
     return m.orderBy(F.desc("mean_cos"), "vec_id").limit(30)
 
 
@@ -89,20 +94,20 @@ def best_per_key_merge(spark, sf):
 b as (select *, 0 as part from a union all select s.*, 1 from scored s anti join a using (qid, vec_id))
 select qid, vec_id, label, cos, row_number() over (partition by qid order by part, cos desc, vec_id) as rank from b qualify rank <= 40""")
 def reserved_quota_topk(spark, sf):
-    return retrieval.reserved_quota(_scored(spark, sf), F.col("label") == 2, 6, 40).select("qid", "vec_id", "label", "cos", "rank")
+    return retrieval.reserved_quota(*_vectors(spark, sf), F.col("label") == 2, 6, 40).select("qid", "vec_id", "label", "cos", "rank")
 
 
 @query()
 def mmr_select(spark, sf):
     e = t(spark, sf, "embeddings")
-    best = retrieval.top_k_per_query(_scored(spark, sf), 60).select("qid", F.col("vec_id").alias("id"), F.col("cos").alias("score"))
+    best = retrieval.search(*_vectors(spark, sf), 60).select("qid", F.col("vec_id").alias("id"), F.col("cos").alias("score"))
     return retrieval.mmr(best.join(e.select(F.col("vec_id").alias("id"), "embedding"), "id"))
 
 
 @query(f"""with {RANKED}, cut as (select *, row_number() over (partition by qid order by vec_id) as seq from ranked where rank <= 200)
 select qid, vec_id, cos from cut where seq <= 100 qualify row_number() over (partition by qid order by cos desc, seq) <= 40""")
 def candidate_cap_rerank(spark, sf):
-    near = retrieval.top_k_per_query(_scored(spark, sf), 200)
+    near = retrieval.search(*_vectors(spark, sf), 200)
     seq = F.row_number().over(Window.partitionBy("qid").orderBy("vec_id"))
     n = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cos"), "seq"))
     return near.withColumn("seq", seq).where("seq <= 100").withColumn("n", n).where("n <= 40").select("qid", "vec_id", "cos")
@@ -118,33 +123,34 @@ EDGES = """edges as (
 
 
 def _edges(spark, sf):
-    for name in ("orders", "lineitem", "supplier"):
-        t(spark, sf, name).createOrReplaceTempView(f"edge_{name}")
-    sql = EDGES.split("as (", 1)[1].rsplit(")", 1)[0]
-    for name in ("orders", "lineitem", "supplier"):
-        sql = sql.replace(f"from {name}", f"from edge_{name}")
-    return spark.sql(sql)
+    orders, lines, suppliers = (t(spark, sf, n) for n in ("orders", "lineitem", "supplier"))
+    placed = orders.selectExpr("concat('o', o_orderkey, '>c') as uid", "concat('c', o_custkey) as s", "'placed' as p", "concat('o', o_orderkey) as o")
+    has = lines.select("l_orderkey", "l_partkey").distinct().selectExpr("concat('o', l_orderkey, '>p', l_partkey)", "concat('o', l_orderkey)", "'has'", "concat('p', l_partkey)")
+    made = lines.select("l_partkey", "l_suppkey").distinct().selectExpr("concat('p', l_partkey, '>s', l_suppkey)", "concat('p', l_partkey)", "'from'", "concat('s', l_suppkey)")
+    seat = suppliers.selectExpr("concat('s', s_suppkey, '>n')", "concat('s', s_suppkey)", "'in'", "concat('n', s_nationkey)")
+    return placed.union(has).union(made).union(seat)
 
 
-HOPS = """, recursive_hops as (select uid, s, p, o, 1 as hop from edges where s in ('c1', 'c2', 'c4')),
+HOPS = """, recursive_hops as (select uid, s, p, o, 1 as hop from edges where s in (select 'c' || c_custkey from customer where c_custkey % 50 = 0)),
 h2 as (select distinct e.uid, e.s, e.p, e.o, 2 as hop from edges e join recursive_hops h on e.s = h.o{0}),
 h3 as (select distinct e.uid, e.s, e.p, e.o, 3 as hop from edges e join h2 h on e.s = h.o{0}),
 h4 as (select distinct e.uid, e.s, e.p, e.o, 4 as hop from edges e join h3 h on e.s = h.o{0})
 select uid, s, p, o, min(hop)::bigint as hop from (select * from recursive_hops union all select * from h2 union all select * from h3 union all select * from h4) group by uid, s, p, o"""
 
 
-def _starts(spark):
-    return spark.createDataFrame([("c1",), ("c2",), ("c4",)], "node string")
+def _starts(spark, sf):
+    """As starts every customer whose key is divisible by 50."""
+    return t(spark, sf, "customer").where("c_custkey % 50 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
 
 
 @query(f"with {EDGES}{HOPS.format('')}")
 def khop_expand(spark, sf):
-    return graph.expand(_edges(spark, sf), _starts(spark), 4)
+    return graph.expand(_edges(spark, sf), _starts(spark, sf), 4)
 
 
 @query("with " + EDGES.replace("edges as", "every as") + ", edges as (select * from every where p in ('placed', 'has'))" + HOPS.format(""))
 def khop_predicate_filtered(spark, sf):
-    return graph.expand(_edges(spark, sf), _starts(spark), 4, allowed=F.col("p").isin("placed", "has"))
+    return graph.expand(_edges(spark, sf), _starts(spark, sf), 4, allowed=F.col("p").isin("placed", "has"))
 
 
 @query(f"with {EDGES} select p, count(*) as edges, count(distinct s) as subjects, count(distinct o) as objects from edges group by p")
@@ -322,11 +328,11 @@ p as (select doc_id, page, coalesce(sum(length(line) + 1) over (partition by doc
 w as (select doc_id, n_chars, unnest(range(0, (n_chars // 800) + 1)) as i from documents)
 select w.doc_id, i as chunk_index, coalesce(string_agg(page, ',' order by page) filter (least((i + 1) * 800, n_chars) > s and i * 800 < s + n), '1') as pages from w join p using (doc_id) group by w.doc_id, i""")
 def page_overlap(spark, sf):
-    d = t(spark, sf, "documents").withColumn("lines", F.split("text", "\n"))
-    pages = F.expr("transform(lines, (x, i) -> named_struct('page', i + 1, 'start', aggregate(slice(lines, 1, i), 0, (a, y) -> a + length(y) + 1), 'end', aggregate(slice(lines, 1, i), 0, (a, y) -> a + length(y) + 1) + length(x)))")
-    w = d.withColumn("pages", pages).select("doc_id", "n_chars", "pages", F.explode(F.expr("sequence(0L, n_chars div 800)")).alias("chunk_index"))
-    hit = chunking.pages_of_window(F.col("pages"), F.col("chunk_index") * 800, F.least((F.col("chunk_index") + 1) * 800, F.col("n_chars")))
-    return w.select("doc_id", "chunk_index", F.array_join(F.transform(hit, lambda x: x.cast("string")), ",").alias("pages"))
+    d = t(spark, sf, "documents")
+    pages = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).select("doc_id", (F.col("p") + 1).alias("page"), F.length("line").cast("long").alias("n"))
+    w = Window.partitionBy("doc_id").orderBy("page")
+    pages = pages.withColumn("start", F.sum(F.col("n") + 1).over(w) - F.col("n") - 1)
+    return chunking.pages_of_windows(d.select("doc_id", "n_chars"), pages, 800)
 
 
 @query("select doc_id, ntile(34) over (partition by lang order by doc_id)::bigint as part from documents")
@@ -417,9 +423,9 @@ def pivot_complete_pairs(spark, sf):
     return p.where("user > 0 and assistant > 0").select("conv_id", F.col("user").alias("user_n"), F.col("assistant").alias("assistant_n"), F.col("system").alias("system_n"))
 
 
-@query("select doc_id, row_number() over (order by md5(doc_id::varchar || '42'), doc_id) - 1 as id from documents where lang = 'en' qualify id < 200")
+@query("select doc_id, row_number() over (order by md5(doc_id::varchar || '42'), doc_id) - 1 as id from documents qualify id < 200")
 def seeded_sample(spark, sf):
-    s = t(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("42"))).alias("h")).orderBy("h", "doc_id").limit(200)
+    s = t(spark, sf, "documents").select("doc_id", F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("42"))).alias("h")).orderBy("h", "doc_id").limit(200)
     return s.select("doc_id", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("h", "doc_id")) - 1).cast("long").alias("id"))
 
 
@@ -525,9 +531,7 @@ def small_parsers(spark, sf):
 
 @query("with w as (select item_id, text from benchmark) select d.doc_id, w.item_id from documents d join w on contains(d.text, w.text)")
 def benchmark_overlap(spark, sf):
-    b = t(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
-    few = F.broadcast(b) if b.limit(50_001).count() <= 50_000 else b
-    return t(spark, sf, "documents").join(few, F.col("text").contains(F.col("item"))).select("doc_id", "item_id")
+    return retrieval.containing(t(spark, sf, "documents"), "doc_id", t(spark, sf, "benchmark"), "item_id")
 
 
 @query("""with x as (select conv_id, turn, text, row_number() over (partition by conv_id order by turn) as n from conversations)
@@ -584,7 +588,7 @@ def full_outer_join(spark, sf):
 @query("select id, row_number() over (order by id is null, try_cast(id as bigint) nulls last, id) as place from (select case when doc_id % 10 = 0 then source || doc_id else doc_id::varchar end as id from documents)")
 def typed_id_sort(spark, sf):
     ids = t(spark, sf, "documents").select(F.when(F.col("doc_id") % 10 == 0, F.concat("source", F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string")).alias("id"))
-    return ids.select("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*io.typed_order("id"))).cast("long").alias("place"))
+    return chunking.numbered(ids, io.typed_order("id"), "place")
 
 
 @query("select doc_id, lang, null as source from documents where doc_id % 2 = 0 union all select doc_id, null, source from documents where doc_id % 2 = 1")
@@ -593,16 +597,15 @@ def merge_part_files(spark, sf):
     return io.merge_parts([d.where("doc_id % 2 = 0").select("doc_id", "lang"), d.where("doc_id % 2 = 1").select("doc_id", "source")])
 
 
-@query("select lang from documents where source = 'src1' intersect select lang from documents where source = 'src2'")
+@query("select user_id as id from events intersect select o_custkey from orders")
 def intersect_sets(spark, sf):
-    d = t(spark, sf, "documents")
-    return d.where("source = 'src1'").select("lang").intersect(d.where("source = 'src2'").select("lang"))
+    return t(spark, sf, "events").select(F.col("user_id").alias("id")).intersect(t(spark, sf, "orders").select("o_custkey"))
 
 
-@query("select user_id, event_type from events except select user_id, event_type from events where value > 20")
+@query("select user_id, event_type from events except select user_id, event_type from events where event_id % 3 = 0")
 def except_sets(spark, sf):
     e = t(spark, sf, "events")
-    return e.select("user_id", "event_type").exceptAll(e.where("value > 20").select("user_id", "event_type")).distinct().join(e.where("value > 20").select("user_id", "event_type").distinct(), ["user_id", "event_type"], "left_anti")
+    return e.select("user_id", "event_type").subtract(e.where("event_id % 3 = 0").select("user_id", "event_type"))
 
 
 @query("select source, n_chars, doc_id from (select *, row_number() over (partition by source order by n_chars desc, doc_id) as k from documents) where k <= 5")
@@ -614,7 +617,8 @@ def largest_n(spark, sf):
 @query("select text_key, doc_id from (select lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as text_key, doc_id, row_number() over (partition by text_key order by doc_id) as n from documents) where n = 1".replace("\\\\", "\\"))
 def dedupe_keep_first(spark, sf):
     d = t(spark, sf, "documents").select(text.slug(F.col("text")).alias("text_key"), "doc_id")
-    return d.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"))
+    # equal texts meet by their digest: texts are no shuffle keys
+    return d.groupBy(F.sha2("text_key", 256)).agg(F.first("text_key").alias("text_key"), F.min("doc_id").alias("doc_id")).select("text_key", "doc_id")
 
 
 # ---- logs and events ---------------------------------------------------------------------------------------------

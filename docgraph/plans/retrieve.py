@@ -19,9 +19,9 @@ def graph_context(entities: DataFrame, triples: DataFrame, questions: DataFrame,
     ranked by cosine and the best `k_triples` kept. A triple near in the graph competes with `k_near` others from outside only.
     """
     triples = triples.dropDuplicates(["uid"])
-    near = retrieval.top_k_per_query(retrieval.with_scores(entities, questions).drop("embedding"), k_entities)
+    near = retrieval.search(entities, questions, k_entities)
     scored = cut(retrieval.with_scores(triples, questions, id_col="uid").select("qid", "uid", "cos"))
-    found = retrieval.top_k_per_query(scored, k_near, "uid").select("qid", "uid")
+    found = retrieval.search(triples.select("uid", "embedding"), questions, k_near, id_col="uid").select("qid", "uid")
     edges = triples.select(F.col("s").alias("node"), "uid", "o")
     seen = frontier = cut(near.select("qid", F.col("key").alias("node")).distinct())
     for _ in range(hops):

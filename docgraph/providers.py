@@ -20,10 +20,14 @@ DIMENSIONS = 64
 
 
 def apply(df: DataFrame, column: str, out: str, provider: Callable[[pd.Series], pd.Series], kind: str) -> DataFrame:
-    """df with `out`: the provider's answer to each distinct value of `column`. A null input is not sent and gives null."""
+    """df with `out`: the provider's answer to each distinct value of `column`. A null input is not sent and gives null.
+
+    Values are told apart by their SHA-256, so answers come back by a short key and no text is shuffled to be joined.
+    """
     ask = F.pandas_udf(lambda s: provider(s), kind)
-    answers = df.select(F.col(column).alias("__asked")).where("__asked is not null").distinct().withColumn(out, ask("__asked"))
-    return df.join(answers, F.col(column) == F.col("__asked"), "left").drop("__asked")
+    key = F.sha2(F.col(column), 256)
+    answers = df.where(F.col(column).isNotNull()).groupBy(key.alias("__key")).agg(F.first(column).alias("__asked")).select("__key", ask("__asked").alias(out))
+    return df.withColumn("__key", key).join(answers, "__key", "left").drop("__key")
 
 
 def embed(texts: pd.Series) -> pd.Series:

@@ -3,6 +3,7 @@
 import datetime
 import itertools
 import json
+import random
 
 import numpy as np
 import pandas as pd
@@ -247,3 +248,45 @@ def test_question_names_keep_every_digit(spark, tmp_path):
     spark.createDataFrame([(7,), (123,), (1234,), (12345,)], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
     got = {r.qid: r.name for r in plans.QUERIES["question_ids"](spark, str(tmp_path)).collect()}
     assert list(map(str, got)) != [] and set(got.values()) == {"007", "123", "1234", "12345"}
+
+
+def test_containing_equals_brute_force(spark):
+    r = random.Random(5)
+    words = ["ab", "c", "dé", "e", "ff"]
+    texts = [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 40)))) for i in range(60)] + [(70, None), (71, "x\nab c")]
+    items = [(i, r.choice(texts)[1]) for i in range(30)]
+    items = [(i, t and t[r.randint(0, 3) : r.randint(4, 60)]) for i, t in items] + [(90, "ab"), (91, ""), (92, None), (93, "c dé"), (94, "zz")]
+    a = spark.createDataFrame(texts, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted((i, k) for i, t in texts for k, x in items if t is not None and x is not None and x in t)
+    assert sorted(map(tuple, retrieval.containing(a, "doc_id", b, "item_id").collect())) == want
+    assert sorted(map(tuple, retrieval.containing(a, "doc_id", b.where("item_id >= 90"), "item_id").collect())) == [x for x in want if x[1] >= 90]
+
+
+def test_search_equals_brute_force(spark):
+    r = np.random.default_rng(4)
+    v = np.round(r.normal(size=(300, 5)), 1)
+    v[7] = 0
+    items = spark.createDataFrame([(f"i{k:03}", v[k].tolist() if k != 9 else None) for k in range(300)], "id string, embedding array<double>")
+    queries = spark.createDataFrame([(k, v[k].tolist()) for k in range(0, 20)] + [(50, [1.0, 2.0])], "qid long, q array<double>")
+    q = {k: v[k] for k in range(20)} | {50: np.array([1.0, 2, 0, 0, 0])}
+    cos = lambda a, b: round(float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b))), 6) + 0.0 if np.linalg.norm(a) * np.linalg.norm(b) else 0.0
+    for size in (32 << 20, 200):
+        got = {}
+        for x in retrieval.search(items, queries, 7, id_col="id", block_bytes=size).collect():
+            got.setdefault(x.qid, {})[x["rank"]] = (x.id, x.cos)
+        for k, b in q.items():
+            want = sorted(((-cos(v[i] if i != 9 else np.zeros(5), b), f"i{i:03}") for i in range(300)))[:7]
+            assert [(got[k][n + 1][0], -got[k][n + 1][1]) for n in range(7)] == [(i, c) for c, i in want]
+        assert retrieval.with_scores(items, queries, id_col="id", block_bytes=size).count() == 300 * 21
+        mean = {x.id: x.mean_cos for x in retrieval.mean_similarity(items, queries, id_col="id", block_bytes=size).collect()}
+        assert mean["i003"] == pytest.approx(np.mean([cos(v[3], b) for b in q.values()]))
+    assert retrieval.search(items, queries.limit(0), 7, id_col="id").count() == 0
+
+
+def test_numbering_and_windows_of_pages(spark):
+    r = random.Random(2)
+    rows = [(r.choice([None, "7", "12", "x", "3b"]), i) for i in range(200)]
+    got = chunking.numbered(spark.createDataFrame(rows, "id string, n int"), [*io.typed_order("id"), F.col("n")], "place").collect()
+    key = lambda x: (x[0] is None, not (x[0] or "").isdigit(), int(x[0]) if (x[0] or "").isdigit() else 0, x[0] or "", x[1])
+    assert [(x.id, x.n) for x in sorted(got, key=lambda x: x.place)] == sorted(rows, key=key) and {x.place for x in got} == set(range(1, 201))
