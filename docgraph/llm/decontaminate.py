@@ -56,59 +56,56 @@ class Words:
         return b" ".join(self.bytes[a:b].tobytes() for a, b in zip(self.start[i : i + n].tolist(), self.end[i : i + n].tolist()))
 
 
+#: Shingles' frequencies are told apart in so many slots, whatever the tables' sizes.
+SLOTS = 1 << 18
+
+
+def _slot(k: int, h: np.ndarray) -> np.ndarray:
+    return (((h ^ np.uint64(k)) * np.uint64(_P)) >> np.uint64(46)).astype(np.int64)
+
+
 class Windows:
-    """Every item's windows of `window` words (an item of fewer is one window), as sets of `n`-word shingles."""
-
-    def __init__(self, ids: list, texts: list[bytes], window: int, n: int):
-        off = np.cumsum([0, *map(len, texts)])
-        w = Words(np.frombuffer(b"".join(texts), np.uint8), off)
-        at, size, item = [], [], []
-        for i, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist())):
-            starts = range(a, max(a + 1, b - window + 1)) if b > a else ()
-            at += starts
-            size += [min(window, b - a)] * len(starts)
-            item += [i] * len(starts)
-        self.ids, self.item = ids, np.array(item, np.int64)
-        self.size = np.array(size, np.int64)
-        self.words = [w.joined(i, k) for i, k in zip(at, size)]
-        self.n, self.lengths = n, sorted({min(n, k) for k in size})
-        shingles = {k: w.shingles(k) for k in self.lengths}
-        #: (length, hash) of each window's shingles, in place.
-        self.sets = [[(min(n, k), int(shingles[min(n, k)][i + j])) for j in range(k - min(n, k) + 1)] for i, k in zip(at, size)]
-
-    def seen(self, words: Words) -> dict[int, np.ndarray]:
-        """Which of the texts' shingles, per length, any window has: positions."""
-        out = {}
-        for k in self.lengths:
-            mine = np.unique(np.array([h for s in self.sets for m, h in s if m == k], np.uint64))
-            out[k] = _within(words, k, np.flatnonzero(np.isin(words.shingles(k), mine)))
-        return out
-
-    def prefixes(self, frequency: dict[tuple[int, int], int], containment: float) -> dict:
-        """Per length: sorted prefix hashes and, for each, the windows and the place in them. Rarest shingles first.
-
-        A set that must share c of its s shingles shares one of any s - c + 1, so the rarest so many suffice.
-        """
-        found: dict = {k: {} for k in self.lengths}
-        for i, s in enumerate(self.sets):
-            need = max(1, int(np.ceil(containment * len(s) - 1e-9)))
-            for j in sorted(range(len(s)), key=lambda j: (frequency.get(s[j], 0), s[j], j))[: len(s) - need + 1]:
-                found[s[j][0]].setdefault(s[j][1], []).append((i, j))
-        out = {}
-        for k, d in found.items():
-            keys = np.array(sorted(d), np.uint64)
-            lists = [d[int(h)] for h in keys]
-            out[k] = keys, np.cumsum([0, *map(len, lists)]), np.array([x for y in lists for x in y], np.int64).reshape(-1, 2)
-        return out
+    """The windows of `window` words of some items (an item of fewer words is one window), each found by its rarest shingle.
+
+    A window is a set of shingles of `n` words; all of them must be in a text that holds it, so of the sets ordered by rarity
+    a prefix of one is necessary: the shingle whose slot has the lowest count. All is kept in arrays over the items' words.
+    """
+
+    def __init__(self, ids: list, buf: np.ndarray, off: np.ndarray, window: int, n: int, counts: np.ndarray):
+        self.ids, self.words = ids, (w := Words(buf, off))
+        many = np.diff(w.first)
+        each = np.where(many > 0, np.maximum(many - window + 1, 1), 0)
+        self.item = np.repeat(np.arange(len(many)), each)
+        self.begin = w.first[:-1][self.item] + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        self.size = np.minimum(many, window)[self.item]
+        #: By shingle length: sorted hashes, where each one's windows begin, and for each of these the window and the place in it.
+        self.prefixes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        place = np.zeros(len(self.size), np.int64)
+        key = np.zeros(len(self.size), np.uint64)
+        for size in np.unique(self.size).tolist():
+            k, mine = min(n, size), np.flatnonzero(self.size == size)
+            h = w.shingles(k)
+            seen = counts[_slot(k, h)]
+            best = self.begin[mine]
+            for j in range(1, size - k + 1):
+                at = self.begin[mine] + j
+                rarer = (seen[at] < seen[best]) | ((seen[at] == seen[best]) & (h[at] < h[best]))
+                best = np.where(rarer, at, best)
+            place[mine], key[mine] = best - self.begin[mine], h[best]
+        for k in np.unique(np.minimum(self.size, n)).tolist():
+            mine = np.flatnonzero(np.minimum(self.size, n) == k)
+            mine = mine[np.argsort(key[mine], kind="stable")]
+            hashes, first = np.unique(key[mine], return_index=True)
+            self.prefixes[k] = hashes, np.r_[first, len(mine)], mine, place[mine]
 
 
 def _within(words: Words, n: int, at: np.ndarray) -> np.ndarray:
     return at[words.text[at] == words.text[at + n - 1]] if len(at) else at
 
 
-def _matches(words: Words, windows: Windows, prefixes: dict):
+def _matches(words: Words, windows: Windows):
     """(first word, window) of every verified occurrence in the texts."""
-    for k, (keys, start, places) in prefixes.items():
+    for k, (keys, start, window, place) in windows.prefixes.items():
         h = words.shingles(k)
         if not len(keys) or not len(h):
             continue
@@ -116,45 +113,53 @@ def _matches(words: Words, windows: Windows, prefixes: dict):
         at = _within(words, k, np.flatnonzero(keys[slot] == h))
         slot = slot[at]
         many = start[slot + 1] - start[slot]
-        place = places[np.repeat(start[slot] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())] if len(at) else places[:0]
-        pos, win = np.repeat(at, many) - place[:, 1], place[:, 0]
+        x = np.repeat(start[slot] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum()) if len(at) else at
+        pos, win = np.repeat(at, many) - place[x], window[x]
         # positional and length bounds: the window at this offset begins and ends in the same text
         last = pos + windows.size[win] - 1
         ok = (pos >= 0) & (last < len(words.text))
         pos, win, last = pos[ok], win[ok], last[ok]
         ok = words.text[pos] == words.text[last]
-        for p, x in zip(pos[ok].tolist(), win[ok].tolist()):
-            if words.joined(p, int(windows.size[x])) == windows.words[x]:
+        pos, win = pos[ok], win[ok]
+        # exact containment: word by word by hash, then what is left by its bytes
+        for j in range(int(windows.size.max())):
+            in_it = windows.size[win] > j
+            ok = ~in_it
+            ok[in_it] = words.hash[pos[in_it] + j] == windows.words.hash[windows.begin[win[in_it]] + j]
+            pos, win = pos[ok], win[ok]
+        for p, x in zip(pos.tolist(), win.tolist()):
+            if words.joined(p, n := int(windows.size[x])) == windows.words.joined(int(windows.begin[x]), n):
                 yield p, x
 
 
-def _frequencies(docs: DataFrame, windows: Windows) -> dict[tuple[int, int], int]:
-    """In how many documents each of the windows' shingles occurs. As many rows as the windows have shingles at most."""
+def _slots_of(texts: DataFrame, lengths: list[int], used: np.ndarray | None) -> np.ndarray:
+    """How many shingles of these lengths the texts have in each slot, of all slots or of the used ones: an array of fixed size."""
+    shared = texts.sparkSession.sparkContext.broadcast(used)
 
     def run(batches):
+        total, some = np.zeros(SLOTS, np.int64), shared.value
         for batch in batches:
             buf, off = utf8(batch.column(0))
-            total: dict = {}
             for i, j in row_slices(off):
                 w = Words(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                for k, at in windows.seen(w).items():
-                    if len(at):
-                        pairs = np.unique(np.stack([w.shingles(k)[at], w.text[at].astype(np.uint64)], 1), axis=0)
-                        h, n = np.unique(pairs[:, 0], return_counts=True)
-                        for a, b in zip(h.tolist(), n.tolist()):
-                            total[k, a] = total.get((k, a), 0) + b
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in total], pa.int32()), pa.array(np.array([h for _, h in total], np.uint64).view(np.int64)), pa.array(list(total.values()), pa.int64())], ["k", "h", "n"])
+                for k in lengths:
+                    at = _within(w, k, np.arange(max(0, len(w.hash) - k + 1)))
+                    total += np.bincount(_slot(k, w.shingles(k)[at]), minlength=SLOTS)
+        at = np.flatnonzero(total if some is None else total * some)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n")).collect()
-    return {(r.k, r.h & ((1 << 64) - 1)): r.n for r in rows}
+    rows = texts.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    return out
 
 
-def _pass(frame: DataFrame, windows: Windows, containment: float) -> DataFrame:
+def _pass(frame: DataFrame, windows: Windows) -> DataFrame:
     names = frame.columns
-    shared = frame.sparkSession.sparkContext.broadcast((windows, windows.prefixes(_frequencies(frame, windows), containment)))
+    shared = frame.sparkSession.sparkContext.broadcast(windows)
 
     def run(batches):
-        windows, prefixes = shared.value
+        windows = shared.value
         for batch in batches:
             buf, off = utf8(batch.column(1))
             n_words, spans, items = [], [], []
@@ -163,7 +168,7 @@ def _pass(frame: DataFrame, windows: Windows, containment: float) -> DataFrame:
                 w = Words(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 n_words += np.diff(w.first).tolist()
                 hits: dict = {}
-                for p, x in _matches(w, windows, prefixes):
+                for p, x in _matches(w, windows):
                     hits.setdefault(int(w.text[p]), []).append((p, x))
                 for t in range(j - i):
                     found, base = hits.get(t, ()), int(w.first[t])
@@ -181,28 +186,37 @@ def _pass(frame: DataFrame, windows: Windows, containment: float) -> DataFrame:
     return frame.mapInArrow(run, frame.schema)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, n_words, spans, items) for each row of docs: which words lie in a benchmark window, and which items have one there.
 
     Words: A-Z lower-cased, runs of digits, letters a-z and code points from U+0080 on. An item's windows are `window` words
     in a row; an item of fewer, but not none, is one. Each window is a set of `shingle`-word shingles. Shingles are ordered
-    by how many documents have them; a window is looked up by its necessary prefix (containment 1: its rarest shingle),
-    the place of the shingle bounds where it can begin and end, and its words are then compared exactly.
+    by rarity, read from counts over all documents in a table of fixed size, which one pass makes for the whole benchmark; a
+    window is looked up by its necessary prefix (all must be there, so its rarest shingle), the place of the shingle bounds
+    where it can begin and end, and its words are then compared exactly.
     spans: begin and end word of each maximal hit run, in turn. Null texts have no words; null item ids and items without
-    words match nothing. The benchmark goes to executors in blocks of at most about `block_bytes` of text, one pass each,
-    so what is broadcast stays bounded whatever its size; documents are not shuffled. Other columns are ignored.
+    words match nothing; repeated rows of docs keep a row each, repeated items count once; an empty table on either side
+    gives no rows or no hits. Items go to executors in blocks of about `block_bytes` of text (an index of some six times as
+    much), one matching pass each within one job, so what is gathered and broadcast at a time stays bounded whatever the
+    benchmark's size; documents are not shuffled. Other columns are ignored.
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text")).where("id is not null and text <> ''")
-    n, total = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
+    texts = docs.select(F.coalesce(docs["text"], F.lit("")).alias("text"))
+    words = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    lengths = sorted(r.k for r in items.select(F.least(words, F.lit(min(window, shingle))).alias("k")).distinct().collect() if r.k)
+    used = _slots_of(items.select("text"), lengths, None) > 0
+    counts = _slots_of(texts, lengths, used)
     frame = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
     for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).orderBy("id", "text").collect()
-        frame = _pass(frame, Windows([r.id for r in rows], [r.text.encode() for r in rows], window, shingle), 1.0)
+        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
+        frame = _pass(frame, Windows(rows.column("id").to_pylist(), *utf8(rows.column("text")), window, shingle, counts))
     return frame.select("doc_id", "n_words", "spans", "items")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """docs, all columns, without the documents that have a benchmark window. A doc_id goes with all its rows."""
+    """docs, all columns, without the documents that have a benchmark window. A doc_id, null included, goes with all its rows;
+    null and empty texts stay; an empty benchmark removes nothing."""
     bad = matches(docs, benchmark, window).where(F.size("items") > 0).select(F.col("doc_id").alias("__bad")).distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")

@@ -40,7 +40,11 @@ def test_decontaminate_equals_brute_force(spark, make):
         want[i] = (len(w), len(hit), sorted(seen))
     bench = spark.createDataFrame(items, "item_id long, text string")
     for size in (16 << 20, 60):  # one block, and several
-        got = decontaminate.matches(make(docs), bench, block_bytes=size).collect()
+        found = decontaminate.matches(make(docs), bench, block_bytes=size)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        blocks = -(-sum(len((t or "").encode()) for i, t in items if i is not None) // size)
+        assert plan.count("MapInArrow") == blocks == (1 if size > 60 else 5)  # a matching pass a block, and no more
+        got = found.collect()
         assert {x.doc_id: (x.n_words, sum(x.spans[1::2]) - sum(x.spans[::2]), x["items"]) for x in got} == want
 
 
