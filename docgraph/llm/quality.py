@@ -52,10 +52,11 @@ def passages(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         last, lead = kind[end - 1], kind[start]
         lower = (buf | np.uint8(32)).astype(np.int64)
         h = length + 64 * lower[start] + 16384 * lower[end - 1] + 4194304 * lower[(start + end) // 2]
+        owner = np.repeat(np.arange(texts), words)
         columns = [length, length**2, last >= 6, last == 4, lead == 1, kind[(start + end) // 2] == 1]
         for d in (1, 2, 3):
             same = np.zeros(len(h), bool)
-            same[d:] = h[d:] == h[:-d]
+            same[d:] = (h[d:] == h[:-d]) & (owner[d:] == owner[:-d])  # never the text before
             columns.append(same)
         for k, c in enumerate(columns):
             sums = np.r_[0.0, np.cumsum(c, dtype=np.float64)]
@@ -134,7 +135,9 @@ def train(x: np.ndarray, text: np.ndarray, y: np.ndarray, width: int = 16, epoch
 def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, epochs: int = 120) -> Model:
     """Trains on at most `most` labelled documents, half of each class at most, chosen by a hash of doc_id.
 
-    The bound is of this fit alone: it limits what the driver gathers, which is passages' features and never texts.
+    The bound is of this fit alone: it limits what the driver gathers, which is passages' features and never texts. Null and
+    empty texts are a passage of zeros; repeated rows count as often as they are there; ties in the hash do not occur between
+    different doc_ids; without both classes, so for an empty table, every text gets one score.
     """
     ids = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("y"))
     some = [ids.where(f"y = {k}").orderBy(F.xxhash64("__id")).limit(most // 2) for k in (0, 1)]
@@ -165,7 +168,8 @@ def scores(model: Model, column) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) for each row of docs, by its text alone; null and empty texts are one passage of zeros. No shuffle."""
+    """(doc_id, score) for each row of docs, by its text alone, whatever stands beside it; null and empty texts are one passage
+    of zeros; an empty table gives no rows. No shuffle."""
 
     def run(batches):
         for batch in batches:
@@ -175,7 +179,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, that score at least `threshold`."""
+    """The rows of docs, all columns, that score at least `threshold`; see `score` for nulls, repeats and empty tables."""
     at = docs.columns.index("text")
 
     def run(batches):

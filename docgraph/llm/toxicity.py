@@ -27,6 +27,13 @@ _MIXED = re.compile(r"(?=[^\W\d_]*\d)(?=\d*[^\W\d_])[^\W_]+")
 _SIGNS = re.compile(r"(?<=\w)[@$]+(?=\w)")
 _OTHER = re.compile(r"[\W_]+")
 _DIGIT_TABLE = str.maketrans(_DIGITS)
+# Common words of abuse in English, German, French and Spanish, folded; a lexicon may start from them.
+SEEDS = (
+    "idiot idiots moron morons imbecile scum scumbag trash garbage filth vermin worthless pathetic disgusting stupid loser dumbass bastard "
+    "abschaum trottel dummkopf schwachkopf vollidiot wertlos wertloser erbärmlich ekelhaft widerlich dreck dreckskerl versager ungeziefer mistkerl "
+    "imbécile crétin ordure raclure vermine minable pitoyable dégoûtant débile salaud connard abruti bouffon "
+    "idiota imbécil basura escoria estúpido estúpida cretino patético asqueroso despreciable inútil alimaña miserable"
+).split()
 
 
 def fold(text: str) -> str:
@@ -67,9 +74,15 @@ class Lexicon:
                         found[end - size + 1] = max(found.get(end - size + 1, 0.0), weight)
                     else:
                         excused.append((end - size + 1, end))
-            for begin, weight in found.items():
-                if not any(a <= begin < b for a, b in excused):
-                    total += weight
+            # one sweep: a hit is excused if a phrase that begins at it or before reaches beyond it
+            excused.sort()
+            i, reach = 0, -1
+            for begin in sorted(found):
+                while i < len(excused) and excused[i][0] <= begin:
+                    reach = max(reach, excused[i][1])
+                    i += 1
+                if begin >= reach:
+                    total += found[begin]
             return total, words
 
         return hits
@@ -102,41 +115,57 @@ def _count_terms(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(run, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, terms: int = 1000, least: int = 4, surprise: float = 32.0, share: float = 0.03, lift: float = 40.0) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, least: int = 4, surprise: float = 32.0, share: float = 0.03, lift: float = 40.0, seeds=(), prior: int = 2) -> Lexicon:
     """Learns a lexicon from at most `most` labelled documents (a bound of this fit, by hash of doc_id; scoring has none).
 
     A term is a word or a word's beginning that at least `least` toxic texts have and that is `lift` times likelier there, with a
     log-likelihood ratio of `surprise`, so that chance among some hundred thousand candidates does not reach it. Of a word
     and its beginnings the longest that still has nine tenths of the texts stands. Each toxic text then has one vote, shared
     by its candidates, and terms need `share` of the best term's votes: the many chance words of a text with many copies
-    get next to none. A term's weight is its smoothed log odds.
-    Word pairs around a term that only other texts have become exception phrases. At most `terms` terms reach the driver.
-    Without toxic examples the lexicon is empty and all texts score the same.
+    get next to none. A term's weight is its smoothed log odds. `seeds` are words known to be abuse, of which few tables have
+    enough examples in every language: they count as if `prior` more toxic texts had them, and stand if their odds then speak
+    for them. Word pairs around a term, or around a word that begins like one, that only other texts have become exception
+    phrases. What reaches the driver are the terms and phrases that stand these tests in the bounded sample, all of them.
+    Null texts are empty, repeated (text, label) rows count once; without toxic examples, so for an empty table, the lexicon
+    is empty and all texts score the same.
     """
     sample = cut(_labelled(docs, labels, most))
-    counts = _count_terms(sample).cache()
+    counts = cut(_count_terms(sample))
     n = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
     odds = lambda p, q: math.log((p + 0.5) / (pos + 1)) - math.log((q + 0.5) / (neg + 1))
-    rows = counts.where(f"pos >= {least} and instr(term, ' ') = 0").where(F.expr(f"(pos + 0.5) / {pos + 1} > {lift} * (neg + 0.5) / {neg + 1}")).orderBy(F.desc(F.expr(f"pos - neg * {pos + 1} / {neg + 1}")), "term").limit(5 * terms).collect()
-    found = {r.term: (r.pos, r.neg) for r in rows if _surprise(r.pos, pos, r.neg, neg) >= surprise}
+    likelier = counts.where(f"pos >= {least} and instr(term, ' ') = 0").where(F.expr(f"(pos + 0.5) / {pos + 1} > {lift} * (neg + 0.5) / {neg + 1}"))
+    found = {r.term: (r.pos, r.neg) for r in likelier.where(_surprise(F.col("pos"), pos, F.col("neg"), neg) >= surprise).collect()}
     found = _longest(found)
     support = _support(_incidence(sample.where("y = 1"), list(found)), list(found))
     floor = max([share * v for v in support.values()], default=0.0)
-    kept = sorted((t for t in found if support[t] >= floor), key=lambda t: (-support[t], t))[:terms]
-    chosen = {t: max(0.1, odds(*found[t])) for t in kept}
-    exceptions = []
-    if chosen:
-        heads = [t for t in chosen if not t.endswith("*")]
-        pairs = counts.where(f"pos = 0 and neg >= {least} and instr(term, ' ') > 0").where(F.split("term", " ")[0].isin(heads) | F.split("term", " ")[1].isin(heads)).orderBy(F.desc("neg"), "term").limit(terms).collect()
-        exceptions = [r.term for r in pairs]
-    lexicon = Lexicon(chosen, tuple(exceptions))
+    chosen = {t: max(0.1, odds(*found[t])) for t in sorted(found) if support[t] >= floor}
+    if pos and seeds:
+        words = sorted({fold(w).strip() for w in seeds})
+        had = {r.term: (r.pos, r.neg) for r in counts.where(F.col("term").isin(words)).collect()}
+        for w in words:
+            p, q = had.get(w, (0, 0))
+            if w not in chosen and odds(p + prior, q) > math.log(lift):
+                chosen[w] = odds(p + prior, q)
+    exceptions = _exceptions(counts.where(f"pos = 0 and neg >= {least} and instr(term, ' ') > 0"), list(chosen)) if chosen else ()
+    lexicon = Lexicon(chosen, exceptions)
     scored = _hits(sample.select(F.col("y").cast("long").alias("doc_id"), "text"), lexicon).collect()
-    counts.unpersist()
     lexicon.calibration = _calibrate(scored)
     return lexicon
 
 
+def _exceptions(pairs: DataFrame, terms: list[str]) -> tuple[str, ...]:
+    """The word pairs of which one word is a term or begins like one."""
+    whole = {t for t in terms if not t.endswith("*")}
+    stems = tuple(t[:-1] for t in terms if t.endswith("*"))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([any(w in whole or (stems and w.startswith(stems)) for w in t.split()) for t in batch.column(0).to_pylist()], pa.bool_()))
+
+    return tuple(sorted(r.term for r in pairs.select("term").mapInArrow(run, "term string").collect()))
+
+
 def _incidence(sample: DataFrame, terms: list[str]) -> list[set[int]]:
     """Which of the terms each text of the bounded sample has."""
     index = {t: i for i, t in enumerate(terms)}
@@ -172,11 +201,14 @@ def _support(texts: list[set[int]], names: list[str]) -> dict[str, float]:
     return votes
 
 
-def _surprise(p: int, pos: int, q: int, neg: int) -> float:
+def _surprise(p, pos: int, q, neg: int) -> F.Column:
     """The log-likelihood ratio statistic of a term in p of pos and q of neg texts."""
     rate = (p + q) / max(1, pos + neg)
-    part = lambda k, n: sum(x * math.log(x / (n * r)) for x, r in ((k, rate), (n - k, 1 - rate)) if x > 0 and n * r > 0)
-    return 2 * (part(p, pos) + part(q, neg))
+
+    def part(k, n, r):
+        return F.when((k > 0) & (r > 0), k * F.ln(k / F.greatest(n * r, F.lit(1e-300)))).otherwise(F.lit(0.0))
+
+    return 2 * (part(p, pos, rate) + part(pos - p, pos, 1 - rate) + part(q, neg, rate) + part(neg - q, neg, 1 - rate))
 
 
 def _calibrate(rows) -> tuple[float, float, float]:
@@ -206,7 +238,7 @@ def _hits(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(doc_id, total, words, score) for each row of docs; nothing but the text counts. No shuffle.
+    """(doc_id, total, words, score) for each row of docs; nothing but the text counts. No shuffle; an empty table gives no rows.
 
     total: summed weights of the matched terms outside exception phrases, one per word; score: 0 to 1, see Lexicon.score.
     Null and empty texts have no words and get the score of a text without hits. Repeated rows keep a row each.

@@ -243,6 +243,43 @@ def test_lexicon():
     assert hits("") == (0.0, 0) and toxicity.Lexicon({}).matcher()("x") == (0.0, 1)
 
 
+def test_matching_equals_naive_search():
+    """Hits are the terms that stand at a word's begin in the folded text, the heaviest of each place, outside exception phrases."""
+    r = random.Random(9)
+    stock = ["vile", "vil", "vilest", "no", "m0ron", "moron", "Мoron", "a", "worm"]
+    lexicon = toxicity.Lexicon({"moron": 3.0, "vil*": 2.0, "vilest": 5.0, "no moron": 1.0, "worm": 1.5}, ("no moron", "a vile", "vile a worm"))
+    hits = lexicon.matcher()
+    for _ in range(300):
+        text = " ".join(r.choice(stock) for _ in range(r.randint(0, 25)))
+        t = toxicity.fold(text)
+        excused = [(i, i + len(p) + 1) for p in lexicon.exceptions for i in range(len(t)) if t.startswith(f" {p} ", i)]
+        total = 0.0
+        for i in range(len(t)):
+            here = [w for term, w in lexicon.weights.items() if t.startswith(f" {term[:-1]}" if term.endswith("*") else f" {term} ", i)]
+            if here and not any(a <= i < b for a, b in excused):
+                total += max(here)
+        assert hits(text) == (pytest.approx(total), len(text.split()))
+
+
+def test_seeds_and_exceptions_for_stems(spark, make):
+    r = random.Random(2)
+    clean = [f"w{i}" for i in range(100)]
+    docs = []
+    for i in range(300):
+        t = [r.choice(clean) for _ in range(30)]
+        if i % 5 == 0:
+            t[4] = r.choice(["vilexa", "vilexb", "vilexc", "vilexd"])
+        elif i % 5 == 1:
+            t[7:9] = ["castle", "vilexa"]
+        docs.append((i, " ".join(t)))
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    lexicon = toxicity.fit(make(docs), labels, lift=1.5, surprise=5.0, seeds=("Abschaum", "w3"))
+    assert "abschaum" in lexicon.weights and "w3" not in lexicon.weights
+    assert "castle vilexa" in lexicon.exceptions
+    hits = lexicon.matcher()
+    assert hits("you ABSCHАUM")[0] > 0 and hits("the castle vilexa")[0] == 0 < hits("the vilexa")[0]
+
+
 def test_toxicity_learns(spark, make, odd, empty):
     r = random.Random(1)
     clean = [f"w{i}" for i in range(200)]
@@ -322,3 +359,107 @@ def test_pipeline(spark, sf):
     assert sorted(map(str, rows)) == sorted(map(str, at.collect()))
     mixed = Counter(r.doc_id for r in rows)
     assert max(mixed.values()) <= 3
+
+
+def test_pipeline_stages_equal_brute_force(spark, sf):
+    """Each stage's rows on its own input, from plain loops: scores per document, components by all pairs, windows by search,
+    expected copies by bisection, the scalar jump hash."""
+    import corpus_pipeline
+    from test_dedup import fingerprint_by_loops
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    model = quality.fit(docs, spark.createDataFrame(list(labels.items()), "doc_id long, quality int"))
+    kept = {r.doc_id for r in stages["quality_classifier"](spark, docs, sf).collect()}
+    assert kept == {i for i, r in rows.items() if score_by_loops(model, r.text or "") >= 0.5}
+
+    docs = docs.where(docs.doc_id.isin(list(kept)))
+    fp = {i: fingerprint_by_loops(rows[i].text or "") for i in kept}
+    label = {i: i for i in kept}
+    for a in sorted(kept):
+        for b in kept:
+            if a < b and (fp[a] ^ fp[b]).bit_count() <= 2 and label[a] != label[b]:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = {i: new if x == old else x for i, x in label.items()}
+    kept = {r.doc_id for r in stages["simhash_near_dedup"](spark, docs, sf).collect()}
+    assert kept == {i for i, x in label.items() if i == x}
+
+    docs = docs.where(docs.doc_id.isin(list(kept)))
+    windows = set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = words(r.text)
+        windows |= {f" {' '.join(w[k : k + 10])} " for k in range(max(1, len(w) - 9))} if w else set()
+    kept = {r.doc_id for r in stages["benchmark_decontamination"](spark, docs, sf).collect()}
+    assert kept == {r.doc_id for r in docs.collect() if not any(x in f" {' '.join(words(r.text))} " for x in windows)}
+
+    docs = docs.where(docs.doc_id.isin(list(kept)))
+    mixed = stages["source_mix"](spark, docs, sf)
+    copies = Counter(r.doc_id for r in mixed.collect())
+    by = {}
+    for r in docs.collect():
+        by.setdefault(r.source, []).append((r.doc_id, len(re.findall("[^\x20\x09-\x0d]+", r.text or ""))))
+    order = sorted(x for x in by if x is not None) + [x for x in by if x is None]
+    for source, target in zip(order, filled([sum(n for _, n in by[s]) for s in order], [(1, 2, 3)[i % 3] for i in range(len(order))], 3)):
+        low, high = 0.0, 1e9
+        for _ in range(200):
+            c = (low + high) / 2
+            low, high = (c, high) if sum(n * min(3, c / n**0.5) for _, n in by[source] if n) < target else (low, c)
+        for i, n in by[source]:
+            assert copies[i] in ((int(min(3, c / n**0.5) + 1e-4), int(min(3, c / n**0.5) + 1e-4) + 1, int(min(3, c / n**0.5) - 1e-4)) if n else (0,))
+        assert sum(n * copies[i] for i, n in by[source]) <= target + 1e-6
+
+    got = stages["sharding"](spark, mixed, sf).collect()
+    assert Counter(r.doc_id for r in got) == copies
+    for shard in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+    assert len({(r.doc_id, r.shard) for r in got}) == len(copies)
+
+
+def score_by_loops(model, text):
+    """The model's score of one text, a passage and a unit at a time; only the passages' counts are the operator's own."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    x, _ = quality.passages(data, np.array([0, len(data)]))
+    p, units = model.p, len(model.p["b"])
+    hidden, energy = [], []
+    for row in np.clip((x - model.mean) / model.scale, -6, 6):
+        h = [np.tanh(sum(row[i] * p["W"][i][j] for i in range(len(row))) + p["b"][j]) for j in range(units)]
+        v = [np.tanh(sum(h[i] * p["V"][i][j] for i in range(units))) for j in range(units)]
+        u = [1 / (1 + np.exp(-sum(h[i] * p["U"][i][j] for i in range(units)))) for j in range(units)]
+        hidden.append(h)
+        energy.append(sum(v[j] * u[j] * p["w"][j] for j in range(units)))
+    a = [np.exp(e - max(energy)) for e in energy]
+    z = [sum(a[k] * hidden[k][j] for k in range(len(a))) / sum(a) for j in range(units)]
+    return 1 / (1 + np.exp(-np.clip(sum(z[j] * p["c"][j] for j in range(units)) + p["d"], -30, 30)))
+
+
+def test_scores_equal_a_plain_forward_pass(spark, make):
+    r = random.Random(5)
+    texts = [(i, " ".join(r.choice(["The", "old", "harbour.", "x|y", "#9", "é"]) for _ in range(r.randint(0, 130)))) for i in range(25)] + [(90, None), (91, "")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    model = quality.fit(make(texts), labels, epochs=3)
+    got = {x.doc_id: x.score for x in quality.score(make(texts), model).collect()}
+    assert got == {i: pytest.approx(score_by_loops(model, t or ""), abs=1e-9) for i, t in texts}
+
+
+def test_jump_equals_the_scalar_loop():
+    def jump(key, shards):
+        b, j = -1, 0
+        while j < shards:
+            b = j
+            key = (key * 2862933555777941757 + 1) % (1 << 64)
+            j = int((b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+        return b
+
+    keys = [random.Random(i).getrandbits(64) for i in range(500)] + [0, 1, (1 << 64) - 1]
+    for shards in (1, 2, 7, 16, 17, 1000):
+        assert sharding.jump(np.array(keys, np.uint64), shards).tolist() == [jump(k, shards) for k in keys]
+
+
+def test_null_ids_are_not_held_out(spark, tmp_path):
+    spark.createDataFrame([(None, "some words here"), (2, None), (3, "more words")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(2, 1, 0), (3, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name in ("op6_toxicity", "op9_quality"):
+        rows = queries.queries()[name](spark, str(tmp_path)).collect()
+        assert len(rows) == 3 and all(r.held_out in (True, False) and 0 <= r.score <= 1 for r in rows)
