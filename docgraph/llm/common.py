@@ -52,12 +52,14 @@ class Tables:
     def __init__(self, spark: SparkSession, job: str):
         self.spark, self.base, self.n = spark, f"{ensure_checkpoint_dir(spark)}/{job}-{uuid.uuid4().hex}", 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, *parts: DataFrame) -> DataFrame:
+        """The parts' rows as one table. Parts are written one after the other, each with no more shuffle files than its own."""
         self.n += 1
         path = f"{self.base}/{self.n}"
-        with _shuffles_freed(self.spark):
-            df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        for df in parts:
+            with _shuffles_freed(self.spark):
+                df.write.mode("append").parquet(path)
+        out = self.spark.read.schema(parts[0].schema).parquet(path)
         out.kept_at = path
         return out
 

@@ -188,23 +188,38 @@ def _heads(sets: DataFrame, jaccard: float, slots: int = 1 << 18) -> DataFrame:
 
 
 def _across(live: DataFrame, roots: DataFrame, sets: DataFrame, jaccard: float, tables: Tables) -> DataFrame:
-    """Pairs (a, b) of buckets' members that the hubs left in different components and that can have the similarity.
+    """Links (a, b) that join what the hubs left in different components: none of a bucket's that would join two is left out.
 
-    None that has it is left out: from the first shingle that two sets share on, enough must remain in both. Members of
-    buckets that were compared whole or are one component already, and shingles that one component has alone, are not
-    looked at. live: (band, key, open), open saying that the bucket may hold a pair that was not compared.
+    Two sets with the similarity share a prefix shingle, and from the first one on that they share enough remains in both.
+    Of each such shingle first one text of every component is compared with one of the least component, which joins large
+    groups by few links; only texts that are still apart are then compared in pairs. Members of buckets that were compared
+    whole or are one component already, and shingles that one component has alone, are not looked at. live: (band, key,
+    open), open saying that the bucket may hold a pair that was not compared.
     """
     rows = live.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     parted = rows.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_or("open").alias("open")).where("lo < hi and open").select("band")
-    rest = tables.keep(rows.join(parted, "band", "left_semi").select("key", "root").distinct().join(sets.select("key", "s"), "key"))
-    heads = tables.keep(_heads(rest, jaccard))
+    apart = tables.keep(rows.join(parted, "band", "left_semi").select("key", "root").distinct())
+    rest = tables.keep(*[sets.where(x).select("key", "s").join(apart.where(x), "key").select("key", "root", "s") for x in _parts("key")])
+    prefixes = tables.keep(_heads(rest, jaccard))
+    first = prefixes.groupBy("t", "root").agg(F.min("key").alias("key"))
+    hub = first.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("key", "root").alias("hub")).where("lo < hi")
+    pairs = tables.keep(first.join(hub, "t").where("root <> lo").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct())
+    some = tables.keep(_linked(pairs, rest, jaccard))
+    joined = tables.keep(components(some.join(apart.withColumnRenamed("key", "a").withColumnRenamed("root", "x"), "a").join(apart.withColumnRenamed("key", "b").withColumnRenamed("root", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    heads = prefixes.join(joined.select(F.col("node").alias("root"), F.col("root").alias("now")), "root", "left").withColumn("root", F.coalesce("now", "root")).drop("now")
     met = heads.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t")
     a, b = (heads.select("t", F.col("key").alias(x), *[F.col(y).alias(y + x) for y in ("root", "size", "left")]) for x in "ab")
     enough = F.least("lefta", "leftb") >= F.lit(jaccard / (1 + jaccard)) * (F.col("sizea") + F.col("sizeb")) - F.lit(1e-9)
     alike = F.least("sizea", "sizeb") >= F.lit(jaccard) * F.greatest("sizea", "sizeb") - F.lit(1e-9)
-    pairs = tables.keep(a.join(met, "t", "left_semi").join(b, "t").where("a < b and roota <> rootb").where(alike & enough).select("a", "b").distinct())
-    tables.drop(rest, heads)
-    return pairs
+    still = tables.keep(a.join(met, "t", "left_semi").join(b, "t").where("a < b and roota <> rootb").where(alike & enough).select("a", "b").distinct())
+    links = tables.keep(some, _linked(still, rest, jaccard))
+    tables.drop(apart, rest, prefixes, pairs, some, joined, still)
+    return links
+
+
+def _parts(column: str, n: int = 3) -> list[F.Column]:
+    """Conditions that part a table's rows by a key, so that a step on whole sets has a part of them in shuffle files at a time."""
+    return [F.pmod(F.col(column), F.lit(n)) == k for k in range(n)]
 
 
 def repeated(docs: DataFrame, least: int = 20, shingle: int = 5, jaccard: float = 0.8, number: int = 6, rows: int = 2, wrapped: bool = False) -> DataFrame:
@@ -239,9 +254,9 @@ def repeated(docs: DataFrame, least: int = 20, shingle: int = 5, jaccard: float
     tables.drop(stars)
     a = sets.where("lead").select(F.col("key").alias("a"), F.col("s").alias("sa"))
     b = sets.select(F.col("hub").alias("a"), F.col("key").alias("b"), F.col("s").alias("sb")).where("a <> b")
-    links = tables.keep(_alike(b.join(a, "a"), jaccard))
+    links = tables.keep(*[_alike(b.where(x).join(a.where(x), "a"), jaccard) for x in _parts("a")])
     roots = tables.keep(components(links))
-    more = tables.keep(_linked(_across(live, roots, sets, jaccard, tables), sets, jaccard))
+    more = _across(live, roots, sets, jaccard, tables)
     tables.drop(live, sets, links, hubs)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = texts.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
