@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgraph.functions.session import cut
-from docgraph.operators import retrieval
+from docgraph.operators import extraction, retrieval
 
 
 def graph_context(entities: DataFrame, triples: DataFrame, questions: DataFrame, k_entities: int = 15, hops: int = 2, k_triples: int = 60, k_near: int = 20) -> DataFrame:
@@ -52,3 +52,42 @@ def search_expansion(laws: DataFrame, phrases: list[str]) -> DataFrame:
     forms = F.array(*[F.concat(F.lit(f"Undang-undang (UU) {w} "), F.split("law", "/")[0], F.lit(" Tahun "), F.split("law", "/")[1]) for w in ("Nomor", "No.")])
     x = laws.select("law", F.explode(forms).alias("form"))
     return x.select("law", "form", F.explode(F.array(*[F.lit(p) for p in phrases])).alias("phrase")).select("law", "phrase", F.concat_ws(" ", "phrase", "form").alias("query"))
+
+
+def similar_queries(turns: DataFrame, least: float = 0.97) -> DataFrame:
+    """(conv_id, turn, repeats): whether an earlier query of the conversation has a sequence similarity of `least` or more.
+
+    turns (conv_id, turn, text). Equal texts need no comparison and count once a conversation. Two texts at `least` differ
+    in length by the factor 2 / least - 1 at most, so pairs come from an equality join on bins of the length's logarithm.
+    """
+    first = turns.groupBy("conv_id", "text").agg(F.min("turn").alias("first"))
+    factor = 2 / least - 1
+    bin_ = F.floor(F.ln(F.length("text") + 1.0) / F.ln(F.lit(factor))).cast("long")
+    x = first.where("text is not null").withColumn("bin", bin_)
+    early = x.select("conv_id", F.col("text").alias("other"), F.col("first").alias("before"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
+    pairs = x.join(early, ["conv_id", "bin"]).where("before < first and text <> other").where(F.least(F.length("text"), F.length("other")) * factor + 1 >= F.greatest(F.length("text"), F.length("other")))
+    near = pairs.where(extraction.sequence_ratio(F.col("text"), F.col("other")) >= least).select("conv_id", "text").distinct().withColumn("near", F.lit(True))
+    out = turns.alias("t").join(first.alias("f"), F.expr("t.conv_id <=> f.conv_id and t.text <=> f.text")).select("t.conv_id", "t.turn", "t.text", "first")
+    out = out.join(near, ["conv_id", "text"], "left")
+    return out.select("conv_id", "turn", ((F.col("turn") > F.col("first")) | F.coalesce("near", F.lit(False))).alias("repeats"))
+
+
+def decomposed(questions: DataFrame, decompose: Callable[[DataFrame], DataFrame], answer: Callable[[DataFrame], DataFrame], aggregate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(qid, n_parts, answer): each question in parts, the parts answered, and the answers put together.
+
+    questions (qid, query); decompose adds `parts` (array of texts; none leaves the question whole), answer adds `answer` to
+    (query), once for each distinct part, aggregate turns (qid, query, found: array of part and answer, in order) into
+    (qid, n_parts, answer). Decomposers, sub-goals and intermediate questions are this with their own providers.
+    """
+    parts = decompose(questions).select("qid", "query", F.when(F.size("parts") > 0, F.col("parts")).otherwise(F.array("query")).alias("parts"))
+    parts = cut(parts.select("qid", F.col("query").alias("whole"), F.posexplode("parts").alias("k", "query")))
+    answers = answer(parts.select("query").distinct()).select("query", "answer")
+    found = parts.join(answers, "query").groupBy("qid", "whole").agg(F.array_sort(F.collect_list(F.struct("k", "query", "answer"))).alias("found"))
+    return aggregate(found.withColumnRenamed("whole", "query"))
+
+
+def hypothetical(questions: DataFrame, imagine: Callable[[DataFrame], DataFrame], embed: Callable[[DataFrame], DataFrame], items: DataFrame, k: int) -> DataFrame:
+    """(qid, vec_id, cos, rank): the items nearest to an imagined answer instead of the question. imagine adds `answer` to
+    (qid, query), embed adds `q` to (qid, answer)."""
+    q = cut(embed(imagine(questions).select("qid", "answer")).select("qid", "q"))
+    return retrieval.search(items, q, k).select("qid", "vec_id", "cos", "rank")

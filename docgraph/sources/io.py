@@ -44,7 +44,7 @@ def fixed_columns(df: DataFrame, columns: list[str], missing: str = "N/A") -> Da
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
-    fixed_columns(df, columns, "").write.csv(path, header=True, quoteAll=True, mode="overwrite")
+    fixed_columns(df, columns, "").write.csv(path, header=True, quoteAll=True, escape='"', mode="overwrite")
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -83,3 +83,17 @@ def links(html) -> Column:
 
 def title(html) -> Column:
     return F.nullif(F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " ")), F.lit(""))
+
+
+def listed(pages: DataFrame, order: str, links: Column) -> DataFrame:
+    """(order, link): the links of list pages up to the first page without any, each link where it comes first."""
+    p = pages.select(F.col(order), links.alias("links"))
+    end = p.where(F.size("links") == 0).agg(F.min(order).alias("end"))
+    some = p.join(F.broadcast(end), F.col("end").isNull() | (F.col(order) < F.col("end"))).select(order, F.posexplode("links").alias("at", "link"))
+    return some.groupBy("link").agg(F.min(F.struct(order, "at")).alias("x")).select(F.col(f"x.{order}").alias(order), "link")
+
+
+def expanded(spark: SparkSession, pattern: str, recursive: bool = False) -> DataFrame:
+    """(path, modified, length) of the files that a path or glob names, in any store Spark reads."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(pattern)
+    return files.select("path", F.col("modificationTime").alias("modified"), "length")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,21 @@ def once(events: DataFrame, key: str = "event_id", late: str = "1 hour") -> Data
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
 
 
+def per_key(events: DataFrame) -> DataFrame:
+    """(user_id, n, total): each user's events and value so far, kept as state of the key; a row for each user a batch changes."""
+
+    def run(key, batches, state):
+        n, total = state.get if state.exists else (0, 0.0)
+        for b in batches:
+            n, total = n + len(b), total + float(b["value"].sum())
+        state.update((n, total))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
+
+    if not events.isStreaming:
+        return events.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return events.groupBy("user_id").applyInPandasWithState(run, "user_id long, n long, total double", "n long, total double", "update", "NoTimeout")
+
+
 def append_new(spark: SparkSession, source: str, schema, out: str, checkpoint: str):
     """Appends new Parquet files' rows to out, once each over restarts: files done are remembered in the checkpoint."""
     rows = spark.readStream.schema(schema).parquet(source)

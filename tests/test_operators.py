@@ -11,9 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from docgraph import plans, providers
-from docgraph.functions import legal, text, vectors
+from docgraph.functions import html, legal, text, tokens, vectors
 from docgraph.operators import chunking, evaluation, extraction, graph, logs, retrieval, temporal
-from docgraph.plans import retrieve
+from docgraph.plans import amend, retrieve
 from docgraph.sources import io
 from docgraph.streaming import events
 
@@ -290,3 +290,84 @@ def test_numbering_and_windows_of_pages(spark):
     got = chunking.numbered(spark.createDataFrame(rows, "id string, n int"), [*io.typed_order("id"), F.col("n")], "place").collect()
     key = lambda x: (x[0] is None, not (x[0] or "").isdigit(), int(x[0]) if (x[0] or "").isdigit() else 0, x[0] or "", x[1])
     assert [(x.id, x.n) for x in sorted(got, key=lambda x: x.place)] == sorted(rows, key=key) and {x.place for x in got} == set(range(1, 201))
+
+
+def test_similar_queries_equal_brute_force(spark):
+    import difflib
+
+    r = random.Random(3)
+    base = ["what does the law say about water " * 3, "who repealed the act of 2009 and when was it " * 2, "short", "", "other " * 30]
+    turns = []
+    for c in range(12):
+        for k in range(8):
+            x = list(r.choice(base))
+            for _ in range(r.choice([0, 0, 1, 3])):
+                if x:
+                    x[r.randrange(len(x))] = r.choice("abc ")
+            turns.append((c, k, "".join(x) if r.random() > 0.05 else None))
+    got = {(x.conv_id, x.turn): x.repeats for x in retrieve.similar_queries(spark.createDataFrame(turns, "conv_id long, turn long, text string")).collect()}
+    for c, k, x in turns:
+        before = [y for d, j, y in turns if d == c and j < k]
+        want = any(x == y or x is not None and y is not None and difflib.SequenceMatcher(None, x, y).ratio() >= 0.97 for y in before)
+        assert got[c, k] == want, (c, k, x)
+
+
+def test_page_fields(spark):
+    page = """<div class="card-body x"><div class="fw-semibold fs-5">UU Nomor 5 Tahun 2010</div><div class="fw-bold">Status Peraturan</div>
+    <div class="row"><div><div class="p fw-bold bg-light-danger">Dicabut dengan</div></div><div class="col-lg-10"><a class="text-danger">UU No. 7 Tahun 2012</a><a class="text-danger">PP No. 1 Tahun 2000</a><a>UU No. 9 Tahun 2000</a></div></div></div>
+    <div class="card-body"><div class="fw-semibold fs-5">Nothing</div></div>"""
+    got = values(spark, html.amendment_list, [page, "", None])
+    assert [tuple(x) for x in got[0]] == [("5_2010", "dicabut_dengan", "7_2012")] and not got[1] and not got[2]
+    detail = '<div class="col-lg-3 fw-bold">Tempat &amp; Waktu (x):</div><div class="col-lg-9"><b>a</b>\n b</div><div class="col-lg-3 fw-bold">T</div><div class="col-lg-9"></div>'
+    assert [[tuple(y) for y in x] for x in values(spark, html.label_values, [detail, ""])] == [[("tempat__waktu_x", "a b")], []]
+    assert values(spark, lambda c: html.downloads(c, "https://a.b"), ['<a href="/q.doc">x</a><a href="/z" class="download-file">y</a><a href="n">Unduh</a><a href="/q.doc">x</a>']) == [["https://a.b/z", "https://a.b/q.doc", "https://a.b/n"]]
+
+
+def test_amended_answers(spark):
+    edges = spark.createDataFrame([("1_2000", "diubah_dengan", "2_2001", datetime.date(2001, 1, 1)), ("2_2001", "dicabut_dengan", "3_2005", datetime.date(2005, 1, 1)), ("9_1999", "diubah_dengan", "8_1999", None)], "source string, relationship string, target string, day date")
+    chunks = spark.createDataFrame([("3_2005", i, f"c{i}") for i in range(6)] + [("2_2001", 0, "two"), ("8_1999", 1, "eight")], "law string, seq long, text string")
+    uses = lambda d: d.withColumn("uses", F.col("seq") != 1)
+    merge = lambda d: d.withColumn("final", F.concat_ws("|", "answer", "context"))
+    answers = spark.createDataFrame([(1, "a", "UU Nomor 1 Tahun 2000"), (1, "b", "No. 9 Tahun 1999"), (2, "a", "none")], "qid long, pipeline string, answer string")
+    join = lambda d: d.groupBy("qid").agg(F.array_join(F.array_sort(F.collect_list("answer")), " + ").alias("answer"))
+    before = {x.qid: x.answer for x in amend.before_aggregation(answers, edges.drop("day"), chunks, uses, merge, join).collect()}
+    assert before == {1: "No. 9 Tahun 1999 + UU Nomor 1 Tahun 2000|c0\nc2", 2: "none"}  # a repeal leaves its law alone; chunk 1 is not used
+    after = {x.qid: x.answer for x in amend.after_aggregation(answers, edges.drop("day"), chunks, uses, merge, join).collect()}
+    assert after == {1: "No. 9 Tahun 1999 + UU Nomor 1 Tahun 2000|c0\nc2", 2: "none"}
+    q = spark.createDataFrame([(1, "UU 1/2000 per 01-06-2002"), (2, "UU 1/2000 terbaru"), (3, "x as of 2002-01-01")], "qid long, query string")
+    base = lambda d: d.withColumn("answer", F.when(F.col("qid") < 3, "Nomor 1 Tahun 2000").otherwise("Nomor 9 Tahun 1999"))
+    got = {x.qid: (x.mode, x.final) for x in amend.passes(q, F.lit("2024-01-01").cast("date"), base, edges, chunks, uses, merge, lambda d: d.withColumn("final", F.col("answer"))).collect()}
+    assert got == {1: ("as_of", "Nomor 1 Tahun 2000|two"), 2: ("latest", "Nomor 1 Tahun 2000|c0\nc2\nc3\nc4\nc5"), 3: ("as_of", "Nomor 9 Tahun 1999")}
+
+
+def test_questions_in_parts(spark):
+    q = spark.createDataFrame([(1, "a;b;a"), (2, "")], "qid long, query string")
+    asked = []
+    answer = lambda d: asked.append(d.count()) or d.withColumn("answer", F.upper("query"))
+    got = retrieve.decomposed(q, lambda d: d.withColumn("parts", F.filter(F.split("query", ";"), lambda x: x != "")), answer, lambda d: d.select("qid", F.size("found").alias("n"), F.array_join(F.transform("found", lambda x: x["answer"]), ",").alias("answer")))
+    assert {tuple(x) for x in got.collect()} == {(1, 3, "A,B,A"), (2, 1, "")} and asked == [3]
+
+
+def test_tokenizers(spark):
+    letters = tokens.Vocabulary("none", lambda path: (lambda s: [ord(c) for c in s], lambda ids: "".join(map(chr, ids))))
+    df = spark.createDataFrame([("one  two\nthree",), (None,), ("",)], "t string")
+    for kind, back in ((tokens.Words(), ["one two three", "", ""]), (letters, ["one  two\nthree", "", ""])):
+        assert [r.x for r in df.select(kind.decode(kind.encode(F.col("t"))).alias("x")).collect()] == back
+    w = df.select(tokens.windows(tokens.Words(), F.col("t"), 2, 1).alias("w")).collect()
+    assert [r.w for r in w] == [[["one", "two"], ["two", "three"]], [], []]
+
+
+def test_providers_results_over_tables(spark, sf):
+    """What the provider queries give, against the same stand-ins called one text at a time."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in plans.QUERIES["embed_chunks"](spark, sf).collect()}
+    assert all(got[i].n == providers.DIMENSIONS and got[i].norm == pytest.approx(sum(x * x for x in providers.embed(pd.Series([t]))[0]), abs=1e-6) for i, t in docs.items())
+    rows = {}
+    for r in plans.QUERIES["extract_triples"](spark, sf).collect():
+        rows.setdefault(r.doc_id, []).append((r.seq, r.subject, r.object))
+    for i, t in docs.items():
+        assert sorted(rows.get(i, [])) == [(k, x["subject"], x["object"]) for k, x in enumerate(json.loads(providers.extract(pd.Series([t]))[0]))]
+    judged = {r.doc_id: r for r in plans.QUERIES["qa_generate_verify"](spark, sf).collect()}
+    for i, t in docs.items():
+        question = providers.generate(pd.Series([t]))[0]
+        assert (judged[i].chars, judged[i].score) == (len(question), providers.judge(pd.Series([question + "\n" + t]))[0])
