@@ -173,8 +173,8 @@ def amendment_upsert(spark, sf):
 
 
 def _law_edges(spark, sf):
-    """A history of laws without circles: each leads to one of a higher number."""
-    return t(spark, sf, "part").selectExpr("concat(p_size, '_2009') as source", "'diubah_dengan' as relationship", "concat(p_size + 1, '_2009') as target").distinct()
+    """A history of laws without circles: two of three lead to the next number."""
+    return t(spark, sf, "part").where("p_size % 3 <> 0").selectExpr("concat(p_size, '_2009') as source", "'diubah_dengan' as relationship", "concat(p_size + 1, '_2009') as target").distinct()
 
 
 def _law_chunks(spark, sf):
@@ -182,7 +182,7 @@ def _law_chunks(spark, sf):
 
 
 def _answers(spark, sf):
-    return t(spark, sf, "orders").where("o_orderkey % 50 = 0").selectExpr("o_orderkey as qid", "'both' as pipeline", "concat('See UU Nomor ', o_custkey % 60 + 40, ' Tahun 2009 and No. 48 Tahun 2009') as answer")
+    return t(spark, sf, "orders").selectExpr("o_orderkey as qid", "'both' as pipeline", "concat('See UU Nomor ', o_custkey % 60 + 40, ' Tahun 2009 and No. 48 Tahun 2009') as answer")
 
 
 def _uses(d):
@@ -193,8 +193,8 @@ def _merge(d):
     return d.withColumn("final", F.concat_ws("\n", "answer", "context"))
 
 
-@query("""with recursive e as (select distinct p_size as s, p_size + 1 as o from part), w as (select distinct p_size as start, p_size as law from part union select start, o from w join e on law = s),
-a as (select o_orderkey as qid, 'See UU Nomor ' || (o_custkey % 60 + 40) || ' Tahun 2009 and No. 48 Tahun 2009' as answer, [o_custkey % 60 + 40, 48] as laws from orders where o_orderkey % 50 = 0),
+@query("""with recursive e as (select distinct p_size as s, p_size + 1 as o from part where p_size % 3 <> 0), w as (select distinct p_size as start, p_size as law from part union select start, o from w join e on law = s),
+a as (select o_orderkey as qid, 'See UU Nomor ' || (o_custkey % 60 + 40) || ' Tahun 2009 and No. 48 Tahun 2009' as answer, [o_custkey % 60 + 40, 48] as laws from orders),
 l as (select distinct qid, answer, laws, unnest(laws) as law from a), r as (select distinct qid, answer, laws, w.law as num from l join w on start = l.law where not list_contains(laws, w.law)),
 c as (select qid, answer, num || '_2009' as law, p_partkey as seq from r join part on p_size = num qualify row_number() over (partition by qid, num order by p_partkey) <= 3),
 m as (select qid, string_agg('chunk ' || seq, chr(10) order by law, seq) as context from c where seq % 2 = 0 group by qid)
@@ -213,7 +213,7 @@ def amended_before_aggregation(spark, sf):
 
 @query()
 def amendment_passes(spark, sf):
-    q = t(spark, sf, "orders").where("o_orderkey % 50 = 0").selectExpr("o_orderkey as qid", "concat('UU ', o_custkey % 60 + 40, '/2009', if(o_orderkey % 100 = 0, ' per 01-06-2012', ' terbaru')) as query")
+    q = t(spark, sf, "orders").selectExpr("o_orderkey as qid", "concat('UU ', o_custkey % 60 + 40, '/2009', if(o_orderkey % 100 = 0, ' per 01-06-2012', ' terbaru')) as query")
     baseline = lambda d: d.withColumn("answer", F.concat(F.lit("See UU Nomor "), F.regexp_extract("query", r"UU (\d+)/", 1), F.lit(" Tahun 2009")))
     edges = _law_edges(spark, sf).withColumn("day", F.make_date(F.lit(2000) + F.regexp_extract("source", r"^(\d+)", 1).cast("int") % 25, F.lit(1), F.lit(1)))
     return amend.passes(q, F.lit("2024-01-01").cast("date"), baseline, edges, _law_chunks(spark, sf), _uses, _merge, lambda d: d.withColumn("final", F.upper("answer")))
@@ -232,7 +232,7 @@ def decomposed_answers(spark, sf):
 
 @query()
 def subgoal_answers(spark, sf):
-    q = t(spark, sf, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), F.col("text").alias("query"))
+    q = t(spark, sf, "documents").select(F.col("doc_id").alias("qid"), F.col("text").alias("query"))
     decompose = lambda d: providers.apply(d, "query", "goals", providers.extract, "string").withColumn("parts", F.transform(F.from_json("goals", "array<struct<subject:string,predicate:string,object:string>>"), lambda x: F.concat_ws(" ", x["subject"], x["predicate"], x["object"])))
     answer = lambda d: providers.apply(d, "query", "answer", providers.generate, "string")
     aggregate = lambda d: d.select("qid", F.size("found").cast("long").alias("n_parts"), F.array_join(F.transform("found", lambda x: x["answer"]), " ").alias("answer"))
