@@ -39,24 +39,38 @@ def pages_of_windows(docs: DataFrame, pages: DataFrame, size: int) -> DataFrame:
     return hit.withColumn("pages", F.when(F.col("pages") == "", "1").otherwise(F.col("pages")))
 
 
-def running(df: DataFrame, order: list[Column], value: Column, out: str, slices: int | None = None) -> DataFrame:
-    """df with `out`: the running sum of value, itself included, in order over the whole table.
+def running(df: DataFrame, order: list[Column], value: Column, out: str, by: tuple[str, ...] = (), slices: int | None = None) -> DataFrame:
+    """df with `out`: the running sum of value, itself included, in order over the whole table or over each group of `by`.
 
-    Rows are dealt into ranges of the order and summed within each; ranges' totals, a row each, are summed before them. So
-    no task sees the whole table. Rows that tie in every key are put in no stated order.
+    Rows are dealt into ranges of the order and summed within each; ranges' totals, a row each and group, are summed before
+    them. So no task sees the whole table, nor a group that holds most of it. Rows that tie in every key are put in no
+    stated order.
     """
     slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = cut(df.withColumn("__value", value).repartitionByRange(slices, *order).withColumn("__slice", F.spark_partition_id()))
-    total = parts.groupBy("__slice").agg(F.sum("__value").alias("__total"))
-    ahead = Window.partitionBy(F.lit(0)).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    total = total.select("__slice", F.coalesce(F.sum("__total").over(ahead), F.lit(0)).alias("__before"))
-    within = Window.partitionBy("__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return parts.withColumn(out, F.sum("__value").over(within)).join(F.broadcast(total), "__slice").withColumn(out, F.col(out) + F.col("__before")).drop("__slice", "__value", "__before")
+    group = F.struct(*[F.col(f"`{c}`") for c in by]) if by else F.lit(0)
+    parts = df.withColumn("__value", value).withColumn("__by", group)
+    parts = cut(parts.repartitionByRange(slices, *[F.col(f"`{c}`") for c in by], *order).withColumn("__slice", F.spark_partition_id()))
+    total = parts.groupBy("__by", "__slice").agg(F.sum("__value").alias("__total"))
+    ahead = Window.partitionBy("__by").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    total = total.select("__by", "__slice", F.coalesce(F.sum("__total").over(ahead), F.lit(0)).alias("__before"))
+    within = Window.partitionBy("__by", "__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    both = parts.withColumn(out, F.sum("__value").over(within)).join(total, ["__by", "__slice"])
+    return both.withColumn(out, F.col(out) + F.col("__before")).drop("__slice", "__value", "__before", "__by")
 
 
-def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
-    """df with `out`: each row's place from 1 in the order."""
-    return running(df, order, F.lit(1).cast("long"), out)
+def numbered(df: DataFrame, order: list[Column], out: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """df with `out`: each row's place from 1 in the order, over the whole table or in each group of `by`."""
+    return running(df, order, F.lit(1).cast("long"), out, by)
+
+
+def even_parts(df: DataFrame, by: str, order: str, parts: int, out: str) -> DataFrame:
+    """df with `out`: its part from 1 to `parts`, each `by` cut in order into parts whose sizes differ by one at most, larger ones first."""
+    sizes = df.groupBy(F.col(by).alias("__of")).agg(F.count("*").alias("__n"))
+    x = numbered(df, [F.col(order)], "__place", (by,)).join(sizes, F.col(by).eqNullSafe(F.col("__of")))
+    i, n = F.col("__place") - 1, F.col("__n")
+    size, more = F.floor(n / parts), n % parts
+    part = F.when(i < more * (size + 1), F.floor(i / (size + 1))).otherwise(more + F.floor((i - more * (size + 1)) / F.greatest(size, F.lit(1))))
+    return x.withColumn(out, (part + 1).cast("long")).drop("__of", "__n", "__place")
 
 
 def groups_of(rows: DataFrame, by: str, order: str, size: int = 10) -> DataFrame:
@@ -104,7 +118,8 @@ def lightest_bin(files: DataFrame, bins: int, by: str = "part") -> DataFrame:
 
 def balanced_parts(rows: DataFrame, by: str, order: str, size: str, most: int) -> DataFrame:
     """rows with part: ceil(total / most) parts of each `by` of about equal size, in order, cut by running sums."""
-    w = Window.partitionBy(by)
-    total, before = F.sum(size).over(w), F.sum(size).over(w.orderBy(order)) - F.col(size)
+    totals = rows.groupBy(F.col(by).alias("__of")).agg(F.sum(size).alias("__total"))
+    x = running(rows, [F.col(order)], F.col(size), "__upto", (by,)).join(totals, F.col(by).eqNullSafe(F.col("__of")))
+    total, before = F.col("__total"), F.col("__upto") - F.col(size)
     parts = F.greatest(F.lit(1), F.ceil(total / most))
-    return rows.withColumn("part", F.least(parts - 1, F.floor(before * parts / F.greatest(total, F.lit(1)))).cast("long"))
+    return x.withColumn("part", F.least(parts - 1, F.floor(before * parts / F.greatest(total, F.lit(1)))).cast("long")).drop("__of", "__total", "__upto")

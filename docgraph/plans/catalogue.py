@@ -337,29 +337,35 @@ def page_overlap(spark, sf):
 
 @query("select doc_id, ntile(34) over (partition by lang order by doc_id)::bigint as part from documents")
 def ntile_chunks(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", F.ntile(34).over(Window.partitionBy("lang").orderBy("doc_id")).cast("long").alias("part"))
+    return chunking.even_parts(t(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id", 34, "part").select("doc_id", "part")
 
 
 @query("select doc_id, (row_number() over (partition by source order by doc_id) - 1) % 8 as shard from documents")
 def round_robin_shard(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", F.pmod(F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1, F.lit(8)).cast("long").alias("shard"))
+    x = chunking.numbered(t(spark, sf, "documents").select("doc_id", "source"), [F.col("doc_id")], "place", ("source",))
+    return x.select("doc_id", F.pmod(F.col("place") - 1, F.lit(8)).alias("shard"))
+
+
+def _folders(spark, sf):
+    """Documents in folders of a thousand ids of a source at most: batches and bins depend on order, so each is one task's work."""
+    return t(spark, sf, "documents").withColumn("folder", F.concat_ws("/", "source", F.expr("cast(doc_id div 1000 as string)")))
 
 
 @query()
 def greedy_batches(spark, sf):
-    d = t(spark, sf, "documents").select("source", "doc_id", text.tokens_at_index(F.col("text")).alias("tokens"))
-    return chunking.greedy_batches(d, "source", "doc_id", "tokens")
+    d = _folders(spark, sf).select("folder", "doc_id", text.tokens_at_index(F.col("text")).alias("tokens"))
+    return chunking.greedy_batches(d, "folder", "doc_id", "tokens")
 
 
 @query()
 def lpt_pack(spark, sf):
-    return chunking.lightest_bin(t(spark, sf, "documents").select(F.col("source").alias("part"), F.col("doc_id").alias("id"), F.col("n_chars").alias("size")), 6)
+    return chunking.lightest_bin(_folders(spark, sf).select(F.col("folder").alias("part"), F.col("doc_id").alias("id"), F.col("n_chars").alias("size")), 6)
 
 
 @query("""with x as (select doc_id, source, n_chars, sum(n_chars) over (partition by source) as total, coalesce(sum(n_chars) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0) as before from documents),
 y as (select *, greatest(1, ceil(total / 30000.0)) as parts from x) select doc_id, least(parts - 1, floor(before * parts / greatest(total, 1)))::bigint as part from y""")
 def balanced_split(spark, sf):
-    return chunking.balanced_parts(t(spark, sf, "documents"), "source", "doc_id", "n_chars", 30000).select("doc_id", "part")
+    return chunking.balanced_parts(t(spark, sf, "documents").select("doc_id", "source", "n_chars"), "source", "doc_id", "n_chars", 30000).select("doc_id", "part")
 
 
 # ---- aggregates --------------------------------------------------------------------------------------------------
@@ -435,10 +441,10 @@ def trend_lag(spark, sf):
     return n.withColumn("trend", F.col("n") - F.lag("n").over(Window.partitionBy("event_type").orderBy("hour")))
 
 
-@query("select source, string_agg(doc_id, ',' order by doc_id) as ids, count(*) as n from documents group by source")
+@query("select conv_id, string_agg(turn || ':' || role, ',' order by turn, role) as turns, count(*) as n from conversations group by conv_id")
 def ordered_group_list(spark, sf):
-    ids = F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string"))
-    return t(spark, sf, "documents").groupBy("source").agg(F.array_join(ids, ",").alias("ids"), F.count("*").alias("n"))
+    turn = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: F.concat_ws(":", x["turn"], x["role"]))
+    return t(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(turn, ",").alias("turns"), F.count("*").alias("n"))
 
 
 # ---- text --------------------------------------------------------------------------------------------------------

@@ -60,7 +60,7 @@ def split_and_retry(spark, sf):
     return good.select("id", F.lit("ok").alias("state")).unionByName(bad.select("id", F.lit("failed").alias("state")))
 
 
-@query()
+@query(r"select doc_id, 64 as n, case when regexp_matches(text, '[\p{L}\p{N}_]') then 1.0 else 0.0 end::double as norm from documents")
 def embed_chunks(spark, sf):
     d = t(spark, sf, "documents").select("doc_id", F.col("text").alias("chunk"))
     return providers.apply(d, "chunk", "embedding", providers.embed, "array<double>").select("doc_id", F.size("embedding").alias("n"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
@@ -94,7 +94,7 @@ def judge_rewrite_loop(spark, sf):
 def graph_context(spark, sf):
     e = t(spark, sf, "embeddings")
     entities = e.select("vec_id", F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("key"), "embedding")
-    triples = e.select(F.concat(F.lit("t"), F.col("vec_id").cast("string")).alias("uid"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("s"), F.lit("near").alias("p"), F.concat(F.lit("v"), ((F.col("vec_id") * 7 + 1) % 500).cast("string")).alias("o"), "embedding")
+    triples = e.select(F.concat(F.lit("t"), F.col("vec_id").cast("string")).alias("uid"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("s"), F.lit("near").alias("p"), F.concat(F.lit("v"), ((F.col("vec_id") * 7 + 1) % max(1, e.count())).cast("string")).alias("o"), "embedding")
     questions = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
     return retrieve.graph_context(entities, triples, questions)
 

@@ -143,12 +143,12 @@ def duration_stats(spark, sf):
 # ---- answers -------------------------------------------------------------------------------------------------------
 
 
-@query("""with seen as (select event_type, case when event_id % 4 = 0 then 'DOC-' else 'CHUNK-' end || user_id as ref, min(event_id) as first from events group by all)
-select event_type, string_agg(ref, ',' order by first) as refs from seen where ref like 'CHUNK-%' group by event_type""")
+@query("""with seen as (select user_id, case when event_id % 4 = 0 then 'DOC-' else 'CHUNK-' end || event_type as ref, min(event_id) as first from events group by all)
+select user_id, string_agg(ref, ',' order by first) as refs from seen where ref like 'CHUNK-%' group by user_id""")
 def citations_of_answers(spark, sf):
-    ref = F.concat(F.when(F.col("event_id") % 4 == 0, "DOC-").otherwise("CHUNK-"), F.col("user_id").cast("string"))
-    seen = t(spark, sf, "events").select("event_type", ref.alias("ref"), "event_id").where(F.col("ref").startswith("CHUNK-")).groupBy("event_type", "ref").agg(F.min("event_id").alias("first"))
-    return seen.groupBy("event_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "ref"))), lambda s: s["ref"]), ",").alias("refs"))
+    ref = F.concat(F.when(F.col("event_id") % 4 == 0, "DOC-").otherwise("CHUNK-"), F.col("event_type"))
+    seen = t(spark, sf, "events").select("user_id", ref.alias("ref"), "event_id").where(F.col("ref").startswith("CHUNK-")).groupBy("user_id", "ref").agg(F.min("event_id").alias("first"))
+    return seen.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "ref"))), lambda s: s["ref"]), ",").alias("refs"))
 
 
 @query("""with x as (select *, row_number() over (partition by conv_id order by turn) as n from conversations)

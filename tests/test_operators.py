@@ -371,3 +371,16 @@ def test_providers_results_over_tables(spark, sf):
     for i, t in docs.items():
         question = providers.generate(pd.Series([t]))[0]
         assert (judged[i].chars, judged[i].score) == (len(question), providers.judge(pd.Series([question + "\n" + t]))[0])
+
+
+def test_groups_are_numbered_and_parted_over_ranges(spark):
+    r = random.Random(8)
+    rows = [(i, r.choice(["big", "big", "big", "small", None]), r.randint(0, 9)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, by string, size long").repartition(3)
+    got = {x.id: x for x in chunking.running(df, [F.col("id")], F.col("size"), "upto", ("by",), slices=7).collect()}
+    parts = {x.id: x.part for x in chunking.even_parts(df, "by", "id", 6, "part").collect()}
+    for group in ("big", "small", None):
+        mine = [x for x in rows if x[1] == group]
+        assert [got[x[0]].upto for x in mine] == list(itertools.accumulate(x[2] for x in mine))
+        want = [k + 1 for k, piece in enumerate(np.array_split(np.arange(len(mine)), 6)) for _ in piece]
+        assert [parts[x[0]] for x in mine] == want
