@@ -56,6 +56,8 @@ def assemble(table: pa.Table) -> pa.RecordBatch:
     before = np.r_[0, np.cumsum(special)]
     size = np.diff(off) + before[off[1:]] - before[off[:-1]]
     lengths = np.stack([head_size[code], size, tail_size[code]], 1)
+    if lengths.sum() >= 1 << 31:
+        raise OverflowError("a conversation's formatted text has 2 GiB or more, which no string column holds")
     place = (np.cumsum(lengths) - lengths.ravel()).reshape(-1, 3)
     out = np.empty(int(lengths.sum()), np.uint8)
     _scatter(out, place[:, 0], np.frombuffer(heads, np.uint8), (np.cumsum(head_size) - head_size)[code], lengths[:, 0])
@@ -95,6 +97,18 @@ def _pieces(batches):
         yield pa.Table.from_batches(held)
 
 
+def _bounded(table: pa.Table, most: int = 1 << 29):
+    """The table in runs of whole conversations of at most so many bytes of text, or of one conversation where it has more."""
+    conv, size = table.column("conv_id").to_numpy(), pc.fill_null(pc.binary_length(table.column("text")), 0).to_numpy().astype(np.int64)
+    first = np.r_[np.flatnonzero(np.r_[True, conv[1:] != conv[:-1]]), len(conv)]
+    upto = np.r_[0, np.cumsum(size)][first]
+    i = 0
+    while i < len(first) - 1:
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + most, side="right")) - 1)
+        yield table.slice(first[i], first[j] - first[i])
+        i = j
+
+
 def format_conversations(rows: DataFrame) -> DataFrame:
     """(conv_id, n_turns, formatted, loss) per conversation of rows (conv_id, turn, role, text, ...).
 
@@ -102,11 +116,12 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     assistant text, in turn. Control strings inside texts are escaped and come back by `read_back`. Null texts and roles
     are empty; rows without conv_id are one conversation of their own, with null id; repeated rows are turns of their own;
     an empty table gives no rows. Rows are dealt by conv_id and sorted by Spark; a task holds a batch and one conversation.
+    A conversation whose formatted text would have 2 GiB or more raises, as no string holds it.
     """
     none = F.lit(-(1 << 63))
     t = rows.select(F.coalesce(F.col("conv_id").cast("long"), none).alias("conv_id"), F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     t = t.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    out = t.mapInArrow(lambda batches: (assemble(x) for x in _pieces(batches)), _SCHEMA)
+    out = t.mapInArrow(lambda batches: (assemble(y) for x in _pieces(batches) for y in _bounded(x)), _SCHEMA)
     return out.withColumn("conv_id", F.nullif("conv_id", none))
 
 

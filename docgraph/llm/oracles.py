@@ -47,9 +47,10 @@ tri as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (
 rep as (select doc_id, count(distinct i + j) as n from (select doc_id, i, count(*) over (partition by doc_id, g) as c from tri), (values (0), (1), (2)) as o(j) where c > 1 group by doc_id),
 ln as (select doc_id, line, length(line) as size, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as ws from (select doc_id, unnest(string_split(text, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]')),
 v as (select *, len(ws) as n,
-    size < 200 and (not regexp_matches(line, '{q(rules.TERMINAL)}') and len(ws) < 10 or regexp_matches(line, '{q(rules.NAVIGATION)}') or regexp_matches(line, '{q(rules.BOILERPLATE)}'))
+    not regexp_matches(line, '{q(rules.TERMINAL)}') and len(ws) < 10 or regexp_matches(line, '{q(rules.NAVIGATION)}') or regexp_matches(line, '{q(rules.BOILERPLATE)}')
     or regexp_matches(line, '{rules.SYMBOL}') and len(regexp_extract_all(line, '{rules.SYMBOL}')) * 10 >= len(ws)
     or not regexp_matches(line, '\p{{Ll}}') and regexp_matches(line, '\p{{Lu}}') and len(ws) >= 4
+    or len(ws) >= 8 and len(list_distinct(ws)) * 3 <= len(ws)
     or len(list_filter(range(1, len(ws) - 3), lambda i: ws[i] = ws[i + 1] and ws[i] = ws[i + 2] and ws[i] = ws[i + 3] and ws[i] = ws[i + 4])) > 0 as bad from ln),
 s as (select doc_id, count(*) - count(distinct line) as dup, sum(size) as size, coalesce(sum(size) filter (bad), 0) as lost from v group by doc_id),
 b as (select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, len(regexp_extract_all(text, '{rules.SYMBOL}'))::bigint as n_symbols,

@@ -72,5 +72,5 @@ def assess(docs: DataFrame, loses_at_most: float = 0.3) -> DataFrame:
 
 
 def clean(docs: DataFrame, loses_at_most: float = 0.3) -> DataFrame:
-    """(doc_id, text) of the kept documents, without their failing lines."""
+    """(doc_id, text) of the kept documents, without their failing lines. Null and empty texts are not kept; repeated rows stay."""
     return assess(docs, loses_at_most).where("kept").select("doc_id", F.col("cleaned").alias("text"))

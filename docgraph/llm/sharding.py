@@ -47,7 +47,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, slice_rows: int = 1_000_0
     size: UTF-8 bytes plus 1 (null text: 1, checksum 0). slot numbers each shard's rows from 0 without gaps, in an order
     fixed by doc_id, checksum and size. Numbering is dealt over slices of doc_id's hash, sized by `slice_rows`, with each
     slice's start from the slices' counts, so no task sees a whole shard. Equal doc_ids share a shard; a null doc_id is
-    hashed like a value. Rows that repeat get a slot each.
+    hashed like a value. Rows that repeat get a slot each; an empty table gives no rows.
     """
     text = F.coalesce(docs["text"], F.lit(""))
     base = docs.select(

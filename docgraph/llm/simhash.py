@@ -68,7 +68,9 @@ def variants(fps: DataFrame) -> DataFrame:
 def _cliques(hot: DataFrame) -> DataFrame:
     """Links within keys of too many members, without pairs: a second set of wildcards in the other segment.
 
-    Members that agree under both differ in two bits at most, so each is linked to the least of its clique alone.
+    Members that agree under both differ in two bits at most, so each is linked to the least of its clique alone. A member
+    costs 32 rows, or 496 in a key on a full half, whatever the key's size; they are made twice, which is CPU time, rather
+    than kept, which would be disk.
     """
     masks = """case when side = 2
         then filter(flatten(transform(sequence(0, 31), i -> transform(sequence(0, 31), j -> if(i < j, shiftleft(1L, i) | shiftleft(1L, j), 0L)))), m -> m <> 0)

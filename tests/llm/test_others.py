@@ -165,6 +165,32 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_in_bounded_pieces():
+    import pyarrow as pa
+
+    table = pa.table({"conv_id": [1, 1, 2, 3, 3, 3, 4], "role": ["user"] * 7, "text": ["aa", "b", "c" * 9, None, "d", "e", "ff"]})
+    for most in (1, 3, 5, 100):
+        parts = list(chat._bounded(table, most))
+        assert pa.concat_tables(parts).equals(table)
+        ids = [set(p.column("conv_id").to_pylist()) for p in parts]
+        assert sum(map(len, ids)) == 4 and all(len(i) == 1 or sum(len(t or "") for t in p.column("text").to_pylist()) <= most for i, p in zip(ids, parts))
+
+
+def test_rules_equal_their_sql(make, tmp_path):
+    """The line rules in SQL, on lines of every length that each rule is about."""
+    import duckdb
+
+    from docgraph.llm import oracles
+
+    r = random.Random(12)
+    prose = " ".join(f"word{i}" for i in range(60)) + "."
+    lines = [prose, prose[:-1] + " all rights reserved, privacy policy.", "x" * 250, "buy now " * 8 + "again.", "buy now now buy " * 30 + "end.", "Home", "A B C D", "# # a"]
+    docs = [(i, "\n".join(r.choice(lines) for _ in range(r.randint(1, 6)))) for i in range(200)] + [(300, None), (301, "")]
+    make(docs).write.parquet(f"{tmp_path}/d")
+    want = duckdb.connect().execute(f"with documents as (select * from '{tmp_path}/d/*.parquet') select doc_id, kept, n_repeat_words from ({oracles.line_rules()})").fetchall()
+    assert sorted(want) == sorted((x.doc_id, x.kept, x.n_repeat_words) for x in rules.assess(make(docs)).collect())
+
+
 def test_chat_probe(spark, sf):
     row = queries.op8_chat(spark, sf).where("conv_id = -1").first()
     said = "</s>[INST] ok [/INST]"
