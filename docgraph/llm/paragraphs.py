@@ -122,11 +122,11 @@ def _stars(texts: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, least: int, shingle: int, wrapped: bool) -> DataFrame:
-    """(key, hub, lead, s): the distinct shingle hashes of the wanted (key, hub, lead, at) paragraphs, one place of each being read.
+    """(key, hubs, lead, s): the distinct shingle hashes of the wanted (key, hubs, lead, at) paragraphs, one place of each being read.
 
     Where several rows have the place's doc_id, a paragraph may come several times.
     """
-    where = wanted.groupBy(F.col("at.doc_id").alias("__id")).agg(F.collect_list(F.struct("at.par", "at.upto", "key", "hub", F.coalesce("lead", F.lit(False)).alias("lead"))).alias("pars"))
+    where = wanted.groupBy(F.col("at.doc_id").alias("__id")).agg(F.collect_list(F.struct("at.par", "at.upto", "key", "hubs", F.coalesce("lead", F.lit(False)).alias("lead"))).alias("pars"))
 
     def run(batches):
         for batch in batches:
@@ -142,11 +142,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, least: int, shingle: int, wrapped:
                         if k is not None:
                             rows.append(x)
                             sets.append(np.unique(flat[start[k] : start[k + 1]]).view(np.int64))
-                columns = [pa.array([x[c] for x in rows], t) for c, t in (("key", pa.int64()), ("hub", pa.int64()), ("lead", pa.bool_()))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.list_(pa.int64()))], ["key", "hub", "lead", "s"])
+                columns = [pa.array([x[c] for x in rows], t) for c, t in (("key", pa.int64()), ("hubs", pa.list_(pa.int64())), ("lead", pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.list_(pa.int64()))], ["key", "hubs", "lead", "s"])
 
     found = docs.join(where, F.col("doc_id") == F.col("__id")).select("pars", "text")
-    return found.mapInArrow(run, "key long, hub long, lead boolean, s array<long>")
+    return found.mapInArrow(run, "key long, hubs array<long>, lead boolean, s array<long>")
 
 
 def _alike(pairs: DataFrame, jaccard: float) -> DataFrame:
@@ -163,9 +163,10 @@ def _linked(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
 
 
 def _heads(sets: DataFrame, jaccard: float, slots: int = 1 << 18) -> DataFrame:
-    """(key, root, size, left, t) of each set's prefix, its first size - ceil(jaccard * size) + 1 shingles in an order common to
+    """(key, root, rare, size, left, t) of each set's prefix, its first size - ceil(jaccard * size) + 1 shingles in an order common to
     all sets: two sets at `jaccard` share one there. left counts those from t on. Rare shingles come first; how rare is
-    read from counts by the low bits of the hash, which take `slots` numbers whatever the input.
+    read from counts by the low bits of the hash, which take `slots` numbers whatever the input. rare: how much of a set is
+    rare (each shingle weighs a thousandth over its count), so a group's most typical text has the least.
     """
     slot = F.col("t").bitwiseAND(F.lit(slots - 1)).alias("slot")
     counts = np.ones(slots, np.int64)
@@ -178,21 +179,23 @@ def _heads(sets: DataFrame, jaccard: float, slots: int = 1 << 18) -> DataFrame:
             size = batch.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             of = np.repeat(np.arange(len(size)), size)
-            order = np.lexsort((flat, shared.value[flat & (slots - 1)], of))
+            seen = shared.value[flat & (slots - 1)]
+            rare = np.bincount(of, 1000 // seen, len(size)).astype(np.int64)
+            order = np.lexsort((flat, seen, of))
             at = np.arange(len(flat)) - (np.cumsum(size) - size)[of]
             head = np.flatnonzero(at < (size - np.ceil(jaccard * size - 1e-9) + 1)[of])
             row = pa.array(of[head])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(size[of[head]]), pa.array((size[of] - at)[head]), pa.array(flat[order][head])], ["key", "root", "size", "left", "t"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(rare[of[head]]), pa.array(size[of[head]]), pa.array((size[of] - at)[head]), pa.array(flat[order][head])], ["key", "root", "rare", "size", "left", "t"])
 
-    return sets.mapInArrow(run, "key long, root long, size long, left long, t long")
+    return sets.mapInArrow(run, "key long, root long, rare long, size long, left long, t long")
 
 
 def _across(live: DataFrame, roots: DataFrame, sets: DataFrame, jaccard: float, tables: Tables) -> DataFrame:
     """Links (a, b) that join what the hubs left in different components: none of a bucket's that would join two is left out.
 
     Two sets with the similarity share a prefix shingle, and from the first one on that they share enough remains in both.
-    Of each such shingle first one text of every component is compared with one of the least component, which joins large
-    groups by few links; only texts that are still apart are then compared in pairs. Members of buckets that were compared
+    Of each such shingle first the most typical text of every component is compared with the most typical of all, which joins
+    large groups by few links; only texts that are still apart are then compared in pairs. Members of buckets that were compared
     whole or are one component already, and shingles that one component has alone, are not looked at. live: (band, key,
     open), open saying that the bucket may hold a pair that was not compared.
     """
@@ -201,9 +204,9 @@ def _across(live: DataFrame, roots: DataFrame, sets: DataFrame, jaccard: float,
     apart = tables.keep(rows.join(parted, "band", "left_semi").select("key", "root").distinct())
     rest = tables.keep(*[sets.where(x).select("key", "s").join(apart.where(x), "key").select("key", "root", "s") for x in _parts("key")])
     prefixes = tables.keep(_heads(rest, jaccard))
-    first = prefixes.groupBy("t", "root").agg(F.min("key").alias("key"))
-    hub = first.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("key", "root").alias("hub")).where("lo < hi")
-    pairs = tables.keep(first.join(hub, "t").where("root <> lo").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct())
+    first = prefixes.groupBy("t", "root").agg(F.min_by("key", "rare").alias("key"), F.min("rare").alias("rare"))
+    hub = first.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("key", "rare").alias("hub")).where("lo < hi").select("t", "hub")
+    pairs = tables.keep(first.join(hub, "t").where("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct())
     some = tables.keep(_linked(pairs, rest, jaccard))
     joined = tables.keep(components(some.join(apart.withColumnRenamed("key", "a").withColumnRenamed("root", "x"), "a").join(apart.withColumnRenamed("key", "b").withColumnRenamed("root", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))))
     heads = prefixes.join(joined.select(F.col("node").alias("root"), F.col("root").alias("now")), "root", "left").withColumn("root", F.coalesce("now", "root")).drop("now")
@@ -217,7 +220,7 @@ def _across(live: DataFrame, roots: DataFrame, sets: DataFrame, jaccard: float,
     return links
 
 
-def _parts(column: str, n: int = 3) -> list[F.Column]:
+def _parts(column: str, n: int = 2) -> list[F.Column]:
     """Conditions that part a table's rows by a key, so that a step on whole sets has a part of them in shuffle files at a time."""
     return [F.pmod(F.col(column), F.lit(n)) == k for k in range(n)]
 
@@ -231,8 +234,8 @@ def repeated(docs: DataFrame, least: int = 20, shingle: int = 5, jaccard: float
     one of `number` bands of `rows` MinHashes of their `shingle`-word shingles are candidates; those at a Jaccard similarity
     of `jaccard` or more, by their whole sets, are linked, links make classes by connected components, and a class keeps its
     first paragraph by (doc_id, place). Two texts at 0.8 collide with probability 1 - (1 - 0.8**2)**6 = 0.998. Every text is
-    compared with one hub of its buckets, and then, by a prefix filter that loses none, with those of its buckets that this
-    did not bring into its component: no link within a bucket is lost.
+    compared with three hubs of its buckets at most, and then, by a prefix filter that loses none, with those of its buckets
+    that this did not bring into its component: no link within a bucket is lost.
     total: paragraphs in the class, null where it is alone. Rows with par -1 (one per input row, key null) count lines in
     size. Rows of equal doc_id are one document. Null texts have no paragraphs; a null doc_id comes first (and is the least
     long in the result); repeated rows repeat their paragraphs; an empty table gives no rows.
@@ -245,16 +248,19 @@ def repeated(docs: DataFrame, least: int = 20, shingle: int = 5, jaccard: float
     stars = tables.keep(_stars(banded))
     texts = tables.keep(banded.drop("bands"))
     tables.drop(banded)
-    # each text is compared with one hub, the least of its buckets'; what that leaves open goes to _across
-    hubs = tables.keep(stars.groupBy("key").agg(F.min("hub").alias("first")))
-    live = tables.keep(stars.join(hubs, "key").select("band", "key", F.expr("n > 2 or key <> hub and first <> hub").alias("open")))
-    lead = hubs.select(F.col("first").alias("key"), F.lit(True).alias("lead")).distinct()
-    wanted = hubs.withColumnRenamed("first", "hub").join(lead, "key", "left").join(texts.select("key", "at"), "key")
-    sets = tables.keep(_sets(docs, wanted, least, shingle, wrapped))
+    # each text is compared with three hubs of its buckets at most; what that leaves open goes to _across
+    others = [F.min_by("key", F.xxhash64("key", F.lit(i))).alias(f"hub{i}") for i in (1, 2)]
+    crowded = stars.where("n > 2").groupBy("band").agg(*others)
+    hubs = stars.join(crowded, "band", "left").groupBy("key").agg(F.min("hub").alias("first"), F.min("hub1").alias("second"), F.min("hub2").alias("third"))
+    hubs = tables.keep(hubs.select("key", "first", F.nullif("second", "first").alias("second"), F.nullif(F.nullif("third", "first"), "second").alias("third")))
+    live = tables.keep(stars.join(hubs.select("key", "first"), "key").select("band", "key", F.expr("n > 2 or key <> hub and first <> hub").alias("open")))
     tables.drop(stars)
+    lead = hubs.select(F.explode(F.array("first", "second", "third")).alias("key")).where("key is not null").distinct().withColumn("lead", F.lit(True))
+    wanted = hubs.join(lead, "key", "left").join(texts.select("key", "at"), "key").withColumn("hubs", F.array("first", "second", "third"))
+    sets = tables.keep(_sets(docs, wanted, least, shingle, wrapped))
     a = sets.where("lead").select(F.col("key").alias("a"), F.col("s").alias("sa"))
-    b = sets.select(F.col("hub").alias("a"), F.col("key").alias("b"), F.col("s").alias("sb")).where("a <> b")
-    links = tables.keep(*[_alike(b.where(x).join(a.where(x), "a"), jaccard) for x in _parts("a")])
+    b = [sets.select(F.col("hubs")[i].alias("a"), F.col("key").alias("b"), F.col("s").alias("sb")).where("a <> b") for i in range(3)]
+    links = tables.keep(*[_alike(y.where(x).join(a.where(x), "a"), jaccard) for y in b for x in _parts("a")])
     roots = tables.keep(components(links))
     more = _across(live, roots, sets, jaccard, tables)
     tables.drop(live, sets, links, hubs)
