@@ -115,7 +115,7 @@ def _count_terms(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(run, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, least: int = 4, surprise: float = 32.0, share: float = 0.03, lift: float = 40.0, seeds=(), prior: int = 2) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, least: int = 4, surprise: float = 20.0, share: float = 0.03, lift: float = 40.0, seeds=(), prior: int = 2) -> Lexicon:
     """Learns a lexicon from at most `most` labelled documents (a bound of this fit, by hash of doc_id; scoring has none).
 
     A term is a word or a word's beginning that at least `least` toxic texts have and that is `lift` times likelier there, with a
