@@ -67,10 +67,21 @@ def _month(name) -> Column:
     return out
 
 
+# How dates, the wish for the present law, and laws' numbers are written.
+DAY_NAME_YEAR = r"\b(\d{1,2})\s+([A-Za-z.]+)\s+(\d{4})\b"
+DAY_MONTH_YEAR = r"\b(\d{1,2})[-/](\d{1,2})[-/](\d{2,4})\b"
+YEAR_MONTH_DAY = r"\b(\d{4})[-/](\d{1,2})[-/](\d{1,2})\b"
+PRESENT = r"\b(latest|current|today|now|terkini|terbaru|paling\s+baru|sekarang)\b"
+AS_OF_DAY = r"\b(?:per|as of|per\s*tanggal|per\s*tgl)\b((?s:.{0,50}))"
+SHORT_NUMBER = r"\buu\s*([0-9]{1,4}\s*/\s*[0-9]{4})\b"
+FULL_NUMBER = r"(?:undang[- ]?undang|uu)\s*(?:nomor|no\.?)\s*([0-9]{1,4})\s*tahun\s*([0-9]{4})"
+REGULATION = r"(?:Nomor|No\.)\s+(\d+)\s+Tahun\s+(\d+)"
+
+
 def parse_date(s) -> Column:
     """The first readable of '1 Januari 2020', '01-02-20' (20xx) and '2020-01-31'; an invalid date falls to the next."""
     part = lambda pattern, k: F.regexp_extract(s, pattern, k)
-    a, b, c = r"\b(\d{1,2})\s+([A-Za-z.]+)\s+(\d{4})\b", r"\b(\d{1,2})[-/](\d{1,2})[-/](\d{2,4})\b", r"\b(\d{4})[-/](\d{1,2})[-/](\d{1,2})\b"
+    a, b, c = DAY_NAME_YEAR, DAY_MONTH_YEAR, YEAR_MONTH_DAY
     year = part(b, 3).try_cast("int")
     return F.coalesce(
         F.when(s.rlike(a), _date(part(a, 3), _month(part(a, 2)), part(a, 1))),
@@ -82,29 +93,24 @@ def parse_date(s) -> Column:
 def as_of(query, today) -> Column:
     """struct(mode, day): 'latest' words win, then a date within 50 characters of 'per' or 'as of', then any date, else today."""
     q = F.lower(F.coalesce(query, F.lit("")))
-    near = parse_date(F.regexp_extract(q, r"\b(?:per|as of|per\s*tanggal|per\s*tgl)\b((?s:.{0,50}))", 1))
-    day = F.when(q.rlike(r"\b(latest|current|today|now|terkini|terbaru|paling\s+baru|sekarang)\b"), F.lit(None)).otherwise(F.coalesce(near, parse_date(q)))
+    near = parse_date(F.regexp_extract(q, AS_OF_DAY, 1))
+    day = F.when(q.rlike(PRESENT), F.lit(None)).otherwise(F.coalesce(near, parse_date(q)))
     return F.struct(F.when(day.isNull(), "latest").otherwise("as_of").alias("mode"), F.coalesce(day, today).alias("day"))
 
 
 def law_number(s) -> Column:
     """'X/YYYY' from 'UU 4/2009' or 'Undang-undang Nomor 4 Tahun 2009'; null if neither."""
     t = F.lower(F.coalesce(s, F.lit("")))
-    short = F.replace(F.regexp_extract(F.translate(t, "-", " "), r"\buu\s*([0-9]{1,4}\s*/\s*[0-9]{4})\b", 1), F.lit(" "))
-    full = r"(?:undang[- ]?undang|uu)\s*(?:nomor|no\.?)\s*([0-9]{1,4})\s*tahun\s*([0-9]{4})"
-    return F.coalesce(F.nullif(short, F.lit("")), F.when(t.rlike(full), F.concat_ws("/", F.regexp_extract(t, full, 1), F.regexp_extract(t, full, 2))))
+    short = F.replace(F.regexp_extract(F.translate(t, "-", " "), SHORT_NUMBER, 1), F.lit(" "))
+    full = F.concat_ws("/", F.regexp_extract(t, FULL_NUMBER, 1), F.regexp_extract(t, FULL_NUMBER, 2))
+    return F.coalesce(F.nullif(short, F.lit("")), F.when(t.rlike(FULL_NUMBER), full))
 
 
 def regulation_id(s) -> Column:
     """'N_Y' from 'Nomor N Tahun Y' or 'No. N Tahun Y'."""
-    p = r"(?:Nomor|No\.)\s+(\d+)\s+Tahun\s+(\d+)"
-    return F.when(s.rlike(p), F.concat_ws("_", F.regexp_extract(s, p, 1), F.regexp_extract(s, p, 2)))
+    return F.when(s.rlike(REGULATION), F.concat_ws("_", F.regexp_extract(s, REGULATION, 1), F.regexp_extract(s, REGULATION, 2)))
 
 
 def law_names(number, year) -> Column:
     """Both long forms under which a law is filed."""
     return F.array(*[F.concat(F.lit(f"Undang-undang (UU) {w} "), number.cast("string"), F.lit(" Tahun "), year.cast("string")) for w in ("Nomor", "No.")])
-
-
-def relationship(s) -> Column:
-    return predicate(s, "")

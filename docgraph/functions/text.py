@@ -148,17 +148,22 @@ def human_size(n) -> Column:
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(out)
 
 
+# How durations and answers' letters are written.
+MINUTES_SECONDS, SECONDS = r"(\d+)\s*m\s*(\d+\.?\d*)\s*s", r"^(\d+\.?\d*)\s*s$"
+LETTER_ALONE, LETTER = r"\b([ABCD])\b", r"([ABCD])"
+
+
 def choice_letter(s) -> Column:
     """The first letter A to D that stands alone, else the first at all; upper-cased; null if none."""
     u = F.upper(F.coalesce(s, F.lit("")))
-    return F.coalesce(F.nullif(F.regexp_extract(u, r"\b([ABCD])\b", 1), F.lit("")), F.nullif(F.regexp_extract(u, r"([ABCD])", 1), F.lit("")))
+    return F.coalesce(F.nullif(F.regexp_extract(u, LETTER_ALONE, 1), F.lit("")), F.nullif(F.regexp_extract(u, LETTER, 1), F.lit("")))
 
 
 def duration_seconds(s) -> Column:
     """'1m 44.83s' or '30.5 s' in seconds; null otherwise. Hours are not read."""
     t = stripped(s)
-    minutes, seconds = (F.regexp_extract(t, r"(\d+)\s*m\s*(\d+\.?\d*)\s*s", k).try_cast("double") for k in (1, 2))
-    return F.coalesce(minutes * 60 + seconds, F.regexp_extract(t, r"^(\d+\.?\d*)\s*s$", 1).try_cast("double"))
+    minutes, seconds = (F.regexp_extract(t, MINUTES_SECONDS, k).try_cast("double") for k in (1, 2))
+    return F.coalesce(minutes * 60 + seconds, F.regexp_extract(t, SECONDS, 1).try_cast("double"))
 
 
 def format_seconds(x) -> Column:
