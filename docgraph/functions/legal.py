@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docgraph.functions.text import predicate, stripped
+from docgraph.functions.text import stripped
 
 # The ontology's types by base label, predicates of change, and month names.
 DOCUMENT_TYPES = ["Constitution", "AmendmentToTheConstitution", "PeoplesConsultativeAssemblyResolution", "Act", "GovernmentRegulationInLieuOfAct", "GovernmentRegulation", "PresidentialRegulation", "PresidentialDecree", "PresidentialInstruction", "MinisterialRegulation", "MinisterialDecision", "MinisterialInstruction", "ProvincialRegulation", "RegencyRegulation", "MunicipalRegulation", "VillageRegulation"]
