@@ -278,4 +278,24 @@ def test_passages_link_documents_and_short_lines_do_not(make):
             assert texts[i].split() == [x for j, x in enumerate(words) if j not in gone and not (i > 0 and x in common.split())]
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_documents_that_share_51_words_are_of_one_class(spark, size):
+    """On whole tables: of the pairs of a document and the first that has 51 words in a row of it nine tenths at least share
+    their class, and all do where these words are not a few repeated ones."""
+    sf = f"/root/testdata/{size}"
+    first, pairs, plain = {}, set(), set()
+    for r in sorted(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect(), key=lambda r: r.doc_id):
+        words = (r.text or "").lower().split()
+        for k in range(len(words) - 50):
+            window = tuple(words[k : k + 51])
+            other = first.setdefault(hash(window), r.doc_id)
+            if other != r.doc_id:
+                pairs.add((r.doc_id, other))
+                if len(set(window)) >= 20:
+                    plain.add((r.doc_id, other))
+    got = {r.doc_id: r.class_id for r in queries.op3_paragraph_dedup(spark, sf).collect()}
+    missed = {(a, b) for a, b in pairs if got[a] != got[b]}
+    assert pairs and len(missed) <= 0.1 * len(pairs) and not missed & plain
+
+
 PARA = " ".join(f"token{i}" for i in range(40))
