@@ -203,6 +203,7 @@ def _across(live: DataFrame, roots: DataFrame, sets: DataFrame, jaccard: float,
     parted = rows.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_or("open").alias("open")).where("lo < hi and open").select("band")
     apart = tables.keep(rows.join(parted, "band", "left_semi").select("key", "root").distinct())
     rest = tables.keep(*[sets.where(x).select("key", "s").join(apart.where(x), "key").select("key", "root", "s") for x in _parts("key")])
+    tables.drop(sets)  # rest has all that is still looked at
     prefixes = tables.keep(_heads(rest, jaccard))
     first = prefixes.groupBy("t", "root").agg(F.min_by("key", "rare").alias("key"), F.min("rare").alias("rare"))
     hub = first.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("key", "rare").alias("hub")).where("lo < hi").select("t", "hub")
@@ -263,7 +264,7 @@ def repeated(docs: DataFrame, least: int = 20, shingle: int = 5, jaccard: float
     links = tables.keep(*[_alike(y.where(x).join(a.where(x), "a"), jaccard) for y in b for x in _parts("a")])
     roots = tables.keep(components(links))
     more = _across(live, roots, sets, jaccard, tables)
-    tables.drop(live, sets, links, hubs)
+    tables.drop(live, links, hubs)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = texts.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     classes = named.groupBy("root").agg(F.min("at").alias("keep"), F.sum("total").alias("of_class")).where("of_class > 1")
