@@ -57,3 +57,55 @@ b as (select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::
     coalesce(dup, 0)::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words, coalesce(size, 0) as size, coalesce(lost, 0) as lost from d left join s using (doc_id) left join rep using (doc_id))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
     not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and lost <= size * {loses_at_most}::double as kept from b"""
+
+
+def kmeans(k: int = 40, dim: int = 64, rounds: int = 5) -> str:
+    """Every vector against every centre, round after round."""
+    steps = [
+        f"""kept as materialized (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+where len(embedding) = {dim} and list_count(embedding) = {dim} and len(list_filter(embedding, lambda x: not isfinite(x))) = 0),
+long as materialized (select vec_id, unnest(range(1, {dim + 1})) as i, unnest(v) as x from kept),
+c0 as materialized (select c, unnest(range(1, {dim + 1})) as i, unnest(v) as x from (select v, row_number() over (order by sha256('2:' || vec_id)) - 1 as c from kept qualify c < {k}))"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""d{r} as materialized (select vec_id, c, sum((l.x - m.x) * (l.x - m.x))::bigint as d from long l join c{r} m using (i) group by vec_id, c),
+a{r} as materialized (select vec_id, c, d from d{r} qualify row_number() over (partition by vec_id order by d, c) = 1)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} as materialized (select m.c, m.i, coalesce(n.x, m.x) as x from c{r} m left join
+(select c, i, (sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*) as x from a{r} join long using (vec_id) group by c, i) n using (c, i))""")
+    return f"""with {", ".join(steps)},
+h as (select c, sha256(string_agg(x::bigint::varchar, ',' order by i)) as centroid_sha256 from c{rounds} group by c)
+select vec_id, c::int as cluster, d as distance, (sum(d) over (partition by c))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia, centroid_sha256 from a{rounds} join h using (c)"""
+
+
+def filter_audit() -> str:
+    """Every order and step over the counts of every combination of failures."""
+    hit = lambda f, mask: f"(fails & {mask}) = 0 and (fails & {f}) > 0"
+    return f"""with w as (select *, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w, min(doc_id) over (partition by coalesce(text, '')) as first from documents),
+m as (select coalesce(source, '') as part, quality, toxic, case when len(w) < 200 then 1 else 0 end + case when 100 * len(list_distinct(w)) < 50 * len(w) then 2 else 0 end
+  + case when 100 * len(regexp_replace(coalesce(text, ''), '[^A-Z]', '', 'g')) > 2 * length(coalesce(text, '')) then 4 else 0 end
+  + case when regexp_matches(coalesce(text, ''), '[#$%&*|]') then 8 else 0 end + case when doc_id > first then 16 else 0 end as fails from w left join labels using (doc_id)),
+g as (select part, fails, count(*) as n, count(*) filter (quality = 1) as good, count(*) filter (toxic = 1) as bad from m group by all),
+l as (select unnest(['A', 'B', 'C', 'D', 'E']) as x, unnest([1, 2, 4, 8, 16]) as b),
+o as (select row_number() over () as o, a.x || b.x || c.x || d.x || e.x as filter_order, [a.b, b.b, c.b, d.b, e.b] as bits from l a, l b, l c, l d, l e where a.b + b.b + c.b + d.b + e.b = 31 and (a.b | b.b | c.b | d.b | e.b) = 31),
+s as (select filter_order, unnest(range(1, 6)) as step, bits from o),
+e as (select filter_order, step, bits[step] as f, coalesce(list_sum(bits[1:step - 1]), 0)::int as before from s),
+r as (select part, filter_order, step, f, coalesce(sum(n) filter ((fails & (before | f)) = 0), 0)::bigint as kept, coalesce(sum(n) filter ({hit("f", "before")}), 0)::bigint as removed,
+  coalesce(sum(n) filter ((fails & f) > 0 and (fails & before) > 0), 0)::bigint as redundant, coalesce(sum(n) filter (fails = f), 0)::bigint as unique_fails,
+  coalesce(sum(good) filter ({hit("f", "before")}), 0)::bigint as good_lost, coalesce(sum(bad) filter ({hit("f", "before")}), 0)::bigint as toxic_lost
+  from g cross join e group by part, filter_order, step, f)
+select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, f))::bigint as shapley from r"""
+
+
+def near_duplicates() -> str:
+    """Exact sets, every pair that shares a shingle, and the closure of the links."""
+    return """with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as materialized (select distinct doc_id, array_to_string(w[i:i + 3], ' ') as g from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) as i from w where len(w) > 0)),
+n as materialized (select doc_id, count(*) as n from s group by doc_id),
+p as materialized (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b using (g) where a.doc_id < b.doc_id group by 1, 2),
+k as materialized (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 80 * (x.n + y.n - shared)),
+e as materialized (select a, b from k union all select b, a from k),
+r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a),
+c as (select a as doc_id, min(b) as least from r group by a)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(c.least, d.doc_id)) as component_id, coalesce(c.least, d.doc_id) >= d.doc_id as kept
+from documents d left join n using (doc_id) left join c using (doc_id)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgraph.llm import chat, decontaminate, mixing, oracles, paragraphs, quality, rules, sharding, simhash, substrings, toxicity
+from docgraph.llm import chat, decontaminate, filter_audit, kmeans, minhash, mixing, oracles, paragraphs, quality, rules, sharding, simhash, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,18 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.cluster_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (op1_substring_dedup, op2_decontaminate, op3_paragraph_dedup, op4_simhash, op5_shard, op6_toxicity, op7_mix, op8_chat, op9_quality, op10_rules, pipeline)
+    named = (op1_substring_dedup, op2_decontaminate, op3_paragraph_dedup, op4_simhash, op5_shard, op6_toxicity, op7_mix, op8_chat, op9_quality, op10_rules, op11_ball_kmeans, op12_filter_audit, op13_minhash, pipeline)
     return {f.__name__: f for f in named}
 
 
@@ -114,4 +126,4 @@ from s group by conv_id""",
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES | {"op7_mix": oracles.mix(), "op10_rules": oracles.line_rules()}
+    return ORACLES | {"op7_mix": oracles.mix(), "op10_rules": oracles.line_rules(), "op11_ball_kmeans": oracles.kmeans(), "op12_filter_audit": oracles.filter_audit(), "op13_minhash": oracles.near_duplicates()}
