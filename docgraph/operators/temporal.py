@@ -36,6 +36,30 @@ def status(index: DataFrame, day) -> DataFrame:
     return s.select("law", F.col("r").isNotNull().alias("is_repealed"), F.col("r.by_law").alias("repealed_by"), F.col("r.day").alias("repealed_on"), F.when(free, F.col("a.by_law")).alias("amended_by"), F.when(free, F.col("a.day")).alias("amended_on"))
 
 
+def status_on(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (law, on, ...) with the law's state on the row's own day: is_repealed, repealed_by, repealed_on, amended_by,
+    amended_on, as `status` defines them.
+
+    One merge for all days: changes are first reduced to the earliest repeal and the latest amendment of each (law, day), the
+    questions to their distinct (law, day), both are united in the order of days and the state is carried forward. So a law
+    has a row a day at most in that order, however many changes and questions name it, and no change is paired with days. The
+    states go back to the questions by equality. A law without changes is not repealed; a null law or day has no known state
+    (is_repealed null). Repeated rows of asked stay.
+    """
+    never = F.lit("0001-01-01").cast("date")
+    entry = F.struct(F.coalesce("day", never).alias("at"), "uid", "by_law", "day")
+    first = F.min(F.when(F.col("kind") == "repealed", entry)).alias("r")
+    last = F.max(F.when(F.col("kind") == "amended", entry)).alias("a")
+    changes = index.where("law is not null").groupBy("law", F.coalesce("day", never).alias("on")).agg(first, last).withColumn("asked", F.lit(False))
+    days = asked.where("law is not null and on is not null").select("law", "on").distinct().withColumn("asked", F.lit(True))
+    so_far = Window.partitionBy("law").orderBy("on").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    states = changes.unionByName(days, allowMissingColumns=True).withColumn("r", F.min("r").over(so_far)).withColumn("a", F.max("a").over(so_far)).where("asked")
+    free = F.col("r").isNull()
+    amended = [F.when(free, F.col(f"a.{x}")).alias(y) for x, y in (("by_law", "amended_by"), ("day", "amended_on"))]
+    states = states.select(F.col("law").alias("__law"), F.col("on").alias("__on"), F.col("r").isNotNull().alias("is_repealed"), F.col("r.by_law").alias("repealed_by"), F.col("r.day").alias("repealed_on"), *amended)
+    return asked.join(states, (F.col("law") == F.col("__law")) & (F.col("on") == F.col("__on")), "left").drop("__law", "__on")
+
+
 def weigh(chunks: DataFrame, state: DataFrame, step: float = 0.10) -> DataFrame:
     """chunks (law, predicate, subject_type, object_type, score, ...) with kept and weighted: repealed laws' chunks go unless they
     tell of a change, and repealed ones lose `step`, amended ones gain it. Chunks without a law stay as they are."""

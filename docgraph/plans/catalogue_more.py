@@ -170,7 +170,7 @@ def repeated_query_guard(spark, sf):
     return t(spark, sf, "conversations").withColumn("same", F.coalesce((F.col("text") == other).cast("int"), F.lit(0))).withColumn("repeats", F.max("same").over(Window.partitionBy("conv_id"))).select("conv_id", "turn", "repeats")
 
 
-@query(r"select 'q_id' || event_id || '_.txt' as path, event_id as qid, lpad(event_id::varchar, 3, '0') as name from events")
+@query(r"select 'q_id' || event_id || '_.txt' as path, event_id as qid, lpad(event_id::varchar, greatest(3, length(event_id::varchar))::int, '0') as name from events")
 def question_ids(spark, sf):
     p = F.concat(F.lit("q_id"), F.col("event_id").cast("string"), F.lit("_.txt"))
     return t(spark, sf, "events").select(p.alias("path"), logs.question_id(p).alias("qid"), F.expr("lpad(event_id, greatest(3, length(event_id)), '0')").alias("name"))
