@@ -1,10 +1,10 @@
-"""Queries that build an index and search it, and states of the law on each question's own day."""
+"""Queries that build an index and search it, states of the law on each question's own day, and calls under a rate limit."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docgraph.operators import retrieval, temporal, text_index, vector_index
+from docgraph.operators import admission, retrieval, temporal, text_index, vector_index
 from docgraph.plans.catalogue import RANKED, _vectors, query, t
 
 #: An application builds the index of a table once.
@@ -56,3 +56,14 @@ def asof_own_day(spark, sf):
     )
     asked = t(spark, sf, "conversations").selectExpr("conv_id", "turn", "concat(conv_id % 230, '/2010') as law", "date_add(date '1993-06-01', cast((conv_id * 7 + turn * 131) % 3500 as int)) as on")
     return temporal.status_on(changes, asked)
+
+
+@query("""with c as (select conv_id, turn, role, timestamp '2024-01-01' + to_seconds(conv_id // 40 * 300 + conv_id % 40) as ts from conversations),
+n as (select *, row_number() over (partition by role order by ts, conv_id * 1000 + turn) - 1 as i from c),
+w as (select *, max(epoch_us(ts) - i // 13 * 60000000) over (partition by role, i % 13 order by i) + i // 13 * 60000000 as go from n)
+select conv_id, turn, role, epoch_us(ts) as came_us, go::bigint as goes_us, (go - epoch_us(ts))::bigint as wait_us from w""")
+def rate_admission(spark, sf):
+    """13 calls a minute for each role: when each turn of a conversation may go."""
+    calls = t(spark, sf, "conversations").selectExpr("conv_id", "turn", "role", "conv_id * 1000 + turn as seq", "timestamp_seconds(1704067200 + conv_id div 40 * 300 + conv_id % 40) as ts")
+    got = admission.admitted(calls, "role", "ts", "seq", 13, 60)
+    return got.select("conv_id", "turn", "role", F.unix_micros("ts").alias("came_us"), F.unix_micros("admitted").alias("goes_us"), "wait_us")
