@@ -31,12 +31,13 @@ def verdicts(docs: DataFrame, labels: DataFrame, tables: Tables) -> DataFrame:
     bit = lambda c, i: F.when(c, 1 << i).otherwise(0)
     # texts and their words end here: all that follows reads rows of some bytes
     rows = tables.keep(rows.select("id", "part", "digest", (bit(F.col("w.a"), 0) + bit(F.col("w.b"), 1) + bit(F.col("c"), 2) + bit(F.col("d"), 3)).alias("fails")))
-    first = rows.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    # kept, so that the join reads both sides as they are dealt and Spark splits a text that many rows have
+    first = tables.keep(rows.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last"))
     known = labels.groupBy(F.col("doc_id").alias("id")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     said = rows.join(first, "digest", "left").join(known, "id", "left")
     copy = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
     out = tables.keep(said.select("part", (F.col("fails") + bit(copy, 4)).alias("fails"), F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic")))
-    tables.drop(rows)
+    tables.drop(rows, first)
     return out
 
 
