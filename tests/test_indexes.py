@@ -90,7 +90,7 @@ def test_text_index_equals_scan(spark):
         items.append((i, t[a : a + r.randint(0, 40)]))
     items += [(100, None), (101, "needle in the h"), (102, "nowhere to be found"), (103, "ü 中文 ß"), (104, "x x x x"), (105, "zz qq"), (106, "no such words here at all")]
     texts_df, items_df = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    index = text_index.build(texts_df.where("doc_id < 200 or doc_id is null"), "doc_id", buckets=8, texts_a_row=50)
+    index = text_index.build(texts_df.where("doc_id < 200 or doc_id is null"), "doc_id", texts_a_row=50)
     index.append(texts_df.where("doc_id >= 200"), "doc_id", texts_a_row=7)
     want = sorted({(d, i) for d, t in texts if d is not None and t is not None for i, x in items if x is not None and x in t})
     assert sorted(tuple(x) for x in index.containing(texts_df.where("doc_id is not null"), "doc_id", items_df, "item_id").collect()) == want
