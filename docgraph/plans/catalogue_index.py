@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docgraph.operators import admission, retrieval, temporal, text_index, vector_index
+from docgraph.operators import admission, retrieval, temporal, text_index, triples, vector_index
 from docgraph.plans.catalogue import RANKED, _vectors, query, t
 
 #: An application builds the index of a table once.
@@ -67,3 +67,24 @@ def rate_admission(spark, sf):
     calls = t(spark, sf, "conversations").selectExpr("conv_id", "turn", "role", "conv_id * 1000 + turn as seq", "timestamp_seconds(1704067200 + conv_id div 40 * 300 + conv_id % 40) as ts")
     got = admission.admitted(calls, "role", "ts", "seq", 13, 60)
     return got.select("conv_id", "turn", "role", F.unix_micros("ts").alias("came_us"), F.unix_micros("admitted").alias("goes_us"), "wait_us")
+
+
+def _neighbours(ids: list[str], texts: list[str]) -> str:
+    """A stand-in for the model: in each sentence every capitalised word and the next one."""
+    import json
+    import re
+
+    results = []
+    for i, text in zip(ids, texts):
+        named = [re.findall(r"[A-Z][a-z]+", s) for s in re.split(r"[.!?\n]", text)]
+        results.append({"chunk_id": i, "triples": [{"subject": a, "predicate": "next to", "object": b} for w in named for a, b in zip(w, w[1:])]})
+    return json.dumps({"results": results})
+
+
+@query("""with s as (select doc_id, unnest(range(1, len(parts) + 1)) as k, unnest(parts) as s from (select doc_id, regexp_split_to_array(text, '[.!?\n]') as parts from documents)),
+w as (select doc_id, k, regexp_extract_all(s, '[A-Z][a-z]+') as w from s), x as (select doc_id, k, unnest(range(1, len(w))) as i, w from w where len(w) > 1)
+select doc_id::varchar as chunk_id, (row_number() over (partition by doc_id order by k, i) - 1)::int as seq, w[i] as subject, w[i + 1] as object, 0.5::double as confidence from x""")
+def triples_by_table_function(spark, sf):
+    """Every document in batches to a model through SQL's lateral join, as many triples a sentence as it has."""
+    found, _ = triples.extract(t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), _neighbours)
+    return found.select("chunk_id", "seq", "subject", "object", "confidence")
