@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,3 +53,55 @@ def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:
     s = run.agg(F.sum(F.col("rank") * F.col("up")).alias("v"), F.sum("t").alias("n"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     mean, var = F.col("n") * (F.col("n") + 1) / 4, F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("ties") / 48
     return s.select(F.round("v", 6).alias("v"), "n", F.round((F.col("v") - mean) / F.sqrt(var), 6).alias("z"))
+
+
+def paired(scores: DataFrame, question: str, run: str, label: str, score: str, a: str, b: str, how: str = "sum") -> DataFrame:
+    """(question, a, b): per question the sum or mean of the scores of two labels over the runs in which both have one.
+
+    A score is valid from 0 on; of several scores of a (question, run, label) the mean counts. Null questions and runs are
+    values like others.
+    """
+    valid = scores.where((F.col(score) >= 0) & F.col(label).isin(a, b)).groupBy(question, run)
+    each = valid.agg(*[F.avg(F.when(F.col(label) == x, F.col(score))).alias(y) for x, y in ((a, "__a"), (b, "__b"))]).where("__a is not null and __b is not null")
+    total = {"sum": F.sum, "mean": F.avg}[how]
+    return each.groupBy(question).agg(total("__a").alias("a"), total("__b").alias("b"))
+
+
+def rank_sum_counts(ranks: list[int]) -> np.ndarray:
+    """Of all ways to give the ranks (whole numbers, repeats allowed) a sign: how many have each sum of those above zero."""
+    counts = np.zeros(sum(ranks) + 1)
+    counts[0] = 1
+    for r in ranks:
+        counts[r:] += counts[: len(counts) - r].copy()
+    return counts
+
+
+def signed_rank(pairs: DataFrame, a: str, b: str, exact_up_to: int = 50) -> DataFrame:
+    """The signed-rank test of a over b, one row: v, n (pairs that differ), pairs, exact, p_greater, p_less, p_two_sided, effect.
+
+    v: mean ranks of |a - b| over the pairs that differ, summed where a is more. Up to `exact_up_to` such pairs the
+    probabilities are exact, ties included: the signs' rank sums are counted by adding one rank after the other. Beyond it
+    they are the normal distribution's, with the variance less what ties take and half a rank of continuity. effect: |z| without
+    continuity over the root of the number of pairs. Pairs with a null are left out; where none differs, v is 0 and every
+    probability 1. Spark counts the distinct differences; only sums, or at most `exact_up_to` ranks, come to the driver.
+    """
+    spark = pairs.sparkSession
+    d = pairs.select((F.col(a) - F.col(b)).cast("double").alias("d")).where("d is not null")
+    total = d.count()
+    sizes = d.where("d <> 0").groupBy(F.abs("d").alias("m")).agg(F.count("*").alias("t"), F.sum((F.col("d") > 0).cast("long")).alias("up"))
+    ranked = running(sizes, [F.col("m")], F.col("t"), "upto").withColumn("twice", 2 * F.col("upto") - F.col("t") + 1)  # twice the mean rank is whole
+    sums = ranked.agg(F.sum(F.col("twice") * F.col("up")).alias("v"), F.sum("t").alias("n"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties")).first()
+    v, n, ties = (int(x or 0) for x in sums)
+    mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - ties / 48
+    z = (v / 2 - mean) / math.sqrt(var) if var > 0 else 0.0
+    above = lambda x: math.erfc(x / math.sqrt(2)) / 2
+    if n <= exact_up_to:
+        counts = rank_sum_counts([r["twice"] for r in ranked.select("twice", "t").collect() for _ in range(r["t"])])
+        greater, less = counts[v:].sum() / counts.sum(), counts[: v + 1].sum() / counts.sum()
+        two = min(1.0, 2 * min(greater, less))
+    else:
+        s = math.sqrt(var)
+        greater, less = above((v / 2 - mean - 0.5) / s), above((mean - v / 2 - 0.5) / s)
+        two = min(1.0, 2 * above(max(0.0, abs(v / 2 - mean) - 0.5) / s))
+    row = (v / 2, n, total, n <= exact_up_to, float(greater), float(less), float(two), abs(z) / math.sqrt(total) if total else 0.0)
+    return spark.createDataFrame([row], "v double, n long, pairs long, exact boolean, p_greater double, p_less double, p_two_sided double, effect double")
