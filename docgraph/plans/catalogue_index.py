@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from docgraph.operators import admission, retrieval, temporal, text_index, triples, vector_index
 from docgraph.plans.catalogue import RANKED, _vectors, query, t
+from docgraph.plans.catalogue_wide import _folder
+from docgraph.sources import named_files as files
 
 #: An application builds the index of a table once.
 _BUILT: dict[tuple[str, str], vector_index.VectorIndex] = {}
@@ -88,3 +90,16 @@ def triples_by_table_function(spark, sf):
     """Every document in batches to a model through SQL's lateral join, as many triples a sentence as it has."""
     found, _ = triples.extract(t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), _neighbours)
     return found.select("chunk_id", "seq", "subject", "object", "confidence")
+
+
+@query("""with n as (select *, coalesce(source, 'unnamed') as s, ceil(count(*) over (partition by coalesce(source, 'unnamed')) / 500) as parts from documents)
+select s || case when doc_id % parts > 0 then '__' || (doc_id % parts)::int else '' end || '.jsonl' as file, count(*) as lines, min(doc_id) as least, max(doc_id) as most,
+sum(length(text))::bigint as chars, bit_xor(('0x' || left(md5(coalesce(text, '')), 8))::bigint) as digest from n group by 1""")
+def named_files(spark, sf):
+    """Every document as a line of its source's file, 500 a file or so, written as a whole and read back by ranges of bytes."""
+    there = _folder(spark, "named")
+    docs = t(spark, sf, "documents").select("source", "doc_id", "text")
+    files.write(docs, there, "source", F.to_json(F.struct("doc_id", "text"), {"ignoreNullFields": "false"}), ["doc_id"], most=500, ending=".jsonl", spread=F.col("doc_id"))
+    d = files.read(spark, there).select(F.col("name").alias("file"), F.from_json("value", "doc_id long, text string").alias("d")).select("file", "d.*")
+    digest = F.conv(F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 8), 16, 10).cast("long")
+    return d.groupBy("file").agg(F.count("*").alias("lines"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.sum(F.length("text")).alias("chars"), F.bit_xor(digest).alias("digest"))
