@@ -105,3 +105,39 @@ def signed_rank(pairs: DataFrame, a: str, b: str, exact_up_to: int = 50) -> Data
         two = min(1.0, 2 * above(max(0.0, abs(v / 2 - mean) - 0.5) / s))
     row = (v / 2, n, total, n <= exact_up_to, float(greater), float(less), float(two), abs(z) / math.sqrt(total) if total else 0.0)
     return spark.createDataFrame([row], "v double, n long, pairs long, exact boolean, p_greater double, p_less double, p_two_sided double, effect double")
+
+
+def medians(df: DataFrame, by: str, value: str, total: bool = False) -> DataFrame:
+    """(by, whole, n, median): the exact median of each group, the mean of the middle two where n is even, as a double.
+
+    With `total`, one more row for the whole table (by null, whole true). Nulls in `value` do not count, and a group of nulls
+    alone has no row; a null `by` is a group; NaN is above every number. Values are counted first, then dealt into ranges of
+    (group, value) and their counts summed in that order: the median is where the sum passes the middle. So no task holds a
+    group's values, however large the group.
+    """
+    v = df.select(F.col(f"`{by}`").alias("__group"), F.lit(False).alias("__whole"), F.col(f"`{value}`").alias("__v")).where("__v is not null")
+    sizes = v.groupBy("__group", "__whole", "__v").agg(F.count("*").alias("__c"))
+    if total:
+        none = F.lit(None).cast(v.schema["__group"].dataType)
+        sizes = sizes.unionByName(sizes.groupBy("__v").agg(F.sum("__c").alias("__c")).select(none.alias("__group"), F.lit(True).alias("__whole"), "__v", "__c"))
+    run = running(sizes, [F.col("__v")], F.col("__c"), "__upto", ("__group", "__whole"))
+    totals = run.groupBy(F.col("__group").alias("__of"), F.col("__whole").alias("__all")).agg(F.max("__upto").alias("n"))
+    both = run.join(totals, F.col("__group").eqNullSafe(F.col("__of")) & (F.col("__whole") == F.col("__all")))
+    middle = both.where((F.col("__upto") >= F.floor((F.col("n") + 1) / 2)) & (F.col("__upto") - F.col("__c") < F.floor((F.col("n") + 2) / 2)))
+    out = middle.groupBy("__group", "__whole").agg(F.max("n").alias("n"), ((F.min("__v").cast("double") + F.max("__v").cast("double")) / 2).alias("median"))
+    return out.select(F.col("__group").alias(by), F.col("__whole").alias("whole"), "n", "median")
+
+
+def quantile_sketches(df: DataFrame, by: list[str], value: str, size: int = 400) -> DataFrame:
+    """(by..., sketch): a mergeable summary of each group's values, to be kept in a table and joined by later days' ones.
+
+    `size` bounds a sketch whatever it has seen, and with it the error of a rank (some 1 % of the rows at 400). Nulls do not count.
+    """
+    return df.groupBy(*by).agg(F.kll_sketch_agg_double(F.col(f"`{value}`").cast("double"), size).alias("sketch"))
+
+
+def quantiles_of(sketches: DataFrame, by: list[str], ranks: list[float]) -> DataFrame:
+    """(by..., n, quantiles): each group's sketches, of any number of days or tasks, merged, and the values at these ranks."""
+    merged = sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+    at = F.array(*[F.kll_sketch_get_quantile_double("sketch", F.lit(float(r))) for r in ranks])
+    return merged.select(*by, F.kll_sketch_get_n_double("sketch").alias("n"), at.alias("quantiles"))

@@ -373,8 +373,15 @@ def balanced_split(spark, sf):
 
 @query("select source, count(*) as docs, min(n_chars) as least, max(n_chars) as most, round(avg(n_chars), 6) as mean, round(median(n_chars), 6) as middle, sum(n_chars)::bigint as total from documents group by rollup (source)")
 def doc_chunk_stats(spark, sf):
-    n = F.col("n_chars")
-    return t(spark, sf, "documents").rollup("source").agg(F.count("*").alias("docs"), F.min(n).alias("least"), F.max(n).alias("most"), F.round(F.avg(n), 6).alias("mean"), F.round(F.median(n), 6).alias("middle"), F.sum(n).alias("total"))
+    n, docs = F.col("n_chars"), t(spark, sf, "documents").select("source", "n_chars")
+    plain = docs.rollup("source").agg(F.grouping("source").alias("g"), F.count("*").alias("docs"), F.min(n).alias("least"), F.max(n).alias("most"), F.round(F.avg(n), 6).alias("mean"), F.sum(n).alias("total"))
+    return _with_median(plain, evaluation.medians(docs, "source", "n_chars", total=True), "source", 6)
+
+
+def _with_median(rows, middles, by: str, digits: int):
+    """The rows of a rollup (grouping flag g) with `middle`."""
+    m = middles.select(F.col(by).alias("__by"), F.col("whole").cast("int").alias("__whole"), F.round("median", digits).alias("middle"))
+    return rows.join(m, rows[by].eqNullSafe(m["__by"]) & (F.col("g") == F.col("__whole")), "left").drop("g", "__by", "__whole")
 
 
 JUDGED = "judged as (select doc_id, lang, source, (quality + toxic)::bigint as score from documents join labels using (doc_id))"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docgraph.operators import admission, retrieval, temporal, text_index, triples, vector_index
+from docgraph.operators import admission, ordinal, retrieval, temporal, text_index, triples, vector_index
 from docgraph.plans.catalogue import RANKED, _vectors, query, t
 from docgraph.plans.catalogue_wide import _folder
 from docgraph.sources import named_files as files
@@ -103,3 +103,11 @@ def named_files(spark, sf):
     d = files.read(spark, there).select(F.col("name").alias("file"), F.from_json("value", "doc_id long, text string").alias("d")).select("file", "d.*")
     digest = F.conv(F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 8), 16, 10).cast("long")
     return d.groupBy("file").agg(F.count("*").alias("lines"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.sum(F.length("text")).alias("chars"), F.bit_xor(digest).alias("digest"))
+
+
+@query()
+def ordinal_model(spark, sf):
+    """Scores of 0 to 2 by kind of event with a random intercept per user: odds ratios against the first kind, thresholds, spread."""
+    scores = t(spark, sf, "events").selectExpr("user_id", "event_type", "if(value < 30, 0, if(value < 80, 1, 2)) as score")
+    out = ordinal.effects(scores, "user_id", "event_type", "score")
+    return out.select("term", *[F.round(c, 4).alias(c) for c in out.columns if c != "term"])

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docgraph.functions import legal, text
-from docgraph.operators import graph, logs, temporal
-from docgraph.plans.catalogue import AMENDMENTS, AS_OF, CHANGES, LOGS, _amendments, _changes, _list, _logs, query, t
+from docgraph.operators import evaluation, graph, logs, temporal
+from docgraph.plans.catalogue import AMENDMENTS, AS_OF, CHANGES, LOGS, _amendments, _changes, _list, _logs, _with_median, query, t
 
 # ---- the graph's upkeep --------------------------------------------------------------------------------------------
 
@@ -136,8 +136,9 @@ def decision_summary(spark, sf):
 
 @query("select event_type, count(*) as n, round(sum(value), 4) as total, min(value) as least, max(value) as most, round(avg(value), 4) as mean, round(median(value), 4) as middle from events group by rollup (event_type)")
 def duration_stats(spark, sf):
-    v = F.col("value")
-    return t(spark, sf, "events").rollup("event_type").agg(F.count("*").alias("n"), F.round(F.sum(v), 4).alias("total"), F.min(v).alias("least"), F.max(v).alias("most"), F.round(F.avg(v), 4).alias("mean"), F.round(F.median(v), 4).alias("middle"))
+    v, e = F.col("value"), t(spark, sf, "events").select("event_type", "value")
+    plain = e.rollup("event_type").agg(F.grouping("event_type").alias("g"), F.count("*").alias("n"), F.round(F.sum(v), 4).alias("total"), F.min(v).alias("least"), F.max(v).alias("most"), F.round(F.avg(v), 4).alias("mean"))
+    return _with_median(plain, evaluation.medians(e, "event_type", "value", total=True), "event_type", 4)
 
 
 # ---- answers -------------------------------------------------------------------------------------------------------
