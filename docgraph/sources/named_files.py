@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from docgraph.functions.session import ensure_checkpoint_dir
+
 SCHEMA = "name string, at long, value string"
 
 
@@ -208,7 +210,9 @@ def write(df: DataFrame, path: str, name: str, value, order: list[str], most: in
     _register(df.sparkSession)
     key = F.coalesce(F.nullif(F.col(f"`{name}`").cast("string"), F.lit("")), F.lit("unnamed"))
     rows = df.select(key.alias("__name"), (F.xxhash64(*[f"`{c}`" for c in order]) if spread is None else spread).alias("__spread"), F.struct(*[F.col(f"`{c}`") for c in order]).alias("__order"), value.alias("value"))
-    sizes = rows.groupBy("__name").agg(F.count("*").alias("__n")).withColumnRenamed("__name", "__of")
+    counted = f"{ensure_checkpoint_dir(df.sparkSession)}/named-sizes-{uuid.uuid4().hex}"
+    rows.groupBy(F.col("__name").alias("__of")).agg(F.count("*").alias("__n")).write.parquet(counted)
+    sizes = df.sparkSession.read.parquet(counted)  # a table of known size: Spark broadcasts it only where it is small
     part = F.pmod(F.coalesce("__spread", F.lit(0)), F.ceil(F.col("__n") / most)).cast("long")
     rows = rows.join(sizes, F.col("__name") == F.col("__of")).withColumn("__part", part)
     named = F.concat("__name", F.when(F.col("__part") > 0, F.concat(F.lit("__"), F.col("__part").cast("string"))).otherwise(""), F.lit(ending))
