@@ -60,8 +60,8 @@ def length_report(pages: DataFrame) -> DataFrame:
 
 def missing_numbers(ids: DataFrame, column: str) -> DataFrame:
     """(n, state): whole numbers from 1 to the largest id that are missing, and ids under 1."""
-    top = ids.agg(F.coalesce(F.max(column), F.lit(0)).alias("m"))
-    want = top.where("m >= 1").select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("m").cast("long"))).alias("n"))
+    top = ids.agg(F.coalesce(F.max(F.col(column).cast("long")), F.lit(0))).first()[0]
+    want = ids.sparkSession.range(1, max(top, 0) + 1).select(F.col("id").alias("n"))  # ranges over tasks, no array
     have = ids.select(F.col(column).cast("long").alias("n")).distinct()
     return want.join(have, "n", "left_anti").withColumn("state", F.lit("missing")).unionByName(have.where("n < 1").withColumn("state", F.lit("extra")))
 
