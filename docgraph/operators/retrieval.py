@@ -108,6 +108,41 @@ def search(items: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     return top_k_per_query(got, k, id_col).withColumn("score_index", F.round(index_score(F.col("cos")), 7))
 
 
+def _per_item(items: DataFrame, queries: DataFrame, choose, better, id_col: str, vector: str, block_bytes: int) -> DataFrame:
+    """A row of items (without the vector) with qid and cos for each item that choose gives a query: choose takes cosines, their
+    columns in the order of qid, to item rows and columns; of several blocks' choices the least by `better` stays."""
+    at = items.columns.index(vector)
+
+    def make(parts, ids):
+        order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i] is not None, 0 if ids[i] is None else ids[i])), int)
+        for batch, cos in parts:
+            if len(ids) and batch.num_rows:
+                row, column = choose(cos[:, order])
+                yield _rows(batch, at, row, ids, order[column], cos[row, order[column]])
+
+    got = _product(items, queries, vector, _scored_schema(items, queries, vector), make, block_bytes)
+    rows = F.min_by(F.struct(*[F.col(f"`{c}`") for c in got.columns]), better)
+    return got.groupBy(F.col(id_col).alias("__id")).agg(rows.alias("__row")).select("__row.*")
+
+
+def nearest_query(items: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: str = "embedding", block_bytes: int = 32 << 20) -> DataFrame:
+    """Each item (without the vector) with its nearest of the queries (qid, q) and their cosine, ties by qid. A task sends a row
+    per item and block, never pairs. Rows of one id count once; without queries there are no rows."""
+    return _per_item(items, queries, lambda cos: (np.arange(len(cos)), cos.argmax(1)), F.struct(-F.col("cos"), "qid"), id_col, vector, block_bytes)
+
+
+def first_query(items: DataFrame, queries: DataFrame, above: float, id_col: str = "vec_id", vector: str = "embedding", block_bytes: int = 32 << 20) -> DataFrame:
+    """Each item (without the vector) that some query (qid, q) comes nearer to than a cosine of `above`, with the smallest such
+    qid and that cosine. A task sends a row per item and block, never pairs. Rows of one id count once."""
+
+    def choose(cos):
+        hit = cos > above
+        row = np.flatnonzero(hit.any(1))
+        return row, hit[row].argmax(1)
+
+    return _per_item(items, queries, choose, F.struct("qid"), id_col, vector, block_bytes)
+
+
 def mean_similarity(items: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: str = "embedding", block_bytes: int = 32 << 20) -> DataFrame:
     """(id, mean_cos): each item's mean cosine, to six places each, over all queries. A row per item and block, no pairs."""
 

@@ -87,7 +87,7 @@ def rerank_mean_similarity(spark, sf):
 
 @query(f"with {SCORED} select label, vec_id, cos from scored qualify row_number() over (partition by label order by cos desc, vec_id) = 1")
 def best_per_key_merge(spark, sf):
-    return retrieval.best_per_key(_scored(spark, sf), "label", "cos", "vec_id").select("label", "vec_id", "cos")
+    return retrieval.best_per_key(retrieval.nearest_query(*_vectors(spark, sf)), "label", "cos", "vec_id").select("label", "vec_id", "cos")
 
 
 @query(f"""with {SCORED}, a as (select * from scored where label = 2 qualify row_number() over (partition by qid order by cos desc, vec_id) <= 6),

@@ -7,9 +7,9 @@ from pyspark.sql.window import Window
 
 from docgraph import providers
 from docgraph.functions import text
-from docgraph.operators import extraction, logs
+from docgraph.operators import extraction, logs, retrieval
 from docgraph.plans import retrieve
-from docgraph.plans.catalogue import LOGS, SCORED, _logs, _scored, query, t
+from docgraph.plans.catalogue import LOGS, RANKED, SCORED, _logs, _vectors, query, t
 from docgraph.sources import io
 
 
@@ -90,7 +90,9 @@ def judge_rewrite_loop(spark, sf):
     return retrieve.judge_loop(q, answer, accept, rewrite, 3).select("qid", "round", "accepted", F.length("answer").alias("chars"))
 
 
-@query()
+@query(f"""with {RANKED}, n as (select count(*) as n from embeddings), near as (select qid, vec_id as v from ranked where rank <= 15), two as (select qid, (7 * v + 1) % n as v from near, n),
+c as (select * from near union select * from two union select qid, vec_id from ranked where rank <= 20)
+select qid, 't' || v as uid, cos as score, row_number() over (partition by qid order by cos desc, 't' || v) as rank from c join scored using (qid) where v = vec_id qualify rank <= 60""")
 def graph_context(spark, sf):
     e = t(spark, sf, "embeddings")
     entities = e.select("vec_id", F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("key"), "embedding")
@@ -108,7 +110,7 @@ def amendment_search_queries(spark, sf):
 
 @query(f"with {SCORED}, n as (select vec_id, qid, cos, row_number() over (partition by vec_id order by qid) as k from scored where cos > 0.1) select vec_id, qid as first_qid, cos from n where k = 1")
 def first_seen_chunk(spark, sf):
-    return _scored(spark, sf).where("cos > 0.1").groupBy("vec_id").agg(F.min(F.struct("qid", "cos")).alias("x")).select("vec_id", F.col("x.qid").alias("first_qid"), "x.cos")
+    return retrieval.first_query(*_vectors(spark, sf), 0.1).select("vec_id", F.col("qid").alias("first_qid"), "cos")
 
 
 @query(rf"""with {LOGS}, c as (select user_id, len(regexp_extract_all(value, '\[view\]'))::bigint as v, len(regexp_extract_all(value, '\[(?:click|purchase)\]'))::bigint as k from logs),

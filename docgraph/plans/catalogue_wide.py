@@ -193,25 +193,32 @@ def _merge(d):
     return d.withColumn("final", F.concat_ws("\n", "answer", "context"))
 
 
-@query("""with recursive e as (select distinct p_size as s, p_size + 1 as o from part where p_size % 3 <> 0), w as (select distinct p_size as start, p_size as law from part union select start, o from w join e on law = s),
+AMENDED = """with recursive e as (select distinct p_size as s, p_size + 1 as o from part where p_size % 3 <> 0), w as (select distinct p_size as start, p_size as law from part union select start, o from w join e on law = s),
 a as (select o_orderkey as qid, 'See UU Nomor ' || (o_custkey % 60 + 40) || ' Tahun 2009 and No. 48 Tahun 2009' as answer, [o_custkey % 60 + 40, 48] as laws from orders),
 l as (select distinct qid, answer, laws, unnest(laws) as law from a), r as (select distinct qid, answer, laws, w.law as num from l join w on start = l.law where not list_contains(laws, w.law)),
 c as (select qid, answer, num || '_2009' as law, p_partkey as seq from r join part on p_size = num qualify row_number() over (partition by qid, num order by p_partkey) <= 3),
 m as (select qid, string_agg('chunk ' || seq, chr(10) order by law, seq) as context from c where seq % 2 = 0 group by qid)
-select a.qid, case when context is null then answer else answer || chr(10) || context end as answer from a left join m using (qid)""")
+select a.qid, case when context is null then answer else answer || chr(10) || context end as answer from a left join m using (qid)"""
+
+
+@query(AMENDED)
 def amended_after_aggregation(spark, sf):
     aggregate = lambda d: d.groupBy("qid").agg(F.min_by("answer", "pipeline").alias("answer"))
     return amend.after_aggregation(_answers(spark, sf), _law_edges(spark, sf), _law_chunks(spark, sf), _uses, _merge, aggregate)
 
 
-@query()
+@query(f"select qid, answer || ' / No law' as answer from ({AMENDED})")
 def amended_before_aggregation(spark, sf):
     two = _answers(spark, sf).unionByName(_answers(spark, sf).withColumn("pipeline", F.lit("naive")).withColumn("answer", F.lit("No law")))
     aggregate = lambda d: d.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pipeline", "answer"))), lambda x: x["answer"]), " / ").alias("answer"))
     return amend.before_aggregation(two, _law_edges(spark, sf), _law_chunks(spark, sf), _uses, _merge, aggregate)
 
 
-@query()
+@query("""with recursive e as (select distinct p_size as s, p_size + 1 as o, make_date(2000 + p_size % 25, 1, 1) as since from part where p_size % 3 <> 0),
+a as (select o_orderkey as qid, o_custkey % 60 + 40 as num, o_orderkey % 100 = 0 as past, case when o_orderkey % 100 = 0 then date '2012-06-01' else date '2024-01-01' end as day from orders),
+w as (select distinct num as start, day, num as law from a union select start, w.day, o from w join e on s = law and since <= w.day),
+c as (select start, day, string_agg('chunk ' || p_partkey, chr(10) order by law || '_2009', p_partkey) as context from w join part on p_size = law where law <> start and p_partkey % 2 = 0 group by all)
+select qid, case when past then 'as_of' else 'latest' end as mode, a.day, upper('See UU Nomor ' || num || ' Tahun 2009' || coalesce(chr(10) || context, '')) as final from a left join c on start = num and c.day = a.day""")
 def amendment_passes(spark, sf):
     q = t(spark, sf, "orders").selectExpr("o_orderkey as qid", "concat('UU ', o_custkey % 60 + 40, '/2009', if(o_orderkey % 100 = 0, ' per 01-06-2012', ' terbaru')) as query")
     baseline = lambda d: d.withColumn("answer", F.concat(F.lit("See UU Nomor "), F.regexp_extract("query", r"UU (\d+)/", 1), F.lit(" Tahun 2009")))
@@ -219,6 +226,38 @@ def amendment_passes(spark, sf):
     return amend.passes(q, F.lit("2024-01-01").cast("date"), baseline, edges, _law_chunks(spark, sf), _uses, _merge, lambda d: d.withColumn("final", F.upper("answer")))
 
 
+PHRASES = ["perubahan", "dicabut", "tetap berlaku sepanjang tidak bertentangan dan belum diganti"]  # fixed values
+
+
+@query("""with n as (select count(*) as n from embeddings), p as (select unnest(['perubahan', 'dicabut', 'tetap berlaku sepanjang tidak bertentangan dan belum diganti']) as phrase, unnest([0, 1, 2]) as i),
+a as (select distinct p_size as num, 2 * i + j as n, phrase, (1000 + 97 * p_size + 2 * i + j) % n.n as pick from part, p, (select unnest([0, 1]) as j) as two, n),
+s as (select num, a.n, phrase, e.vec_id, round(coalesce(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 0), 6) as cos from a join embeddings q on q.vec_id = pick cross join embeddings e
+  qualify row_number() over (partition by num, a.n order by cos desc, e.vec_id) <= 12),
+f as (select num, vec_id, min(n) as n, arg_min(phrase, n) as phrase from s group by all),
+g as (select num, (vec_id % 5 + 60) || '/2015' as by_law, min(date '2000-01-01' + (vec_id % 9000)::int) as day, string_agg(vec_id::varchar, ',' order by n, cos desc, vec_id) as evidence, string_agg(distinct phrase, '|' order by phrase) as phrases
+  from f join s using (num, vec_id, n, phrase) where vec_id % 3 > 0 group by all)
+select p_partkey as qid, p_size || '/2009' as law, by_law, 'mengubah' as action, day, evidence, phrases from part join g on num = p_size where day <= date '2001-01-01' + (p_partkey % 7000)::int""")
+def amendment_discovery(spark, sf):
+    """Every part is a question on the law of its size, as of its own day; vectors stand in for embedded texts."""
+    e = t(spark, sf, "embeddings")
+    n = e.count()
+    number = F.regexp_extract("query", r"(?:Nomor|No\.) (\d+) Tahun", 1).cast("long")
+    step = F.lit(0) + sum(F.when(F.endswith("query", F.lit(p)), 2 * i).otherwise(0) for i, p in enumerate(PHRASES)) + F.when(F.contains("query", F.lit("No. ")), 1).otherwise(0)
+    embed = lambda d: d.withColumn("at", (1000 + 97 * number + step) % n).join(e.select(F.col("vec_id").alias("at"), F.col("embedding").alias("q")), "at")
+
+    def extract(d):
+        c = d.select("law", F.explode("candidates").alias("c")).select("law", "c.chunk_id").where("chunk_id % 3 > 0")
+        by = F.concat((F.col("chunk_id") % 5 + 60).cast("string"), F.lit("/2015")).alias("by_law")
+        day = F.min(F.date_add(F.lit("2000-01-01"), (F.col("chunk_id") % 9000).cast("int"))).alias("day")
+        edges = c.groupBy("law", by).agg(day, F.collect_list("chunk_id").alias("evidence"))
+        edge = F.struct("by_law", F.lit("mengubah").alias("action"), "day", "evidence")
+        return d.join(edges.groupBy("law").agg(F.collect_list(edge).alias("edges")), "law")
+
+    asked = t(spark, sf, "part").select(F.col("p_partkey").alias("qid"), F.concat("p_size", F.lit("/2009")).alias("law"), F.date_add(F.lit("2001-01-01"), (F.col("p_partkey") % 7000).cast("int")).alias("on"))
+    got = amend.discovered(asked, PHRASES, e.selectExpr("vec_id as chunk_id", "embedding", "cast(vec_id as string) as text"), embed, extract)
+    return got.withColumn("evidence", F.array_join("evidence", ",")).withColumn("phrases", F.array_join("phrases", "|"))
+
+
 @query(r"""with q as (select conv_id as qid, arg_min(text, turn) as query from conversations where role = 'user' group by conv_id),
 p as (select qid, list_filter(list_transform(string_split(query, '. '), lambda x: trim(x)), lambda x: x <> '') as parts, query from q)
 select qid, greatest(len(parts), 1)::bigint as n_parts, array_to_string(list_transform(case when len(parts) = 0 then [query] else parts end, lambda x: length(x)::varchar), ',') as answer from p""")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docgraph.functions import vectors
 from docgraph.functions.session import cut
 from docgraph.operators import extraction, retrieval
 
@@ -17,10 +18,10 @@ def graph_context(entities: DataFrame, triples: DataFrame, questions: DataFrame,
     entities (vec_id, key, embedding), triples (uid, s, p, o, embedding), questions (qid, q). A question's candidates are the
     triples within `hops` of its own `k_entities` nearest entities and its `k_near` nearest triples, each once; these are
     ranked by cosine and the best `k_triples` kept. A triple near in the graph competes with `k_near` others from outside only.
+    Only candidates are scored; their vectors are joined to them by uid.
     """
     triples = triples.dropDuplicates(["uid"])
     near = retrieval.search(entities, questions, k_entities)
-    scored = cut(retrieval.with_scores(triples, questions, id_col="uid").select("qid", "uid", "cos"))
     found = retrieval.search(triples.select("uid", "embedding"), questions, k_near, id_col="uid").select("qid", "uid")
     edges = triples.select(F.col("s").alias("node"), "uid", "o")
     seen = frontier = cut(near.select("qid", F.col("key").alias("node")).distinct())
@@ -29,21 +30,39 @@ def graph_context(entities: DataFrame, triples: DataFrame, questions: DataFrame,
         found = found.unionByName(got.select("qid", "uid"))
         frontier = cut(got.select("qid", F.col("o").alias("node")).distinct().join(seen, ["qid", "node"], "left_anti"))
         seen = seen.unionByName(frontier)
-    ranked = retrieval.top_k_per_query(scored.join(found.distinct(), ["qid", "uid"]), k_triples, "uid")
+    scored = found.distinct().join(triples.select("uid", "embedding"), "uid").join(questions.select("qid", "q"), "qid")
+    scored = scored.select("qid", "uid", (F.round(vectors.cosine(F.col("embedding"), F.col("q")), 6) + 0.0).alias("cos"))
+    ranked = retrieval.top_k_per_query(scored, k_triples, "uid")
     return ranked.select("qid", "uid", F.col("cos").alias("score"), "rank")
 
 
-def judge_loop(questions: DataFrame, answer: Callable[[DataFrame], DataFrame], accept: Callable[[DataFrame], DataFrame], rewrite: Callable[[DataFrame], DataFrame], rounds: int = 3) -> DataFrame:
-    """(qid, round, query, answer, accepted): asks, judges and rewrites until accepted or `rounds` is reached.
+HISTORY = "array<struct<query:string,answer:string,feedback:string,modified:string>>"
+
 
-    answer, accept and rewrite each take and return DataFrames, adding answer, accepted and a new query. Every round runs on
-    all open questions at once; what is settled leaves the loop.
+def judge_loop(questions: DataFrame, answer: Callable[[DataFrame], DataFrame], accept: Callable[[DataFrame], DataFrame], rewrite: Callable[[DataFrame], DataFrame], rounds: int = 3) -> DataFrame:
+    """(qid, round, query, answer, accepted, feedback, modified, at_cap): asks, judges and rewrites until accepted or `rounds` is reached.
+
+    answer, accept and rewrite each take and return DataFrames: answer adds `answer` to (qid, query, history), accept adds
+    `accepted` and may add `feedback`, rewrite replaces `query` where it was refused. `history` is what a question's earlier
+    rounds asked, answered, were told and made of it, in order, so that judge and rewriter can avoid repeating themselves; it
+    has `rounds` - 1 entries at most. Every round runs on all open questions at once; what is settled leaves the loop. An
+    empty or null rewriting leaves the query as it was, a null verdict refuses, and the last round's refused answers are
+    marked at_cap and not rewritten. Repeated questions keep a row each in every round.
     """
-    left, out = questions.select("qid", "query"), None
+    left, out = questions.select("qid", "query", F.array().cast(HISTORY).alias("history")), None
     for n in range(1, rounds + 1):
-        done = cut(accept(answer(left)).withColumn("round", F.lit(n)).select("qid", "round", "query", "answer", "accepted"))
+        judged = accept(answer(left))
+        told = F.col("feedback") if "feedback" in judged.columns else F.lit(None).cast("string")
+        judged = cut(judged.select("qid", "query", "history", "answer", F.coalesce("accepted", F.lit(False)).alias("accepted"), told.alias("feedback")))
+        settled = judged.where("accepted") if n < rounds else judged
+        done = settled.select("qid", F.lit(n).alias("round"), "query", "answer", "accepted", "feedback", F.lit(None).cast("string").alias("modified"), (~F.col("accepted")).alias("at_cap"))
+        if n < rounds:
+            asked = rewrite(judged.where("not accepted").withColumn("__asked", F.col("query")))
+            asked = cut(asked.withColumn("modified", F.coalesce(F.nullif(F.trim("query"), F.lit("")), "__asked")))
+            done = done.unionByName(asked.select("qid", F.lit(n).alias("round"), F.col("__asked").alias("query"), "answer", "accepted", "feedback", "modified", F.lit(False).alias("at_cap")))
+            turn = F.struct(F.col("__asked").alias("query"), "answer", "feedback", "modified")
+            left = asked.select("qid", F.col("modified").alias("query"), F.concat("history", F.array(turn)).cast(HISTORY).alias("history"))
         out = done if out is None else out.unionByName(done)
-        left = rewrite(done.where("not accepted")).select("qid", "query")
     return out
 
 
