@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docgraph.llm.common import row_slices, utf8
@@ -186,6 +186,18 @@ def _pass(frame: DataFrame, windows: Windows) -> DataFrame:
     return frame.mapInArrow(run, frame.schema)
 
 
+def _united(spans) -> Column:
+    """Begins and ends, in turn, of any spans as those of the fewest spans that cover the same words, in order."""
+    pairs = F.array_sort(F.transform(F.sequence(F.lit(1), F.size(spans), F.lit(2)), lambda i: F.struct(F.element_at(spans, i.cast("int")).alias("a"), F.element_at(spans, (i + 1).cast("int")).alias("b"))))
+
+    def add(done, x):
+        last = F.try_element_at(done, F.lit(-1))  # null at first
+        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.greatest(last, x["b"])))
+        return F.when(x["a"] <= last, longer).otherwise(F.concat(done, F.array(x["a"], x["b"])))
+
+    return F.aggregate(pairs, F.array().cast("array<long>"), add)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, n_words, spans, items) for each row of docs: which words lie in a benchmark window, and which items have one there.
 
@@ -197,8 +209,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: in
     spans: begin and end word of each maximal hit run, in turn. Null texts have no words; null item ids and items without
     words match nothing; repeated rows of docs keep a row each, repeated items count once; an empty table on either side
     gives no rows or no hits. Items go to executors in blocks of about `block_bytes` of text (an index of some six times as
-    much), one matching pass each within one job, so what is gathered and broadcast at a time stays bounded whatever the
-    benchmark's size; documents are not shuffled. Other columns are ignored.
+    much). A benchmark of one block is one pass without a shuffle; of more, each block has tasks of its own over the documents,
+    whose hits alone are shuffled and put together by doc_id and SHA-256 of the text. So the driver gathers and a worker holds
+    one block's index at a time; the scans, and the broadcasts that lie on disk until the job ends, grow with the number of
+    blocks. Other columns are ignored.
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text")).where("id is not null and text <> ''")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -209,10 +223,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: in
     used = _slots_of(items.select("text"), lengths, None) > 0
     counts = _slots_of(texts, lengths, used)
     frame = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for k in range(blocks):
+
+    def block(k: int) -> DataFrame:
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
-        frame = _pass(frame, Windows(rows.column("id").to_pylist(), *utf8(rows.column("text")), window, shingle, counts))
-    return frame.select("doc_id", "n_words", "spans", "items")
+        return _pass(frame, Windows(rows.column("id").to_pylist(), *utf8(rows.column("text")), window, shingle, counts))
+
+    if blocks == 1:
+        return block(0).select("doc_id", "n_words", "spans", "items")
+    # tasks of one block each, which send their hits alone: a worker holds one index, and no text is shuffled
+    key = F.sha2("text", 256).alias("key")
+    hits = None
+    for k in range(blocks):
+        got = block(k).where(F.size("items") > 0).select("doc_id", key, "spans", "items").dropDuplicates(["doc_id", "key"])
+        hits = got if hits is None else hits.unionByName(got)
+    both = hits.groupBy("doc_id", "key").agg(_united(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    both = both.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "spans", "items")
+    every = frame.select("doc_id", key, words.cast("long").alias("n_words"))
+    out = every.join(both, every["doc_id"].eqNullSafe(both["__id"]) & (every["key"] == both["__key"]), "left")
+    return out.select("doc_id", "n_words", F.coalesce("spans", F.array().cast("array<long>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

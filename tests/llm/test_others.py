@@ -57,6 +57,17 @@ def test_decontaminate_odd(spark, odd, empty):
     assert decontaminate.remove_contaminated(odd, bench).columns == odd.columns
 
 
+def test_decontaminate_in_blocks_equals_one_block(spark, odd, make):
+    r = random.Random(5)
+    text = lambda n: " ".join(r.choice("abcde") for _ in range(n))
+    bench = spark.createDataFrame([(i, text(r.choice([3, 10, 12, 25]))) for i in range(40)], "item_id long, text string")
+    docs = make([(i, " ".join([text(20), r.choice(bench.collect())[1], text(6)])) for i in range(20)]).select("doc_id", "text")
+    docs = docs.unionByName(docs.limit(3)).unionByName(odd.select("doc_id", "text"))
+    one, many = (sorted(map(tuple, decontaminate.matches(docs, bench, block_bytes=b).collect()), key=str) for b in (1 << 20, 100))
+    assert one == many and any(x[2] for x in one)
+    assert decontaminate.matches(docs, bench, block_bytes=100).count() == docs.count()
+
+
 def test_sharding(spark, odd, empty, make):
     docs = make([(i, "t" * (i % 9)) for i in range(3000)])
     got = sharding.shard_documents(docs, 16, slice_rows=20).toPandas()
