@@ -46,13 +46,23 @@ def kappa(pairs: DataFrame, a: str, b: str, weights: str = "none") -> DataFrame:
 
 
 def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """The signed-rank statistic V of a over b: mean ranks of |a - b| over the pairs that differ, summed where a is more, with its normal z."""
+    """The signed-rank statistic V of a over b: mean ranks of |a - b| over the pairs that differ, summed where a is more, with its normal z.
+
+    Ranks are summed as decimals and cubes taken as doubles, since longs overflow from some million pairs on.
+    """
     d = pairs.select((F.col(a) - F.col(b)).alias("d")).where("d <> 0").withColumn("m", F.abs("d"))
     sizes = d.groupBy("m").agg(F.count("*").alias("t"), F.sum((F.col("d") > 0).cast("long")).alias("up"))
-    run = running(sizes, [F.col("m")], F.col("t"), "upto").withColumn("rank", F.col("upto") - (F.col("t") - 1) / 2)
-    s = run.agg(F.sum(F.col("rank") * F.col("up")).alias("v"), F.sum("t").alias("n"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
-    mean, var = F.col("n") * (F.col("n") + 1) / 4, F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("ties") / 48
-    return s.select(F.round("v", 6).alias("v"), "n", F.round((F.col("v") - mean) / F.sqrt(var), 6).alias("z"))
+    s = _rank_sums(running(sizes, [F.col("m")], F.col("t"), "upto"))
+    v, n = F.col("twice").cast("double") / 2, F.col("n").cast("double")
+    mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - F.col("ties").cast("double") / 48
+    return s.select(F.round(v, 6).alias("v"), "n", F.round((v - mean) / F.sqrt(var), 6).alias("z"))
+
+
+def _rank_sums(ranked: DataFrame) -> DataFrame:
+    """(twice, n, ties) of (t, up, upto), a row per distinct difference: twice the sum of the mean ranks where a is more, which is
+    whole, as a decimal; the pairs; the sum of t * t * t - t as a double."""
+    whole, t = (2 * F.col("upto") - F.col("t") + 1).cast("decimal(18,0)"), F.col("t").cast("double")
+    return ranked.agg(F.sum(whole * F.col("up").cast("decimal(18,0)")).alias("twice"), F.sum("t").alias("n"), F.sum(t * t * t - t).alias("ties"))
 
 
 def paired(scores: DataFrame, question: str, run: str, label: str, score: str, a: str, b: str, how: str = "sum") -> DataFrame:
@@ -90,7 +100,7 @@ def signed_rank(pairs: DataFrame, a: str, b: str, exact_up_to: int = 50) -> Data
     total = d.count()
     sizes = d.where("d <> 0").groupBy(F.abs("d").alias("m")).agg(F.count("*").alias("t"), F.sum((F.col("d") > 0).cast("long")).alias("up"))
     ranked = running(sizes, [F.col("m")], F.col("t"), "upto").withColumn("twice", 2 * F.col("upto") - F.col("t") + 1)  # twice the mean rank is whole
-    sums = ranked.agg(F.sum(F.col("twice") * F.col("up")).alias("v"), F.sum("t").alias("n"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties")).first()
+    sums = _rank_sums(ranked).first()
     v, n, ties = (int(x or 0) for x in sums)
     mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - ties / 48
     z = (v / 2 - mean) / math.sqrt(var) if var > 0 else 0.0

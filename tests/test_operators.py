@@ -93,6 +93,15 @@ def test_wilcoxon(spark):
     assert (r.v, r.n) == (8.0, 4)  # ranks 2, 4, (2), 2
 
 
+def test_wilcoxon_of_many_pairs(spark):
+    n = 3_000_000  # the cube of n passes a long's range
+    r = evaluation.wilcoxon(spark.range(n).selectExpr("if(id % 3 = 0, 0, 1) as a", "if(id % 3 = 0, 1, 0) as b"), "a", "b").first()
+    v, mean, var = 2 * n // 3 * (n + 1) / 2, n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - (n**3 - n) / 48
+    assert (r.v, r.n) == (v, n) and abs(r.z - (v - mean) / var**0.5) < 1e-5
+    s = evaluation.signed_rank(spark.range(n).selectExpr("if(id % 3 = 0, 0, 1) as a", "if(id % 3 = 0, 1, 0) as b"), "a", "b").first()
+    assert (s.v, s.n) == (v, n)
+
+
 def test_judge_tie(spark):
     df = spark.createDataFrame([("x", 2), ("x", 0), ("y", 1), ("y", 1), ("y", -1), ("z", 0)], "label string, score int")
     got = {r.label: (r.total, r.n, r.pct, r.winner) for r in evaluation.judge_summary(df).collect()}
