@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import Tables
+from docgraph.llm.common import Tables, unsent
 
 
 def _least(edges: DataFrame) -> DataFrame:
     """(u, v) with each u's least neighbour or itself as m. The hub of a large star is joined back, so AQE can split it."""
     low = edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return edges.join(low, "u")
+    return edges.join(unsent(low), "u")
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:

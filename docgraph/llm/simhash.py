@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import cut, texts_of
+from docgraph.llm.common import cut, texts_of, unsent
 from docgraph.llm.graph import components
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
@@ -78,7 +78,7 @@ def _cliques(hot: DataFrame) -> DataFrame:
     other = f"if(key div {33 << 32}L = 0, {_segment(1)}, {_segment(0)})"
     rows = hot.select("key", "fp", F.expr(other).alias("o"), F.explode(F.expr(masks)).alias("mask")).select("key", "mask", F.expr("o & ~mask").alias("rest"), "fp")
     least = rows.groupBy("key", "mask", "rest").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least < most").drop("most")
-    return rows.join(least, ["key", "mask", "rest"]).where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    return rows.join(unsent(least), ["key", "mask", "rest"]).where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
 
 
 def links(fps: DataFrame, pairs_up_to: int = 48) -> DataFrame:
@@ -90,10 +90,10 @@ def links(fps: DataFrame, pairs_up_to: int = 48) -> DataFrame:
     # each fingerprint becomes 66 rows, so a task takes some thousands of them, whatever the reader's partitions hold
     v = variants(fps.repartition(max(1, -(-fps.count() // 15_000)), "fp"))
     sizes = v.groupBy("key").agg(F.count("*").alias("n"), F.min("side").alias("lo"), F.max("side").alias("hi")).where("n > 1 and (lo < hi or lo = 2)").select("key", "n")
-    live = cut(v.join(sizes, "key"))
+    live = cut(v.join(unsent(sizes), "key"))
     few, hot = live.where(F.col("n") <= pairs_up_to), live.where(F.col("n") > pairs_up_to)
     a, b = few.select("key", F.col("side").alias("sa"), F.col("fp").alias("a")), few.select("key", F.col("side").alias("sb"), F.col("fp").alias("b"))
-    pairs = a.join(b, "key").where("(sa = 0 and sb = 1 or sa = 2 and sb = 2 and a < b) and bit_count(a ^ b) <= 2").select("a", "b")
+    pairs = a.join(unsent(b), "key").where("(sa = 0 and sb = 1 or sa = 2 and sb = 2 and a < b) and bit_count(a ^ b) <= 2").select("a", "b")
     return pairs.unionByName(_cliques(hot).where("bit_count(a ^ b) <= 2"))
 
 
@@ -107,9 +107,9 @@ def near_duplicates(docs: DataFrame, n: int = 3) -> DataFrame:
     rows = cut(fingerprints(docs, n))
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(fps.select("fp"))).withColumnRenamed("node", "fp")
-    named = fps.join(roots, "fp").groupBy("root").agg(F.min("first").alias("least"))
-    classes = fps.join(roots, "fp", "left").join(named, "root", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    named = fps.join(unsent(roots), "fp").groupBy("root").agg(F.min("first").alias("least"))
+    classes = fps.join(unsent(roots), "fp", "left").join(unsent(named), "root", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    return rows.join(unsent(classes), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -119,4 +119,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     found = near_duplicates(docs)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__keep"]), "left_semi")
+    return docs.join(unsent(keep), docs["doc_id"].eqNullSafe(keep["__keep"]), "left_semi")

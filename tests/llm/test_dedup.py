@@ -299,3 +299,17 @@ def test_documents_that_share_51_words_are_of_one_class(spark, size):
 
 
 PARA = " ".join(f"token{i}" for i in range(40))
+
+
+def test_simhash_sends_no_growing_table_through_the_driver(spark, monkeypatch):
+    plans = []
+    seen = lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+    cut, keep = simhash.cut, graph.Tables.keep
+    monkeypatch.setattr(simhash, "cut", lambda df: (seen(df), cut(df))[1])
+    monkeypatch.setattr(graph.Tables, "keep", lambda self, *parts: ([seen(df) for df in parts], keep(self, *parts))[1])
+    docs = spark.range(60).selectExpr("id as doc_id", "concat('one two three four five ', id div 2) as text", "'x' as source")
+    kept = simhash.keep_one(docs)
+    seen(kept)
+    assert kept.count() == 30
+    joins = [line for p in plans for line in p.splitlines() if "Join " in line]
+    assert len(joins) > 5 and all("strategy=merge" in line for line in joins)
