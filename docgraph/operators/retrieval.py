@@ -22,15 +22,17 @@ def _units(vectors) -> np.ndarray:
     return out / np.where(n > 0, n, 1)[:, None]
 
 
-def _blocks(queries: DataFrame, most: int):
-    """The queries (qid, q) in blocks of ids and unit vectors of about `most` bytes, for one pass over the items each.
+def _blocks(queries: DataFrame, most: int, each: int = 0):
+    """The queries (qid, q) in blocks of ids and unit vectors, in the order of qid, for one pass over the items each: of about `most`
+    bytes, of which a query takes its vector's and `each` more.
 
     Their values are counted before any of them is gathered, and one block at a time is.
     """
-    size = queries.agg(F.coalesce(F.sum(F.size("q")), F.lit(0))).first()[0]
-    blocks = max(1, -(-8 * size // most))
+    size = queries.agg(F.coalesce(F.sum(8 * F.size("q") + each), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // most))
     for k in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k).select("qid", "q").collect()
+        rows.sort(key=lambda r: (r.qid is not None, 0 if r.qid is None else r.qid))
         yield [r.qid for r in rows], _units([r.q for r in rows])
 
 
@@ -40,22 +42,59 @@ def _cosines(items: np.ndarray, queries: np.ndarray) -> np.ndarray:
     return np.round(items[:, :n] @ queries[:, :n].T, 6) + 0.0
 
 
-def _product(items: DataFrame, queries: DataFrame, vector: str, schema: StructType, make, block_bytes: int) -> DataFrame:
-    """The union over blocks of queries of make(batches of (items, cosines), ids) per task. A block is broadcast, items stay where they are."""
+#: Items and queries of a tile: its cosines are 8 MB, however many items and queries there are.
+TILE = (2048, 512)
+
+
+def _tiles(units: np.ndarray, queries: np.ndarray):
+    """(place of its first query, cosines) of an item slice's tiles."""
+    for j in range(0, len(queries), TILE[1]):
+        yield j, _cosines(units, queries[j : j + TILE[1]])
+
+
+def _product(items: DataFrame, queries: DataFrame, vector: str, schema: StructType, make, block_bytes: int, each: int = 0) -> DataFrame:
+    """The union over blocks of queries of make(slices of (items, tiles of cosines), ids) per task. A block is broadcast, items stay
+    where they are; what a task keeps of a query takes `each` bytes, so a block bounds it."""
     at, out = items.columns.index(vector), None
-    for ids, units in _blocks(queries, block_bytes):
+    for ids, units in _blocks(queries, block_bytes, each):
         shared = items.sparkSession.sparkContext.broadcast((ids, units))
 
         def run(batches, shared=shared):
             ids, units = shared.value
-            parts = (batch.slice(i, 4096) for batch in batches for i in range(0, batch.num_rows, 4096))
-            yield from make(((p, _cosines(_units(p.column(at).to_numpy(zero_copy_only=False)), units)) for p in parts), ids)
+            parts = (batch.slice(i, TILE[0]) for batch in batches for i in range(0, batch.num_rows, TILE[0]))
+            yield from make(((p, _tiles(_units(p.column(at).to_numpy(zero_copy_only=False)), units)) for p in parts), ids)
 
         got = items.mapInArrow(run, schema)
         out = got if out is None else out.unionByName(got)
     return out
 
 
+class Best:
+    """The k best rows so far of each of n queries: tables that also have __q, the query's place, and cos; ties by id."""
+
+    def __init__(self, k: int, n: int, id_col: str):
+        self.k, self.id_col, self.rows, self.kth = k, id_col, None, np.full(n, -2.0)
+
+    def among(self, cos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Item rows and query columns of those cosines, over -2, that may be among the best."""
+        hit = (cos >= self.kth) & (cos > -2)
+        if self.k < len(cos) and hit.sum() > 2 * self.k * len(self.kth):
+            hit &= cos >= np.partition(cos, -self.k, axis=0)[-self.k]
+        return np.nonzero(hit)
+
+    def take(self, got: pa.Table) -> None:
+        if not got.num_rows:
+            return
+        rows = got if self.rows is None else pa.concat_tables([self.rows, got])
+        rows = rows.sort_by([("__q", "ascending"), ("cos", "descending"), (self.id_col, "ascending")])
+        q = rows.column("__q").to_numpy()
+        self.rows = rows.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < self.k)).combine_chunks()
+        q, cos = self.rows.column("__q").to_numpy(), self.rows.column("cos").to_numpy()
+        last = np.searchsorted(q, np.arange(len(self.kth)), side="right")
+        full = last - np.searchsorted(q, np.arange(len(self.kth))) == self.k
+        self.kth[full] = cos[last[full] - 1]
+
+
 def _scored_schema(items: DataFrame, queries: DataFrame, vector: str) -> StructType:
     return StructType([f for f in items.schema if f.name != vector]).add("qid", queries.schema["qid"].dataType).add("cos", DoubleType())
 
@@ -65,7 +104,7 @@ def _rows(batch: pa.RecordBatch, vector: int, row: np.ndarray, ids: list, query:
     return pa.RecordBatch.from_arrays([*kept.columns, pa.array(ids).take(pa.array(query)), pa.array(cos)], [*kept.schema.names, "qid", "cos"])
 
 
-def with_scores(items: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: str = "embedding", block_bytes: int = 32 << 20) -> DataFrame:
+def with_scores(items: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: str = "embedding", block_bytes: int = 16 << 20) -> DataFrame:
     """items (without the vector) for each of the queries (qid, q), with the cosine of the pair and its index score.
 
     Vectors are brought to unit length once and multiplied in blocks; missing and zero vectors have cosine 0.
@@ -73,65 +112,68 @@ def with_scores(items: DataFrame, queries: DataFrame, id_col: str = "vec_id", ve
     at = items.columns.index(vector)
 
     def make(parts, ids):
-        for batch, cos in parts:
-            if len(ids):
-                row, query = np.divmod(np.arange(cos.size), len(ids))
-                yield _rows(batch, at, row, ids, query, cos.ravel())
+        for batch, tiles in parts:
+            for j, cos in tiles:
+                row, query = np.divmod(np.arange(cos.size), cos.shape[1])
+                yield _rows(batch, at, row, ids, query + j, cos.ravel())
 
     got = _product(items, queries, vector, _scored_schema(items, queries, vector), make, block_bytes)
     return got.withColumn("score_index", F.round(index_score(F.col("cos")), 7))
 
 
-def search(items: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", block_bytes: int = 32 << 20) -> DataFrame:
+def search(items: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", block_bytes: int = 16 << 20) -> DataFrame:
     """Each query's k nearest items by cosine, ties by id, with their rank and index score, and without the vector.
 
-    A task keeps k items a query while it multiplies block after block, so only tasks' bests are shuffled, never all pairs.
+    A task keeps k items a query while it multiplies tile after tile, so only tasks' bests are shuffled, never all pairs. What it
+    keeps counts towards a block of queries.
     """
     at = items.columns.index(vector)
 
     def make(parts, ids):
-        best = None
-        for batch, cos in parts:
-            if not len(ids) or not batch.num_rows:
-                continue
-            least = np.partition(cos, -k, axis=0)[-k] if k < len(cos) else -2.0
-            row, query = np.nonzero(cos >= least)
-            got = _rows(batch, at, row, ids, query, cos[row, query]).append_column("__q", pa.array(query))
-            best = pa.Table.from_batches([got]) if best is None else pa.concat_tables([best, pa.Table.from_batches([got])])
-            best = best.sort_by([("__q", "ascending"), ("cos", "descending"), (id_col, "ascending")])
-            q = best.column("__q").to_numpy()
-            best = best.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < k)).combine_chunks()
-        if best is not None:
-            yield from best.drop_columns(["__q"]).to_batches()
-
-    got = _product(items, queries, vector, _scored_schema(items, queries, vector), make, block_bytes)
+        best = {}
+        for batch, tiles in parts:
+            for j, cos in tiles:
+                mine = best.setdefault(j, Best(k, cos.shape[1], id_col))
+                row, query = mine.among(cos)
+                mine.take(pa.Table.from_batches([_rows(batch, at, row, ids, query + j, cos[row, query]).append_column("__q", pa.array(query))]))
+        for mine in best.values():
+            if mine.rows is not None:
+                yield from mine.rows.drop_columns(["__q"]).to_batches()
+
+    got = _product(items, queries, vector, _scored_schema(items, queries, vector), make, block_bytes, 64 * k)
     return top_k_per_query(got, k, id_col).withColumn("score_index", F.round(index_score(F.col("cos")), 7))
 
 
-def _per_item(items: DataFrame, queries: DataFrame, choose, better, id_col: str, vector: str, block_bytes: int) -> DataFrame:
-    """A row of items (without the vector) with qid and cos for each item that choose gives a query: choose takes cosines, their
-    columns in the order of qid, to item rows and columns; of several blocks' choices the least by `better` stays."""
+def _per_item(items: DataFrame, queries: DataFrame, choose, nearer: bool, better, id_col: str, vector: str, block_bytes: int) -> DataFrame:
+    """A row of items (without the vector) with qid and cos for each item that choose gives a query: choose takes a tile's cosines,
+    their columns in the order of qid, to item rows and columns. Of several tiles' choices the first stays, or with `nearer` the
+    first of those with the highest cosine; of several blocks' the least by `better`."""
     at = items.columns.index(vector)
 
     def make(parts, ids):
-        order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i] is not None, 0 if ids[i] is None else ids[i])), int)
-        for batch, cos in parts:
-            if len(ids) and batch.num_rows:
-                row, column = choose(cos[:, order])
-                yield _rows(batch, at, row, ids, order[column], cos[row, order[column]])
+        for batch, tiles in parts:
+            of, best = np.full(batch.num_rows, -1), np.full(batch.num_rows, -2.0)
+            for j, cos in tiles:
+                row, column = choose(cos)
+                new = (of[row] < 0) | (nearer & (cos[row, column] > best[row]))
+                row, column = row[new], column[new]
+                of[row], best[row] = column + j, cos[row, column]
+            row = np.flatnonzero(of >= 0)
+            if len(row):
+                yield _rows(batch, at, row, ids, of[row], best[row])
 
     got = _product(items, queries, vector, _scored_schema(items, queries, vector), make, block_bytes)
     rows = F.min_by(F.struct(*[F.col(f"`{c}`") for c in got.columns]), better)
     return got.groupBy(F.col(id_col).alias("__id")).agg(rows.alias("__row")).select("__row.*")
 
 
-def nearest_query(items: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: str = "embedding", block_bytes: int = 32 << 20) -> DataFrame:
+def nearest_query(items: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: str = "embedding", block_bytes: int = 16 << 20) -> DataFrame:
     """Each item (without the vector) with its nearest of the queries (qid, q) and their cosine, ties by qid. A task sends a row
     per item and block, never pairs. Rows of one id count once; without queries there are no rows."""
-    return _per_item(items, queries, lambda cos: (np.arange(len(cos)), cos.argmax(1)), F.struct(-F.col("cos"), "qid"), id_col, vector, block_bytes)
+    return _per_item(items, queries, lambda cos: (np.arange(len(cos)), cos.argmax(1)), True, F.struct(-F.col("cos"), "qid"), id_col, vector, block_bytes)
 
 
-def first_query(items: DataFrame, queries: DataFrame, above: float, id_col: str = "vec_id", vector: str = "embedding", block_bytes: int = 32 << 20) -> DataFrame:
+def first_query(items: DataFrame, queries: DataFrame, above: float, id_col: str = "vec_id", vector: str = "embedding", block_bytes: int = 16 << 20) -> DataFrame:
     """Each item (without the vector) that some query (qid, q) comes nearer to than a cosine of `above`, with the smallest such
     qid and that cosine. A task sends a row per item and block, never pairs. Rows of one id count once."""
 
@@ -140,15 +182,16 @@ def first_query(items: DataFrame, queries: DataFrame, above: float, id_col: str
         row = np.flatnonzero(hit.any(1))
         return row, hit[row].argmax(1)
 
-    return _per_item(items, queries, choose, F.struct("qid"), id_col, vector, block_bytes)
+    return _per_item(items, queries, choose, False, F.struct("qid"), id_col, vector, block_bytes)
 
 
-def mean_similarity(items: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: str = "embedding", block_bytes: int = 32 << 20) -> DataFrame:
+def mean_similarity(items: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: str = "embedding", block_bytes: int = 16 << 20) -> DataFrame:
     """(id, mean_cos): each item's mean cosine, to six places each, over all queries. A row per item and block, no pairs."""
 
     def make(parts, ids):
-        for batch, cos in parts:
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(id_col)), pa.array(cos.sum(1)), pa.array(np.full(batch.num_rows, len(ids)))], [id_col, "total", "n"])
+        for batch, tiles in parts:
+            total = sum((cos.sum(1) for _, cos in tiles), np.zeros(batch.num_rows))
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(id_col)), pa.array(total), pa.array(np.full(batch.num_rows, len(ids)))], [id_col, "total", "n"])
 
     schema = StructType([items.schema[id_col]]).add("total", DoubleType()).add("n", LongType())
     got = _product(items.select(id_col, vector), queries, vector, schema, make, block_bytes)

@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StructType
 
 from docgraph.functions.session import ensure_checkpoint_dir
 from docgraph.functions.vectors import index_score
+from docgraph.operators import retrieval
 
 #: Cosines are rounded to six places, so a vector this much farther than the k-th may still tie with it.
 _SLACK = 2e-6
@@ -104,26 +105,25 @@ class VectorIndex:
 
         def run(batches):
             plan, ids, units = shared.value
-            best: pa.Table | None = None
-            for whole in batches:
-                for i in range(0, whole.num_rows, 2048):
-                    batch = whole.slice(i, 2048)
-                    at = batch.schema.get_field_index(vector)
-                    cell = batch.column(batch.schema.get_field_index("cell")).to_numpy(zero_copy_only=False)
-                    x = _units(batch.column(at).to_numpy(zero_copy_only=False), units.shape[1])
-                    cos = np.where(plan[:, cell].T, np.round(x @ units.T, 6) + 0.0, -2.0)
-                    least = np.maximum(np.partition(cos, -k, axis=0)[-k] if k < len(cos) else -2.0, -1.5)
-                    row, query = np.nonzero(cos >= least)
-                    keep = batch.select([j for j in range(batch.num_columns) if j != at and batch.schema.names[j] != "cell"]).take(pa.array(row))
-                    got = pa.Table.from_arrays([*keep.columns, pa.array(query), pa.array(cos[row, query])], [*keep.schema.names, "__q", "cos"])
-                    best = got if best is None else pa.concat_tables([best, got])
-                    best = best.sort_by([("__q", "ascending"), ("cos", "descending"), (id_col, "ascending")])
-                    q = best.column("__q").to_numpy()
-                    best = best.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < k)).combine_chunks()
-            if best is not None:
-                q = pa.array(ids).take(best.column("__q").combine_chunks())
-                columns = [best.column(j) for j in range(n_out)]
-                yield from pa.Table.from_arrays([*columns, q, best.column("cos")], schema.names).to_batches()
+            best: dict[int, retrieval.Best] = {}
+            slices = (whole.slice(i, retrieval.TILE[0]) for whole in batches for i in range(0, whole.num_rows, retrieval.TILE[0]))
+            for batch in slices:
+                at = batch.schema.get_field_index(vector)
+                cell = batch.column(batch.schema.get_field_index("cell")).to_numpy(zero_copy_only=False)
+                x = _units(batch.column(at).to_numpy(zero_copy_only=False), units.shape[1])
+                kept = batch.select([j for j in range(batch.num_columns) if j != at and batch.schema.names[j] != "cell"])
+                for t in range(0, len(units), retrieval.TILE[1]):
+                    tile = slice(t, t + retrieval.TILE[1])
+                    cos = np.where(plan[tile][:, cell].T, np.round(x @ units[tile].T, 6) + 0.0, -2.0)
+                    mine = best.setdefault(t, retrieval.Best(k, cos.shape[1], id_col))
+                    row, query = mine.among(cos)
+                    columns = kept.take(pa.array(row)).columns
+                    mine.take(pa.Table.from_arrays([*columns, pa.array(query), pa.array(cos[row, query])], [*kept.schema.names, "__q", "cos"]))
+            for t, mine in best.items():
+                if mine.rows is not None:
+                    q = pa.array(ids[t : t + retrieval.TILE[1]]).take(mine.rows.column("__q").combine_chunks())
+                    columns = [mine.rows.column(j) for j in range(n_out)]
+                    yield from pa.Table.from_arrays([*columns, q, mine.rows.column("cos")], schema.names).to_batches()
 
         items = self.vectors.where(F.col("cell").isin(cells.tolist())).drop("angle")
         return items.mapInArrow(run, schema)
