@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docgraph.functions.legal import regulation_id
+from docgraph.functions.text import once
 
 # The marks by which the pages tell their parts apart.
 LABEL_CLASS, VALUE_CLASS = "col-lg-3 fw-bold", "col-lg-9"
@@ -60,12 +61,16 @@ def downloads(html, base: str) -> Column:
     links = F.arrays_zip(F.regexp_extract_all(html, F.lit(a), F.lit(1)).alias("at"), F.regexp_extract_all(html, F.lit(a), F.lit(2)).alias("text"))
     links = F.transform(links, lambda x: F.struct(x["at"].alias("at"), x["text"].alias("text"), F.regexp_extract(x["at"], r"""(?i)href\s*=\s*["']([^"']+)["']""", 1).alias("href")))
     links = F.filter(links, lambda x: x["href"] != "")
-    some = [F.filter(links, lambda x: x["at"].rlike(rf'class="[^"]*\b{DOWNLOAD_CLASS}\b'))]
-    for sign in DOWNLOAD_HREFS:
-        some.append(F.filter(links, _has("href", sign)))
-    for word in DOWNLOAD_WORDS:
-        some.append(F.filter(links, _has("text", word)))
-    return F.array_distinct(F.transform(F.flatten(F.array(*some)), lambda x: _absolute(x["href"], base)))
+
+    def files(links):
+        some = [F.filter(links, lambda x: x["at"].rlike(rf'class="[^"]*\b{DOWNLOAD_CLASS}\b'))]
+        for sign in DOWNLOAD_HREFS:
+            some.append(F.filter(links, _has("href", sign)))
+        for word in DOWNLOAD_WORDS:
+            some.append(F.filter(links, _has("text", word)))
+        return F.flatten(F.array(*some))
+
+    return F.array_distinct(F.transform(once(links, files), lambda x: _absolute(x["href"], base)))
 
 
 def _has(field: str, sign: str):
@@ -80,24 +85,32 @@ def detail_links(html, base: str) -> Column:
 
 def amendment_list(html) -> Column:
     """array<struct<source, relationship, target>> of a list page: each card's law, and under its status the laws of each relation."""
-    cards = F.split(html, "(?i)" + _open("div", *CARD))
-    cards = F.slice(cards, 2, F.greatest(F.size(cards) - 1, F.lit(0)))
+    after_first = lambda x: F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0)))
+    cards = once(F.split(html, "(?i)" + _open("div", *CARD)), after_first)
     kinds = "|".join(RELATION_KINDS)
     relation = rf"(?i)(?=<div(?=[^>]*\b{RELATION}\b)(?=[^>]*\b(?:{kinds})\b)[^>]*>)"
 
     def of_relation(source):
         def of(part):
-            name = F.replace(F.lower(plain(F.regexp_extract(part, rf"(?is)^<div[^>]*>(.*?)</div>", 1))), F.lit(" "), F.lit("_"))
+            return once(name_of(part), lambda name: targets_of(part, name))
+
+        def name_of(part):
+            return F.replace(F.lower(plain(F.regexp_extract(part, rf"(?is)^<div[^>]*>(.*?)</div>", 1))), F.lit(" "), F.lit("_"))
+
+        def targets_of(part, name):
             links = F.regexp_extract_all(F.regexp_extract(part, f"(?is){_open('div', TARGETS)}(.*)", 1), F.lit(f"(?is){_open('a', TARGET_LINK)}(.*?)</a>"), F.lit(1))
-            targets = F.transform(F.filter(F.transform(links, plain), lambda x: x.startswith(TARGET_PREFIX)), regulation_id)
+            said = F.filter(F.transform(links, plain), lambda x: x.startswith(TARGET_PREFIX))
+            targets = F.transform(said, regulation_id)
             return F.transform(F.filter(targets, lambda x: x.isNotNull()), lambda x: F.struct(source.alias("source"), name.alias("relationship"), x.alias("target")))
 
         return of
 
     def of_card(card):
-        source = regulation_id(plain(F.regexp_extract(card, f"(?is){_open('div', *TITLE)}(.*?)</div>", 1)))
-        parts = F.split(F.regexp_extract(card, f"(?is){STATUS}(.*)", 1), relation)
-        found = F.flatten(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), of_relation(source)))
+        return once(regulation_id(plain(F.regexp_extract(card, f"(?is){_open('div', *TITLE)}(.*?)</div>", 1))), lambda source: of_law(card, source))
+
+    def of_law(card, source):
+        parts = once(F.split(F.regexp_extract(card, f"(?is){STATUS}(.*)", 1), relation), after_first)
+        found = F.flatten(F.transform(parts, of_relation(source)))
         return F.when(source.isNotNull(), found).otherwise(F.array().cast("array<struct<source:string,relationship:string,target:string>>"))
 
     return F.flatten(F.transform(cards, of_card))

@@ -21,6 +21,11 @@ ROUTER_DEFINE = r"\b(bunyi|kutip|definisi|ringkas|quote|define|apa itu)\b"
 ROUTER_MULTI_HOP = r"\b(hubungan|perbedaan|pengecualian|mendelegasikan|mengubah|mencabut|berlaku|berlaku untuk|dibandingkan|apakah .* mengatur)\b"
 
 
+def once(value, use) -> Column:
+    """use(value), with the value found once a row however often `use` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def stripped(s) -> Column:
     """Without white space at both ends (any, not spaces only)."""
     return F.regexp_replace(s, r"^\s+|\s+$", "")
