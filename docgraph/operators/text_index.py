@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,15 +27,14 @@ def _words(text) -> Column:
     return F.filter(F.split(text, _SPACE), lambda w: w != "")
 
 
-def _some(ids: list, texts: list, most: int):
-    """Slices of the texts, by number and by length."""
+def _some(ids: pa.Array, texts: pa.Array, most: int):
+    """Slices of the texts, by number and by length; only a slice's texts are Python's at a time."""
+    upto = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False))
     i = 0
     while i < len(texts):
-        j, n = i, 0
-        while j < len(texts) and j - i < most and (j == i or n + len(texts[j]) <= _CHARACTERS):
-            n += len(texts[j])
-            j += 1
-        yield ids[i:j], texts[i:j]
+        j = int(np.searchsorted(upto, (upto[i - 1] if i else 0) + _CHARACTERS, side="right"))
+        j = min(max(i + 1, j), i + most, len(texts))
+        yield ids.slice(i, j - i).to_pylist(), texts.slice(i, j - i).to_pylist()
         i = j
 
 
@@ -42,7 +42,7 @@ def _postings(batches, texts_a_row: int):
     """For each slice of a task's texts a run of rows sorted by term: in how many of them it is, and the text and the place of each
     time that it is there."""
     for batch in batches:
-        for ids, texts in _some(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_a_row):
+        for ids, texts in _some(batch.column(0), batch.column(1), texts_a_row):
             number: dict[str, int] = defaultdict()
             number.default_factory = number.__len__  # a new word gets the next number
             codes, sizes = [], []
