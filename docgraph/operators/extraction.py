@@ -9,10 +9,10 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import DoubleType, StringType
 
 from docgraph.functions.session import cut
-from docgraph.functions.text import looks_corrupted
+from docgraph.functions.text import looks_corrupted, once
 
 
 def normalised(s) -> Column:
@@ -23,8 +23,17 @@ def normalised(s) -> Column:
 
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity; two empty texts are the same."""
-    return pd.Series([1.0 if not x and not y else difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
+    """Ratcliff-Obershelp similarity; two empty texts are the same.
+
+    Where one text begins with the other, the matcher's first block is the whole shorter one, so the ratio needs no search.
+    """
+
+    def one(x: str, y: str) -> float:
+        if x.startswith(y) or y.startswith(x):
+            return 2.0 * min(len(x), len(y)) / (len(x) + len(y)) if x or y else 1.0
+        return difflib.SequenceMatcher(None, x, y).ratio()
+
+    return pd.Series([one(x or "", y or "") for x, y in zip(a, b)])
 
 
 def ocr_strategy(blocks, chars, spread) -> Column:
@@ -97,21 +106,27 @@ def repaired_json(s: pd.Series) -> pd.Series:
     return s.map(_repair)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def halves(s: pd.Series) -> pd.Series:
+def halves(s) -> Column:
     """A text in two, at the break nearest its middle: blank line, line, sentence or space, in that order within a quarter of it."""
 
-    def one(t: str | None) -> list[str]:
-        t = t or ""
-        mid, reach = len(t) // 2, max(1, len(t) // 4)
-        for mark in ("\n\n", "\n", ". ", " "):
-            at = [i for i in (t.rfind(mark, mid - reach, mid), t.find(mark, mid, mid + reach)) if i >= 0]
-            if at:
-                mid = min(at, key=lambda i: abs(i - mid)) + len(mark)
-                break
-        return [t[:mid], t[mid:]]
-
-    return s.map(one)
+    def middle(t, n):
+        mid, reach = F.shiftright(n, 1), F.greatest(F.lit(1), F.shiftright(n, 2))
+        start = F.greatest(F.lit(0), mid - reach)
+
+        def at(w):
+            found = []
+            for mark in ("\n\n", "\n", ". ", " "):
+                before = F.when(F.contains(w["before"], F.lit(mark)), F.length(F.substring_index(w["before"], mark, -1)) + len(mark))
+                after = F.nullif(F.instr(w["after"], mark), F.lit(0)) - 1
+                found.append(F.when(before <= F.coalesce(after, before), mid - before).otherwise(mid + after) + len(mark))
+            return F.coalesce(*found, mid)
+
+        return once(F.struct(F.substring(t, start + 1, mid - start).alias("before"), F.substring(t, mid + 1, reach).alias("after")), at)
+
+    def two(t):
+        return once(F.length(t), lambda n: once(middle(t, n), lambda at: F.array(F.substring(t, F.lit(1), at), F.substring(t, at + 1, n))))
+
+    return once(F.coalesce(F.col(s) if isinstance(s, str) else s, F.lit("")), two)
 
 
 def split_and_retry(items: DataFrame, work, depth: int = 3) -> tuple[DataFrame, DataFrame]:
