@@ -28,6 +28,25 @@ def read_logs(spark: SparkSession, path) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+def write_runs(lines: DataFrame, path: str, run: str = "run", line: str = "value", runs: int = 1000) -> None:
+    """The lines of many runs as text files of up to so many runs each, so that their number does not grow with short runs.
+
+    A run is a line `==> its name` and its lines, each indented by a space. Null lines are left out, and so is a null name's
+    run; names have no line breaks. A run's log is one row here and when read.
+    """
+    log = F.array_join(F.collect_list(F.regexp_replace(F.concat(F.lit(" "), line), "\n", "\n ")), "\n")
+    rows = lines.where(F.col(run).isNotNull()).groupBy(run).agg(log.alias("log"))
+    rows.select(F.concat(F.lit("==> "), run, F.lit("\n"), "log").alias("value")).write.option("maxRecordsPerFile", runs).text(path)
+
+
+def read_runs(spark: SparkSession, path) -> DataFrame:
+    """(path, run, value): one row per run of the log files that `write_runs` or a like writer made, with its whole text."""
+    part = F.explode(F.split("value", "(?md)^==> ")).alias("part")
+    name = F.substring_index("part", "\n", 1)
+    text = F.substr("part", F.length(name) + 2)
+    return read_logs(spark, path).select("path", part).where("part <> ''").select("path", name.alias("run"), F.regexp_replace(text, "(?md)^ |\n\\z", "").alias("value"))
+
+
 def newest(files: DataFrame) -> DataFrame:
     """Of (path, modified, ...) the newest file's rows."""
     return files.join(files.agg(F.max_by("path", "modified").alias("path")), "path", "left_semi")
