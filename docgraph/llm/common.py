@@ -42,6 +42,11 @@ def unsent(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def looked_up(df: DataFrame) -> DataFrame:
+    """df, of narrow rows and few a key, whose shuffled parts a join holds as hash tables: the other side's rows are not sorted."""
+    return df.hint("shuffle_hash")
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Deletes a folder of any file system that Spark can write."""
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,28 +20,49 @@ _P, _Q = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
 _P_INVERSE = pow(_P, -1, 1 << 64)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+@lru_cache(maxsize=16)
+def _table(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    out[0] = 1
+    out = np.cumprod(out, dtype=np.uint64)
+    out.flags.writeable = False
+    return out
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base to the powers from 0 to n - 1 modulo 2**64, read only. Those of usual lengths are kept by the process."""
+    most = 1 << max(18, (n - 1).bit_length())
+    return (_table(base, most) if most <= 1 << 19 else _table.__wrapped__(base, n))[:n]
+
+
+@lru_cache(maxsize=16)
+def _translations(kind: bytes) -> bytes:
+    return np.frombuffer(kind, bool)[_LOWER].tobytes()
 
 
 class Words:
     """The words of some texts: byte spans, hashes, and the first word of each text."""
 
     def __init__(self, buf: np.ndarray, off: np.ndarray, kind: np.ndarray = _WORD):
-        self.bytes = _LOWER[buf]
-        inside = kind[self.bytes]
-        edge = np.zeros(len(buf) + 1, bool)
+        # bytes.translate and arrays worked on in place: several passes over a corpus spend most of their time here
+        n, raw = len(buf), buf.tobytes()
+        self.bytes = np.frombuffer(raw.translate(_LOWER.tobytes()), np.uint8)
+        inside = np.frombuffer(raw.translate(_translations(kind.tobytes())), bool)
+        edge = np.zeros(n + 1, bool)
         edge[off] = True
-        before = np.r_[False, inside[:-1]] if len(buf) else inside
-        after = np.r_[inside[1:], False] if len(buf) else inside
-        self.start = np.flatnonzero(inside & (~before | edge[:-1]))
-        self.end = np.flatnonzero(inside & (~after | edge[1:])) + 1
+        start, end = inside.copy(), inside.copy()
+        start[1:] &= ~inside[:-1] | edge[1:-1]
+        end[:-1] &= ~inside[1:] | edge[1:-1]
+        self.start, self.end = np.flatnonzero(start), np.flatnonzero(end) + 1
         self.first = np.searchsorted(self.start, off)
-        sums = np.r_[np.zeros(1, np.uint64), np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * _powers(_P, len(buf)), dtype=np.uint64)]
-        h = (sums[self.end] - sums[self.start]) * _powers(_P_INVERSE, len(buf) + 1)[self.start]
+        terms = self.bytes.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= powers(_P, n)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(terms, out=sums[1:])
+        h = sums[self.end]
+        h -= sums[self.start]
+        h *= powers(_P_INVERSE, n + 1)[self.start]
         h ^= h >> np.uint64(32)
         self.hash = h * np.uint64(_Q)
         self.text = np.repeat(np.arange(len(off) - 1), np.diff(self.first))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docgraph.llm import passages
-from docgraph.llm.common import Tables, row_slices, utf8
+from docgraph.llm.common import Tables, looked_up, row_slices, utf8
 from docgraph.llm.decontaminate import Words
 from docgraph.llm.graph import components
 
@@ -82,47 +82,54 @@ def _slices(batch, text: int, least: int, wrapped: bool):
         yield i, Paragraphs(buf[off[i] : off[j]], off[i : j + 1] - off[i], least, wrapped)
 
 
-def _units(docs: DataFrame, least: int, wrapped: bool) -> DataFrame:
-    """(doc_id, par, upto, size, key) of every paragraph with enough words, and per input row one with par -1 and its lines in size."""
-    names = ["doc_id", "par", "upto", "size", "key"]
+def _found(docs: DataFrame, least: int, shingle: int, number: int, rows: int, wrapped: bool) -> DataFrame:
+    """(doc_id, par, upto, size, key, bands) of every paragraph with enough words, and per input row one with par -1 and its lines in size."""
+    names = ["doc_id", "par", "upto", "size", "key", "bands"]
+    lists = pa.list_(pa.int64())
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
             for i, p in _slices(batch, 1, least, wrapped):
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(p.text + i)), pa.array(p.par), pa.array(p.upto), pa.array(p.count), pa.array(p.keys().view(np.int64))], names)
+                x, m = bands(*p.shingles(shingle), number, rows), len(p.text)
+                keys = pa.ListArray.from_arrays(pa.array((np.arange(m + 1) * number).astype(np.int32)), pa.array(x.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(p.text + i)), pa.array(p.par), pa.array(p.upto), pa.array(p.count), pa.array(p.keys().view(np.int64)), keys], names)
             buf, off = utf8(batch.column(1))
             full = np.diff(off) > 0
             lines = np.add.reduceat(np.r_[buf == 10, False].astype(np.int64), off[:-1]) * full + full if batch.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(batch.num_rows, -1, np.int64)), pa.nulls(batch.num_rows, pa.int64()), pa.array(lines), pa.nulls(batch.num_rows, pa.int64())], names)
+            none = [pa.nulls(batch.num_rows, t) for t in (pa.int64(), lists)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(batch.num_rows, -1, np.int64)), none[0], pa.array(lines), *none], names)
 
-    return docs.mapInArrow(run, "doc_id long, par long, upto long, size long, key long")
+    return docs.mapInArrow(run, "doc_id long, par long, upto long, size long, key long, bands array<long>")
 
 
-def _texts(docs: DataFrame, least: int, shingle: int, number: int, rows: int, wrapped: bool) -> DataFrame:
+def _texts(found: DataFrame) -> DataFrame:
     """(key, at, total, bands) of every distinct paragraph: its first place, its copies and its band keys."""
-
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(0)
-            for i, p in _slices(batch, 1, least, wrapped):
-                x, m = bands(*p.shingles(shingle), number, rows), len(p.text)
-                lists = pa.ListArray.from_arrays(pa.array((np.arange(m + 1) * number).astype(np.int32)), pa.array(x.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(p.keys().view(np.int64)), ids.take(pa.array(p.text + i)), pa.array(p.par), pa.array(p.upto), lists], ["key", "doc_id", "par", "upto", "bands"])
-
-    found = docs.mapInArrow(run, "key long, doc_id long, par long, upto long, bands array<long>")
-    return found.groupBy("key").agg(F.min(F.struct("doc_id", "par", "upto")).alias("at"), F.count("*").alias("total"), F.first("bands").alias("bands"))
+    return found.where("par >= 0").groupBy("key").agg(F.min(F.struct("doc_id", "par", "upto")).alias("at"), F.count("*").alias("total"), F.first("bands").alias("bands"))
 
 
 def _stars(texts: DataFrame) -> DataFrame:
     """(band, n, hub, key) of every text in a bucket of several: the bucket's texts and its least key, the hub."""
     spread = texts.select("key", F.explode("bands").alias("band"))
     buckets = spread.groupBy("band").agg(F.min("key").alias("hub"), F.max("key").alias("most"), F.count("*").alias("n")).where("hub < most").drop("most")
-    return spread.join(buckets, "band")
+    return spread.join(looked_up(buckets), "band")
+
+
+#: Words of 64 bits in a sketch.
+_SKETCH = 4
+
+
+def sketches(flat: np.ndarray, of: np.ndarray, number: int) -> np.ndarray:
+    """Of each set 256 bits: which of 256 classes of hashes hold an odd number of its members. Two sets' sketches differ in no more
+    bits than the sets in members, so they bound what the sets share."""
+    at = of * (64 * _SKETCH) + (flat >> np.uint64(56)).astype(np.int64)
+    odd = np.bincount(at, minlength=number * 64 * _SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(number, -1), axis=1).view(np.int64).reshape(number, _SKETCH)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, least: int, shingle: int, wrapped: bool) -> DataFrame:
-    """(key, hubs, lead, s): the distinct shingle hashes of the wanted (key, hubs, lead, at) paragraphs, one place of each being read.
+    """(key, hubs, lead, s, n, x0 ...): the distinct shingle hashes of the wanted (key, hubs, lead, at) paragraphs, one place of each
+    being read, their number and sketch.
 
     Where several rows have the place's doc_id, a paragraph may come several times.
     """
@@ -131,22 +138,37 @@ def _sets(docs: DataFrame, wanted: DataFrame, least: int, shingle: int, wrapped:
     def run(batches):
         for batch in batches:
             pars = batch.column(0)
+            bounds, every = pars.offsets.to_numpy(), pars.values
+            place = [every.field(c).to_numpy(zero_copy_only=False) for c in ("par", "upto", "key")]
             for i, p in _slices(batch, 1, least, wrapped):
+                first = bounds[i]
+                many = np.diff(bounds[i : i + int(p.text.max()) + 2]) if len(p.text) else np.zeros(0, np.int64)
+                asked = first + np.arange(many.sum())
+                par, upto, key = (x[asked] for x in place)
+                # a slice has under 2**18 lines, or one text
+                wide = int(max(p.upto.max(initial=0), upto.max(initial=0))) + 1
+                code = lambda text, par, upto: (text * wide + par) * wide + upto  # noqa: E731, B023
+                mine = code(p.text, p.par, p.upto)
+                order = np.argsort(mine)
+                want = code(np.repeat(np.arange(len(many)), many), par, upto)
+                k = order[np.minimum(np.searchsorted(mine[order], want), len(mine) - 1)] if len(mine) else np.zeros(0, np.int64)
+                same = (mine[k] == want) & (p.keys().view(np.int64)[k] == key)
+                k, asked = k[same], asked[same]
                 flat, start = p.shingles(shingle)
-                known = p.keys().view(np.int64)
-                mine = {x: k for k, x in enumerate(zip(p.text.tolist(), p.par.tolist(), p.upto.tolist(), known.tolist()))}
-                rows, sets = [], []
-                for t in range(i, i + int(p.text.max()) + 1 if len(p.text) else i):
-                    for x in pars[t].as_py():
-                        k = mine.get((t - i, x["par"], x["upto"], x["key"]))
-                        if k is not None:
-                            rows.append(x)
-                            sets.append(np.unique(flat[start[k] : start[k + 1]]).view(np.int64))
-                columns = [pa.array([x[c] for x in rows], t) for c, t in (("key", pa.int64()), ("hubs", pa.list_(pa.int64())), ("lead", pa.bool_()))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.list_(pa.int64()))], ["key", "hubs", "lead", "s"])
-
-    found = docs.join(where, F.col("doc_id") == F.col("__id")).select("pars", "text")
-    return found.mapInArrow(run, "key long, hubs array<long>, lead boolean, s array<long>")
+                size = start[k + 1] - start[k]
+                of = np.repeat(np.arange(len(k)), size)
+                s = flat[np.arange(len(of)) + np.repeat(start[k] - (np.cumsum(size) - size), size)]
+                order = np.lexsort((s, of))
+                s, of = s[order], of[order]
+                new = np.r_[True, (s[1:] != s[:-1]) | (of[1:] != of[:-1])][: len(s)]
+                s, of = s[new], of[new]
+                n = np.bincount(of, minlength=len(k)).astype(np.int32)
+                whole = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(s.view(np.int64)))
+                bits = [pa.array(np.ascontiguousarray(x)) for x in sketches(s, of, len(k)).T]
+                yield pa.RecordBatch.from_arrays([*[every.field(c).take(pa.array(asked)) for c in ("key", "hubs", "lead")], whole, pa.array(n), *bits], ["key", "hubs", "lead", "s", "n", *[f"x{c}" for c in range(_SKETCH)]])
+
+    found = docs.join(looked_up(where), F.col("doc_id") == F.col("__id")).select("pars", "text")
+    return found.mapInArrow(run, "key long, hubs array<long>, lead boolean, s array<long>, n int, " + ", ".join(f"x{c} long" for c in range(_SKETCH)))
 
 
 def _alike(pairs: DataFrame, jaccard: float) -> DataFrame:
@@ -156,6 +178,17 @@ def _alike(pairs: DataFrame, jaccard: float) -> DataFrame:
     return x.where(both >= F.lit(jaccard) * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
 
 
+def _near(sets: DataFrame, jaccard: float) -> DataFrame:
+    """The pairs (a, b) of a hub and a text whose sizes and sketches do not rule the similarity out."""
+    x = [f"x{c}" for c in range(_SKETCH)]
+    hub = sets.where("lead").select(F.col("key").alias("a"), *[F.col(c).alias(f"{c}a") for c in ("n", *x)])
+    pairs = sets.select(F.explode("hubs").alias("a"), F.col("key").alias("b"), "n", *x).where("a <> b").join(hub, "a")
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}a"))) for c in x), F.lit(0))
+    most = F.floor((F.col("n") + F.col("na") - differ) / 2)
+    alike = F.least("n", "na") >= F.lit(jaccard) * F.greatest("n", "na")
+    return pairs.where(alike & (most >= F.lit(jaccard) * (F.col("n") + F.col("na") - most))).select("a", "b")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
     """The pairs whose texts have the similarity."""
     a, b = (sets.select(F.col("key").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
@@ -199,23 +232,23 @@ def _across(live: DataFrame, roots: DataFrame, sets: DataFrame, jaccard: float,
     whole or are one component already, and shingles that one component has alone, are not looked at. live: (band, key,
     open), open saying that the bucket may hold a pair that was not compared.
     """
-    rows = live.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rows = live.join(looked_up(roots.withColumnRenamed("node", "key")), "key", "left").withColumn("root", F.coalesce("root", "key"))
     parted = rows.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_or("open").alias("open")).where("lo < hi and open").select("band")
-    apart = tables.keep(rows.join(parted, "band", "left_semi").select("key", "root").distinct())
-    rest = tables.keep(*[sets.where(x).select("key", "s").join(apart.where(x), "key").select("key", "root", "s") for x in _parts("key")])
+    apart = tables.keep(rows.join(looked_up(parted), "band", "left_semi").select("key", "root").distinct())
+    rest = tables.keep(*[sets.where(x).select("key", "s").join(looked_up(apart.where(x)), "key").select("key", "root", "s") for x in _parts("key")])
     tables.drop(sets)  # rest has all that is still looked at
     prefixes = tables.keep(_heads(rest, jaccard))
     first = prefixes.groupBy("t", "root").agg(F.min_by("key", "rare").alias("key"), F.min("rare").alias("rare"))
     hub = first.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("key", "rare").alias("hub")).where("lo < hi").select("t", "hub")
-    pairs = tables.keep(first.join(hub, "t").where("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct())
+    pairs = tables.keep(first.join(looked_up(hub), "t").where("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct())
     some = tables.keep(_linked(pairs, rest, jaccard))
     joined = tables.keep(components(some.join(apart.withColumnRenamed("key", "a").withColumnRenamed("root", "x"), "a").join(apart.withColumnRenamed("key", "b").withColumnRenamed("root", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))))
-    heads = prefixes.join(joined.select(F.col("node").alias("root"), F.col("root").alias("now")), "root", "left").withColumn("root", F.coalesce("now", "root")).drop("now")
+    heads = prefixes.join(looked_up(joined.select(F.col("node").alias("root"), F.col("root").alias("now"))), "root", "left").withColumn("root", F.coalesce("now", "root")).drop("now")
     met = heads.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t")
     a, b = (heads.select("t", F.col("key").alias(x), *[F.col(y).alias(y + x) for y in ("root", "size", "left")]) for x in "ab")
     enough = F.least("lefta", "leftb") >= F.lit(jaccard / (1 + jaccard)) * (F.col("sizea") + F.col("sizeb")) - F.lit(1e-9)
     alike = F.least("sizea", "sizeb") >= F.lit(jaccard) * F.greatest("sizea", "sizeb") - F.lit(1e-9)
-    still = tables.keep(a.join(met, "t", "left_semi").join(b, "t").where("a < b and roota <> rootb").where(alike & enough).select("a", "b").distinct())
+    still = tables.keep(a.join(looked_up(met), "t", "left_semi").join(b, "t").where("a < b and roota <> rootb").where(alike & enough).select("a", "b").distinct())
     links = tables.keep(some, _linked(still, rest, jaccard))
     tables.drop(apart, rest, prefixes, pairs, some, joined, still)
     return links
@@ -245,32 +278,37 @@ def repeated(docs: DataFrame, least: int = 20, shingle: int = 5, jaccard: float
         raise ValueError("least must be at least shingle, or 1 for every paragraph")
     tables = Tables(docs.sparkSession, "paragraphs")
     docs = _plain(docs)
-    banded = tables.keep(_texts(docs, least, shingle, number, rows, wrapped))
+    found = tables.keep(_found(docs, least, shingle, number, rows, wrapped))
+    banded = tables.keep(_texts(found))
+    units = tables.keep(found.drop("bands"))
+    tables.drop(found)
     stars = tables.keep(_stars(banded))
     texts = tables.keep(banded.drop("bands"))
     tables.drop(banded)
     # each text is compared with three hubs of its buckets at most; what that leaves open goes to _across
     others = [F.min_by("key", F.xxhash64("key", F.lit(i))).alias(f"hub{i}") for i in (1, 2)]
     crowded = stars.where("n > 2").groupBy("band").agg(*others)
-    hubs = stars.join(crowded, "band", "left").groupBy("key").agg(F.min("hub").alias("first"), F.min("hub1").alias("second"), F.min("hub2").alias("third"))
+    hubs = stars.join(looked_up(crowded), "band", "left").groupBy("key").agg(F.min("hub").alias("first"), F.min("hub1").alias("second"), F.min("hub2").alias("third"))
     hubs = tables.keep(hubs.select("key", "first", F.nullif("second", "first").alias("second"), F.nullif(F.nullif("third", "first"), "second").alias("third")))
-    live = tables.keep(stars.join(hubs.select("key", "first"), "key").select("band", "key", F.expr("n > 2 or key <> hub and first <> hub").alias("open")))
+    live = tables.keep(stars.join(looked_up(hubs.select("key", "first")), "key").select("band", "key", F.expr("n > 2 or key <> hub and first <> hub").alias("open")))
     tables.drop(stars)
     lead = hubs.select(F.explode(F.array("first", "second", "third")).alias("key")).where("key is not null").distinct().withColumn("lead", F.lit(True))
-    wanted = hubs.join(lead, "key", "left").join(texts.select("key", "at"), "key").withColumn("hubs", F.array("first", "second", "third"))
+    wanted = looked_up(hubs.join(looked_up(lead), "key", "left")).join(texts.select("key", "at"), "key").withColumn("hubs", F.array("first", "second", "third"))
     sets = tables.keep(_sets(docs, wanted, least, shingle, wrapped))
+    near = tables.keep(_near(sets, jaccard).distinct())
     a = sets.where("lead").select(F.col("key").alias("a"), F.col("s").alias("sa"))
-    b = [sets.select(F.col("hubs")[i].alias("a"), F.col("key").alias("b"), F.col("s").alias("sb")).where("a <> b") for i in range(3)]
-    links = tables.keep(*[_alike(y.where(x).join(a.where(x), "a"), jaccard) for y in b for x in _parts("a")])
+    b = sets.select(F.col("key").alias("b"), F.col("s").alias("sb"))
+    links = tables.keep(*[_alike(looked_up(near.where(x)).join(b.where(x), "b").join(a, "a"), jaccard) for x in _parts("b")])
+    tables.drop(near)
     roots = tables.keep(components(links))
     more = _across(live, roots, sets, jaccard, tables)
     tables.drop(live, links, hubs)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    named = texts.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    named = texts.join(looked_up(roots.withColumnRenamed("node", "key")), "key", "left").withColumn("root", F.coalesce("root", "key"))
     classes = named.groupBy("root").agg(F.min("at").alias("keep"), F.sum("total").alias("of_class")).where("of_class > 1")
-    of = tables.keep(named.join(classes, "root").select("key", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.par").alias("keep_par"), F.col("keep.upto").alias("keep_upto"), F.col("of_class").alias("total")))
+    of = tables.keep(named.join(looked_up(classes), "root").select("key", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.par").alias("keep_par"), F.col("keep.upto").alias("keep_upto"), F.col("of_class").alias("total")))
     tables.drop(texts)
-    return _units(docs, least, wrapped).join(of, "key", "left").drop("key")
+    return units.join(looked_up(of), "key", "left").drop("key")
 
 
 def _plain(docs: DataFrame) -> DataFrame:

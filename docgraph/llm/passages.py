@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import row_slices, utf8
-from docgraph.llm.decontaminate import Words
+from docgraph.llm.common import looked_up, row_slices, utf8
+from docgraph.llm.decontaminate import Words, powers
 
 #: What separates words: ASCII white space.
 KIND = np.ones(256, bool)
@@ -27,10 +27,8 @@ def span_keys(words: Words, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     h, n = words.hash, len(words.hash)
     out = (end - begin).astype(np.uint64)
     for base in _BASES:
-        up = np.cumprod(np.r_[np.uint64(1), np.full(n, base, np.uint64)], dtype=np.uint64)
-        down = np.cumprod(np.r_[np.uint64(1), np.full(n, pow(base, -1, 1 << 64), np.uint64)], dtype=np.uint64)
-        sums = np.r_[np.zeros(1, np.uint64), np.cumsum((h ^ (h >> np.uint64(30))) * up[:-1], dtype=np.uint64)]
-        x = (sums[end] - sums[begin]) * down[begin]
+        sums = np.r_[np.zeros(1, np.uint64), np.cumsum((h ^ (h >> np.uint64(30))) * powers(base, n), dtype=np.uint64)]
+        x = (sums[end] - sums[begin]) * powers(pow(base, -1, 1 << 64), n + 1)[begin]
         out = (out ^ x ^ (x >> np.uint64(32))) * np.uint64(_BASES[0])
         out ^= out >> np.uint64(29)
     return out
@@ -79,8 +77,11 @@ def shared_runs(docs: DataFrame, reach: int) -> DataFrame:
             for i, w in _slices(batch):
                 begin, end = runs(w, reach)
                 text = w.text[begin]
-                both = np.unique(np.stack([text.astype(np.uint64), span_keys(w, begin, end)], 1), axis=0) if len(begin) else np.zeros((0, 2), np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 1]).view(np.int64)), ids.take(pa.array(both[:, 0].astype(np.int64) + i))], ["key", "doc_id"])
+                key = span_keys(w, begin, end)
+                order = np.lexsort((key, text))
+                key, text = key[order], text[order]
+                new = np.r_[True, (key[1:] != key[:-1]) | (text[1:] != text[:-1])][: len(key)]
+                yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), ids.take(pa.array(text[new] + i))], ["key", "doc_id"])
 
     rows = docs.select("doc_id", "text").mapInArrow(run, "key long, doc_id long")
     return rows.groupBy("key").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("most")).where("keep < most").drop("most")
@@ -106,7 +107,7 @@ def repeated_passages(docs: DataFrame, shared: DataFrame, reach: int, least: int
                 )
 
     rows = docs.select("doc_id", "text").mapInArrow(run, "key long, doc_id long, begin int, end int")
-    rows = rows.join(shared, "key").where("doc_id <> keep").select("doc_id", "begin", "end", "keep")
+    rows = rows.join(looked_up(shared), "key").where("doc_id <> keep").select("doc_id", "begin", "end", "keep")
     place = Window.partitionBy("doc_id").orderBy("begin", "end", "keep")
     rows = rows.withColumn("new", F.coalesce(F.col("begin") > F.max("end").over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
     rows = rows.withColumn("stretch", F.count_if("new").over(place.rowsBetween(Window.unboundedPreceding, 0)))

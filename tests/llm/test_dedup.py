@@ -313,3 +313,39 @@ def test_simhash_sends_no_growing_table_through_the_driver(spark, monkeypatch):
     assert kept.count() == 30
     joins = [line for p in plans for line in p.splitlines() if "Join " in line]
     assert len(joins) > 5 and all("strategy=merge" in line for line in joins)
+
+
+def test_sketches_rule_out_no_pair_that_is_alike(spark):
+    r = np.random.default_rng(4)
+    base = [r.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) for n in (1, 2, 9, 40, 150, 700)]
+    sets = [np.unique(np.r_[b[r.random(len(b)) < keep], r.integers(1, 1 << 63, more, dtype=np.uint64)]) for b in base for keep in (1, 0.97, 0.9, 0.85, 0.5) for more in (0, 1, len(b) // 10)]
+    sets = [s for s in sets if len(s)]
+    x = paragraphs.sketches(np.concatenate(sets), np.repeat(np.arange(len(sets)), list(map(len, sets))), len(sets))
+    every = list(range(len(sets)))
+    rows = [(k, every, True, s.view(np.int64).tolist(), len(s), *x[k].tolist()) for k, s in enumerate(sets)]
+    table = spark.createDataFrame(rows, "key long, hubs array<long>, lead boolean, s array<long>, n int, x0 long, x1 long, x2 long, x3 long")
+    near = {(p.a, p.b) for p in paragraphs._near(table, 0.8).collect()}
+    both = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+    alike = {(a, b) for a in every for b in every if a != b and both(a, b) >= 0.8 * (len(sets[a]) + len(sets[b]) - both(a, b))}
+    assert len(alike) > 100 and alike <= near and len(near) < 0.5 * len(sets) ** 2
+
+
+def test_paragraphs_read_texts_four_times(make, monkeypatch):
+    """Units and bands come from one pass, sets, shared runs and passages from one each; one more reads sets alone."""
+    passes, frame = [], type(make([]))
+    run = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, schema, *a: (passes.append(schema), run(self, f, schema, *a))[1])
+    rows = [(1, PARA + "\nshort\n" + PARA), (2, "x\n\n" + PARA), (2, PARA), (None, PARA), (3, None), (4, "")]
+    got = {x.doc_id: (x.n_lines, x.n_paragraphs, x.removed, x.class_id) for x in paragraphs.dedup_paragraphs(make(rows), least=1, wrapped=True).collect()}
+    assert len(passes) == 5
+    assert got[1][:2] == (3, 4) and got[2][:2] == (4, 3) and got[3][:2] == (0, 0) and got[4][:2] == (0, 0) and got[None] == (1, 1, "", None)
+
+
+def test_words_keep_tables_of_powers():
+    a, b = decontaminate.powers(3, 10), decontaminate.powers(3, 1000)
+    assert a.base is b.base and a.tolist() == [3**k for k in range(10)] and b[999] == pow(3, 999, 1 << 64)
+    assert len(decontaminate.powers(3, 0)) == 0 and decontaminate.powers(3, (1 << 20) + 1)[-1] == pow(3, 1 << 20, 1 << 64)
+    text = "Ab  é\tCD\n".encode()
+    w = decontaminate.Words(np.frombuffer(text * 2, np.uint8), np.array([0, 0, len(text), 2 * len(text), 2 * len(text)]), passages.KIND)
+    assert [w.joined(i, 1) for i in range(6)] == [b"ab", "é".encode(), b"cd"] * 2
+    assert w.text.tolist() == [1, 1, 1, 2, 2, 2] and w.hash[:3].tolist() == w.hash[3:].tolist() and len(set(w.hash.tolist())) == 3
