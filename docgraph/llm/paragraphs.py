@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docgraph.llm import passages
 from docgraph.llm.common import Tables, looked_up, row_slices, utf8
 from docgraph.llm.decontaminate import Words
-from docgraph.llm.graph import components
+from docgraph.llm.graph import pointers
 
 #: Stands for a null doc_id, which comes first.
 _NO_ID = -(1 << 63)
@@ -242,7 +242,7 @@ def _across(live: DataFrame, roots: DataFrame, sets: DataFrame, jaccard: float,
     hub = first.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("key", "rare").alias("hub")).where("lo < hi").select("t", "hub")
     pairs = tables.keep(first.join(looked_up(hub), "t").where("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct())
     some = tables.keep(_linked(pairs, rest, jaccard))
-    joined = tables.keep(components(some.join(apart.withColumnRenamed("key", "a").withColumnRenamed("root", "x"), "a").join(apart.withColumnRenamed("key", "b").withColumnRenamed("root", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    joined = pointers(some.join(apart.withColumnRenamed("key", "a").withColumnRenamed("root", "x"), "a").join(apart.withColumnRenamed("key", "b").withColumnRenamed("root", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
     heads = prefixes.join(looked_up(joined.select(F.col("node").alias("root"), F.col("root").alias("now"))), "root", "left").withColumn("root", F.coalesce("now", "root")).drop("now")
     met = heads.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t")
     a, b = (heads.select("t", F.col("key").alias(x), *[F.col(y).alias(y + x) for y in ("root", "size", "left")]) for x in "ab")
@@ -250,7 +250,7 @@ def _across(live: DataFrame, roots: DataFrame, sets: DataFrame, jaccard: float,
     alike = F.least("sizea", "sizeb") >= F.lit(jaccard) * F.greatest("sizea", "sizeb") - F.lit(1e-9)
     still = tables.keep(a.join(looked_up(met), "t", "left_semi").join(b, "t").where("a < b and roota <> rootb").where(alike & enough).select("a", "b").distinct())
     links = tables.keep(some, _linked(still, rest, jaccard))
-    tables.drop(apart, rest, prefixes, pairs, some, joined, still)
+    tables.drop(apart, rest, prefixes, pairs, some, still)
     return links
 
 
@@ -300,10 +300,10 @@ def repeated(docs: DataFrame, least: int = 20, shingle: int = 5, jaccard: float
     b = sets.select(F.col("key").alias("b"), F.col("s").alias("sb"))
     links = tables.keep(*[_alike(looked_up(near.where(x)).join(b.where(x), "b").join(a, "a"), jaccard) for x in _parts("b")])
     tables.drop(near)
-    roots = tables.keep(components(links))
+    roots = pointers(links)
     more = _across(live, roots, sets, jaccard, tables)
     tables.drop(live, links, hubs)
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    roots = pointers(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = texts.join(looked_up(roots.withColumnRenamed("node", "key")), "key", "left").withColumn("root", F.coalesce("root", "key"))
     classes = named.groupBy("root").agg(F.min("at").alias("keep"), F.sum("total").alias("of_class")).where("of_class > 1")
     of = tables.keep(named.join(looked_up(classes), "root").select("key", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.par").alias("keep_par"), F.col("keep.upto").alias("keep_upto"), F.col("of_class").alias("total")))
@@ -333,7 +333,7 @@ def dedup_paragraphs(docs: DataFrame, reach: int = 16, passage: int = 20, **sett
     found = tables.keep(passages.repeated_passages(plain, shared, reach, passage))
     tables.drop(shared)
     edges = r.where("keep_doc <> doc_id").where(F.col("size") >= passage).select(F.col("doc_id").alias("a"), F.col("keep_doc").alias("b"))
-    roots = components(edges.unionByName(found.select(F.col("doc_id").alias("a"), F.explode("keeps").alias("b"))))
+    roots = pointers(edges.unionByName(found.select(F.col("doc_id").alias("a"), F.explode("keeps").alias("b"))))
     gone = F.expr("total is not null and not (doc_id = keep_doc and par <= keep_upto and keep_par <= upto)")
     kept = F.expr("total is not null and par = upto and doc_id = keep_doc and par = keep_par and upto = keep_upto")
     stretches = found.select("doc_id", F.lit(-2).cast("long").alias("par"), F.struct("begin", "end").alias("stretch"))
